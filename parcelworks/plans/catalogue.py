@@ -1,11 +1,670 @@
-"""Named queries over the register and the SQL they are held against."""
+"""Named queries over the register and the SQL they are held against.
+
+The queries run the library's operators; the SQL is written independently and shares only the fixture views with them.
+Decimals leave the queries as doubles and counts as longs, so that any engine's types compare.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parcelworks.functions import ids, text, units
+from parcelworks.operators import boxes, extract, ledger, merge, register, rules
+from parcelworks.plans.fixtures import load, with_views
+from parcelworks.sources import export, ingest
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
+    def add(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = with_views(sql, *views) if views else sql.strip()
+        return f
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def plain(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns, decimals as doubles and integers as longs."""
+    kinds = dict(rows.dtypes)
+    cast = lambda c: F.col(c).cast("double") if kinds[c].startswith("decimal") else F.col(c).cast("long") if kinds[c] in ("int", "smallint", "bigint") else F.col(c)
+    return rows.select(*[cast(c).alias(c) for c in columns or rows.columns])
+
+
+def _with_confidence(parcels: DataFrame) -> DataFrame:
+    return parcels.withColumn("field_confidence", F.create_map(F.lit("khasra_number"), "conf_khasra", F.lit("plot_area_sqm"), "conf_area"))
+
+
+def _with_ulpin(parcels: DataFrame, khata: DataFrame, villages: DataFrame) -> DataFrame:
+    """Minted ids, every fifth holding's without and every seventh's with a wrong check character."""
+    state = register.join_village(khata.select("khata_id", "village_code"), villages.select("village_code", "state"), "left").select("khata_id", "state")
+    rows = parcels.join(state, "khata_id", "left")
+    minted = ids.mint(F.col("lat"), F.col("lon"), F.col("state"))
+    wrong = F.concat(F.substr(minted, F.lit(1), F.lit(13)), F.when(F.substr(minted, F.lit(14), F.lit(1)) == "0", "1").otherwise("0"))
+    return rows.withColumn("ulpin", F.when(F.col("khata_id") % 5 == 0, None).when(F.col("khata_id") % 7 == 0, wrong).otherwise(minted))
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    khata, parcels, owners = load(spark, sf_dir, "v_khata", "v_parcels", "v_owners")
+    found = rules.all_findings(khata, parcels, owners)
+    return khata, parcels, owners, found, rules.route(rules.report(khata, found))
+
+
+def _register(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """The routed register, with some pending holdings approved and some rejected by hand."""
+    khata, parcels, owners, found, routed = _reported(spark, sf_dir)
+    pending, last = F.col("approval_status") == "PENDING", F.col("khata_id") % 10
+    status = F.when(pending & (last == 3), "MANUALLY_APPROVED").when(pending & (last == 5), "REJECTED").otherwise(F.col("approval_status"))
+    return khata, parcels, owners, found, routed.withColumn("approval_status", status)
+
+
+# ------------------------------------------------------------------ rules
+
+ROUTED = """ps AS (SELECT khata_id, sum(plot_area_sqm) AS parcel_sum, count(*) AS parcels, count(*) FILTER (WHERE trim(khasra_number) = '') AS blank,
+    count(*) FILTER (WHERE plot_area_sqm <= 0) AS nonpos, count(*) FILTER (WHERE khasra_number LIKE '%*%') AS odd FROM v_parcels GROUP BY 1),
+os AS (SELECT khata_id, sum(share_percentage) AS share_sum, count(*) AS owners FROM v_owners GROUP BY 1),
+du AS (SELECT khata_id, sum(n - 1) AS dup FROM (SELECT khata_id, khasra_number, count(*) AS n FROM v_parcels WHERE khasra_number <> '' GROUP BY 1, 2) t GROUP BY 1),
+ba AS (SELECT k.*, coalesce(parcel_sum, 0) AS parcel_sum, coalesce(parcels, 0) AS parcels, coalesce(share_sum, 0) AS share_sum, coalesce(owners, 0) AS owners,
+    coalesce(blank, 0) AS blank, coalesce(nonpos, 0) AS nonpos, coalesce(odd, 0) AS odd, coalesce(dup, 0) AS dup
+    FROM v_khata k LEFT JOIN ps USING (khata_id) LEFT JOIN os USING (khata_id) LEFT JOIN du USING (khata_id)),
+fl AS (SELECT *, CASE WHEN abs(parcel_sum - total_area_sqm) > 0.005 THEN 1 ELSE 0 END AS f_area,
+    CASE WHEN owners > 0 AND abs(share_sum - 100) > 0.01 THEN 1 ELSE 0 END AS f_share, CASE WHEN owners = 0 THEN 1 ELSE 0 END AS f_orphan,
+    CASE WHEN trim(khata_number) IN ('', 'UNREAD') THEN 1 ELSE 0 END AS f_number FROM ba),
+rp AS (SELECT *, f_area + f_share + f_orphan + blank + dup + nonpos + f_number AS critical, odd AS warnings,
+    f_area + f_share + CASE WHEN dup > 0 THEN 1 ELSE 0 END + CASE WHEN nonpos > 0 THEN 1 ELSE 0 END AS math_failed FROM fl),
+sc AS (SELECT *, 1.0 - math_failed / 4.0 AS math_score, round(CAST(0.5 AS DOUBLE) * ocr_confidence + CAST(0.3 AS DOUBLE) * layout_confidence + CAST(0.2 AS DOUBLE) * CAST(1.0 - math_failed / 4.0 AS DOUBLE), 4) AS final_score FROM rp),
+rt AS (SELECT *, critical = 0 AND final_score >= 0.85 AS committable FROM sc)"""
+
+REGISTER = ROUTED + """,
+rg AS (SELECT *, CASE WHEN committable THEN 'AUTO_APPROVED' WHEN khata_id % 10 = 3 THEN 'MANUALLY_APPROVED' WHEN khata_id % 10 = 5 THEN 'REJECTED' ELSE 'PENDING' END AS approval_status FROM rt)"""
+
+KPO = ("v_khata", "v_parcels", "v_owners")
+
+
+@query("v14_route", f"""WITH {ROUTED}
+SELECT khata_id, CAST(critical AS BIGINT) AS critical, final_score, CASE WHEN committable THEN 'AUTO_APPROVED' ELSE 'PENDING' END AS approval_status,
+  CASE WHEN committable THEN 'COMMITTED' ELSE 'NEEDS_REVIEW' END AS processing_status, CAST(CASE WHEN committable THEN 100 ELSE 95 END AS BIGINT) AS progress_pct FROM rt""", KPO)
+def _route(spark, sf_dir):
+    return plain(_reported(spark, sf_dir)[4], "khata_id", "critical", "final_score", "approval_status", "processing_status", "progress_pct")
+
+
+@query("v13_report", f"""WITH {ROUTED}
+SELECT khata_id, CAST(critical + warnings AS BIGINT) AS findings, CAST(critical AS BIGINT) AS critical, CAST(warnings AS BIGINT) AS warnings, CAST(math_failed AS BIGINT) AS math_failed,
+  round(ocr_confidence, 4) AS ocr_score, round(layout_confidence, 4) AS layout_score, CAST(math_score AS DOUBLE) AS math_score, final_score, committable FROM rt""", KPO)
+def _report(spark, sf_dir):
+    return plain(_reported(spark, sf_dir)[4], "khata_id", "findings", "critical", "warnings", "math_failed", "ocr_score", "layout_score", "math_score", "final_score", "committable")
+
+
+@query("v15_balance", f"""WITH {ROUTED}
+SELECT khata_id, CAST(parcel_sum AS DOUBLE) AS parcel_sum, CAST(parcel_sum - total_area_sqm AS DOUBLE) AS area_delta, CAST(share_sum AS DOUBLE) AS share_sum,
+  CAST(share_sum - 100 AS DOUBLE) AS share_delta, f_area = 0 AS area_ok, owners > 0 AND f_share = 0 AS share_ok FROM fl""", KPO)
+def _balance(spark, sf_dir):
+    return plain(rules.balance(*load(spark, sf_dir, "v_khata", "v_parcels", "v_owners")), "khata_id", "parcel_sum", "area_delta", "share_sum", "share_delta", "area_ok", "share_ok")
+
+
+@query("v01_area_sum_mismatch", f"""WITH {ROUTED}
+SELECT khata_id, concat('Parcel areas total ', CAST(CAST(parcel_sum AS DECIMAL(22,4)) AS VARCHAR), ' sqm but the Khata declares ', CAST(total_area_sqm AS VARCHAR), ' sqm — a difference of ',
+  CAST(CAST(abs(parcel_sum - total_area_sqm) AS DECIMAL(22,4)) AS VARCHAR), ' sqm (', CAST(CAST(round_even(CAST(abs(parcel_sum - total_area_sqm) AS DECIMAL(18,4)) * CAST(0.0001 AS DECIMAL(5,4)), 4) AS DECIMAL(22,4)) AS VARCHAR), ' ha).') AS message,
+  CAST(abs(parcel_sum - total_area_sqm) AS DOUBLE) AS delta FROM fl WHERE f_area = 1""", KPO)
+def _area(spark, sf_dir):
+    return plain(rules.area_mismatch(rules.balance(*load(spark, sf_dir, *KPO))), "khata_id", "message", "delta")
+
+
+@query("v02_v03_owner_shares", f"""WITH {ROUTED}
+SELECT khata_id, 'ORPHAN_OWNER' AS code, CAST(0 AS DOUBLE) AS observed, CAST(NULL AS DOUBLE) AS delta FROM fl WHERE f_orphan = 1
+UNION ALL SELECT khata_id, 'INVALID_OWNER_SHARES', CAST(share_sum AS DOUBLE), CAST(share_sum - 100 AS DOUBLE) FROM fl WHERE f_share = 1""", KPO)
+def _shares(spark, sf_dir):
+    return plain(rules.share_findings(rules.balance(*load(spark, sf_dir, *KPO))), "khata_id", "code", "observed", "delta")
+
+
+@query("v04_v05_v07_parcels", """
+SELECT khata_id, 'INVALID_KHASRA_FORMAT' AS code, 'CRITICAL' AS severity, concat('parcels[', CAST(pos AS VARCHAR), '].khasra_number') AS field_path, 'Khasra number is blank.' AS message FROM v_parcels WHERE trim(khasra_number) = ''
+UNION ALL SELECT khata_id, 'INVALID_KHASRA_FORMAT', 'WARNING', concat('parcels[', CAST(pos AS VARCHAR), '].khasra_number'), concat('Khasra number ''', khasra_number, ''' contains unexpected characters (*).') FROM v_parcels WHERE khasra_number LIKE '%*%'
+UNION ALL SELECT khata_id, 'NON_POSITIVE_AREA', 'CRITICAL', concat('parcels[', CAST(pos AS VARCHAR), '].plot_area_sqm'), concat('Plot area for Khasra ', CASE WHEN trim(khasra_number) = '' THEN '?' ELSE khasra_number END, ' is ', CAST(plot_area_sqm AS VARCHAR), ' sqm.') FROM v_parcels WHERE plot_area_sqm <= 0""", ("v_parcels",))
+def _parcels(spark, sf_dir):
+    return rules.parcel_findings(load(spark, sf_dir, "v_parcels")[0]).where("code <> 'DUPLICATE_KHASRA'").select("khata_id", "code", "severity", "field_path", "message")
+
+
+@query("v06_w01_duplicate_khasra", """
+SELECT p.khata_id, CAST(p.pos AS BIGINT) AS pos, p.khasra_number AS khasra, CAST(min(q.pos) AS BIGINT) AS first_pos
+FROM v_parcels p JOIN v_parcels q ON p.khata_id = q.khata_id AND p.khasra_number = q.khasra_number AND q.pos < p.pos
+WHERE p.khasra_number <> '' GROUP BY 1, 2, 3""", ("v_parcels",))
+def _duplicates(spark, sf_dir):
+    return plain(rules.duplicate_rows(load(spark, sf_dir, "v_parcels")[0]), "khata_id", "pos", "khasra", "first_pos")
+
+
+CODES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ids.STATE_CODES.items())
+ALPHABET = ids.ALPHABET
+CHECK = f"substr('{ALPHABET}', CAST(list_sum(list_transform(range(1, 14), lambda i: (CASE WHEN instr('{ALPHABET}', lower(substr(PAYLOAD, CAST(i AS INT), 1))) > 0 THEN instr('{ALPHABET}', lower(substr(PAYLOAD, CAST(i AS INT), 1))) - 1 ELSE (ascii(lower(substr(PAYLOAD, CAST(i AS INT), 1))) - 55) % 32 END) * (i + 1))) % 32 AS INT) + 1, 1)"
+MINTED = f"""gh AS (SELECT p.khata_id, p.pos, p.lat, p.lon, v.village_code, concat(CASE upper(trim(v.state)) {CODES} ELSE 'IN' END,
+    list_aggregate(list_transform(range(0, 11), lambda c: substr('{ALPHABET}', CAST(1 + list_sum(list_transform(range(0, 5), lambda t:
+      (CASE WHEN (5 * c + t) % 2 = 0 THEN (CAST(ceil((p.lon + 180) / 360.0 * 268435456) AS BIGINT) - 1) // CAST(pow(2, 27 - (5 * c + t) // 2) AS BIGINT)
+            ELSE (CAST(ceil((p.lat + 90) / 180.0 * 134217728) AS BIGINT) - 1) // CAST(pow(2, 26 - (5 * c + t) // 2) AS BIGINT) END) % 2 * CAST(pow(2, 4 - t) AS BIGINT))) AS INT), 1)), 'string_agg', '')) AS payload
+  FROM v_parcels p LEFT JOIN v_khata k ON k.khata_id = p.khata_id LEFT JOIN v_villages v ON v.village_code = k.village_code),
+mi AS (SELECT *, upper(concat(payload, {CHECK.replace('PAYLOAD', 'payload')})) AS minted FROM gh),
+ul AS (SELECT *, CASE WHEN khata_id % 5 = 0 THEN NULL WHEN khata_id % 7 = 0 THEN concat(substr(minted, 1, 13), CASE WHEN substr(minted, 14, 1) = '0' THEN '1' ELSE '0' END) ELSE minted END AS ulpin FROM mi)"""
+PKV = ("v_parcels", "v_khata", "v_villages")
+
+
+def _minted(spark, sf_dir) -> DataFrame:
+    return _with_ulpin(*load(spark, sf_dir, *PKV))
+
+
+@query("v08_v09_ulpin", f"""WITH {MINTED}
+SELECT khata_id, CAST(pos AS BIGINT) AS pos, CASE WHEN ulpin IS NULL THEN 'ULPIN_MISSING' ELSE 'ULPIN_INVALID' END AS code FROM ul WHERE ulpin IS NULL OR ulpin <> minted""", PKV)
+def _ulpin_findings(spark, sf_dir):
+    found = rules.parcel_findings(_minted(spark, sf_dir)).where("code like 'ULPIN%'")
+    return found.select("khata_id", F.regexp_extract("field_path", r"\[(\d+)\]", 1).cast("long").alias("pos"), "code")
+
+
+@query("x01_x04_mint_ulpins", f"WITH {MINTED} SELECT khata_id, CAST(pos AS BIGINT) AS pos, minted AS ulpin FROM mi", PKV)
+def _mint(spark, sf_dir):
+    parcels, khata, villages = load(spark, sf_dir, *PKV)
+    state = register.join_village(khata.select("khata_id", "village_code"), villages.select("village_code", "state"), "left").select("khata_id", "state")
+    return plain(parcels.join(state, "khata_id", "left").select("khata_id", "pos", ids.mint(F.col("lat"), F.col("lon"), F.col("state")).alias("ulpin")))
+
+
+@query("x04_ulpin_collisions", f"WITH {MINTED} SELECT minted AS ulpin, count(*) AS parcels FROM mi GROUP BY 1 HAVING count(*) > 1", PKV)
+def _collisions(spark, sf_dir):
+    return _mint(spark, sf_dir).groupBy("ulpin").agg(F.count(F.lit(1)).alias("parcels")).where("parcels > 1")
+
+
+@query("x05_audit_ulpins", f"""WITH {MINTED} SELECT village_code, count(*) FILTER (WHERE ulpin IS NOT NULL AND ulpin = minted) AS valid, count(*) FILTER (WHERE ulpin IS NOT NULL AND ulpin <> minted) AS invalid FROM ul GROUP BY 1""", PKV)
+def _audit_ulpins(spark, sf_dir):
+    parcels, khata, villages = load(spark, sf_dir, *PKV)
+    rows = _with_ulpin(parcels, khata, villages).join(khata.select("khata_id", "village_code"), "khata_id", "left")
+    return rows.groupBy("village_code").agg(F.count_if(F.col("ulpin").isNotNull() & ids.is_valid(F.col("ulpin"))).alias("valid"), F.count_if(F.col("ulpin").isNotNull() & ~ids.is_valid(F.col("ulpin"))).alias("invalid"))
+
+
+@query("x02_x06_locate_ulpins", f"""WITH {MINTED}
+SELECT khata_id, CAST(pos AS BIGINT) AS pos, CASE WHEN ulpin = minted THEN round((CAST(ceil((lat + 90) / 180.0 * 134217728) AS BIGINT) - 0.5) * (180.0 / 134217728) - 90.0, 7) END AS lat,
+  CASE WHEN ulpin = minted THEN round((CAST(ceil((lon + 180) / 360.0 * 268435456) AS BIGINT) - 0.5) * (360.0 / 268435456) - 180.0, 7) END AS lon, CASE WHEN ulpin <> minted THEN 'check character' END AS error FROM ul WHERE ulpin IS NOT NULL""", PKV)
+def _locate(spark, sf_dir):
+    lat, lon, error = ids.centre(F.col("ulpin"))
+    return plain(_minted(spark, sf_dir).where("ulpin is not null").select("khata_id", "pos", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"), error.alias("error")))
+
+
+@query("v10_missing_khata_number", "SELECT khata_id, 'CRITICAL' AS severity, khata_number AS observed_text FROM v_khata WHERE trim(khata_number) IN ('', 'UNREAD')", ("v_khata", "v_parcels"))
+def _metadata(spark, sf_dir):
+    return rules.metadata_findings(load(spark, sf_dir, "v_khata")[0]).select("khata_id", "severity", "observed_text")
+
+
+@query("v11_low_field_confidence", """
+SELECT khata_id, concat('parcels[', CAST(pos AS VARCHAR), '].khasra_number') AS field_path, conf_khasra AS observed FROM v_parcels WHERE conf_khasra < 0.5
+UNION ALL SELECT khata_id, concat('parcels[', CAST(pos AS VARCHAR), '].plot_area_sqm'), conf_area FROM v_parcels WHERE conf_area < 0.5""", ("v_parcels",))
+def _confidence(spark, sf_dir):
+    return rules.confidence_findings(_with_confidence(load(spark, sf_dir, "v_parcels")[0]), "parcels").select("khata_id", "field_path", "observed")
+
+
+@query("o01_all_findings", f"""WITH {ROUTED}
+SELECT khata_id, 'AREA_SUM_MISMATCH' AS code, 1 AS n FROM fl WHERE f_area = 1 UNION ALL SELECT khata_id, 'INVALID_OWNER_SHARES', 1 FROM fl WHERE f_share = 1 UNION ALL SELECT khata_id, 'ORPHAN_OWNER', 1 FROM fl WHERE f_orphan = 1
+UNION ALL SELECT khata_id, 'INVALID_KHASRA_FORMAT', CAST(blank + odd AS INT) FROM fl WHERE blank + odd > 0 UNION ALL SELECT khata_id, 'DUPLICATE_KHASRA', CAST(dup AS INT) FROM fl WHERE dup > 0
+UNION ALL SELECT khata_id, 'NON_POSITIVE_AREA', CAST(nonpos AS INT) FROM fl WHERE nonpos > 0 UNION ALL SELECT khata_id, 'MISSING_KHATA_NUMBER', 1 FROM fl WHERE f_number = 1""".replace("1 AS n", "CAST(1 AS BIGINT) AS n"), KPO)
+def _all(spark, sf_dir):
+    return _reported(spark, sf_dir)[3].groupBy("khata_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a09_finding_counts", f"""WITH {ROUTED} SELECT khata_id, CAST(critical + warnings AS BIGINT) AS findings, CAST(critical AS BIGINT) AS critical, CAST(warnings AS BIGINT) AS warnings FROM rp WHERE critical + warnings > 0""", KPO)
+def _counts(spark, sf_dir):
+    return rules.counts(_reported(spark, sf_dir)[3]).select("khata_id", "findings", "critical", "warnings")
+
+
+# ------------------------------------------------------------------ register reads
+
+
+@query("a03_register_summary", f"""WITH {REGISTER}
+SELECT count(*) AS khatas, count(*) FILTER (WHERE approval_status IN ('AUTO_APPROVED', 'MANUALLY_APPROVED')) AS approved, count(*) FILTER (WHERE approval_status = 'PENDING') AS pending,
+  CAST(round_even(CAST(coalesce(sum(total_area_sqm) FILTER (WHERE approval_status IN ('AUTO_APPROVED', 'MANUALLY_APPROVED')), 0) AS DECIMAL(22,4)) * CAST(0.0001 AS DECIMAL(5,4)), 4) AS DOUBLE) AS approved_hectares,
+  round(count(*) FILTER (WHERE approval_status IN ('AUTO_APPROVED', 'MANUALLY_APPROVED')) / CAST(count(*) AS DOUBLE), 4) AS auto_commit_rate, round(avg(final_score), 4) AS mean_confidence, (SELECT count(*) FROM v_parcels) AS parcels FROM rg""", KPO)
+def _summary(spark, sf_dir):
+    _, parcels, _, _, reg = _register(spark, sf_dir)
+    return plain(register.summary(reg, parcels))
+
+
+@query("t01_review_queue", f"WITH {REGISTER} SELECT khata_id, final_score FROM rg WHERE approval_status = 'PENDING' ORDER BY final_score, khata_id LIMIT 50 OFFSET 50", KPO)
+def _queue(spark, sf_dir):
+    return register.review_queue(_register(spark, sf_dir)[4], page=2, size=50).select("khata_id", "final_score")
+
+
+@query("t01_queue_oldest_of_village", f"WITH {REGISTER} SELECT khata_id, final_score FROM rg WHERE approval_status = 'PENDING' AND village_code = 'V3' ORDER BY created_at, khata_id LIMIT 100", KPO)
+def _queue_oldest(spark, sf_dir):
+    return register.review_queue(_register(spark, sf_dir)[4], sort="oldest", size=500, village="V3").select("khata_id", "final_score")
+
+
+@query("t02_worst", f"WITH {REGISTER} SELECT khata_id, final_score FROM rg WHERE approval_status = 'PENDING' ORDER BY final_score, khata_id LIMIT 20", KPO)
+def _worst(spark, sf_dir):
+    return register.worst(_register(spark, sf_dir)[4]).select("khata_id", "final_score")
+
+
+@query("t03_recent_documents", "SELECT o_orderkey AS document_id, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def _recent(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    return register.recent(docs, 500).select("document_id", "status")
+
+
+@query("f01_f03_approved_by_village", f"WITH {REGISTER} SELECT village_code, count(*) AS khatas, count(*) FILTER (WHERE approval_status = 'MANUALLY_APPROVED') AS manual FROM rg WHERE approval_status IN ('AUTO_APPROVED', 'MANUALLY_APPROVED') GROUP BY 1", KPO)
+def _approved(spark, sf_dir):
+    return register.approved_only(_register(spark, sf_dir)[4]).groupBy("village_code").agg(F.count(F.lit(1)).alias("khatas"), F.count_if(F.col("approval_status") == "MANUALLY_APPROVED").alias("manual"))
+
+
+@query("a04_a14_queue_depth", f"WITH {REGISTER} SELECT count(*) AS depth FROM rg WHERE approval_status = 'PENDING'", KPO)
+def _depth(spark, sf_dir):
+    return register.by_review_state(_register(spark, sf_dir)[4], "pending").agg(F.count(F.lit(1)).alias("depth"))
+
+
+@query("f06_queue_items", f"""WITH {REGISTER}
+SELECT rg.khata_id, rg.village_code, v.village_name, final_score, CAST(critical AS BIGINT) AS critical_count, CAST(parcels AS BIGINT) AS parcels FROM rg LEFT JOIN v_villages v ON v.village_code = rg.village_code WHERE approval_status = 'PENDING'""", (*KPO, "v_villages"))
+def _items(spark, sf_dir):
+    _, parcels, _, found, reg = _register(spark, sf_dir)
+    villages = load(spark, sf_dir, "v_villages")[0]
+    listed = rules.with_findings(reg, found).join(rules.parcel_sum(parcels).select("khata_id", "parcels"), "khata_id", "left").fillna(0, ["parcels"])
+    return plain(register.queue_items(listed, villages), "khata_id", "village_code", "village_name", "final_score", "critical_count", "parcels")
+
+
+@query("f07_record_detail", """
+SELECT k.khata_id, coalesce(p.n, 0) AS parcels, p.last_number, o.names AS owner_names FROM v_khata k
+LEFT JOIN (SELECT khata_id, count(*) AS n, arg_max(khasra_number, pos) AS last_number FROM v_parcels GROUP BY 1) p ON p.khata_id = k.khata_id
+LEFT JOIN (SELECT khata_id, string_agg(owner_name_vernacular, ' | ' ORDER BY pos) AS names FROM v_owners GROUP BY 1) o ON o.khata_id = k.khata_id""", KPO)
+def _detail(spark, sf_dir):
+    khata, parcels, owners, audit = load(spark, sf_dir, "v_khata", "v_parcels", "v_owners", "v_audit")
+    audit = audit.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = register.record_detail(khata, parcels, owners, audit)
+    n = F.coalesce(F.size("parcel_list"), F.lit(0))
+    return rows.select("khata_id", n.cast("long").alias("parcels"), F.when(n > 0, F.element_at("parcel_list", -1)["khasra_number"]).alias("last_number"), "owner_names")
+
+
+@query("a05_owners_concat", "SELECT khata_id, string_agg(owner_name_vernacular, ' | ' ORDER BY pos) AS owner_names, string_agg(CAST(share_percentage AS VARCHAR), ' | ' ORDER BY pos) AS owner_shares FROM v_owners GROUP BY 1", ("v_owners", "v_parcels"))
+def _owners(spark, sf_dir):
+    return register.owners_listed(load(spark, sf_dir, "v_owners")[0]).select("khata_id", "owner_names", "owner_shares")
+
+
+@query("a15_ingest_stats", f"WITH {ROUTED} SELECT khata_id, CAST(parcels AS BIGINT) AS parcels, CAST(owners AS BIGINT) AS owners, CAST(critical AS BIGINT) AS critical FROM rp", KPO)
+def _stats(spark, sf_dir):
+    khata, parcels, owners, found, _ = _reported(spark, sf_dir)
+    return plain(register.ingest_stats(khata, parcels, owners, found))
+
+
+@query("j04_documents_khatas", "SELECT c_custkey AS document_id, count(o_orderkey) AS khatas, min(o_orderkey) AS first_khata FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("document_id"))
+    khata = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("khata_id"))
+    return register.join_documents(docs, khata).select("document_id", F.coalesce(F.size("khata_ids"), F.lit(0)).cast("long").alias("khatas"), F.get("khata_ids", F.lit(0)).alias("first_khata"))
+
+
+@query("j05_reviewers", "SELECT e.event_id AS khata_id, c.c_name AS display_name FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id")
+def _reviewers(spark, sf_dir):
+    khata = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("khata_id"), F.col("user_id").alias("reviewed_by"))
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("login_id"), F.col("c_name").alias("display_name"))
+    return register.join_reviewer(khata, users).select("khata_id", "display_name")
+
+
+@query("j11_x07_duplicate_identities", """
+SELECT sha256(concat('salt:', lpad(CAST(khata_id % 977 AS VARCHAR), 12, '1'))) AS identity_digest, count(DISTINCT khata_id) AS khatas FROM v_owners WHERE khata_id % 3 <> 0 GROUP BY 1 HAVING count(DISTINCT khata_id) > 1""", ("v_owners", "v_parcels"))
+def _identities(spark, sf_dir):
+    owners = load(spark, sf_dir, "v_owners")[0]
+    number = F.when(F.col("khata_id") % 3 == 0, F.lit("12 34")).otherwise(F.regexp_replace(F.lpad((F.col("khata_id") % 977).cast("string"), 12, "1"), r"^(....)(....)", "$1 $2-"))
+    return register.duplicate_identities(owners.withColumn("identity_digest", ids.identity_digest(number, "salt")))
+
+
+@query("j12_duplicate_khata", "SELECT village_code, CAST(khata_id % 1000 AS BIGINT) AS number, count(*) AS times FROM v_khata WHERE village_code IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1", ("v_khata", "v_parcels"))
+def _same_key(spark, sf_dir):
+    khata = load(spark, sf_dir, "v_khata")[0].withColumn("number", (F.col("khata_id") % 1000).cast("long"))
+    return register.duplicate_keys(khata, ["village_code", "number"])
+
+
+@query("j13_orphan_parcels", "SELECT khata_id, CAST(pos AS BIGINT) AS pos FROM v_parcels WHERE khata_id NOT IN (SELECT khata_id FROM v_khata WHERE khata_id % 50 <> 0)", ("v_parcels", "v_khata"))
+def _orphans(spark, sf_dir):
+    parcels, khata = load(spark, sf_dir, "v_parcels", "v_khata")
+    return plain(register.orphan_keys(parcels, khata.where("khata_id % 50 <> 0"), "khata_id"), "khata_id", "pos")
+
+
+@query("w10_r03_latest_status", "SELECT user_id AS document_id, arg_max(event_type, ts) AS status FROM events GROUP BY 1")
+def _status(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), "ts", "event_id")
+    return register.latest_status(events).select("document_id", "status")
+
+
+# ------------------------------------------------------------------ sources and exports
+
+
+@query("s04_x08_dedup_by_hash", "SELECT doc_id AS document_id, sha256(text) AS content_hash, CASE WHEN min(doc_id) OVER (PARTITION BY text) <> doc_id THEN min(doc_id) OVER (PARTITION BY text) END AS duplicate_of FROM documents")
+def _dedup(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), ids.content_hash(F.col("text")).alias("content_hash"))
+    return ingest.dedup_by_hash(docs).select("document_id", "content_hash", "duplicate_of")
+
+
+@query("s03_admission", """SELECT doc_id AS document_id, CASE WHEN source IN ('src1', 'src2') THEN 'unsupported type' WHEN n_chars > 5000 THEN 'too large' END AS reject_reason FROM documents""")
+def _admission(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mime = F.when(F.col("source").isin("src1", "src2"), "text/html").otherwise("application/pdf")
+    length = F.when(F.col("n_chars") > 5000, F.lit(ingest.MOST_BYTES + 1)).otherwise(F.col("n_chars"))
+    ok, bad = ingest.admit(docs.select(F.col("doc_id").alias("document_id"), mime.alias("mime"), length.alias("length")))
+    return ok.select("document_id", F.lit(None).cast("string").alias("reject_reason")).union(bad.select("document_id", "reject_reason"))
+
+
+@query("s05_storage_key", "SELECT khata_id AS document_id, concat(strftime(created_at, '%Y/%m/%d'), '/', CAST(khata_id AS VARCHAR), '.pdf') AS storage_key, concat(CAST(khata_id AS VARCHAR), '/page-1') AS preview_key FROM v_khata", ("v_khata", "v_parcels"))
+def _storage(spark, sf_dir):
+    return ingest.with_storage_key(load(spark, sf_dir, "v_khata")[0].withColumnRenamed("khata_id", "document_id")).select("document_id", "storage_key", "preview_key")
+
+
+@query("s06_csv_export", f"""WITH {REGISTER},
+ow AS (SELECT khata_id, string_agg(owner_name_vernacular, ' | ' ORDER BY pos) AS n, string_agg(CAST(share_percentage AS VARCHAR), ' | ' ORDER BY pos) AS s FROM v_owners GROUP BY 1)
+SELECT '' AS ulpin, rg.khata_number, p.khasra_number, coalesce(rg.village_code, '') AS village_code, coalesce(v.village_name, '') AS village_name, coalesce(v.tehsil, '') AS tehsil, coalesce(v.district, '') AS district, coalesce(v.state, '') AS state,
+  CAST(p.plot_area_sqm AS VARCHAR) AS plot_area_sqm, CAST(rg.total_area_sqm AS VARCHAR) AS khata_total_sqm, '' AS land_classification, coalesce(ow.n, '') AS owners, coalesce(ow.s, '') AS shares_pct, '' AS fasli_year, approval_status,
+  CAST(CAST(final_score AS DECIMAL(12,4)) AS VARCHAR) AS confidence_score
+FROM v_parcels p JOIN rg ON rg.khata_id = p.khata_id LEFT JOIN ow ON ow.khata_id = rg.khata_id LEFT JOIN v_villages v ON v.village_code = rg.village_code WHERE approval_status IN ('AUTO_APPROVED', 'MANUALLY_APPROVED')""", (*KPO, "v_villages"))
+def _csv(spark, sf_dir):
+    _, parcels, owners, _, reg = _register(spark, sf_dir)
+    return export.csv_rows(reg, parcels, owners, load(spark, sf_dir, "v_villages")[0])
+
+
+@query("s07_geojson_export", f"""WITH {REGISTER}
+SELECT p.khata_id, CAST(p.pos AS BIGINT) AS pos, p.lon, p.lat, p.khasra_number, rg.approval_status FROM v_parcels p JOIN rg ON rg.khata_id = p.khata_id WHERE approval_status IN ('AUTO_APPROVED', 'MANUALLY_APPROVED')""", KPO)
+def _geojson(spark, sf_dir):
+    """The features' own fields, read back from their JSON."""
+    _, parcels, owners, _, reg = _register(spark, sf_dir)
+    lines = export.geojson_lines(reg, parcels, owners, load(spark, sf_dir, "v_villages")[0])
+    at = lambda path, kind="string": F.get_json_object("feature", path).cast(kind)
+    return plain(lines.select("khata_id", "pos", at("$.geometry.coordinates[0]", "double").alias("lon"), at("$.geometry.coordinates[1]", "double").alias("lat"), at("$.properties.khasra_number").alias("khasra_number"), at("$.properties.approval_status").alias("approval_status")))
+
+
+@query("s08_export_view", "SELECT k.khata_id, v.village_name, v.district, p.khasra_number, CAST(p.plot_area_sqm AS DOUBLE) AS plot_area_sqm FROM v_khata k JOIN v_villages v ON v.village_code = k.village_code LEFT JOIN v_parcels p ON p.khata_id = k.khata_id", PKV)
+def _view(spark, sf_dir):
+    parcels, khata, villages = load(spark, sf_dir, *PKV)
+    return plain(export.export_view(khata, parcels, villages), "khata_id", "village_name", "district", "khasra_number", "plot_area_sqm")
+
+
+# ------------------------------------------------------------------ units
+
+ZONED = """zo AS (SELECT a.*, CASE WHEN v.state = 'Uttar Pradesh' THEN CASE WHEN upper(v.district) = 'MEERUT' THEN 'W' ELSE 'E' END ELSE upper(v.state) END AS z, CAST(CAST(p.plot_area_sqm AS INT) AS DECIMAL(18,0)) AS q
+  FROM v_area_text a JOIN v_parcels p ON p.khata_id = a.khata_id AND p.pos = a.pos LEFT JOIN v_villages v ON v.village_code = a.village_code),
+ar AS (SELECT khata_id, pos, z, CASE khata_id % 6 WHEN 0 THEN q * 10000 WHEN 1 THEN q * 101.17
+  WHEN 2 THEN CASE WHEN z = 'W' THEN q * 2529.3 WHEN z IN ('E', 'BIHAR', 'JHARKHAND') THEN q * 1618.7 END
+  WHEN 3 THEN coalesce(CASE WHEN z = 'W' THEN q * 2529.3 WHEN z IN ('E', 'BIHAR', 'JHARKHAND') THEN q * 1618.7 END, 0) + 1264.65
+  WHEN 4 THEN round_even(CAST(q * 4046.8564224 AS DECIMAL(24,7)) * CAST(0.25 AS DECIMAL(3,2)), 4) END AS sqm FROM zo)"""
+AREAS = ("v_area_text", "v_parcels", "v_khata", "v_villages")
+
+
+def _areas(spark, sf_dir) -> DataFrame:
+    rows, _, _, villages = load(spark, sf_dir, *AREAS)
+    rows = register.join_village(rows, villages.select("village_code", "state", "district"), "left")
+    zone = units.zone_for(F.col("state"), F.col("district"))
+    return rows.withColumn("zone", zone).withColumn("sqm", units.parse_area(F.col("declared_text"), F.col("zone")))
+
+
+@query("u05_u09_normalise_areas", f"WITH {ZONED} SELECT khata_id, CAST(pos AS BIGINT) AS pos, CAST(sqm AS DOUBLE) AS sqm FROM ar", AREAS)
+def _normalise(spark, sf_dir):
+    return plain(_areas(spark, sf_dir), "khata_id", "pos", "sqm")
+
+
+@query("u09_unresolved_units", f"WITH {ZONED} SELECT CASE WHEN khata_id % 6 = 5 THEN 'furlong' ELSE 'bigha' END AS unit, z AS zone, count(*) AS n FROM ar WHERE sqm IS NULL GROUP BY 1, 2".replace("z AS zone", "CASE z WHEN 'W' THEN 'UTTAR PRADESH:WEST' WHEN 'E' THEN 'UTTAR PRADESH:EAST' ELSE z END AS zone"), AREAS)
+def _unresolved(spark, sf_dir):
+    return _areas(spark, sf_dir).where("sqm is null").groupBy(F.regexp_extract("declared_text", r"([a-z]+)$", 1).alias("unit"), "zone").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u06_extract_areas", f"WITH {ZONED} SELECT khata_id, CAST(pos AS BIGINT) AS pos, CAST(sqm AS DOUBLE) AS sqm FROM ar", AREAS)
+def _cells(spark, sf_dir):
+    """Each cell as read twice in a row: the second reading must not count."""
+    rows = _areas(spark, sf_dir).withColumn("cell", F.concat_ws(" ", "declared_text", "declared_text"))
+    return plain(rows.withColumn("sqm", units.extract_area(F.col("cell"), F.col("zone"))), "khata_id", "pos", "sqm")
+
+
+@query("u07_u08_hectares_bands", "SELECT khata_id, CAST(round_even(CAST(total_area_sqm AS DECIMAL(18,4)) * CAST(0.0001 AS DECIMAL(5,4)), 4) AS DOUBLE) AS hectares, CASE WHEN ocr_confidence >= 0.85 THEN 'high' WHEN ocr_confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM v_khata", ("v_khata", "v_parcels"))
+def _bands(spark, sf_dir):
+    return plain(load(spark, sf_dir, "v_khata")[0].select("khata_id", units.hectares(F.col("total_area_sqm")).alias("hectares"), text.confidence_band("ocr_confidence").alias("band")))
+
+
+# ------------------------------------------------------------------ ledger
+
+CANONICAL = """concat('{"corrected":', coalesce('"' || CORRECTED || '"', 'null'), ',"field":"', FIELD, '","khata_id":"', CAST(KHATA AS VARCHAR), '","prev":"', PREV, '","raw":', coalesce('"' || RAW || '"', 'null'), ',"role":"', ROLE, '","ts":"', TS, '","user":"', USR, '"}')"""
+TS = "CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') END"
+
+
+def _canonical(prefix: str, prev: str, khata: str = "khata_id") -> str:
+    out = CANONICAL
+    for mark, name in (("CORRECTED", "corrected_value"), ("FIELD", "field_name"), ("RAW", "raw_value"), ("ROLE", "role"), ("TS", "ts_text"), ("USR", "modified_by_user_id")):
+        out = out.replace(mark, f"{prefix}{name}")
+    return out.replace("KHATA", khata).replace("PREV", prev)
+
+
+CHAIN = f"""en AS (SELECT khata_id, list(struct_pack(log_id := log_id, corrected_value := corrected_value, field_name := field_name, raw_value := raw_value, role := role, ts_text := {TS}, modified_by_user_id := modified_by_user_id) ORDER BY ts, log_id) AS entries FROM v_audit GROUP BY 1),
+ch AS (SELECT khata_id, len(entries) AS entries, list_reduce(list_transform(entries, lambda e: concat(CAST(e.log_id AS VARCHAR))), lambda a, b: b) AS last_id,
+  list_reduce(list_prepend('{'0' * 64}', list_transform(entries, lambda e: {_canonical('e.', "'@'")})), lambda a, x: sha256(replace(x, '"prev":"@"', concat('"prev":"', a, '"')))) AS head FROM en)"""
+
+
+def _chain(spark, sf_dir) -> DataFrame:
+    audit = load(spark, sf_dir, "v_audit")[0].withColumn("ts", F.col("ts").cast("timestamp"))
+    none = audit.limit(0).withColumns({"prev_hash": F.lit(""), "entry_hash": F.lit("")})
+    return ledger.append(none, audit)
+
+
+@query("k01_k03_append_ledger", f"WITH {CHAIN} SELECT khata_id, CAST(entries AS BIGINT) AS entries, head FROM ch", ("v_audit",))
+def _append(spark, sf_dir):
+    return ledger.heads(_chain(spark, sf_dir))
+
+
+@query("k02_verify_ledger", f"""WITH {CHAIN},
+br AS (SELECT khata_id, event_id FROM (SELECT user_id AS khata_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE event_id % 97 = 0) t WHERE nth = 1)
+SELECT ch.khata_id, CAST(entries AS BIGINT) AS entries_checked, br.event_id IS NULL AS intact, br.event_id AS broken_at FROM ch LEFT JOIN br ON br.khata_id = ch.khata_id""", ("v_audit",))
+def _verify(spark, sf_dir):
+    """Every 97th entry's value was changed after it was chained."""
+    forged = _chain(spark, sf_dir).withColumn("corrected_value", F.when(F.col("log_id") % 97 == 0, F.concat("corrected_value", F.lit("0"))).otherwise(F.col("corrected_value")))
+    return ledger.verify(forged).select("khata_id", "entries_checked", "intact", "broken_at")
+
+
+@query("w04_audit_tail", "SELECT khata_id, log_id, nth FROM (SELECT khata_id, log_id, row_number() OVER (PARTITION BY khata_id ORDER BY ts DESC, log_id DESC) AS nth FROM v_audit) t WHERE nth <= 100", ("v_audit",))
+def _tail(spark, sf_dir):
+    return plain(ledger.tail(load(spark, sf_dir, "v_audit")[0]), "khata_id", "log_id", "nth")
+
+
+@query("k04_append_only", "SELECT log_id, field_name FROM v_audit WHERE log_id % 101 = 0 OR log_id % 103 = 0", ("v_audit",))
+def _append_only(spark, sf_dir):
+    before = load(spark, sf_dir, "v_audit")[0].select("log_id", "field_name")
+    after = before.where("log_id % 101 <> 0").withColumn("field_name", F.when(F.col("log_id") % 103 == 0, F.lit("changed")).otherwise(F.col("field_name")))
+    return ledger.append_only_breaches(before, after)
+
+
+# ------------------------------------------------------------------ corrections
+
+CORR = ("v_parcels", "v_parcel_corr")
+MERGED = """ol AS (SELECT p.* FROM v_parcels p WHERE khata_id IN (SELECT khata_id FROM v_parcel_corr)),
+mg AS (SELECT coalesce(o.khata_id, c.khata_id) AS khata_id, coalesce(o.pos, c.pos) AS pos, CASE WHEN o.khata_id IS NOT NULL AND (c.khata_id IS NULL OR c.is_delete) THEN 'delete'
+    WHEN o.khata_id IS NOT NULL AND (o.khasra_number <> c.khasra_number OR o.plot_area_sqm <> c.plot_area_sqm) THEN 'update' WHEN o.khata_id IS NOT NULL THEN 'keep' WHEN NOT c.is_delete THEN 'insert' END AS action,
+    c.khasra_number, c.plot_area_sqm, o.khasra_number AS old_khasra_number, o.plot_area_sqm AS old_plot_area_sqm
+  FROM ol o FULL OUTER JOIN v_parcel_corr c ON c.khata_id = o.khata_id AND c.pos = o.pos)"""
+
+
+@query("c02_j06_merge_parcels", f"WITH {MERGED} SELECT khata_id, CAST(pos AS BIGINT) AS pos, action, khasra_number, CAST(plot_area_sqm AS DOUBLE) AS plot_area_sqm, CAST(old_plot_area_sqm AS DOUBLE) AS old_plot_area_sqm FROM mg WHERE action IS NOT NULL", CORR)
+def _merge(spark, sf_dir):
+    return plain(merge.merge_parcels(*load(spark, sf_dir, *CORR)), "khata_id", "pos", "action", "khasra_number", "plot_area_sqm", "old_plot_area_sqm")
+
+
+@query("c04_detail_changes", f"""WITH {MERGED}
+SELECT khata_id, CAST(pos AS BIGINT) AS pos, 'parcel.added' AS field_name, CAST(NULL AS VARCHAR) AS raw_value, khasra_number AS corrected_value FROM mg WHERE action = 'insert'
+UNION ALL SELECT khata_id, CAST(pos AS BIGINT), 'parcel.deleted', old_khasra_number, NULL FROM mg WHERE action = 'delete'
+UNION ALL SELECT khata_id, CAST(pos AS BIGINT), 'parcel.khasra_number', old_khasra_number, khasra_number FROM mg WHERE action = 'update' AND khasra_number <> old_khasra_number
+UNION ALL SELECT khata_id, CAST(pos AS BIGINT), 'parcel.plot_area_sqm', CAST(old_plot_area_sqm AS VARCHAR), CAST(plot_area_sqm AS VARCHAR) FROM mg WHERE action = 'update' AND plot_area_sqm <> old_plot_area_sqm""", CORR)
+def _changes(spark, sf_dir):
+    merged = merge.merge_parcels(*load(spark, sf_dir, *CORR))
+    return plain(merge.detail_changes(merged, "parcel", "khasra_number", {"khasra_number": "khasra_number", "plot_area_sqm": "plot_area_sqm"}))
+
+
+@query("j07_orphan_rows", "SELECT p.khata_id, CAST(p.pos AS BIGINT) AS pos FROM v_parcels p WHERE khata_id IN (SELECT khata_id FROM v_parcel_corr) AND NOT EXISTS (SELECT 1 FROM v_parcel_corr c WHERE c.khata_id = p.khata_id AND c.pos = p.pos)", CORR)
+def _unmentioned(spark, sf_dir):
+    return plain(merge.orphans(*load(spark, sf_dir, *CORR)), "khata_id", "pos")
+
+
+@query("c01_header_changes", """
+SELECT khata_id, 'khata_number' AS field_name, khata_number AS raw_value, concat('N', khata_number) AS corrected_value FROM v_khata WHERE khata_id % 4 = 0
+UNION ALL SELECT khata_id, 'total_area_sqm', CAST(total_area_sqm AS VARCHAR), CAST(CAST(total_area_sqm + 1 AS DECIMAL(12,4)) AS VARCHAR) FROM v_khata WHERE khata_id % 6 = 0""", ("v_khata", "v_parcels"))
+def _headers(spark, sf_dir):
+    old = load(spark, sf_dir, "v_khata")[0].withColumn("fasli_year", F.lit("1430"))
+    new = old.withColumns({"khata_number": F.when(F.col("khata_id") % 4 == 0, F.concat(F.lit("N"), "khata_number")).otherwise(F.col("khata_number")), "total_area_sqm": (F.col("total_area_sqm") + F.when(F.col("khata_id") % 6 == 0, 1).otherwise(0)).cast("decimal(12,4)")})
+    return merge.header_changes(old, new)
+
+
+REQUESTS = "CASE WHEN khata_id % 3 = 0 THEN 'TEHSILDAR' ELSE 'PATWARI' END"
+
+
+def _requests(khata: DataFrame) -> DataFrame:
+    return khata.where("khata_id % 2 = 0").select("khata_id", F.concat(F.lit("u"), (F.col("khata_id") % 9).cast("string")).alias("user"), F.when(F.col("khata_id") % 3 == 0, "TEHSILDAR").otherwise("PATWARI").alias("role"), (F.col("khata_id") % 5 < 2).alias("force_approve"), F.lit("checked").alias("reason"))
+
+
+@query("c05_c06_decide", f"""WITH {ROUTED}
+SELECT khata_id, CASE WHEN critical = 0 OR (khata_id % 5 < 2 AND {REQUESTS} = 'TEHSILDAR') THEN 'MANUALLY_APPROVED' ELSE 'PENDING' END AS decision, critical > 0 AND khata_id % 5 < 2 AND {REQUESTS} = 'TEHSILDAR' AS override FROM rt WHERE khata_id % 2 = 0""", KPO)
+def _decide(spark, sf_dir):
+    """Validated again as a reviewer's record: full trust in the reading, a layout of 0.9 at least."""
+    khata, parcels, owners = load(spark, sf_dir, *KPO)
+    checked = khata.withColumns({"ocr_confidence": F.lit(1.0), "layout_confidence": F.greatest("layout_confidence", F.lit(0.9))})
+    reported = rules.report(checked, rules.all_findings(checked, parcels, owners))
+    return merge.decide(reported, _requests(khata)).select("khata_id", "decision", "override")
+
+
+@query("c07_reject", f"WITH {ROUTED} SELECT khata_id, CASE WHEN committable THEN 'AUTO_APPROVED' ELSE 'PENDING' END AS raw_value, 'REJECTED' AS corrected_value, {REQUESTS} AS role FROM rt WHERE khata_id % 2 = 0", KPO)
+def _reject(spark, sf_dir):
+    khata, _, _, _, routed = _reported(spark, sf_dir)
+    return merge.reject(routed, _requests(khata))[1].select("khata_id", "raw_value", "corrected_value", "role")
+
+
+@query("c08_sync_documents", f"""WITH {ROUTED},
+de AS (SELECT CAST(khata_id // 4 AS BIGINT) AS document_id, bool_and(committable) AS ok FROM rt GROUP BY 1)
+SELECT o.document_id, CASE WHEN de.ok THEN 'COMMITTED' WHEN NOT de.ok THEN 'NEEDS_REVIEW' ELSE 'QUEUED' END AS status, CAST(CASE WHEN de.ok THEN 100 WHEN NOT de.ok THEN 90 ELSE 0 END AS BIGINT) AS progress_pct
+FROM (SELECT c_custkey AS document_id FROM customer) o LEFT JOIN de ON de.document_id = o.document_id""", KPO)
+def _sync(spark, sf_dir):
+    routed = _reported(spark, sf_dir)[4]
+    decisions = routed.select(F.floor(F.col("khata_id") / 4).cast("long").alias("document_id"), F.when(F.col("committable"), "MANUALLY_APPROVED").otherwise("PENDING").alias("decision"))
+    docs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("document_id"), F.lit("QUEUED").alias("status"), F.lit(0).alias("progress_pct"))
+    return plain(merge.sync_documents(docs, decisions), "document_id", "status", "progress_pct")
+
+
+@query("c09_record_diff", """
+SELECT coalesce(o.khata_id, n.khata_id) AS khata_id, CAST(coalesce(o.pos, n.pos) AS BIGINT) AS pos, CASE WHEN n.khata_id IS NULL THEN 'removed' WHEN o.khata_id IS NULL THEN 'added' ELSE 'changed' END AS change
+FROM (SELECT * FROM v_parcels WHERE khata_id % 3 = 0) o FULL OUTER JOIN (SELECT * FROM v_parcel_corr WHERE pos IS NOT NULL AND NOT is_delete) n ON n.khata_id = o.khata_id AND n.pos = o.pos
+WHERE n.khata_id IS NULL OR o.khata_id IS NULL OR o.khasra_number <> n.khasra_number OR abs(o.plot_area_sqm - n.plot_area_sqm) > 0.0001""", CORR)
+def _diff(spark, sf_dir):
+    parcels, corrections = load(spark, sf_dir, *CORR)
+    return plain(merge.record_diff(parcels.where("khata_id % 3 = 0"), corrections.where("pos is not null and not is_delete")), "khata_id", "pos", "change")
+
+
+@query("c10_decision_report", f"""WITH {ROUTED.strip()}, {MERGED},
+lg AS (SELECT khata_id, sum(CASE action WHEN 'keep' THEN 0 WHEN 'update' THEN (CASE WHEN khasra_number <> old_khasra_number THEN 1 ELSE 0 END) + (CASE WHEN plot_area_sqm <> old_plot_area_sqm THEN 1 ELSE 0 END) ELSE 1 END) AS n FROM mg WHERE action IS NOT NULL GROUP BY 1)
+SELECT rt.khata_id, critical = 0 OR (rt.khata_id % 5 < 2 AND rt.khata_id % 3 = 0) AS committed, CAST(coalesce(n, 0) AS BIGINT) AS audit_rows FROM rt LEFT JOIN lg ON lg.khata_id = rt.khata_id WHERE rt.khata_id % 2 = 0""", (*KPO, "v_parcel_corr"))
+def _decision_report(spark, sf_dir):
+    khata, _, _, _, routed = _reported(spark, sf_dir)
+    decisions = merge.decide(routed, _requests(khata))
+    merged = merge.merge_parcels(*load(spark, sf_dir, *CORR))
+    log = merge.detail_changes(merged, "parcel", "khasra_number", {"khasra_number": "khasra_number", "plot_area_sqm": "plot_area_sqm"})
+    return plain(merge.decision_report(decisions, log))
+
+
+@query("e08_w07_implied_shares", """
+SELECT khata_id, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN pos = 0 THEN 100 - CAST(round_even(CAST(100 AS DECIMAL(18,8)) / n, 2) AS DECIMAL(5,2)) * (n - 1) ELSE CAST(round_even(CAST(100 AS DECIMAL(18,8)) / n, 2) AS DECIMAL(5,2)) END AS DOUBLE) AS share_percentage
+FROM (SELECT khata_id, pos, count(*) OVER (PARTITION BY khata_id) AS n FROM v_owners) t""", ("v_owners", "v_parcels"))
+def _implied(spark, sf_dir):
+    owners = load(spark, sf_dir, "v_owners")[0].withColumn("share_percentage", F.lit(None).cast("decimal(5,2)"))
+    return plain(merge.implied_shares(owners), "khata_id", "pos", "share_percentage")
+
+
+@query("e09_split_evenly", """
+SELECT khata_id, CAST(pos AS BIGINT) AS pos, CASE WHEN pos = 0 THEN CASE n WHEN 1 THEN 100.0 WHEN 2 THEN 50.0 ELSE 33.34 END ELSE CASE n WHEN 2 THEN 50.0 ELSE 33.33 END END::DOUBLE AS share_percentage
+FROM (SELECT khata_id, pos, count(*) OVER (PARTITION BY khata_id) AS n FROM v_owners) t""", ("v_owners", "v_parcels"))
+def _even(spark, sf_dir):
+    return plain(merge.split_evenly(load(spark, sf_dir, "v_owners")[0]), "khata_id", "pos", "share_percentage")
+
+
+# ------------------------------------------------------------------ tokens
+
+TOK = ("v_tokens", "v_parcels")
+IOU = "CASE WHEN least(a.ymax, b.ymax) > greatest(a.ymin, b.ymin) AND least(a.xmax, b.xmax) > greatest(a.xmin, b.xmin) THEN CAST((least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) * (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) AS DOUBLE) / ((a.ymax - a.ymin) * (a.xmax - a.xmin) + (b.ymax - b.ymin) * (b.xmax - b.xmin) - (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) * (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin))) ELSE 0 END"
+
+
+@query("j09_e11_table_tokens", """
+WITH t AS (SELECT k.*, EXISTS (SELECT 1 FROM v_zones z WHERE z.kind = 'table' AND z.doc_id = k.doc_id AND z.page = k.page AND k.ymin >= z.ymin - 5 AND k.xmin >= z.xmin - 5 AND k.ymax <= z.ymax + 5 AND k.xmax <= z.xmax + 5) AS inside FROM v_tokens k)
+SELECT doc_id, CAST(tok AS BIGINT) AS tok FROM (SELECT *, bool_or(inside) OVER (PARTITION BY doc_id) AS anywhere FROM t) u WHERE inside OR NOT anywhere""", ("v_tokens", "v_zones", "v_parcels", "v_khata"))
+def _table_tokens(spark, sf_dir):
+    return plain(boxes.table_tokens(*load(spark, sf_dir, "v_tokens", "v_zones")), "doc_id", "tok")
+
+
+@query("j10_x09_overlap_pairs", f"SELECT a.doc_id, CAST(a.tok AS BIGINT) AS tok_a, CAST(b.tok AS BIGINT) AS tok_b, round({IOU}, 6) AS iou FROM v_tokens a JOIN v_tokens b ON a.doc_id = b.doc_id AND a.page = b.page AND a.tok < b.tok WHERE {IOU} > 0.2", TOK)
+def _overlaps(spark, sf_dir):
+    return plain(boxes.overlap_pairs(load(spark, sf_dir, "v_tokens")[0], 0.2), "doc_id", "tok_a", "tok_b", "iou")
+
+
+@query("e01_suppress_overlaps")
+def _suppress(spark, sf_dir):
+    return plain(boxes.suppress_overlaps(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "page", "tok", "confidence")
+
+
+@query("e03_suppress_capped")
+def _suppress_capped(spark, sf_dir):
+    return plain(boxes.suppress_overlaps(load(spark, sf_dir, "v_tokens")[0], 0.2, 4), "doc_id", "page", "tok", "confidence")
+
+
+@query("a07_a13_token_figures", "SELECT doc_id, coalesce(round(avg(CASE WHEN source = 'printed' THEN confidence END), 4), 0) AS ocr_confidence, CAST(greatest(8, floor(0.6 * median(ymax - ymin))) AS BIGINT) AS tolerance FROM v_tokens GROUP BY 1", TOK)
+def _figures(spark, sf_dir):
+    tokens = load(spark, sf_dir, "v_tokens")[0]
+    return plain(boxes.mean_ocr_confidence(tokens).join(boxes.row_tolerance(tokens), "doc_id"))
+
+
+@query("a08_layout_confidence", "SELECT doc_id, round(CAST(0.6 AS DOUBLE) * avg(CAST(confidence AS DOUBLE)) + CAST(0.4 AS DOUBLE) * count(DISTINCT kind) / 4.0, 4) AS layout_confidence FROM v_zones GROUP BY 1", ("v_zones", "v_khata", "v_parcels"))
+def _layout(spark, sf_dir):
+    zones = load(spark, sf_dir, "v_zones")[0].withColumn("confidence", F.col("confidence").cast("double"))
+    return boxes.layout_confidence(zones)
+
+
+@query("e13_cap_handwritten", "SELECT doc_id, CAST(tok AS BIGINT) AS tok, CASE WHEN source = 'handwritten' THEN least(confidence, 0.45) ELSE confidence END AS confidence FROM v_tokens", TOK)
+def _handwritten(spark, sf_dir):
+    return plain(boxes.cap_handwritten(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "tok", "confidence")
+
+
+def _marked_tokens(spark, sf_dir) -> DataFrame:
+    """English readings as Latin text, Hindi ones behind a Devanagari letter."""
+    return load(spark, sf_dir, "v_tokens")[0].withColumn("text", F.when(F.col("language") == "en", F.concat(F.lit("x"), "text")).otherwise(F.concat(F.lit("अ"), F.translate("text", "abcdefghijklmnopqrstuvwxyz", ""))))
+
+
+@query("e02_w08_drop_ghosts", """
+SELECT doc_id, CAST(tok AS BIGINT) AS tok FROM v_tokens WHERE language <> 'en'
+UNION ALL SELECT a.doc_id, CAST(a.tok AS BIGINT) FROM v_tokens a WHERE a.language = 'en' AND NOT EXISTS (SELECT 1 FROM v_tokens b WHERE b.language <> 'en' AND b.doc_id = a.doc_id AND b.page = a.page
+  AND b.xmin < a.xmax AND b.xmax > a.xmin AND CAST((least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) * (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) AS DOUBLE) / ((a.xmax - a.xmin) * (a.ymax - a.ymin)) >= 0.5 AND least(a.ymax, b.ymax) > greatest(a.ymin, b.ymin))""", TOK)
+def _ghosts(spark, sf_dir):
+    return plain(boxes.drop_ghosts(_marked_tokens(spark, sf_dir)), "doc_id", "tok")
+
+
+@query("t04_reading_order", "SELECT doc_id, CAST(tok AS BIGINT) AS tok FROM v_tokens", TOK)
+def _reading(spark, sf_dir):
+    return plain(boxes.reading_order(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "tok")
+
+
+@query("w09_e04_assemble_rows")
+def _rows(spark, sf_dir):
+    return plain(extract.assemble_rows(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "page", "line", "text", "ymin", "xmin", "ymax", "xmax", "conf_min", "conf_mean")
+
+
+def _records(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tokens, zones, khata, villages = load(spark, sf_dir, "v_tokens", "v_zones", "v_khata", "v_villages")
+    regions = register.join_village(khata.select("khata_id", "village_code"), villages, "left").select(F.col("khata_id").alias("doc_id"), units.zone_for(F.col("state"), F.col("district")).alias("zone"))
+    return extract.extract_records(tokens.where("language = 'hi'"), zones, regions)
+
+
+@query("e06_e12_extract_parcels")
+def _extract_parcels(spark, sf_dir):
+    return plain(_records(spark, sf_dir)[1], "doc_id", "page", "line", "khasra_number", "plot_area_sqm", "conf_khasra", "conf_area")
+
+
+@query("e05_e10_extract_headers")
+def _extract_headers(spark, sf_dir):
+    return plain(_records(spark, sf_dir)[0], "doc_id", "khata_number", "total_area_sqm", "total_area_source")

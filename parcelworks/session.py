@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def session(name: str = "parcelworks", master: str | None = None, shuffle_partitions: int | None = None, memory: str | None = None) -> SparkSession:
     """A session in UTC with adaptive execution. On a cluster leave ``master`` and sizes to spark-submit."""
-    build = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
+    build = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         build = build.master(master)
     if shuffle_partitions:
