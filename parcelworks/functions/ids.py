@@ -16,6 +16,11 @@ STATE_CODES = {
 LENGTH, PRECISION = 14, 11
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _cell(x: Column, low: float, width: float, bits: int) -> Column:
     """Number of the cell that ``x`` lies in when the range is halved ``bits`` times; a midpoint belongs to the lower half."""
     return F.greatest(F.ceil((x - low) / width * float(1 << bits)) - 1, F.lit(0)).cast("long")
@@ -24,46 +29,51 @@ def _cell(x: Column, low: float, width: float, bits: int) -> Column:
 def geohash(lat: Column, lon: Column, n: int = PRECISION) -> Column:
     """Geohash of ``n`` characters; null for a position out of range."""
     lon_bits, lat_bits = (5 * n + 1) // 2, 5 * n // 2
-    x, y = _cell(lon, -180.0, 360.0, lon_bits), _cell(lat, -90.0, 180.0, lat_bits)
 
-    def bit(b: int) -> Column:
-        of, at = (x, lon_bits - 1 - b // 2) if b % 2 == 0 else (y, lat_bits - 1 - b // 2)
-        return F.shiftright(of, at).bitwiseAND(F.lit(1))
+    def chars(cell: Column) -> Column:
+        def bit(b: int) -> Column:
+            of, at = (cell["x"], lon_bits - 1 - b // 2) if b % 2 == 0 else (cell["y"], lat_bits - 1 - b // 2)
+            return F.shiftright(of, at).bitwiseAND(F.lit(1))
+
+        def char(i: int) -> Column:
+            value = sum((bit(5 * i + t) * (1 << (4 - t)) for t in range(1, 5)), bit(5 * i) * 16)
+            return F.substr(F.lit(ALPHABET), (value + 1).cast("int"), F.lit(1))
 
-    def char(i: int) -> Column:
-        value = sum((bit(5 * i + t) * (1 << (4 - t)) for t in range(1, 5)), bit(5 * i) * 16)
-        return F.substr(F.lit(ALPHABET), (value + 1).cast("int"), F.lit(1))
+        return F.concat(*[char(i) for i in range(n)])
 
     inside = lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)
-    return F.when(inside, F.concat(*[char(i) for i in range(n)]))
+    cells = F.struct(_cell(lon, -180.0, 360.0, lon_bits).alias("x"), _cell(lat, -90.0, 180.0, lat_bits).alias("y"))
+    return F.when(inside, let(cells, chars))
 
 
 def geohash_centre(code: Column, n: int = PRECISION) -> tuple[Column, Column]:
     """Latitude and longitude of the centre of a cell; nulls if a character is not in the alphabet or the length is not n."""
     lon_bits, lat_bits = (5 * n + 1) // 2, 5 * n // 2
-    value = [(F.position(F.substr(code, F.lit(i + 1), F.lit(1)), F.lit(ALPHABET)) - 1).cast("long") for i in range(n)]
 
-    def gather(first: int, bits: int) -> Column:
-        out = F.lit(0).cast("long")
-        for k in range(bits):
-            b = 2 * k + first
-            out = out * 2 + F.shiftright(value[b // 5], 4 - b % 5).bitwiseAND(F.lit(1))
-        return out
+    def centre_of(c: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.position(F.substr(c, i, F.lit(1)), F.lit(ALPHABET)) - 1).cast("long"))
+        return let(places, lambda v: F.struct(gather(v, 1, lat_bits).alias("lat"), gather(v, 0, lon_bits).alias("lon")))
+
+    def gather(v: Column, first: int, bits: int) -> Column:
+        places = [2 * k + first for k in range(bits)]
+        return sum((F.shiftright(v[b // 5], 4 - b % 5).bitwiseAND(F.lit(1)) * (1 << (bits - 1 - k)) for k, b in enumerate(places)), F.lit(0).cast("long"))
+
+    found = let(code, lambda c: F.when(sound_of(c, n), centre_of(c)))
+    return (found["lat"] + 0.5) * (180.0 / (1 << lat_bits)) - 90.0, (found["lon"] + 0.5) * (360.0 / (1 << lon_bits)) - 180.0
 
-    sound = (F.length(code) == n) & code.rlike(f"^[{ALPHABET}]*$")
-    lat = (gather(1, lat_bits) + 0.5) * (180.0 / (1 << lat_bits)) - 90.0
-    lon = (gather(0, lon_bits) + 0.5) * (360.0 / (1 << lon_bits)) - 180.0
-    return F.when(sound, lat), F.when(sound, lon)
+
+def sound_of(code: Column, n: int) -> Column:
+    return (F.length(code) == n) & code.rlike(f"^[{ALPHABET}]*$")
 
 
 def check_character(payload: Column, n: int = LENGTH - 1) -> Column:
     """Check character of the first ``n`` characters: their values, weighted by position from 2 on, modulo 32."""
-    low = F.lower(payload)
-    total = F.lit(0)
-    for i in range(n):
-        c = F.substr(low, F.lit(i + 1), F.lit(1))
-        place = F.position(c, F.lit(ALPHABET))
-        total = total + F.when(place > 0, place - 1).otherwise(F.pmod(F.ascii(c) - 55, F.lit(32))) * (i + 2)
+
+    def term(low: Column, i: Column) -> Column:
+        c = F.substr(low, i, F.lit(1))
+        return let(F.position(c, F.lit(ALPHABET)), lambda place: F.when(place > 0, place - 1).otherwise(F.pmod(F.ascii(c) - 55, F.lit(32)))) * (i + 1)
+
+    total = let(F.lower(payload), lambda low: F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda acc, i: acc + term(low, i)))
     return F.substr(F.lit(ALPHABET), (total % 32 + 1).cast("int"), F.lit(1))
 
 
@@ -75,14 +85,17 @@ def state_code(state: Column) -> Column:
 def mint(lat: Column, lon: Column, state: Column) -> Column:
     """State code, geohash and check character in capitals; null without a valid position."""
     payload = F.concat(state_code(state), geohash(lat, lon))
-    return F.upper(F.concat(payload, check_character(payload)))
+    return let(payload, lambda p: F.upper(F.concat(p, check_character(p))))
 
 
 def is_valid(ulpin: Column) -> Column:
     """Length, characters and check character; false for null and empty."""
-    body = F.substr(ulpin, F.lit(1), F.lit(LENGTH - 1))
-    sound = (F.length(ulpin) == LENGTH) & body.rlike(r"^(?:[0-9]|\p{L})*$") & (F.lower(F.substr(ulpin, F.lit(LENGTH), F.lit(1))) == check_character(body))
-    return F.coalesce(sound, F.lit(False))
+
+    def sound(u: Column) -> Column:
+        body = F.substr(u, F.lit(1), F.lit(LENGTH - 1))
+        return (F.length(u) == LENGTH) & body.rlike(r"^(?:[0-9]|\p{L})*$") & (F.lower(F.substr(u, F.lit(LENGTH), F.lit(1))) == check_character(body))
+
+    return F.coalesce(let(ulpin, sound), F.lit(False))
 
 
 def centre(ulpin: Column) -> tuple[Column, Column, Column]:

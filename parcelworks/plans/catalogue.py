@@ -53,9 +53,9 @@ def _with_ulpin(parcels: DataFrame, khata: DataFrame, villages: DataFrame) -> Da
     """Minted ids, every fifth holding's without and every seventh's with a wrong check character."""
     state = register.join_village(khata.select("khata_id", "village_code"), villages.select("village_code", "state"), "left").select("khata_id", "state")
     rows = parcels.join(state, "khata_id", "left")
-    minted = ids.mint(F.col("lat"), F.col("lon"), F.col("state"))
-    wrong = F.concat(F.substr(minted, F.lit(1), F.lit(13)), F.when(F.substr(minted, F.lit(14), F.lit(1)) == "0", "1").otherwise("0"))
-    return rows.withColumn("ulpin", F.when(F.col("khata_id") % 5 == 0, None).when(F.col("khata_id") % 7 == 0, wrong).otherwise(minted))
+    rows = rows.withColumn("minted", ids.mint(F.col("lat"), F.col("lon"), F.col("state")))
+    wrong = F.concat(F.substr("minted", F.lit(1), F.lit(13)), F.when(F.substr("minted", F.lit(14), F.lit(1)) == "0", "1").otherwise("0"))
+    return rows.withColumn("ulpin", F.when(F.col("khata_id") % 5 == 0, None).when(F.col("khata_id") % 7 == 0, wrong).otherwise(F.col("minted"))).drop("minted")
 
 
 def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
