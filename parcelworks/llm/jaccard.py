@@ -130,7 +130,7 @@ def _verify(num: int, den: int, links: bool):
 def _links(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, num: int, den: int, links: bool) -> tuple[np.ndarray, np.ndarray]:
     """Component label of each set (sorted by size) and the weight of the sets it is linked with (or 1 if ``links`` is false).
 
-    Two sides mean that only pairs across them are compared. The bitmap has a bit per hash bucket that each shingle
+    Sides 0 and 1 mean that only pairs across them are compared; a side of -1 is a cell against itself. The bitmap has a bit per hash bucket that each shingle
     toggles: the bits in which two bitmaps differ are at most the shingles in which the sets differ, which bounds the
     overlap from above. Pairs that pass are intersected exactly; without ``links`` pairs already connected are left out.
     """
@@ -147,7 +147,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, num: in
     starts = np.cumsum(sizes) - sizes
     mark = np.zeros(int(local.max()) + 1, np.int32)
     root, count = np.arange(n), np.zeros(n, np.int64)
-    crossing = bool((side != side[0]).any())
+    crossing = side[0] >= 0
     for i in range(n - 1):
         last = int(np.searchsorted(sizes, sizes[i] * den // num, side="right"))
         j = np.arange(i + 1, last)
@@ -222,14 +222,14 @@ def join_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, link
     over = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     own = salt(here).cast("int")
     tiles = F.concat(
-        F.transform(over(here), lambda t: to(F.col("band"), F.least(own, t), F.col("band"), F.greatest(own, t), own > t)),
+        F.transform(over(here), lambda t: to(F.col("band"), F.least(own, t), F.col("band"), F.greatest(own, t), F.when(own == t, -1).otherwise((own > t).cast("int")))),
         F.transform(over(up), lambda t: to(F.col("band"), own, F.col("band") + 1, t, F.lit(0))),
         F.transform(over(down), lambda t: to(F.col("band") - 1, t, F.col("band"), own, F.lit(1))),
     )
     # A block that fits one cell is one tile, and small blocks are dealt many to a group.
     total = chosen.agg(F.sum("total")).first()[0] or 0
     packs = max(1, math.ceil(total / CELL_SHINGLES))
-    whole = F.array(F.struct(F.concat(F.lit("pack "), F.pmod(F.xxhash64("block"), F.lit(packs)).cast("string")).alias("tile"), F.lit(0).alias("side")))
+    whole = F.array(F.struct(F.concat(F.lit("pack "), F.pmod(F.xxhash64("block"), F.lit(packs)).cast("string")).alias("tile"), F.lit(-1).alias("side")))
     small = F.col("total") <= CELL_SHINGLES
     wanted = chosen.select("class_id", "block", "copies", F.when(small, whole).otherwise(tiles).alias("tiles"))
     if few(chosen, BROADCAST_ROWS):
