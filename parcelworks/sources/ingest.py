@@ -23,7 +23,8 @@ def load_register_jdbc(spark: SparkSession, url: str, properties: dict, names: t
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, modified, mime, content_hash of every file below ``path``."""
+    """path, length, modified, mime, content_hash of every file below ``path`` (S2). Spark's file sources list no
+    empty files; rejects for emptiness come from manifests made elsewhere."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return manifest(files)
 

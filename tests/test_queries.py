@@ -73,7 +73,9 @@ def test_files_and_streams(spark, tmp_path):
     for name, content in (("a.pdf", b"one"), ("b.pdf", b"one"), ("c.png", b"two"), ("d.txt", b"no"), ("e.pdf", b"")):
         (folder / name).write_bytes(content)
     ok, bad = ingest.admit(ingest.scan_manifest(spark, str(folder)))
-    assert ok.count() == 3 and {r.reject_reason for r in bad.collect()} == {"unsupported type", "empty"}
+    assert ok.count() == 3 and {r.reject_reason for r in bad.collect()} == {"unsupported type"}  # Spark lists no empty files
+    listed = spark.createDataFrame([("x", 0, "image/png"), ("y", ingest.MOST_BYTES + 1, "image/png"), ("z", 1, None)], "path string, length long, mime string")
+    assert {r.path: r.reject_reason for r in ingest.admit(listed)[1].collect()} == {"x": "empty", "y": "too large", "z": "unsupported type"}
     seen: list = []
     jobs.write_batches(jobs.stream_ingest(spark, str(folder)), lambda batch, n: seen.extend(r.content_hash for r in batch.collect()), str(tmp_path / "c1"), available_now=True).awaitTermination()
     assert len(seen) == len(set(seen)) == 2
