@@ -96,4 +96,18 @@ s AS (
   WHERE q.vec_id % 50 = 0 GROUP BY ALL),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5""",
+    "op2_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, o = c.n AND o = d.n AS same FROM p JOIN n c ON c.doc_id = x JOIN n d ON d.doc_id = y WHERE 100 * o >= 90 * (c.n + d.n - o)),
+e AS (SELECT x, y, same FROM l UNION ALL SELECT y, x, same FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1),
+k AS (SELECT x AS doc_id, count(*) AS links, count(*) FILTER (WHERE same) AS same FROM e GROUP BY 1)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, CAST(1 + coalesce(k.same, 0) AS BIGINT) AS copies, CAST(coalesce(k.links, 0) AS BIGINT) AS n_links
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id LEFT JOIN k ON k.doc_id = c.doc_id""",
 }
