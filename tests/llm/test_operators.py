@@ -66,6 +66,7 @@ def test_top_k(spark):
 @pytest.mark.parametrize(("k", "num", "cell"), [(3, 90, 1 << 20), (5, 80, 60)])
 def test_jaccard(spark, texts, monkeypatch, k, num, cell):
     monkeypatch.setattr(jaccard, "CELL_SHINGLES", cell)
+    monkeypatch.setattr(jaccard, "CELL_BYTES", 1 << 22 if cell > 60 else 600)
     found = {r.doc_id: r for r in jaccard.join_groups(frame(spark, [*texts, (0, texts[0][1])]), k, num, 100, links=True).collect()}
     sets = {}
     for i, t in texts:
