@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parcelworks.functions.text import let
+
 # The geohash alphabet, and two-letter state codes.
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 STATE_CODES = {
@@ -16,11 +18,6 @@ STATE_CODES = {
 LENGTH, PRECISION = 14, 11
 
 
-def let(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _cell(x: Column, low: float, width: float, bits: int) -> Column:
     """Number of the cell that ``x`` lies in when the range is halved ``bits`` times; a midpoint belongs to the lower half."""
     return F.greatest(F.ceil((x - low) / width * float(1 << bits)) - 1, F.lit(0)).cast("long")

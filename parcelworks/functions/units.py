@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelworks.functions.text import normalise_digits, strip
+from parcelworks.functions.text import let, normalise_digits, strip
 
 # Unit, square metres, aliases, regions (zones; * is any), authority.
 UNITS = (
@@ -52,11 +52,14 @@ def zone_for(state: Column, district: Column) -> Column:
 
 def resolve_unit(unit: Column, zone: Column) -> Column:
     """struct(key, sqm, error): one candidate is taken whatever the region, of several the first whose scope has the zone."""
+
+    def chosen(c: Column) -> Column:
+        fit = F.when(F.size(c["found"]) == 1, c["found"][0]).when(F.size(c["found"]) > 1, F.get(F.filter(c["found"], lambda u: F.array_contains(u["zones"], zone)), F.lit(0)))
+        error = F.when(c["token"] == "", "empty").when(c["found"].isNull(), "unknown")
+        return let(fit, lambda u: F.struct(u["key"].alias("key"), u["sqm"].alias("sqm"), F.coalesce(error, F.when(u.isNull(), "region-dependent")).alias("error")))
+
     token = F.regexp_replace(F.lower(strip(normalise_digits(F.coalesce(unit, F.lit(""))))), r"\.+$", "")
-    found = F.element_at(_catalogue(), token)
-    fit = F.when(F.size(found) == 1, found[0]).when(F.size(found) > 1, F.get(F.filter(found, lambda u: F.array_contains(u["zones"], zone)), F.lit(0)))
-    error = F.when(token == "", "empty").when(found.isNull(), "unknown").when(fit.isNull(), "region-dependent")
-    return F.struct(fit["key"].alias("key"), fit["sqm"].alias("sqm"), error.alias("error"))
+    return let(let(token, lambda t: F.struct(t.alias("token"), F.element_at(_catalogue(), t).alias("found"))), chosen)
 
 
 def to_sqm(value: Column, factor: Column) -> Column:
@@ -75,8 +78,8 @@ def parse_area(text: Column, zone: Column) -> Column:
     clean = normalise_digits(text)
     parts = F.arrays_zip(F.regexp_extract_all(clean, F.lit(AREA), 1).alias("value"), F.regexp_extract_all(clean, F.lit(AREA), 3).alias("unit"))
     areas = F.filter(F.transform(parts, lambda p: to_sqm(p["value"], resolve_unit(p["unit"], zone)["sqm"])), lambda a: a.isNotNull())
-    total = F.aggregate(areas, F.lit(0).cast(AREA_TYPE), lambda acc, a: (acc + a).cast(AREA_TYPE))
-    return F.when(F.size(areas) > 0, total)
+    total = lambda found: F.when(F.size(found) > 0, F.aggregate(found, F.lit(0).cast(AREA_TYPE), lambda acc, a: (acc + a).cast(AREA_TYPE)))
+    return let(areas, total)
 
 
 def suspect_number(text: Column) -> Column:
@@ -89,28 +92,33 @@ def extract_area(text: Column, zone: Column) -> Column:
     until a unit comes again or more than 3 characters lie between; a unit of two words is retried by its first word."""
     clean = F.regexp_replace(normalise_digits(text), r"(?<![A-Za-z])[Oo](?=[.,]?\d)", "0")
     marked = F.split(F.regexp_replace(clean, AREA, "\x01$1\x02$2\x03$3\x04"), "\x01")
-    pieces = F.transform(marked, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
+    cut = lambda c, mark, i: F.split_part(c, F.lit(mark), F.lit(i))
+
+    def piece(m: Column) -> Column:
+        """A reading (none before the first mark): its unit and area, its length and that of what follows it."""
+        rest, tail = cut(m, "\x02", 2), cut(m, "\x03", 2)
+        return F.struct(cut(m, "\x02", 1).alias("value"), F.length(cut(rest, "\x03", 1)).alias("space"), cut(tail, "\x04", 1).alias("unit"), F.length(cut(tail, "\x04", 2)).alias("after"))
+
+    def resolved(p: Column) -> Column:
+        both, one = resolve_unit(p["unit"], zone), resolve_unit(F.regexp_extract(p["unit"], r"^(?U)(\S+)", 1), zone)
+        unit = let(both, lambda u: F.when(u["key"].isNotNull(), u).otherwise(one))
+        length = F.length(p["value"]) + p["space"] + F.length(p["unit"])
+        return let(unit, lambda u: F.struct(u["key"].alias("key"), to_sqm(p["value"], u["sqm"]).alias("sqm"), length.alias("length"), p["after"].alias("after")))
+
+    pieces = F.transform(F.transform(marked, piece), resolved)
     state = F.struct(F.lit(0).cast(AREA_TYPE).alias("total"), F.array().cast("array<string>").alias("units"), F.lit(0).alias("gap"), F.lit(False).alias("done"))
 
     def step(acc: Column, p: Column) -> Column:
-        cut = lambda c, mark, i: F.split_part(c, F.lit(mark), F.lit(i))
-        value, rest = cut(p["m"], "\x02", 1), cut(p["m"], "\x02", 2)
-        space, tail = cut(rest, "\x03", 1), cut(rest, "\x03", 2)
-        unit, after = cut(tail, "\x04", 1), cut(tail, "\x04", 2)
-        both, one = resolve_unit(unit, zone), resolve_unit(F.regexp_extract(unit, r"^(?U)(\S+)", 1), zone)
-        key, sqm = F.coalesce(both["key"], one["key"]), to_sqm(value, F.coalesce(both["sqm"], one["sqm"]))
-        length = F.length(value) + F.length(space) + F.length(unit)
-        stop = acc["done"] | (sqm.isNotNull() & (F.size(acc["units"]) > 0) & (F.array_contains(acc["units"], key) | (acc["gap"] > 3)))
-        taken = sqm.isNotNull() & ~stop
-        return F.when(
-            p["i"] == 0, F.struct(acc["total"].alias("total"), acc["units"].alias("units"), F.length(p["m"]).alias("gap"), acc["done"].alias("done"))
-        ).otherwise(
-            F.struct(
-                F.when(taken, acc["total"] + sqm).otherwise(acc["total"]).cast(AREA_TYPE).alias("total"),
-                F.when(taken, F.concat(acc["units"], F.array(key))).otherwise(acc["units"]).alias("units"),
-                F.when(taken, F.length(after)).otherwise(acc["gap"] + length + F.length(after)).alias("gap"),
-                F.coalesce(stop, F.lit(False)).alias("done"),
-            )
+        readable = p["sqm"].isNotNull()
+        stop = acc["done"] | F.coalesce(readable & (F.size(acc["units"]) > 0) & (F.array_contains(acc["units"], p["key"]) | (acc["gap"] > 3)), F.lit(False))
+        return let(
+            F.struct(stop.alias("stop"), (readable & ~stop).alias("taken")),
+            lambda s: F.struct(
+                F.when(s["taken"], acc["total"] + p["sqm"]).otherwise(acc["total"]).cast(AREA_TYPE).alias("total"),
+                F.when(s["taken"], F.concat(acc["units"], F.array(p["key"]))).otherwise(acc["units"]).alias("units"),
+                F.when(s["taken"], p["after"]).otherwise(acc["gap"] + p["length"] + p["after"]).alias("gap"),
+                s["stop"].alias("done"),
+            ),
         )
 
     return F.aggregate(pieces, state, step, lambda acc: F.when(F.size(acc["units"]) > 0, acc["total"]))
