@@ -87,10 +87,8 @@ def queue_items(reported: DataFrame, villages: DataFrame) -> DataFrame:
     """Pending holdings as the queue shows them: critical count, first critical or else first message, parcels, village.
 
     ``reported`` has finding_list (array of struct in rule order) and parcels."""
-    listed = F.coalesce("finding_list", F.array().cast("array<struct<severity:string,message:string>>"))
     severe = F.filter("finding_list", lambda f: f["severity"] == "CRITICAL")
     rows = by_review_state(reported, "pending").withColumns({"critical_count": F.coalesce(F.size(severe), F.lit(0)), "headline": F.coalesce(F.get(severe, F.lit(0))["message"], F.get("finding_list", F.lit(0))["message"])})
-    del listed
     return join_village(rows, villages).select("khata_id", "khata_number", "village_code", "village_name", "final_score", "critical_count", "headline", "parcels")
 
 
