@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,16 +15,16 @@ from pyspark.sql import functions as F
 
 from parcelworks.llm.common import Hashes, mix, save, tune, words_of
 
-#: Words of which at least one in 2**HEAD tokens is, are looked up in memory: at most 2**HEAD words, whatever the corpus.
-#: The counts of all other words come by a join. The same bound holds for the head of the pairs.
+#: Words and n-grams of which at least one in 2**HEAD tokens is, are looked up in memory: at most 2**HEAD of each order,
+#: whatever the corpus. Those of all others come by a join.
 HEAD = 22
-#: A pair is modelled if both its words are at least one in 2**FREQUENT tokens (so at most 2**FREQUENT words have pairs)
-#: and it occurs at least CUTOFF times; anything else is predicted by backing off.
-FREQUENT, CUTOFF = 17, 2
+#: An n-gram is modelled if all its words are at least one in 2**FREQUENT tokens and it occurs at least CUTOFF times: as
+#: set here that is every n-gram of the training texts. Anything else is predicted by backing off.
+FREQUENT, CUTOFF = math.inf, 1
 #: Counts up to this are discounted by Good-Turing.
 K = 5
 
-START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))  # no word holds a space
+START, END, OTHER = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end", b" other"))  # no word holds a space
 
 
 def discounts(n: dict[int, int]) -> list[float]:
@@ -40,15 +41,15 @@ def discounts(n: dict[int, int]) -> list[float]:
 
 @dataclass
 class Head:
-    """What tasks hold in memory: sorted word hashes with their counts and log weights, and sorted pair hashes with theirs."""
+    """What tasks hold in memory: sorted word hashes with their counts and weights, and sorted n-gram hashes with theirs."""
 
     words: np.ndarray
     counts: np.ndarray
-    log_p: np.ndarray  # log10 of the word's probability
-    alpha: np.ndarray  # log10 of the backoff weight behind the word; 0 where no pair is modelled
-    pairs: np.ndarray
-    bonus: np.ndarray  # log10 P(w2 | w1) - log10 alpha(w1) - log10 P(w2)
+    weights: np.ndarray  # log10 of the word's probability, plus log10 of the backoff weight behind it
+    grams: np.ndarray
+    bonus: np.ndarray  # what an n-gram adds to the words' weights: see Model
     start_alpha: float
+    order: int
     tokens: int
     vocabulary: int
 
@@ -106,104 +107,138 @@ def _count_batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
 
-def _pair_counts(frequent: np.ndarray):
-    """Counts of pairs of frequent words, keyed by the places of the two in ``frequent``."""
+def _grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 2 on: the places in ``tokens`` that end an n-gram, the hashes of its first and of its last n - 1
+    words. START counts as a word before each text."""
+    within = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at, before, last = np.arange(len(tokens)), _before(tokens, sizes), tokens
+    for k in range(2, order + 1):
+        yield at, before, last
+        whole, longer = _pair(before, last), within[at] >= k - 1  # of these the n-gram one place before is in the text too
+        at, before, last = at[longer], np.append(np.uint64(0), whole[:-1])[longer], whole[longer]
+
+
+def _gram_counts(order: int, frequent: np.ndarray | None):
+    """Counts of n-grams of one order by the hashes of their first and of their last n - 1 words. Where not all words are
+    modelled (``frequent``), what follows a modelled context is OTHER."""
+
+    def flush(held: list) -> pa.RecordBatch:
+        before, last = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at, counts = np.unique(_pair(before, last), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(last[at].view(np.int64)), pa.array(counts.astype(np.int64))], names=["before", "last", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = Hashes(), []
         for batch in batches:
             tokens, sizes = _tokens(batch.column(0).to_pylist(), hashes)
-            at, there = _find(frequent, tokens)
-            start, _ = _find(frequent, np.array([START], np.uint64))
-            before = np.empty_like(at)
-            before[1:], known = at[:-1], np.append(False, there[:-1])
-            first = np.cumsum(sizes) - sizes
-            before[first], known[first] = start[0], True
-            held.append((before * len(frequent) + at)[there & known])
-            if sum(map(len, held)) > 2_000_000:
-                yield _count_batch(*_counted(np.concatenate(held)))
+            if not len(tokens):
+                continue
+            *_, (at, before, last) = _grams(tokens, sizes, order)
+            if frequent is not None:
+                known = _find(frequent, tokens)[1]
+                first = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                context = np.ones(len(at), bool)
+                for back in range(1, order):
+                    context &= (first[at] < back) | known[at - np.minimum(back, at)]
+                before, last = before[context], np.where(known[at], last, np.uint64(OTHER))[context]
+            held.append((before, last))
+            if sum(len(x) for x, _ in held) > 2_000_000:
+                yield flush(held)
                 held = []
         if held:
-            yield _count_batch(*_counted(np.concatenate(held)))
+            yield flush(held)
 
     return run
 
 
 class Model:
-    """A trained model: ``words`` (key, n, log_p) and ``pairs`` (key, n, bonus) are tables in the shared folder, divided
-    into partitions by key; the head of each is held in memory, with a bound that does not depend on the corpus.
-
-    With c counts and d discounts: P(w) = d c(w) / N for a known word; what is left goes to one unknown word. Of a pair
-    that is modelled P(w2 | w1) = d c(w1 w2) / c(w1), and else alpha(w1) P(w2), where alpha(w1) = (1 - sum of the pairs'
-    probabilities) / (1 - sum of P(w2) over them); so each context's probabilities sum to 1.
+    """A trained model of n-grams up to ``order``: ``words`` (key, n, weight) and ``grams`` (key, n, weight) are tables in
+    the shared folder; the head of each is held in memory, with a bound that does not depend on the corpus.
+
+    With c counts and d discounts: P(w) = d c(w) / N for a known word; what is left goes to one unknown word. Of an n-gram
+    that is modelled P(w | h) = d c(h w) / c(h), and else alpha(h) P(w | h'), where h' is h without its first word and
+    alpha(h) = (1 - sum of the n-grams' probabilities) / (1 - sum of P(w | h') over them); so each context's probabilities
+    sum to 1. The last n - 1 words of a modelled n-gram are modelled as well. So the log of a text's probability is a sum
+    of weights over its words and n-grams: log P(w | h) - log alpha(h) - log P(w | h'), plus log alpha(h w) for the token
+    after it.
     """
 
-    def __init__(self, texts: DataFrame, partitions: int | None = None):
+    def __init__(self, texts: DataFrame, partitions: int | None = None, order: int = 2):
         """``texts``: one string column; null texts count as empty."""
         tune(texts.sparkSession)
         source = texts.toDF("text")
         counts = save(source.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "word_counts")
-        total, vocabulary, documents = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("key") == _signed(END), F.col("n")))).first()
-        self.tokens, self.vocabulary, documents = total or 0, vocabulary, documents or 0
-        self.log_unknown, words = self._unigrams(counts)
+        total, vocabulary = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+        self.tokens, self.vocabulary, self.order = total or 0, vocabulary, order
+        self.log_unknown, lower = self._unigrams(counts)
+        frequent = None
+        if FREQUENT < math.inf:
+            frequent = np.sort(counts.where(F.col("n") >= self.tokens / 2**FREQUENT).select("key").toArrow().column(0).to_numpy().view(np.uint64))
+        levels, start = [], 0.0
+        for k in range(2, order + 1):
+            upper, alpha = self._level(source, k, lower, frequent)
+            if k == 2:
+                start = next((r.alpha for r in alpha.where(F.col("key") == _signed(START)).collect()), 0.0)
+            levels.append(self._weights(lower, alpha))
+            lower = upper
+        words, *grams = [*levels, lower.select("key", "n", F.col("bonus").alias("weight"))]
         self.words = save(words, "words")
-        self.head = self._head(documents, source)
+        self.grams = None
+        for k, level in enumerate(grams, 2):
+            level = save(level, f"grams{k}")
+            self.grams = self.grams.union(level) if self.grams is not None else level
+        least = self.tokens / 2**HEAD
+        keys, counts, weights = _sorted(self.words.where(F.col("n") >= least).select("key", "n", "weight"))
+        often, bonus = _sorted(self.grams.where(F.col("n") >= least).select("key", "weight")) if grams else (np.empty(0, np.uint64), np.empty(0))
+        self.head = Head(keys, counts, weights, often, bonus, start, order, self.tokens, self.vocabulary)
 
     def _unigrams(self, counts: DataFrame) -> tuple[float, DataFrame]:
-        n = {r.n: r.c for r in counts.where(F.col("n") <= K + 1).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-        d = discounts(n)
+        d, n = _discounts_of(counts)
         kept = sum(n.get(r, 0) * r * d[r] for r in range(1, K + 1)) + self.tokens - sum(n.get(r, 0) * r for r in range(1, K + 1))
         left = self.tokens - kept  # what the unknown word gets, of N
         scale = 1.0
         if left <= 0:  # nothing was discounted: make room for one token
             scale, left = self.tokens / (self.tokens + 1), self.tokens / (self.tokens + 1)
-        by_count = F.element_at(F.array(*[F.lit(d[r] * scale) for r in range(1, K + 1)]), F.least(F.col("n"), F.lit(K)).cast("int"))
-        p = F.when(F.col("n") <= K, by_count).otherwise(F.lit(scale)) * F.col("n") / F.lit(float(max(self.tokens, 1)))
-        return (float(np.log10(left / self.tokens)) if self.tokens else 0.0), counts.select("key", "n", F.log10(p).alias("log_p"))
+        p = _discounted(d) * F.lit(scale) / F.lit(float(max(self.tokens, 1)))
+        return (float(np.log10(left / self.tokens)) if self.tokens else 0.0), counts.select("key", "n", F.log10(p).alias("log_p")).withColumn("bonus", F.col("log_p"))
 
-    def _head(self, documents: int, source: DataFrame) -> Head:
-        least = self.tokens / 2**HEAD
-        words, counts, log_p = _sorted(self.words.where(F.col("n") >= least).select("key", "n", "log_p"))
-        often = counts >= self.tokens / 2**FREQUENT
-        frequent = np.sort(np.append(words[often], np.uint64(START)))
-        self.pairs, alpha = self._pairs(source, frequent, words, counts, log_p, documents)
-        pairs, bonus = _sorted(self.pairs.where(F.col("n") >= least).select("key", "bonus"))
-        at, there = _find(frequent, words)
-        start = float(alpha[np.searchsorted(frequent, np.uint64(START))])
-        return Head(words, counts, log_p, np.where(there, alpha[at], 0.0), pairs, bonus, start, self.tokens, self.vocabulary)
-
-    def _pairs(self, source, frequent, words, counts, log_p, documents):
-        spark = source.sparkSession
-        size = len(frequent)
-        found = save(source.mapInArrow(_pair_counts(frequent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pair_counts")
-        d = discounts({r.n: r.c for r in found.where(F.col("n") <= K + 1).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()})
-        # the frequent words' own figures: a table of at most 2**FREQUENT + 1 rows
-        at, _ = _find(words, frequent)
-        own = frequent == np.uint64(START)
-        context = np.where(own, max(documents, 1), counts[at] if len(words) else 1)
-        logs = np.where(own, 0.0, log_p[at] if len(words) else 0.0)
-        table = spark.createDataFrame(pa.table({"at": np.arange(size), "hash": frequent.view(np.int64), "c": context.astype(np.int64), "log_p": logs}))
-        one = F.broadcast(table.select(F.col("at").alias("a"), F.col("hash").alias("h1"), F.col("c").alias("c1")))
-        two = F.broadcast(table.select(F.col("at").alias("b"), F.col("hash").alias("h2"), F.col("log_p").alias("log_p2")))
-        by_count = F.element_at(F.array(*[F.lit(d[r]) for r in range(1, K + 1)]), F.least(F.col("n"), F.lit(K)).cast("int"))
-        kept = found.where(F.col("n") >= CUTOFF).select(F.floor(F.col("key") / F.lit(size)).alias("a"), (F.col("key") % F.lit(size)).alias("b"), "n", F.when(F.col("n") <= K, by_count).otherwise(F.lit(1.0)).alias("d"))
-        kept = save(kept.join(one, "a").join(two, "b").select("a", "h1", "h2", "n", (F.col("d") * F.col("n") / F.col("c1")).alias("p"), "c1", "log_p2"), "pairs_kept")
-        sums = kept.groupBy("a").agg(F.sum("p").alias("p"), F.sum(F.pow(F.lit(10.0), "log_p2")).alias("q"), F.first("c1").alias("c1")).toArrow()  # a row for each frequent word at most
-        alpha, scale = np.zeros(size), np.ones(size)
-        a, p, q, c1 = (sums.column(c).to_numpy() for c in ("a", "p", "q", "c1"))
-        most = c1 / (c1 + 1.0)  # leave at least the weight of one more token for backing off
-        scale[a] = np.minimum(1.0, most / np.maximum(p, 1e-300))
-        alpha[a] = np.log10((1 - p * scale[a]) / np.maximum(1 - q, 1e-12))
-        weights = F.broadcast(spark.createDataFrame(pa.table({"a": np.arange(size), "alpha": alpha, "scale": scale})))
-        bonus = F.log10(F.col("p") * F.col("scale")) - F.col("alpha") - F.col("log_p2")
-        pairs = kept.join(weights, "a").select("h1", "h2", "n", bonus.alias("bonus"))
-        return save(pairs.mapInArrow(_keyed, "key long, n long, bonus double"), "pairs"), alpha
+    def _level(self, source: DataFrame, k: int, lower: DataFrame, frequent: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
+        """The n-grams of order ``k`` (key, n, log_p, bonus), and the backoff weights of their contexts (key, alpha).
+
+        A context's count is the sum over what follows it. Nothing is held by context or word in a task or on the driver.
+        """
+        found = save(source.mapInArrow(_gram_counts(k, frequent), "before long, last long, n long").groupBy("before", "last").agg(F.sum("n").alias("n")), f"counts{k}")
+        d, _ = _discounts_of(found.where(F.col("last") != _signed(OTHER)))
+        modelled = (F.col("last") != _signed(OTHER)) & (F.col("n") >= CUTOFF)
+        met = save(found.where(modelled).join(lower.select(F.col("key").alias("last"), F.col("log_p").alias("log_q")), "last"), f"met{k}")
+        sums = found.groupBy("before").agg(F.sum("n").alias("c"))
+        kept = met.groupBy("before").agg(F.sum(_discounted(d)).alias("p"), F.sum(F.pow(F.lit(10.0), "log_q")).alias("q"))
+        c = F.col("c")
+        scale = F.least(F.lit(1.0), c / (c + 1.0) / (F.col("p") / c))  # leave at least the weight of one more token for backing off
+        contexts = kept.join(sums, "before").withColumn("scale", scale / c)
+        contexts = save(contexts.select("before", "scale", F.log10((1 - F.col("p") * F.col("scale")) / F.greatest(1 - F.col("q"), F.lit(1e-12))).alias("alpha")), f"contexts{k}")
+        log_p = F.log10(_discounted(d) * F.col("scale"))
+        made = met.join(contexts, "before").select("before", "last", "n", log_p.alias("log_p"), (log_p - F.col("alpha") - F.col("log_q")).alias("bonus"))
+        return save(made.mapInArrow(_keyed, "key long, n long, log_p double, bonus double"), f"level{k}"), contexts.select(F.col("before").alias("key"), "alpha")
+
+    def _weights(self, level: DataFrame, alpha: DataFrame) -> DataFrame:
+        return level.join(alpha, "key", "left").select("key", "n", (F.col("bonus") + F.coalesce("alpha", F.lit(0.0))).alias("weight"))
+
+
+def _discounts_of(counts: DataFrame) -> tuple[list[float], dict[int, int]]:
+    n = {r.n: r.c for r in counts.where(F.col("n") <= K + 1).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    return discounts(n), n
+
+
+def _discounted(d: list[float]):
+    by_count = F.element_at(F.array(*[F.lit(d[r]) for r in range(1, K + 1)]), F.least(F.col("n"), F.lit(K)).cast("int"))
+    return F.when(F.col("n") <= K, by_count).otherwise(F.lit(1.0)) * F.col("n")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = _pair(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2), batch.column(3)], names=["key", "n", "bonus"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns[2:]], names=["key", "n", "log_p", "bonus"])
 
 
 def _sorted(table: DataFrame) -> list[np.ndarray]:
@@ -219,11 +254,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, keys array<long>, counts array<long>, pair_keys array<long>, pair_counts array<long>"
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, keys array<long>, counts array<long>, gram_keys array<long>, gram_counts array<long>"
 
 
 def _scored(head: Head):
-    """Score what the head knows; hand on the other words and pairs of each text, with how often they occur in it."""
+    """Score what the head knows; hand on the other words and n-grams of each text, with how often they occur in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, done = Hashes(), TaskContext.get().partitionId() << 33
@@ -234,28 +269,24 @@ def _scored(head: Head):
             row = np.repeat(np.arange(len(sizes)), sizes)
             total = lambda x, r=row, n=len(sizes): np.bincount(r, x, n)
             at, there = _find(head.words, tokens)
-            first = np.cumsum(sizes) - sizes
             if len(head.words):
-                base, log_p = np.where(there, known_base[at], 0.0), np.where(there, head.log_p[at], 0.0)
-                back = np.where(there, head.alpha[at], 0.0)
-                own = there & (head.counts[at] >= head.tokens / 2**FREQUENT)
+                base, weight = np.where(there, known_base[at], 0.0), np.where(there, head.weights[at], 0.0)
             else:
-                base = log_p = back = np.zeros(len(tokens))
-                own = there
-            alpha = np.append(0.0, back[:-1])
-            alpha[first] = head.start_alpha
-            before = _before(tokens, sizes)
-            modelled = own & np.append(False, own[:-1])
-            modelled[first] = own[first]
-            keys = _pair(before[modelled], tokens[modelled])
-            pair_row = row[modelled]
-            p_at, p_there = _find(head.pairs, keys)
-            bonus = np.bincount(pair_row[p_there], head.bonus[p_at[p_there]], len(sizes)) if p_there.any() else np.zeros(len(sizes))
+                base = weight = np.zeros(len(tokens))
+            score = total(weight) + head.start_alpha
+            gram_rows, gram_keys = [row[:0]], [tokens[:0]]
+            for ends, before, last in _grams(tokens, sizes, head.order):
+                keys, gram_row = _pair(before, last), row[ends]
+                g_at, g_there = _find(head.grams, keys)
+                if g_there.any():
+                    score = score + np.bincount(gram_row[g_there], head.bonus[g_at[g_there]], len(sizes))
+                gram_rows.append(gram_row[~g_there])
+                gram_keys.append(keys[~g_there])
             rest = _rest(row[~there], tokens[~there], len(sizes))
-            pair_rest = _rest(pair_row[~p_there], keys[~p_there], len(sizes))
+            gram_rest = _rest(np.concatenate(gram_rows), np.concatenate(gram_keys), len(sizes))
             yield pa.RecordBatch.from_arrays([
-                pa.array(done + np.arange(len(sizes))), batch.column(0), pa.array(sizes), pa.array(total(there.astype(float)).astype(np.int64)), pa.array(total(base)), pa.array(total(log_p + alpha) + bonus), *rest, *pair_rest,
-            ], names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "keys", "counts", "pair_keys", "pair_counts"])
+                pa.array(done + np.arange(len(sizes))), batch.column(0), pa.array(sizes), pa.array(total(there.astype(float)).astype(np.int64)), pa.array(total(base)), pa.array(score), *rest, *gram_rest,
+            ], names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "keys", "counts", "gram_keys", "gram_counts"])
             done += len(sizes)
 
     return run
@@ -275,10 +306,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """n_tokens, n_known, base_score and score of each text under ``model``; null texts count as empty.
 
     Returns the id, n_tokens (end included), n_known (tokens seen in training), base_score (add-one unigrams) and score
-    (Katz), both log10. Rows that repeat an id are scored each on its own. A token is scored by its pair with the one
-    before if that is modelled, else by backing off to the word, else to the unknown word.
+    (Katz), both log10. Rows that repeat an id are scored each on its own. A token is scored by the longest modelled n-gram
+    that ends in it, else by backing off down to the word, else to the unknown word.
 
-    Words and pairs that the head does not hold go through one join with the tables, pre-counted for each text.
+    Words and n-grams that the head does not hold go through one join with the tables, pre-counted for each text.
     """
     tune(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -288,11 +319,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     words = rare("keys", "counts").join(model.words, "key", "left").select(
         "row", F.when(c > 0, F.col("times")).otherwise(F.lit(0)).alias("n_known"),
         (F.col("times") * (F.log10(c + F.lit(1.0)) - F.log10(F.lit(model.tokens + model.vocabulary + 1.0)))).alias("base_score"),
-        (F.col("times") * F.coalesce("log_p", F.lit(model.log_unknown))).alias("score"),
+        (F.col("times") * F.coalesce("weight", F.lit(model.log_unknown))).alias("score"),
     )
-    pairs = rare("pair_keys", "pair_counts").join(model.pairs, "key").select("row", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), (F.col("times") * F.col("bonus")).alias("score"))
-    parts = made.select("row", "doc_id", "n_tokens", "n_known", "base_score", "score")
     none = F.lit(None).cast("long")
-    rest = words.union(pairs).select("row", none.alias("doc_id"), none.alias("n_tokens"), "n_known", "base_score", "score")
+    if model.grams is not None:
+        grams = rare("gram_keys", "gram_counts").join(model.grams, "key").select("row", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), (F.col("times") * F.col("weight")).alias("score"))
+        words = words.union(grams)
+    parts = made.select("row", "doc_id", "n_tokens", "n_known", "base_score", "score")
+    rest = words.select("row", none.alias("doc_id"), none.alias("n_tokens"), "n_known", "base_score", "score")
     out = parts.union(rest).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
     return out.drop("row")

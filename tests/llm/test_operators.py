@@ -186,6 +186,46 @@ def test_katz(spark, texts, monkeypatch, head, frequent):
         assert found[i].base_score == pytest.approx(base) and found[i].score == pytest.approx(score)
 
 
+@pytest.mark.parametrize("head", [22, 3])
+def test_katz_keeps_every_gram(spark, monkeypatch, head):
+    """Words far below one in 2**17 tokens, grams that occur once, and trigrams count; contexts of both orders sum to one."""
+    monkeypatch.setattr(katz, "HEAD", head)
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choices("abcdefg", k=12))) for i in range(30)] + [(30, "rare words once"), (31, "the " * 270_000)]
+    held = [(40, "rare words once"), (41, "rare words twice"), (42, "a b c d"), (43, "words rare once"), (44, None)]
+    found = {r.doc_id: r.score for r in katz.score(frame(spark, held), katz.Model(frame(spark, texts).select("text"), order=3)).collect()}
+    train = [[0, *words(t), None] for _, t in texts]
+    count = [collections.Counter(tuple(t[i : i + k]) for t in train for i in range(1 if k == 1 else 0, len(t) - k + 1)) for k in (1, 2, 3)]
+    n, d = sum(count[0].values()), [katz.discounts(collections.Counter(c.values())) for c in count]
+    dealt = lambda c, k: (d[k][c] if c <= katz.K else 1) * c
+    one = {g: dealt(c, 0) / n for g, c in count[0].items()}
+    unknown, tables, back = 1 - sum(one.values()), [one], {}
+    for k in (1, 2):
+        after: dict = collections.defaultdict(dict)
+        for g, c in count[k].items():
+            after[g[:-1]][g] = c
+        table = {}
+        for h, follow in after.items():
+            c = sum(follow.values())
+            p = {g: dealt(x, k) / c for g, x in follow.items()}
+            p = {g: x * min(1, c / (c + 1) / sum(p.values())) for g, x in p.items()}
+            back[h] = (1 - sum(p.values())) / (1 - sum(tables[k - 1][g[1:]] for g in p))
+            table |= p
+        tables.append(table)
+
+    def chance(g):
+        if g in tables[len(g) - 1]:
+            return tables[len(g) - 1][g]
+        return unknown if len(g) == 1 else back.get(g[:-1], 1) * chance(g[1:])
+
+    vocabulary = [g[0] for g in one]
+    for h in [(0,), ("rare",), ("a",), ("a", "b"), ("rare", "words"), ("once", "a")]:
+        assert sum(chance((*h, w)) for w in vocabulary) + chance((*h, "unseen")) == pytest.approx(1)
+    for i, t in held:
+        w = [0, *words(t), None]
+        assert found[i] == pytest.approx(sum(math.log10(chance(tuple(w[max(0, j - 2) : j + 1]))) for j in range(1, len(w))))
+
+
 def test_katz_without_training(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     found = {r.doc_id: r for r in katz.score(docs, katz.Model(docs.limit(0).select("text"))).collect()}
