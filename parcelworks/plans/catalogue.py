@@ -654,10 +654,26 @@ def _rows(spark, sf_dir):
     return plain(extract.assemble_rows(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "page", "line", "text", "ymin", "xmin", "ymax", "xmax", "conf_min", "conf_mean")
 
 
+def _owner_tokens(spark, sf_dir) -> DataFrame:
+    """Both readings of an owners' list on a page of its own, which v_tokens lacks: a heading, then a name and a share a line."""
+    owners = load(spark, sf_dir, "v_owners")[0]
+    head = owners.select("khata_id").distinct().select("khata_id", F.lit(-1).alias("pos"), F.lit("खातेदार").alias("name"), F.lit(None).cast("string").alias("share"))
+    lines = head.unionByName(owners.select("khata_id", "pos", F.concat(F.lit("नाम"), F.translate(F.col("pos").cast("string"), "012", "कखग")).alias("name"), F.concat(F.col("share_percentage").cast("string"), F.lit("%")).alias("share")))
+    top = (F.lit(100) + (F.col("pos") + 1) * 40).cast("int")
+    mod = lambda n: (F.col("khata_id") * 7 + F.col("pos") * 3 + 11) % n
+    cell = lambda at, text, language, conf, shift, left, right: F.struct((F.lit(1000) + F.col("pos") * 4 + at).cast("int").alias("tok"), text.alias("text"), F.lit(language).alias("language"), conf.cast("double").alias("confidence"), (top + shift).alias("ymin"), F.lit(left + shift).alias("xmin"), (top + 30 + shift).alias("ymax"), F.lit(right + shift).alias("xmax"))
+    cells = F.array(
+        cell(0, F.col("name"), "hi", 0.5 + mod(40) / 100, 0, 100, 200), cell(1, F.lit("I HI"), "en", 0.5 + mod(37) / 100, 1, 150, 200),
+        cell(2, F.col("share"), "hi", 0.5 + mod(31) / 100, 0, 300, 360), cell(3, F.col("share"), "en", 0.5 + mod(29) / 100, 1, 300, 360),
+    )
+    rows = lines.select(F.col("khata_id").alias("doc_id"), F.inline(cells)).where("text is not null")
+    return rows.select("doc_id", "tok", F.lit(2).alias("page"), "text", "language", F.lit("printed").alias("source"), "confidence", "ymin", "xmin", "ymax", "xmax")
+
+
 def _records(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     tokens, zones, khata, villages = load(spark, sf_dir, "v_tokens", "v_zones", "v_khata", "v_villages")
     regions = register.join_village(khata.select("khata_id", "village_code"), villages, "left").select(F.col("khata_id").alias("doc_id"), units.zone_for(F.col("state"), F.col("district")).alias("zone"))
-    return extract.extract_records(tokens.where("language = 'hi'"), zones, regions)
+    return extract.extract_records(boxes.union_tokens(tokens, _owner_tokens(spark, sf_dir)), zones, regions)
 
 
 @query("e06_e12_extract_parcels")
@@ -668,3 +684,8 @@ def _extract_parcels(spark, sf_dir):
 @query("e05_e10_extract_headers")
 def _extract_headers(spark, sf_dir):
     return plain(_records(spark, sf_dir)[0], "doc_id", "khata_number", "total_area_sqm", "total_area_source")
+
+
+@query("e07_e08_extract_owners")
+def _extract_owners(spark, sf_dir):
+    return plain(_records(spark, sf_dir)[2], "doc_id", "pos", "owner_name_vernacular", "relation_type", "relative_name", "share_percentage", "share_fraction", "conf_name")
