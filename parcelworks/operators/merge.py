@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelworks.functions.ids import identity_digest
+from parcelworks.functions.text import RELATIONS
+from parcelworks.operators import ledger, rules
 
+PARCEL, OWNER = ("khasra_number", "plot_area_sqm"), ("owner_name_vernacular", "share_percentage")
 HEADER_FIELDS = ("khata_number", "total_area_sqm", "fasli_year")
 
 
@@ -34,8 +37,16 @@ def merge_parcels(parcels: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def merge_owners(owners: DataFrame, corrections: DataFrame, salt: str | None = None) -> DataFrame:
-    """As for parcels; with a salt an identity_number of the corrections is kept as its digest only."""
-    merged = merge_detail(owners, corrections, ("owner_name_vernacular", "share_percentage"))
+    """As for parcels; with a salt an identity_number of the corrections is kept as its digest only. Where the corrections
+    have a relation_type and a relative_name these are merged too, relation words as their codes (C3)."""
+    values = OWNER
+    if "relation_type" in corrections.columns:
+        values = (*OWNER, "relation_type", "relative_name")
+        codes = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])
+        said = F.lower(F.col("relation_type"))
+        corrections = corrections.withColumn("relation_type", F.coalesce(F.element_at(codes, said), F.when(F.col("relation_type").isin(*RELATIONS.values()), F.col("relation_type"))))
+        owners = owners.withColumns({c: F.lit(None).cast("string") for c in values if c not in owners.columns})
+    merged = merge_detail(owners, corrections, values)
     if salt is None:
         return merged
     digests = corrections.where("pos is not null").groupBy("khata_id", "pos").agg(F.max(identity_digest(F.col("identity_number"), salt)).alias("identity_digest"))
@@ -48,6 +59,42 @@ def merged_rows(merged: DataFrame, values: tuple[str, ...]) -> DataFrame:
     return merged.where("action <> 'delete'").select("khata_id", (F.row_number().over(order) - 1).alias("pos"), *values)
 
 
+def standing_rows(existing: DataFrame, merged: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """All rows after the merge: those of merged holdings, and the existing ones of holdings without a correction."""
+    other = existing.join(merged.select("khata_id").distinct(), "khata_id", "left_anti").select("khata_id", "pos", *values)
+    return other.unionByName(merged_rows(merged, values))
+
+
+def revalidate(khata: DataFrame, parcels: DataFrame, owners: DataFrame) -> DataFrame:
+    """Report on corrected records as a reviewer's: full trust in the reading, a layout of 0.9 at least, no confidences of
+    fields (C5)."""
+    checked = khata.withColumns({"ocr_confidence": F.lit(1.0), "layout_confidence": F.greatest(F.coalesce("layout_confidence", F.lit(0.0)), F.lit(0.9))})
+    return rules.report(checked, rules.all_findings(checked, parcels.drop("field_confidence"), owners.drop("field_confidence")))
+
+
+def verify(khata: DataFrame, parcels: DataFrame, owners: DataFrame, requests: DataFrame, parcel_corrections: DataFrame, owner_corrections: DataFrame, audit: DataFrame, headers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What requests with corrections do: decisions on the merged and re-validated records, the chained ledger rows of all
+    changes and overrides, and the report with the ledger's head (C1-C6, C10).
+
+    ``requests`` is (khata_id, user, role, force_approve, reason, ts), ``headers`` the corrected headers if there are any;
+    corrections count for holdings with a request only. ``ts`` is not before a holding's latest entry in ``audit``.
+    """
+    asked = lambda d: d.join(requests.select("khata_id"), "khata_id", "left_semi")
+    khata = asked(khata)
+    new = khata if headers is None else asked(headers)
+    p, o = merge_parcels(parcels, asked(parcel_corrections)), merge_owners(owners, asked(owner_corrections))
+    decisions = decide(revalidate(new, standing_rows(asked(parcels), p, PARCEL), standing_rows(asked(owners), o, OWNER)), requests)
+    row = lambda d, stage: d.select("khata_id", F.lit(stage).alias("stage"), (F.col("pos") if "pos" in d.columns else F.lit(0)).cast("long").alias("pos"), "field_name", "raw_value", "corrected_value")
+    override = decisions.where("override").select("khata_id", F.lit("approval.override").alias("field_name"), F.format_string("%d critical finding(s) open", F.col("critical")).alias("raw_value"), F.lit("MANUALLY_APPROVED").alias("corrected_value"))
+    changes = row(detail_changes(p, "parcel", "khasra_number", {c: c for c in PARCEL}), 1).union(row(detail_changes(o, "owner", "owner_name_vernacular", {"owner_name_vernacular": "name", "share_percentage": "share_percentage"}), 2)).union(row(override, 3))
+    if headers is not None:
+        changes = changes.union(row(header_changes(khata, new, tuple(f for f in HEADER_FIELDS if f in khata.columns)), 0))
+    said = requests.select("khata_id", F.col("user").alias("modified_by_user_id"), "role", "reason", "ts")
+    log = ledger.append(audit, ledger.numbered(audit, changes.join(said, "khata_id"), "stage", F.col("pos").asc_nulls_last(), "field_name", "raw_value", "corrected_value").drop("stage", "pos"))
+    heads = ledger.heads(audit.select("khata_id", "log_id", "ts", "entry_hash").union(log.select("khata_id", "log_id", "ts", "entry_hash"))).select("khata_id", F.col("head").alias("ledger_head"))
+    return decisions, log, decision_report(decisions, log).join(heads, "khata_id", "left")
+
+
 def orphans(existing: DataFrame, corrections: DataFrame, key: str = "pos") -> DataFrame:
     """Existing rows of corrected holdings that no correction mentions."""
     touched = corrections.select("khata_id").distinct()
@@ -107,6 +154,16 @@ def record_diff(old: DataFrame, new: DataFrame, tolerance: str = "0.0001") -> Da
     return rows.withColumn("change", kind).where("change is not null").drop("was", "is")
 
 
+def owner_diff(old: DataFrame, new: DataFrame, tolerance: str = "0.001") -> DataFrame:
+    """Owners that were removed, added or have another name or a share that differs by more than the tolerance."""
+    a = old.select("khata_id", "pos", F.col("owner_name_vernacular").alias("old_name"), F.col("share_percentage").alias("old_share"))
+    b = new.select("khata_id", "pos", F.col("owner_name_vernacular").alias("new_name"), F.col("share_percentage").alias("new_share"))
+    rows = a.withColumn("was", F.lit(True)).join(b.withColumn("is", F.lit(True)), ["khata_id", "pos"], "full_outer")
+    far = F.abs(F.coalesce("new_share", F.lit(0).cast("decimal(5,2)")) - F.coalesce("old_share", F.lit(0).cast("decimal(5,2)"))) > F.lit(tolerance).cast("decimal(10,4)")
+    kind = F.when(F.col("is").isNull(), "removed").when(F.col("was").isNull(), "added").when(far | ~F.col("old_name").eqNullSafe(F.col("new_name")), "changed")
+    return rows.withColumn("change", kind).where("change is not null").drop("was", "is")
+
+
 def decision_report(decisions: DataFrame, log: DataFrame) -> DataFrame:
     """khata_id, audit_rows, committed: what a request did."""
     rows = log.groupBy("khata_id").agg(F.count(F.lit(1)).alias("audit_rows"))

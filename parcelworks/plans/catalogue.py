@@ -557,7 +557,7 @@ FROM (SELECT * FROM v_parcels WHERE khata_id % 3 = 0) o FULL OUTER JOIN (SELECT
 WHERE n.khata_id IS NULL OR o.khata_id IS NULL OR o.khasra_number <> n.khasra_number OR abs(o.plot_area_sqm - n.plot_area_sqm) > 0.0001""", CORR)
 def _diff(spark, sf_dir):
     parcels, corrections = load(spark, sf_dir, *CORR)
-    return plain(merge.record_diff(parcels.where("khata_id % 3 = 0"), corrections.where("pos is not null and not is_delete")), "khata_id", "pos", "change")
+    return plain(merge.record_diff(parcels.join(corrections.select("khata_id").distinct(), "khata_id", "left_semi"), corrections.where("pos is not null and not is_delete")), "khata_id", "pos", "change")
 
 
 @query("c10_decision_report", f"""WITH {ROUTED.strip()}, {MERGED},
@@ -571,6 +571,55 @@ def _decision_report(spark, sf_dir):
     return plain(merge.decision_report(decisions, log))
 
 
+def _owner_corr(owners: DataFrame) -> DataFrame:
+    """Shares mended, a name and a relation changed, one owner not mentioned, one deleted, one added."""
+    k, pos = F.col("khata_id"), F.col("pos")
+    fixed = F.col("share_percentage") + F.when((pos == 0) & (k % 17 == 0), 10).when((pos == 0) & (k % 19 == 0), F.lit("0.01").cast("decimal(5,2)")).otherwise(0)
+    rows = owners.where((k % 3 == 0) & ~((pos == 2) & (k % 4 == 0)))
+    return rows.select("khata_id", F.when((pos == 1) & (k % 5 == 0), F.lit(None)).otherwise(pos).alias("pos"), F.concat("owner_name_vernacular", F.when((pos == 0) & (k % 7 == 0), "क").otherwise("")).alias("owner_name_vernacular"), fixed.cast("decimal(5,2)").alias("share_percentage"), F.lit("पुत्र").alias("relation_type"), F.lit("ख").alias("relative_name"), ((pos == 2) & (k % 5 == 1)).alias("is_delete"))
+
+
+def _verified(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A request for every holding, role and force by its id; the routing rows are in the ledger before."""
+    khata, parcels, owners, _, routed = _reported(spark, sf_dir)
+    requests = khata.select("khata_id", F.concat(F.lit("u"), (F.col("khata_id") % 9).cast("string")).alias("user"), F.when(F.col("khata_id") % 3 == 0, "TEHSILDAR").otherwise("PATWARI").alias("role"), (F.col("khata_id") % 5 < 2).alias("force_approve"), F.lit("checked").alias("reason"), F.lit("2030-01-01 00:00:00").cast("timestamp").alias("ts"))
+    return merge.verify(khata, parcels, owners, requests, load(spark, sf_dir, "v_parcel_corr")[0], _owner_corr(owners), _route_ledger(routed))
+
+
+def _route_ledger(routed: DataFrame) -> DataFrame:
+    log = rules.route_log(routed, F.col("created_at"))
+    none = log.limit(0).withColumns({"log_id": F.lit(0).cast("long"), "entry_hash": F.lit("")})
+    return ledger.append(none, ledger.numbered(none, log, "field_name"))
+
+
+@query("v14_k01_route_ledger")
+def _route_log(spark, sf_dir):
+    return plain(_route_ledger(_reported(spark, sf_dir)[4]), "khata_id", "log_id", "field_name", "raw_value", "corrected_value", "reason", "prev_hash", "entry_hash")
+
+
+@query("c03_merge_owners")
+def _merge_owners(spark, sf_dir):
+    owners = load(spark, sf_dir, "v_owners")[0]
+    return plain(merge.merge_owners(owners, _owner_corr(owners)), "khata_id", "pos", "action", "owner_name_vernacular", "share_percentage", "relation_type", "old_owner_name_vernacular", "old_share_percentage")
+
+
+@query("c05_c06_decide_corrected")
+def _decide_corrected(spark, sf_dir):
+    return plain(_verified(spark, sf_dir)[0], "khata_id", "critical", "decision", "override")
+
+
+@query("c09_owner_diff")
+def _owner_diff(spark, sf_dir):
+    owners = load(spark, sf_dir, "v_owners")[0]
+    new = _owner_corr(owners)
+    return plain(merge.owner_diff(owners.join(new.select("khata_id").distinct(), "khata_id", "left_semi"), new.where("pos is not null and not is_delete")), "khata_id", "pos", "change")
+
+
+@query("c10_verify_report")
+def _verify_report(spark, sf_dir):
+    return plain(_verified(spark, sf_dir)[2], "khata_id", "committed", "audit_rows", "ledger_head")
+
+
 @query("e08_w07_implied_shares", """
 SELECT khata_id, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN pos = 0 THEN 100 - CAST(round_even(CAST(100 AS DECIMAL(18,8)) / n, 2) AS DECIMAL(5,2)) * (n - 1) ELSE CAST(round_even(CAST(100 AS DECIMAL(18,8)) / n, 2) AS DECIMAL(5,2)) END AS DOUBLE) AS share_percentage
 FROM (SELECT khata_id, pos, count(*) OVER (PARTITION BY khata_id) AS n FROM v_owners) t""", ("v_owners", "v_parcels"))
