@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from parcelworks.llm.common import save
 
-#: Segments of a path that a template tells apart; what lies deeper is one wildcard.
-DEPTH = 4
 #: More different segments than this in one place are one variable; siblings whose share of good pages lies within this
 #: many standard errors of their common share are one branch.
 BRANCHES, SIMILAR = 16, 2.0
@@ -42,39 +40,45 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 def _shape(path: Column) -> Column:
     """Segments of a path, numbers and long hexadecimal runs generalised; an empty path has none."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-fA-F]{8,}(?=$|\.)|^[0-9a-f-]{32,}", "*"), r"\d+", "*"))
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-fA-F]{8,}(?=$|\.)|^[0-9a-f-]{32,}", "*"), r"\d+", "*"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """The tree's leaves: (host, shape, template, n, labelled, good).
 
-    ``pages`` is (host, path, label 0, 1 or null). Paths are first counted by host and shape, so each later step works
-    on that small table, whatever one host's share of the pages. From the root down, a place of a template with more
-    than ``BRANCHES`` different segments becomes a wildcard; then, from the leaves up, siblings with a similar share of
-    good pages are merged into their wildcard.
+    ``pages`` is (host, path, label 0, 1 or null). Paths are first counted by host and shape. From the root down to the
+    deepest level that occurs, a place of a template with more than ``BRANCHES`` different segments becomes a wildcard:
+    the segments of a place are counted by two groupings, never gathered, so a host may have as many shapes as pages. Then,
+    from the leaves up, siblings with a similar share of good pages are merged into their wildcard; that works on the
+    templates, of which a place has few.
     """
     label = F.col("label")
     tree = pages.select("host", _shape(F.col("path")).alias("shape"), "label").groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count_if(label.isin(0, 1)).alias("labelled"), F.count_if(label == 1).alias("good"))
-    tree = tree.withColumn("template", F.col("shape"))
-    place = lambda d: F.when(F.size("template") > d, F.element_at("template", d + 1))
-    wild = lambda d: F.transform("template", lambda s, i: F.when(i == d, F.lit("*")).otherwise(s))
-    for d in range(DEPTH):
-        at = Window.partitionBy("host", F.size("template"), F.slice("template", 1, d))
-        tree = tree.withColumn("branches", F.size(F.collect_set(place(d)).over(at)))
-        tree = tree.withColumn("template", F.when(F.col("branches") > BRANCHES, wild(d)).otherwise(F.col("template"))).drop("branches")
-    tree = save(tree, "tree")
-    for d in reversed(range(DEPTH)):
-        own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g"))
-        own = own.withColumn("merged", wild(d)).where(F.size("template") > d)
+    tree = save(tree.withColumn("template", F.col("shape")), "tree")
+    wild = lambda d: F.transform("now", lambda s, i: F.when(i == d, F.lit("*")).otherwise(s))
+    depth = tree.agg(F.max(F.size("shape"))).first()[0] or 0
+    done = []
+    for d in range(depth):
+        done.append(tree.where(F.size("template") <= d))
+        tree = tree.where(F.size("template") > d).withColumns({"length": F.size("template"), "prefix": F.slice("template", 1, d), "segment": F.element_at("template", d + 1)})
+        place = ["host", "length", "prefix"]
+        many = tree.select(*place, "segment").distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("branches")).where(F.col("branches") > BRANCHES)
+        tree = tree.join(many, place, "left").withColumn("now", F.col("template"))
+        tree = save(tree.withColumn("template", F.when(F.col("branches").isNotNull(), wild(d)).otherwise(F.col("template"))).select("host", "shape", "n", "labelled", "good", "template"), f"tree{d}")
+    for part in done:
+        tree = tree.unionByName(part)
+    leaves = save(tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).withColumn("now", F.col("template")), "leaves")
+    for d in reversed(range(depth)):
+        own = leaves.where(F.size("now") > d).groupBy("host", "now").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g"))
+        own = own.withColumn("merged", wild(d))
         parent = Window.partitionBy("host", "merged")
         pooled, all_l = F.sum("g").over(parent) / F.sum("l").over(parent), F.sum("l").over(parent)
         own = own.withColumn("p", pooled).withColumn("all_l", all_l)
         error = F.sqrt(F.greatest(F.col("p") * (1 - F.col("p")), F.lit(0.01)) / F.col("l"))
         alike = (F.col("all_l") == 0) | (F.col("l") == 0) | (F.abs(F.col("g") / F.col("l") - F.col("p")) <= SIMILAR * error)
-        tree = tree.join(own.where(alike).select("host", "template", "merged"), ["host", "template"], "left")
-        tree = save(tree.select("host", "shape", "n", "labelled", "good", F.coalesce("merged", "template").alias("template")), f"tree{d}")
-    return tree
+        leaves = leaves.join(own.where(alike).select("host", "now", "merged"), ["host", "now"], "left")
+        leaves = save(leaves.select("host", "template", "labelled", "good", F.coalesce("merged", "now").alias("now")), f"leaves{d}")
+    return tree.join(leaves.select("host", "template", "now"), ["host", "template"]).select("host", "shape", "n", "labelled", "good", F.col("now").alias("template"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -266,6 +266,16 @@ def test_urls(spark):
     assert found[100].template == "buy/*"
 
 
+def test_urls_of_deep_sections_and_word_slugs(spark):
+    """Sections below the fourth segment are told apart, and a host with a slug for each page gathers no set of them."""
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"http://d.example.edu/a/b/c/d/{'good' if i % 2 else 'poor'}/x/{name(i)}") for i in range(80)]
+    rows += [(1000 + i, f"http://s.example.edu/blog/title-{name(i)}") for i in range(400)]
+    found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "page_id long, label int")).collect()}
+    assert all(found[i].verdict == ("allow" if i % 2 else "block") for i in range(80))
+    assert {found[i].template for i in range(80)} == {"*/*/*/*/good/*/*", "*/*/*/*/poor/*/*"} and len({found[1000 + i].template for i in range(400)}) == 1
+
+
 def test_winnowing(spark, texts):
     k, window = 3, 4
     docs = frame(spark, [*texts, (None, "last of all")])
