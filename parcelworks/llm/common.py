@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,14 +18,17 @@ ARROW_ROWS = 1000
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small enough for a Python worker."""
+    """Keep Arrow batches of long texts small enough for a Python worker, and no shuffle files beyond the job they serve."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or in tests a temporary one."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -33,13 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors.
 
-    The table is removed when the driver's interpreter ends.
+    The table is removed by drop(), or when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parcelworks-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._saved_at = path
+    return made
+
+
+def drop(saved: DataFrame) -> None:
+    """Remove a table that save() has written and that nothing reads any more."""
+    _drop(saved.sparkSession, saved._saved_at)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

@@ -1,30 +1,37 @@
-"""Katz backoff language model: Good-Turing discounts, normalised backoff weights, tables in Spark."""
+"""Katz backoff language model: Good-Turing discounted counts of all words, pairs and trigrams, normalised backoff weights.
+
+The tables of pairs and trigrams are partitioned by the last word of the context, v of (u, v, w): a cell then has all that
+a token of its contexts asks for, P(w | u v), P(w | v) and both backoff weights, so nothing is joined n-gram by n-gram. The
+pairs of a hot word v, which would make a cell too large, are counted beforehand and its cells are cut by u as well.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelworks.llm.common import Hashes, mix, save, tune, words_of
+from parcelworks.llm.common import Hashes, drop, mix, save, tune, words_of
 
-#: Words and n-grams of which at least one in 2**HEAD tokens is, are looked up in memory: at most 2**HEAD of each order,
-#: whatever the corpus. Those of all others come by a join.
+#: Words of which at least one in 2**HEAD tokens is have numbers, known to every task: at most 2**HEAD, whatever the corpus.
+#: All others are named by their hashes, and their counts come by a join.
 HEAD = 22
-#: An n-gram is modelled if all its words are at least one in 2**FREQUENT tokens and it occurs at least CUTOFF times: as
-#: set here that is every n-gram of the training texts. Anything else is predicted by backing off.
-FREQUENT, CUTOFF = math.inf, 1
+#: Tokens of a chunk of texts, about; training tokens of a cell; a word that occurs more often than that is hot.
+CHUNK, CELL = 1 << 20, 1 << 20
 #: Counts up to this are discounted by Good-Turing.
 K = 5
 
-START, END, OTHER = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end", b" other"))  # no word holds a space
+END = xxhash.xxh3_64_intdigest(b" end")  # no word holds a space
+#: Keys of words: a head word's is its number, another one's its hash with the top bit set; those of what stands before a
+#: text's first token and before that.
+TOP, START, NONE = np.uint64(1 << 63), np.uint64(1 << 62), np.uint64((1 << 62) + 1)
 
 
 def discounts(n: dict[int, int]) -> list[float]:
@@ -39,19 +46,49 @@ def discounts(n: dict[int, int]) -> list[float]:
     return out
 
 
+def unseen_types(n: dict[int, int]) -> float:
+    """How many words the training texts have missed, estimated from those met once and twice (Chao); at least one."""
+    once, twice = n.get(1, 0), n.get(2, 0)
+    return max(1.0, once * once / (2 * twice) if twice else once * (once - 1) / 2)
+
+
 @dataclass
-class Head:
-    """What tasks hold in memory: sorted word hashes with their counts and weights, and sorted n-gram hashes with theirs."""
+class Stats:
+    """What all tasks know: the head's words (sorted hashes, their numbers) and counts by number, the corpus' figures, the
+    discounts of each order, and of hot words (sorted numbers) the scale and backoff weight of their pairs."""
 
-    words: np.ndarray
+    hashes: np.ndarray
+    numbers: np.ndarray
     counts: np.ndarray
-    weights: np.ndarray  # log10 of the word's probability, plus log10 of the backoff weight behind it
-    grams: np.ndarray
-    bonus: np.ndarray  # what an n-gram adds to the words' weights: see Model
-    start_alpha: float
-    order: int
     tokens: int
     vocabulary: int
+    cells: int
+    unseen: float  # probability of one unseen word
+    unigram_scale: float
+    discount: list[list[float]] = field(default_factory=list)
+    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    hot_scale: np.ndarray = field(default_factory=lambda: np.empty(0))
+    hot_alpha: np.ndarray = field(default_factory=lambda: np.empty(0))
+
+    def discounted(self, counts: np.ndarray, order: int) -> np.ndarray:
+        table = np.array(self.discount[order - 1])
+        return np.where(counts <= K, table[np.minimum(counts, K).astype(np.int64)], 1.0) * counts
+
+    def word(self, counts: np.ndarray) -> np.ndarray:
+        """P(w) of words with these training counts; of each word that did not occur, an equal share of what is left."""
+        return np.where(counts > 0, self.discounted(counts, 1) * self.unigram_scale, self.unseen)
+
+
+def weights(c: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts that occur ``c`` times: the factor that makes discounted counts probabilities, and the backoff weight.
+
+    ``p`` sums the discounted counts of what follows, ``q`` its probabilities one order lower. At least the weight of one
+    more token is left for backing off. A context that does not occur backs off with a weight of 1.
+    """
+    seen = c > 0
+    c = np.where(seen, c, 1.0)
+    scale = np.where(seen, np.minimum(1.0, c * c / (c + 1) / np.maximum(p, 1e-300)) / c, 0.0)
+    return scale, np.where(seen, (1 - p * scale) / np.maximum(1 - q, 1e-12), 1.0)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,254 +115,359 @@ def _tokens(texts: list, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(end.join([*parts, b""]), np.uint64), np.array(sizes, np.int64)
 
 
-def _before(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The token before each token, START before the first of a text."""
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[np.cumsum(sizes) - sizes] = START
-    return out
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, the bytes of equal weight next to each other."""
+    press = zstandard.ZstdCompressor(level=1)
+    parts = [press.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"") for a in arrays]
+    return b"".join([np.array([len(arrays), *(x for a, p in zip(arrays, parts, strict=True) for x in (len(a), len(p)))], np.uint32).tobytes(), *parts])
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, counts = np.unique(keys, return_counts=True)
-    return found, counts.astype(np.int64)
+def _unpacked(data: bytes, kinds: list) -> list[np.ndarray]:
+    head = np.frombuffer(data, np.uint32, 1 + 2 * len(kinds))
+    at, out, press = head.nbytes, [], zstandard.ZstdDecompressor()
+    for kind, n, size in zip(kinds, head[1::2].tolist(), head[2::2].tolist(), strict=True):
+        raw = np.frombuffer(press.decompress(data[at : at + size], max(1, n * np.dtype(kind).itemsize)), np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(-1, n).T).view(kind).reshape(n) if n else np.empty(0, kind))
+        at += size
+    return out
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, held = Hashes(), []
+
+    def flush() -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+
     for batch in batches:
-        tokens, _ = _tokens(batch.column(0).to_pylist(), hashes)
-        held.append(tokens)
-        if sum(map(len, held)) > 2_000_000:
-            yield _count_batch(*_counted(np.concatenate(held)))
+        held.append(_tokens(batch.column(0).to_pylist(), hashes)[0])
+        if sum(map(len, held)) > 2 * CHUNK:
+            yield flush()
             held = []
     if held:
-        yield _count_batch(*_counted(np.concatenate(held)))
-
+        yield flush()
 
-def _count_batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
+CHUNKS = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("tails", pa.list_(pa.int64()))])
 
-def _grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 2 on: the places in ``tokens`` that end an n-gram, the hashes of its first and of its last n - 1
-    words. START counts as a word before each text."""
-    within = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at, before, last = np.arange(len(tokens)), _before(tokens, sizes), tokens
-    for k in range(2, order + 1):
-        yield at, before, last
-        whole, longer = _pair(before, last), within[at] >= k - 1  # of these the n-gram one place before is in the text too
-        at, before, last = at[longer], np.append(np.uint64(0), whole[:-1])[longer], whole[longer]
 
-
-def _gram_counts(order: int, frequent: np.ndarray | None):
-    """Counts of n-grams of one order by the hashes of their first and of their last n - 1 words. Where not all words are
-    modelled (``frequent``), what follows a modelled context is OTHER."""
-
-    def flush(held: list) -> pa.RecordBatch:
-        before, last = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, at, counts = np.unique(_pair(before, last), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(last[at].view(np.int64)), pa.array(counts.astype(np.int64))], names=["before", "last", "n"])
+def _encoded(s: Stats):
+    """Texts as chunks of token codes: the number of a head word, or the head's size plus the place in the chunk's own list
+    of other words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = Hashes(), []
+        hashes, chunk = Hashes(), TaskContext.get().partitionId() << 20
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            tokens, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            at, known = _find(s.hashes, tokens)
+            tails, place = np.unique(tokens[~known], return_inverse=True)
+            codes = s.numbers[at] if len(s.hashes) else np.zeros(len(tokens), np.uint32)
+            codes[~known] = (len(s.hashes) + place).astype(np.uint32)
+            docs, train = ([x for h in held for x in h[i]] for i in (2, 3))
+            values = [[chunk], [docs], [train], [sizes.tolist()], [_packed(codes)], [tails.view(np.int64).tolist()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, CHUNKS, strict=True)], schema=CHUNKS)
+
         for batch in batches:
-            tokens, sizes = _tokens(batch.column(0).to_pylist(), hashes)
-            if not len(tokens):
-                continue
-            *_, (at, before, last) = _grams(tokens, sizes, order)
-            if frequent is not None:
-                known = _find(frequent, tokens)[1]
-                first = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                context = np.ones(len(at), bool)
-                for back in range(1, order):
-                    context &= (first[at] < back) | known[at - np.minimum(back, at)]
-                before, last = before[context], np.where(known[at], last, np.uint64(OTHER))[context]
-            held.append((before, last))
-            if sum(len(x) for x, _ in held) > 2_000_000:
-                yield flush(held)
-                held = []
-        if held:
-            yield flush(held)
+            tokens, sizes = _tokens(batch.column(1).to_pylist(), hashes)
+            held.append((tokens, sizes, batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+            if sum(len(h[0]) for h in held) > CHUNK:
+                yield flush()
+                held, chunk = [], chunk + 1
+        if any(len(h[1]) for h in held):
+            yield flush()
 
     return run
 
 
-class Model:
-    """A trained model of n-grams up to ``order``: ``words`` (key, n, weight) and ``grams`` (key, n, weight) are tables in
-    the shared folder; the head of each is held in memory, with a bound that does not depend on the corpus.
-
-    With c counts and d discounts: P(w) = d c(w) / N for a known word; what is left goes to one unknown word. Of an n-gram
-    that is modelled P(w | h) = d c(h w) / c(h), and else alpha(h) P(w | h'), where h' is h without its first word and
-    alpha(h) = (1 - sum of the n-grams' probabilities) / (1 - sum of P(w | h') over them); so each context's probabilities
-    sum to 1. The last n - 1 words of a modelled n-gram are modelled as well. So the log of a text's probability is a sum
-    of weights over its words and n-grams: log P(w | h) - log alpha(h) - log P(w | h'), plus log alpha(h w) for the token
-    after it.
-    """
-
-    def __init__(self, texts: DataFrame, partitions: int | None = None, order: int = 2):
-        """``texts``: one string column; null texts count as empty."""
-        tune(texts.sparkSession)
-        source = texts.toDF("text")
-        counts = save(source.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "word_counts")
-        total, vocabulary = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-        self.tokens, self.vocabulary, self.order = total or 0, vocabulary, order
-        self.log_unknown, lower = self._unigrams(counts)
-        frequent = None
-        if FREQUENT < math.inf:
-            frequent = np.sort(counts.where(F.col("n") >= self.tokens / 2**FREQUENT).select("key").toArrow().column(0).to_numpy().view(np.uint64))
-        levels, start = [], 0.0
-        for k in range(2, order + 1):
-            upper, alpha = self._level(source, k, lower, frequent)
-            if k == 2:
-                start = next((r.alpha for r in alpha.where(F.col("key") == _signed(START)).collect()), 0.0)
-            levels.append(self._weights(lower, alpha))
-            lower = upper
-        words, *grams = [*levels, lower.select("key", "n", F.col("bonus").alias("weight"))]
-        self.words = save(words, "words")
-        self.grams = None
-        for k, level in enumerate(grams, 2):
-            level = save(level, f"grams{k}")
-            self.grams = self.grams.union(level) if self.grams is not None else level
-        least = self.tokens / 2**HEAD
-        keys, counts, weights = _sorted(self.words.where(F.col("n") >= least).select("key", "n", "weight"))
-        often, bonus = _sorted(self.grams.where(F.col("n") >= least).select("key", "weight")) if grams else (np.empty(0, np.uint64), np.empty(0))
-        self.head = Head(keys, counts, weights, often, bonus, start, order, self.tokens, self.vocabulary)
-
-    def _unigrams(self, counts: DataFrame) -> tuple[float, DataFrame]:
-        d, n = _discounts_of(counts)
-        kept = sum(n.get(r, 0) * r * d[r] for r in range(1, K + 1)) + self.tokens - sum(n.get(r, 0) * r for r in range(1, K + 1))
-        left = self.tokens - kept  # what the unknown word gets, of N
-        scale = 1.0
-        if left <= 0:  # nothing was discounted: make room for one token
-            scale, left = self.tokens / (self.tokens + 1), self.tokens / (self.tokens + 1)
-        p = _discounted(d) * F.lit(scale) / F.lit(float(max(self.tokens, 1)))
-        return (float(np.log10(left / self.tokens)) if self.tokens else 0.0), counts.select("key", "n", F.log10(p).alias("log_p")).withColumn("bonus", F.col("log_p"))
-
-    def _level(self, source: DataFrame, k: int, lower: DataFrame, frequent: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
-        """The n-grams of order ``k`` (key, n, log_p, bonus), and the backoff weights of their contexts (key, alpha).
-
-        A context's count is the sum over what follows it. Nothing is held by context or word in a task or on the driver.
-        """
-        found = save(source.mapInArrow(_gram_counts(k, frequent), "before long, last long, n long").groupBy("before", "last").agg(F.sum("n").alias("n")), f"counts{k}")
-        d, _ = _discounts_of(found.where(F.col("last") != _signed(OTHER)))
-        modelled = (F.col("last") != _signed(OTHER)) & (F.col("n") >= CUTOFF)
-        met = save(found.where(modelled).join(lower.select(F.col("key").alias("last"), F.col("log_p").alias("log_q")), "last"), f"met{k}")
-        sums = found.groupBy("before").agg(F.sum("n").alias("c"))
-        kept = met.groupBy("before").agg(F.sum(_discounted(d)).alias("p"), F.sum(F.pow(F.lit(10.0), "log_q")).alias("q"))
-        c = F.col("c")
-        scale = F.least(F.lit(1.0), c / (c + 1.0) / (F.col("p") / c))  # leave at least the weight of one more token for backing off
-        contexts = kept.join(sums, "before").withColumn("scale", scale / c)
-        contexts = save(contexts.select("before", "scale", F.log10((1 - F.col("p") * F.col("scale")) / F.greatest(1 - F.col("q"), F.lit(1e-12))).alias("alpha")), f"contexts{k}")
-        log_p = F.log10(_discounted(d) * F.col("scale"))
-        made = met.join(contexts, "before").select("before", "last", "n", log_p.alias("log_p"), (log_p - F.col("alpha") - F.col("log_q")).alias("bonus"))
-        return save(made.mapInArrow(_keyed, "key long, n long, log_p double, bonus double"), f"level{k}"), contexts.select(F.col("before").alias("key"), "alpha")
-
-    def _weights(self, level: DataFrame, alpha: DataFrame) -> DataFrame:
-        return level.join(alpha, "key", "left").select("key", "n", (F.col("bonus") + F.coalesce("alpha", F.lit(0.0))).alias("weight"))
+class Chunk:
+    """A chunk's tokens: for each its key, its word's training count, its text's place in the chunk, whether that is trained
+    on, and the keys of the two words before it."""
+
+    def __init__(self, s: Stats, row: dict):
+        self.docs, self.trained = row["docs"], np.array(row["train"], bool)
+        self.sizes = np.array(row["sizes"], np.int64)
+        codes = _unpacked(row["codes"], [np.uint32])[0].astype(np.int64)
+        head = len(s.hashes)
+        keys = np.concatenate([np.arange(head, dtype=np.uint64), np.array(row["tails"], np.int64).view(np.uint64) | TOP])
+        counts = np.concatenate([s.counts, np.array(row["tail_counts"] or [], np.int64)])
+        self.w, self.n = keys[codes], counts[codes]
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.train = self.trained[self.text]
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.v = np.append(START, self.w[:-1])
+        self.v[starts] = START
+        self.u = np.append(NONE, self.v[:-1])
+        self.u[starts] = NONE
+        hot = _find(s.hot, self.v)[1]
+        self.hot = np.flatnonzero(hot)
+        self.hot_keys, at, self.hot_at = np.unique(_pair(self.v[hot], self.w[hot]), return_index=True, return_inverse=True)
+        self.hot_rows = self.hot[at]  # a token of each different pair behind a hot word, by the pair's key
+
+
+def _hot_pairs(s: Stats):
+    """The different pairs behind hot words of each chunk, with how often they occur in its training texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(s, row)
+                times = np.bincount(c.hot_at, c.train[c.hot], len(c.hot_keys)).astype(np.int64)
+                n = len(c.hot_keys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["chunk"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(c.hot_keys.view(np.int64)), pa.array(c.v[c.hot_rows].view(np.int64)), pa.array(c.n[c.hot_rows]), pa.array(times)], names=["chunk", "at", "key", "v", "word_n", "n"])
 
-def _discounts_of(counts: DataFrame) -> tuple[list[float], dict[int, int]]:
-    n = {r.n: r.c for r in counts.where(F.col("n") <= K + 1).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    return discounts(n), n
+    return run
 
 
-def _discounted(d: list[float]):
-    by_count = F.element_at(F.array(*[F.lit(d[r]) for r in range(1, K + 1)]), F.least(F.col("n"), F.lit(K)).cast("int"))
-    return F.when(F.col("n") <= K, by_count).otherwise(F.lit(1.0)) * F.col("n")
+def cell_of(s: Stats, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The cell of each token: by v, and for a hot v by u too."""
+    h = mix(v + np.uint64(7))
+    return (np.where(_find(s.hot, v)[1], mix(h + u), h) % np.uint64(s.cells)).astype(np.uint32)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key = _pair(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns[2:]], names=["key", "n", "log_p", "bonus"])
+#: What a cell gets from a chunk: the different v and how often each occurs, u, w, which of them are hashes, the training
+#: counts of w behind hashes, the training counts of pairs behind a hot v, and 2 * text + trained.
+MESSAGE = [np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32]
+OTHER = np.uint32(0xFFFFFFFF)  # stands for a key that follows in the list of those that do not fit 32 bits
 
 
-def _sorted(table: DataFrame) -> list[np.ndarray]:
-    """The columns of a small table, sorted by its first one as unsigned numbers."""
-    found = table.toArrow()
-    columns = [c.to_numpy() for c in found.columns]
-    columns[0] = columns[0].view(np.uint64)
-    order = np.argsort(columns[0])
-    return [c[order] for c in columns]
+def _dealt(s: Stats, scoring: bool):
+    """Chunks as messages to cells, of training tokens only or (``scoring``) of all."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(s, row)
+                pairs = np.zeros(len(c.w), np.uint64)
+                if len(c.hot):
+                    pairs[c.hot] = np.array(row["pair_counts"], np.uint64)[c.hot_at]
+                cells = cell_of(s, c.v, c.u)
+                order = np.lexsort((c.v, cells))
+                if not scoring:
+                    order = order[c.train[order]]
+                cells = cells[order]
+                ends = np.flatnonzero(np.diff(cells, append=np.uint32(s.cells)))
+                start, out = 0, []
+                for end in ends.tolist():
+                    at = order[start : end + 1]
+                    v, u, w = c.v[at], c.u[at], c.w[at]
+                    new = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+                    runs = np.diff(np.append(new, len(v))).astype(np.uint32)
+                    far_u, far_w = u >= OTHER, w >= OTHER
+                    message = _packed(v[new], runs, np.where(far_u, OTHER, u).astype(np.uint32), u[far_u], np.where(far_w, OTHER, w).astype(np.uint32), w[far_w], c.n[at][far_w].astype(np.uint32), pairs[at][_find(s.hot, v)[1]], (2 * c.text[at] + c.train[at]).astype(np.uint32) if scoring else np.empty(0, np.uint32))
+                    out.append((int(cells[end]), row["chunk"], message))
+                    start = end + 1
+                    if len(out) == 512 or end == ends[-1]:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["cell", "chunk", "message"])
+                        out = []
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    return run
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, keys array<long>, counts array<long>, gram_keys array<long>, gram_counts array<long>"
+class Cell:
+    """The n-gram tables of one cell, and the tokens that they are asked for.
 
+    Each token has u, v, w, the training count of w, and ``pair`` and ``gram``, its pair's and its trigram's places in the
+    tables; a pair has ``c2``, a trigram ``c3``, and a context the sum over what follows it.
+    """
 
-def _scored(head: Head):
-    """Score what the head knows; hand on the other words and n-grams of each text, with how often they occur in it."""
+    def __init__(self, s: Stats, table: pa.Table):
+        self.s = s
+        messages = [_unpacked(m, MESSAGE) for m in table.column("message").to_pylist()]
+        join = lambda i: np.concatenate([m[i] for m in messages])
+        self.v = np.repeat(join(0), join(1))
+
+        def keys(near: int) -> tuple[np.ndarray, np.ndarray]:
+            short = join(near)
+            out, far = short.astype(np.uint64), np.flatnonzero(short == OTHER)
+            out[far] = join(near + 1)
+            return out, far
+
+        self.u, _ = keys(2)
+        self.w, far = keys(4)
+        self.n = np.zeros(len(self.w), np.int64)
+        self.n[far] = join(6)
+        near = np.setdiff1d(np.arange(len(self.w)), far, assume_unique=True)
+        self.n[near] = s.counts[self.w[near].astype(np.int64)]
+        code = join(8)
+        self.train = (code & 1).astype(float) if len(code) else np.ones(len(self.w))
+        chunks = table.column("chunk").to_numpy()
+        self.row = np.repeat(chunks, [len(m[2]) for m in messages]) * (1 << 21) + (code >> 1) if len(code) else None
+        pair_keys = _pair(self.v, self.w)
+        _, self.pair_at, self.pair = np.unique(pair_keys, return_index=True, return_inverse=True)
+        _, self.gram_at, self.gram = np.unique(_pair(pair_keys, self.u), return_index=True, return_inverse=True)
+        self.c2, self.c3 = np.bincount(self.pair, self.train), np.bincount(self.gram, self.train)
+        self.hot = _find(s.hot, self.v)[1]
+        self.c2[self.pair[self.hot]] = join(7)
+        self.longer = self.v[self.gram_at] != START  # the others are pairs at a text's start, and no trigrams
+
+    def count_counts(self) -> pa.Table:
+        """How many pairs (order 2) and trigrams (3) occur n times, n up to K + 1; pairs behind hot words left out."""
+        made = [np.bincount(np.minimum(x, K + 2).astype(np.int64), minlength=K + 3)[1 : K + 2] for x in (self.c2[~self.hot[self.pair_at]], self.c3[self.longer])]
+        return pa.table({"ngram": np.repeat([2, 3], K + 1).astype(np.int32), "n": np.tile(np.arange(1, K + 2), 2), "times": np.concatenate(made).astype(np.int64)})
+
+    def solve(self) -> None:
+        """Probabilities of pairs and trigrams, of the modelled ones and of those that back off, order by order."""
+        s, c2, c3 = self.s, self.c2, self.c3
+        words, self.word_at, at = np.unique(self.v, return_index=True, return_inverse=True)
+        of_pair, p1, d2 = at[self.pair_at], s.word(self.n[self.pair_at]), s.discounted(c2, 2)
+        scale, self.alpha2 = weights(np.bincount(at, self.train), np.bincount(of_pair, d2), np.bincount(of_pair, np.where(c2 > 0, p1, 0.0)))
+        place, hot = _find(s.hot, words)
+        if hot.any():
+            scale[hot], self.alpha2[hot] = s.hot_scale[place[hot]], s.hot_alpha[place[hot]]
+        self.p2 = np.where(c2 > 0, d2 * scale[of_pair], self.alpha2[of_pair] * p1)
+        contexts, self.context_at, at = np.unique(_pair(self.u, self.v), return_index=True, return_inverse=True)
+        of_gram, low, d3 = at[self.gram_at], self.p2[self.pair[self.gram_at]], s.discounted(c3, 3)
+        scale, self.alpha3 = weights(np.bincount(at, self.train), np.bincount(of_gram, d3), np.bincount(of_gram, np.where(c3 > 0, low, 0.0)))
+        self.p3 = np.where(self.longer, np.where(c3 > 0, d3 * scale[of_gram], self.alpha3[of_gram] * low), low)
+
+    def scores(self) -> pa.Table:
+        self.solve()
+        rows, at = np.unique(self.row, return_inverse=True)
+        return pa.table({"row": rows, "score": np.bincount(at, np.log10(self.p3)[self.gram])})
+
+    def tables(self) -> pa.Table:
+        """The cell's part of the model: its pairs and trigrams with their probabilities, its contexts with their weights."""
+        self.solve()
+
+        def part(order: int, at: np.ndarray, u: bool, w: bool, **figures: np.ndarray) -> pa.Table:
+            names = {"u": u, "v": True, "w": w}
+            keys = {k: pa.array(_named(self.s, getattr(self, k)[at])) if on else pa.nulls(len(at), pa.int64()) for k, on in names.items()}
+            return pa.table({"ngram": pa.array(np.full(len(at), order, np.int32)), **keys, **{k: pa.array(figures[k]) if k in figures else pa.nulls(len(at), pa.float64()) for k in ("n", "log_p", "log_alpha")}})
+
+        pairs, grams, contexts = self.c2 > 0, (self.c3 > 0) & self.longer, (self.v[self.context_at] != START) & (self.alpha3 != 1)
+        return pa.concat_tables([
+            part(2, self.pair_at[pairs], False, True, n=self.c2[pairs], log_p=np.log10(self.p2[pairs])),
+            part(3, self.gram_at[grams], True, True, n=self.c3[grams], log_p=np.log10(self.p3[grams])),
+            part(1, self.word_at, False, False, log_alpha=np.log10(self.alpha2)),
+            part(2, self.context_at[contexts], True, False, log_alpha=np.log10(self.alpha3[contexts])),
+        ])
+
+
+def _named(s: Stats, keys: np.ndarray) -> np.ndarray:
+    """Keys of words as the lower 63 bits of their hashes; START has a name of its own."""
+    hashes = np.empty(len(s.hashes), np.uint64)
+    hashes[s.numbers] = s.hashes
+    out = keys.copy()
+    near = keys < len(hashes)
+    out[near] = hashes[keys[near].astype(np.int64)]
+    return np.where(keys == START, keys, out & (TOP - np.uint64(1))).view(np.int64)
+
+
+def _figures(s: Stats):
+    """Of each text of a chunk: its row, id, tokens, those of them known from training, and the add-one score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done = Hashes(), TaskContext.get().partitionId() << 33
-        whole = float(np.log10(head.tokens + head.vocabulary + 1))
-        known_base = np.log10(head.counts + 1.0) - whole
         for batch in batches:
-            tokens, sizes = _tokens(batch.column(1).to_pylist(), hashes)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            total = lambda x, r=row, n=len(sizes): np.bincount(r, x, n)
-            at, there = _find(head.words, tokens)
-            if len(head.words):
-                base, weight = np.where(there, known_base[at], 0.0), np.where(there, head.weights[at], 0.0)
-            else:
-                base = weight = np.zeros(len(tokens))
-            score = total(weight) + head.start_alpha
-            gram_rows, gram_keys = [row[:0]], [tokens[:0]]
-            for ends, before, last in _grams(tokens, sizes, head.order):
-                keys, gram_row = _pair(before, last), row[ends]
-                g_at, g_there = _find(head.grams, keys)
-                if g_there.any():
-                    score = score + np.bincount(gram_row[g_there], head.bonus[g_at[g_there]], len(sizes))
-                gram_rows.append(gram_row[~g_there])
-                gram_keys.append(keys[~g_there])
-            rest = _rest(row[~there], tokens[~there], len(sizes))
-            gram_rest = _rest(np.concatenate(gram_rows), np.concatenate(gram_keys), len(sizes))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(done + np.arange(len(sizes))), batch.column(0), pa.array(sizes), pa.array(total(there.astype(float)).astype(np.int64)), pa.array(total(base)), pa.array(score), *rest, *gram_rest,
-            ], names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "keys", "counts", "gram_keys", "gram_counts"])
-            done += len(sizes)
+            for row in batch.to_pylist():
+                c = Chunk(s, row)
+                total = lambda x, c=c: np.bincount(c.text, x, len(c.sizes))
+                base = np.log10((c.n + 1.0) / (s.tokens + s.vocabulary + 1.0))
+                yield pa.RecordBatch.from_arrays([pa.array(row["chunk"] * (1 << 21) + np.arange(len(c.sizes))), pa.array(c.docs, pa.int64()), pa.array(c.sizes), pa.array(total(c.n > 0).astype(np.int64)), pa.array(total(base))], names=["row", "doc_id", "n_tokens", "n_known", "base_score"])
 
     return run
 
 
-def _rest(row: np.ndarray, keys: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
-    """Distinct keys of each row and how often they occur, as list columns."""
-    order = np.lexsort((keys, row))
-    row, keys = row[order], keys[order]
-    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1]))) if len(row) else np.empty(0, np.int64)
-    counts = np.diff(np.append(new, len(row)))
-    offsets = pa.array(np.append(0, np.cumsum(np.bincount(row[new], minlength=rows))).astype(np.int32), pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(keys[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens, n_known, base_score and score of each text under ``model``; null texts count as empty.
+class Katz:
+    """A model of the n-grams up to order 3 of the texts that are trained on, and the scores of all texts under it.
 
-    Returns the id, n_tokens (end included), n_known (tokens seen in training), base_score (add-one unigrams) and score
-    (Katz), both log10. Rows that repeat an id are scored each on its own. A token is scored by the longest modelled n-gram
-    that ends in it, else by backing off down to the word, else to the unknown word.
+    With c counts and d discounts: P(w) = d c(w) / N for a known word, and what is left is shared equally by the words that
+    the training texts have missed, as many as Chao's estimate says; an unknown word is one of these. Of an n-gram that
+    occurs P(w | h) = d c(h w) / c(h), and else alpha(h) P(w | h'), where h' is h without its first word and alpha(h) =
+    (1 - sum of the n-grams' probabilities) / (1 - sum of P(w | h') over them); so each context's probabilities sum to 1.
+    Every n-gram counts, those that occur once too. The log of a text's probability sums over its words and its end.
 
-    Words and n-grams that the head does not hold go through one join with the tables, pre-counted for each text.
+    ``docs`` is (id, text, ...) and ``train`` a condition on its columns (null: false). Null texts count as empty; rows that
+    repeat an id are trained on and scored each on its own; without training texts every token has a probability of 1.
     """
-    tune(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = save(source.mapInArrow(_scored(model.head), SCORED), "scored")
-    rare = lambda k, n: made.select("row", F.explode(F.arrays_zip(F.col(k).alias("key"), F.col(n).alias("times"))).alias("e")).select("row", "e.*").toDF("row", "key", "times")
-    c = F.coalesce("n", F.lit(0))
-    words = rare("keys", "counts").join(model.words, "key", "left").select(
-        "row", F.when(c > 0, F.col("times")).otherwise(F.lit(0)).alias("n_known"),
-        (F.col("times") * (F.log10(c + F.lit(1.0)) - F.log10(F.lit(model.tokens + model.vocabulary + 1.0)))).alias("base_score"),
-        (F.col("times") * F.coalesce("weight", F.lit(model.log_unknown))).alias("score"),
-    )
-    none = F.lit(None).cast("long")
-    if model.grams is not None:
-        grams = rare("gram_keys", "gram_counts").join(model.grams, "key").select("row", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), (F.col("times") * F.col("weight")).alias("score"))
-        words = words.union(grams)
-    parts = made.select("row", "doc_id", "n_tokens", "n_known", "base_score", "score")
-    rest = words.select("row", none.alias("doc_id"), none.alias("n_tokens"), "n_known", "base_score", "score")
-    out = parts.union(rest).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
-    return out.drop("row")
+
+    def __init__(self, docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text"):
+        tune(docs.sparkSession)
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+        words = source.where("train").select("text").mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        self.words = save(words, "word_counts")
+        self.stats = s = self._unigrams()
+        ddl = "chunk long, docs array<long>, train array<boolean>, sizes array<int>, codes binary, tails array<long>"
+        encoded = save(source.mapInArrow(_encoded(s), ddl), "encoded")
+        asked = encoded.select("chunk", F.posexplode("tails").alias("at", "key")).join(self.words, "key", "left")
+        self.chunks = self._answered(encoded, asked.select("chunk", "at", F.coalesce("n", F.lit(0)).alias("n")), "tail_counts")
+        pairs = self._hot_pairs() if len(s.hot) else None
+        dealt = self.chunks.mapInArrow(_dealt(s, False), "cell int, chunk long, message binary")
+        times = dealt.groupBy("cell").applyInArrow(lambda t: Cell(s, t).count_counts(), "ngram int, n long, times long")
+        if pairs is not None:
+            times = times.union(pairs.where(F.col("n").between(1, K + 1)).groupBy("n").agg(F.count(F.lit(1)).alias("times")).select(F.lit(2), "n", "times"))
+        found = {(r.ngram, r.n): r.times for r in times.groupBy("ngram", "n").agg(F.sum("times").alias("times")).collect()}
+        s.discount += [discounts({n: found.get((order, n), 0) for n in range(1, K + 2)}) for order in (2, 3)]
+        if pairs is not None:
+            self._hot_weights(pairs)
+            drop(pairs)
+
+    def _unigrams(self) -> Stats:
+        tokens, vocabulary = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        n = {r.n: r.c for r in self.words.where(F.col("n") <= K + 1).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+        d = discounts(n)
+        left = sum(n.get(r, 0) * r * (1 - d[r]) for r in range(1, K + 1)) / max(tokens, 1)
+        scale = 1.0
+        if left <= 0:  # nothing was discounted: make room for one token
+            scale = left = tokens / (tokens + 1) if tokens else 1.0
+            left = 1 - scale if tokens else 1.0
+        head = self.words.where(F.col("n") >= tokens / 2**HEAD).toArrow()
+        hashes, counts = head.column("key").to_numpy().view(np.uint64), head.column("n").to_numpy()
+        rank = np.lexsort((hashes, -counts))
+        numbers = np.empty(len(rank), np.uint32)
+        numbers[rank] = np.arange(len(rank), dtype=np.uint32)
+        order = np.argsort(hashes)
+        ending = _find(hashes[order], np.array([END], np.uint64))
+        end = int(order[ending[0][0]]) if ending[1][0] else -1
+        texts = int(counts[end]) if end >= 0 else 0
+        hot = np.flatnonzero(counts[rank] > CELL).astype(np.uint64)  # an end is no context; a start is, as often
+        hot = np.append(hot[hot != numbers[end]] if end >= 0 else hot, START if texts > CELL else []).astype(np.uint64)
+        return Stats(hashes[order], numbers[order], counts[rank], tokens, vocabulary, max(1, -(-2 * tokens // CELL)), left / unseen_types(n), scale / max(tokens, 1), [d], hot)
+
+    def _answered(self, chunks: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+        """``chunks`` with the array ``name`` of the counts in ``rows`` (chunk, at, n), by place; the old table goes."""
+        lists_ = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("e")).select("chunk", F.col("e.n").alias(name))
+        made = save(chunks.join(lists_, "chunk", "left"), name)
+        drop(chunks)
+        return made
+
+    def _hot_pairs(self) -> DataFrame:
+        """(v, key, word_n, n): the pairs behind hot words with their training counts, which the chunks are told."""
+        met = save(self.chunks.mapInArrow(_hot_pairs(self.stats), "chunk long, at int, key long, v long, word_n long, n long"), "hot_met")
+        pairs = save(met.groupBy("v", "key", "word_n").agg(F.sum("n").alias("n")), "hot_pairs")
+        self.chunks = self._answered(self.chunks, met.select("chunk", "at", "key").join(pairs.select("key", "n"), "key").select("chunk", "at", "n"), "pair_counts")
+        drop(met)
+        return pairs
+
+    def _hot_weights(self, pairs: DataFrame) -> None:
+        s = self.stats
+        dealt = lambda n, order: F.when(n <= K, F.element_at(F.array(*[F.lit(x) for x in s.discount[order - 1]]), n.cast("int") + 1)).otherwise(1.0) * n
+        sums = pairs.where("n > 0").groupBy("v").agg(F.sum("n").alias("c"), F.sum(dealt(F.col("n"), 2)).alias("p"), F.sum(dealt(F.col("word_n"), 1) * s.unigram_scale).alias("q")).collect()  # a row for each hot word
+        by_word = {r.v: r for r in sums}
+        rows = [by_word[int(x)] for x in s.hot]
+        s.hot_scale, s.hot_alpha = weights(*(np.array([r[k] for r in rows], float) for k in ("c", "p", "q")))
+
+    def score(self) -> DataFrame:
+        """The id, n_tokens (end included), n_known (tokens seen in training), base_score (add-one) and score, both log10.
+
+        A token is scored by its trigram, else by backing off to its pair, else to the word, in the cell of its context.
+        """
+        s = self.stats
+        dealt = self.chunks.mapInArrow(_dealt(s, True), "cell int, chunk long, message binary")
+        parts = dealt.groupBy("cell").applyInArrow(lambda t: Cell(s, t).scores(), "row long, score double")
+        figures = self.chunks.mapInArrow(_figures(s), "row long, doc_id long, n_tokens long, n_known long, base_score double")
+        columns = figures.columns[1:]
+        rows = figures.withColumn("score", F.lit(0.0)).unionByName(parts, allowMissingColumns=True)
+        return rows.groupBy("row").agg(*[F.max(c).alias(c) for c in columns], F.sum("score").alias("score")).drop("row")
+
+    def tables(self) -> DataFrame:
+        """The model's tables, to be written with partitionBy("ngram"): (ngram, u, v, w, n, log_p, log_alpha).
+
+        A row with a w is a pair or trigram; one without is a context of ``ngram`` words, its backoff weight in log_alpha.
+        Words are named by the lower 63 bits of their hashes.
+        """
+        s = self.stats
+        dealt = self.chunks.mapInArrow(_dealt(s, False), "cell int, chunk long, message binary")
+        made = dealt.groupBy("cell").applyInArrow(lambda t: Cell(s, t).tables(), "ngram int, u long, v long, w long, n double, log_p double, log_alpha double")
+        return made.dropDuplicates(["ngram", "u", "v", "w"])  # pairs of hot words are in several cells

@@ -35,9 +35,8 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     out = fold(F.col("doc_id"), 7) == 2
-    model = katz.Model(docs.where(~out).select("text"), order=3)
-    scored = katz.score(docs, model)
-    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model = katz.Katz(docs, ~out)
+    return model.score().select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _classifier(spark: SparkSession, sf_dir: str) -> quality.Classifier:

@@ -147,59 +147,17 @@ def test_pages_of_the_fixture(spark):
         assert found[r.page_id] == "\n".join(b for b in blocks if b)
 
 
-@pytest.mark.parametrize(("head", "frequent"), [(22, 17), (6, 5)])
-def test_katz(spark, texts, monkeypatch, head, frequent):
-    monkeypatch.setattr(katz, "HEAD", head)
-    monkeypatch.setattr(katz, "FREQUENT", frequent)
-    docs = frame(spark, texts)
-    held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 7 == 2}
-    model = katz.Model(docs.where(fold(F.col("doc_id"), 7) != 2).select("text"))
-    found = {r.doc_id: r for r in katz.score(docs, model).collect()}
-    train = [[*words(t), None] for i, t in texts if i not in held]
-    unigram = collections.Counter(w for t in train for w in t)
-    pairs = collections.Counter(p for t in train for p in zip([0, *t[:-1]], t, strict=True))
-    n, v = sum(unigram.values()), len(unigram)
-    assert (model.tokens, model.vocabulary) == (n, v)
-    discount = katz.discounts(collections.Counter(unigram.values()))
-    p = lambda w: (discount[unigram[w]] if unigram[w] <= katz.K else 1) * unigram[w] / n if unigram[w] else 10**model.log_unknown
-    assert sum(map(p, unigram)) + 10**model.log_unknown == pytest.approx(1)
-    often = {w for w, c in unigram.items() if c >= n / 2**frequent} | {0}
-    pairs = {k: c for k, c in pairs.items() if k[0] in often and k[1] in often}
-    discount2 = katz.discounts(collections.Counter(pairs.values()))
-    after: dict = collections.defaultdict(dict)
-    for (a, b), c in pairs.items():
-        if c >= katz.CUTOFF:
-            after[a][b] = (discount2[c] if c <= katz.K else 1) * c / (unigram[a] if a != 0 else len(train))
-    back = {}
-    for a, follow in after.items():
-        c, whole = (unigram[a] if a != 0 else len(train)), sum(follow.values())
-        for b in follow:
-            follow[b] *= min(1, c / (c + 1) / whole)
-        back[a] = (1 - sum(follow.values())) / (1 - sum(map(p, follow)))
-    for a, follow in after.items():  # each context's probabilities sum to one
-        assert sum(follow.values()) + back[a] * (1 - sum(map(p, follow))) == pytest.approx(1)
-    for i, t in texts:
-        w = [*words(t), None]
-        base = sum(math.log10((unigram[x] + 1) / (n + v + 1)) for x in w)
-        score = sum(math.log10(after[a][b] if b in after.get(a, {}) else back.get(a, 1) * p(b)) for a, b in zip([0, *w[:-1]], w, strict=True))
-        assert (found[i].n_tokens, found[i].n_known) == (len(w), sum(x in unigram for x in w))
-        assert found[i].base_score == pytest.approx(base) and found[i].score == pytest.approx(score)
-
-
-@pytest.mark.parametrize("head", [22, 3])
-def test_katz_keeps_every_gram(spark, monkeypatch, head):
-    """Words far below one in 2**17 tokens, grams that occur once, and trigrams count; contexts of both orders sum to one."""
-    monkeypatch.setattr(katz, "HEAD", head)
-    rng = random.Random(8)
-    texts = [(i, " ".join(rng.choices("abcdefg", k=12))) for i in range(30)] + [(30, "rare words once"), (31, "the " * 270_000)]
-    held = [(40, "rare words once"), (41, "rare words twice"), (42, "a b c d"), (43, "words rare once"), (44, None)]
-    found = {r.doc_id: r.score for r in katz.score(frame(spark, held), katz.Model(frame(spark, texts).select("text"), order=3)).collect()}
-    train = [[0, *words(t), None] for _, t in texts]
+def katz_by_definition(train):
+    """P(w | h) and the backoff weights of texts (lists of words, None at the end), and the number of unseen words."""
     count = [collections.Counter(tuple(t[i : i + k]) for t in train for i in range(1 if k == 1 else 0, len(t) - k + 1)) for k in (1, 2, 3)]
-    n, d = sum(count[0].values()), [katz.discounts(collections.Counter(c.values())) for c in count]
+    of = [collections.Counter(c.values()) for c in count]
+    n, d = sum(count[0].values()), [katz.discounts(c) for c in of]
     dealt = lambda c, k: (d[k][c] if c <= katz.K else 1) * c
     one = {g: dealt(c, 0) / n for g, c in count[0].items()}
-    unknown, tables, back = 1 - sum(one.values()), [one], {}
+    if (left := 1 - sum(one.values())) < 1e-12:
+        one, left = {g: p * n / (n + 1) for g, p in one.items()}, 1 / (n + 1)
+    types = katz.unseen_types(of[0])
+    tables, back = [one], {}
     for k in (1, 2):
         after: dict = collections.defaultdict(dict)
         for g, c in count[k].items():
@@ -216,20 +174,58 @@ def test_katz_keeps_every_gram(spark, monkeypatch, head):
     def chance(g):
         if g in tables[len(g) - 1]:
             return tables[len(g) - 1][g]
-        return unknown if len(g) == 1 else back.get(g[:-1], 1) * chance(g[1:])
+        return left / types if len(g) == 1 else back.get(g[:-1], 1) * chance(g[1:])
+
+    return chance, count, types, back
 
-    vocabulary = [g[0] for g in one]
-    for h in [(0,), ("rare",), ("a",), ("a", "b"), ("rare", "words"), ("once", "a")]:
-        assert sum(chance((*h, w)) for w in vocabulary) + chance((*h, "unseen")) == pytest.approx(1)
-    for i, t in held:
+
+@pytest.mark.parametrize(("head", "chunk", "cell"), [(22, 1 << 20, 1 << 20), (3, 300, 100), (6, 1000, 400)])
+def test_katz(spark, texts, monkeypatch, head, chunk, cell):
+    """Every n-gram counts, rare words and such that occur once too; heads, chunks, cells and hot words of any size agree."""
+    for name, value in (("HEAD", head), ("CHUNK", chunk), ("CELL", cell)):
+        monkeypatch.setattr(katz, name, value)
+    rng = random.Random(8)
+    more = [(100 + i, " ".join(rng.choices("abcdefg", k=12))) for i in range(30)] + [(140, "rare words once"), (141, "the " * 3000), (142, "rare words twice"), (143, "a b c d"), (144, "words rare once"), (145, "zz yy the xx")]
+    rows = [*texts, *more, (texts[0][0], texts[0][1])]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2 or i > 141
+    model = katz.Katz(frame(spark, rows), (fold(F.col("doc_id"), 7) != 2) & (F.col("doc_id") <= 141))
+    train = [[0, *words(t), None] for i, t in rows if not held(i)]
+    chance, count, types, back = katz_by_definition(train)
+    n, v = sum(count[0].values()), len(count[0])
+    assert (model.stats.tokens, model.stats.vocabulary) == (n, v) and (len(model.stats.hot) > 0) == (cell < 1 << 20)
+    vocabulary = [g[0] for g in count[0]]
+    for h in [(0,), (b"rare",), (b"a",), (b"a", b"b"), (b"rare", b"words"), (b"once", b"a"), (b"the",)]:
+        assert sum(chance((*h, w)) for w in vocabulary) + types * chance((*h, "unseen")) == pytest.approx(1)
+    found = collections.defaultdict(list)
+    for r in model.score().collect():
+        found[r.doc_id].append(r)
+    assert len(found[texts[0][0]]) == 2 and sum(map(len, found.values())) == len(rows)
+    for i, t in rows:
         w = [0, *words(t), None]
-        assert found[i] == pytest.approx(sum(math.log10(chance(tuple(w[max(0, j - 2) : j + 1]))) for j in range(1, len(w))))
+        for r in found[i]:
+            assert (r.n_tokens, r.n_known) == (len(w) - 1, sum((x,) in count[0] for x in w[1:]))
+            assert r.base_score == pytest.approx(sum(math.log10((count[0][x,] + 1) / (n + v + 1)) for x in w[1:]))
+            assert r.score == pytest.approx(sum(math.log10(chance(tuple(w[max(0, j - 2) : j + 1]))) for j in range(1, len(w))))
+    tables = model.tables().collect()
+    for order in (2, 3):
+        assert sorted((r.n, round(r.log_p, 6)) for r in tables if r.ngram == order and r.w is not None) == sorted((c, round(math.log10(chance(g)), 6)) for g, c in count[order - 1].items())
+    weights = sorted(round(r.log_alpha, 6) for r in tables if r.w is None and abs(r.log_alpha) > 1e-6)
+    assert weights == sorted(round(math.log10(x), 6) for x in back.values() if abs(math.log10(x)) > 1e-6)
+
+
+def test_katz_ranks_gibberish_below_prose(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", "and", "dog", "ran", f"name{rng.randint(0, 400)}"], k=60))
+    rows = [(i, prose()) for i in range(80)] + [(100, " ".join(f"qx{i}zv" for i in range(60))), (101, prose())]
+    found = {r.doc_id: r.score / r.n_tokens for r in katz.Katz(frame(spark, rows), F.col("doc_id") < 80).score().collect()}
+    assert found[100] < found[101] - 1 and found[101] < found[0]
 
 
 def test_katz_without_training(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
-    found = {r.doc_id: r for r in katz.score(docs, katz.Model(docs.limit(0).select("text"))).collect()}
+    found = {r.doc_id: r for r in katz.Katz(docs, F.lit(None).cast("boolean")).score().collect()}
     assert found[1].score == found[1].base_score == 0 and found[2].n_tokens == 1
+    assert katz.Katz(frame(spark, []), F.lit(True)).score().count() == 0
 
 
 def test_quality(spark):
