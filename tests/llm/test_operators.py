@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parcelworks.llm import html_text, jaccard, katz, packing, quality, queries, secrets_scan, sentencepiece_bpe, topk, urls, winnow
@@ -272,29 +273,62 @@ def test_urls_of_deep_sections_and_word_slugs(spark):
     assert {found[i].template for i in range(80)} == {"*/*/*/*/good/*/*", "*/*/*/*/poor/*/*"} and len({found[1000 + i].template for i in range(400)}) == 1
 
 
-def test_winnowing(spark, texts):
-    k, window = 3, 4
-    docs = frame(spark, [*texts, (None, "last of all")])
-    for per_slice in (1000, 9):
-        nexts = {r.doc_id: (r.text, r.next_text) for r in winnow.with_next(docs, rows_per_slice=per_slice).collect()}
-        ordered = [(i, t or "") for i, t in sorted(texts, reverse=True)] + [(None, "last of all")]
-        assert nexts == {i: (t, ordered[(j + 1) % len(ordered)][1]) for j, (i, t) in enumerate(ordered)}
+def winnowed(text, k, window):
+    """Positions and hashes in plain Python: cyclic polynomials of the units' hashes, the rightmost least of each window."""
+    whole = (1 << 64) - 1
+    rotate = lambda x, n: ((x << n) | (x >> (64 - n))) & whole if n else x
+    wide = "\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+    units = re.findall(rf"[{wide}]|[^\x09-\x0d\x20{wide}]+", (text or "").lower())
+    hashes = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
+    grams = []
+    for i in range(len(hashes) - k + 1):
+        value = 0
+        for h in hashes[i : i + k]:
+            value = rotate(value, 1) ^ h
+        grams.append(xxhash.xxh64_intdigest(value.to_bytes(8, "little"), 42))
+    if hashes and not grams:
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        grams = [seed]
+    signed = [g - (1 << 64) if g >> 63 else g for g in grams]
+    picks = []
+    for s in range(max(len(signed) - window, 0) + 1) if signed else []:
+        least = min(g >> 28 for g in signed[s : s + window])
+        at = max(j for j in range(s, min(s + window, len(signed))) if signed[j] >> 28 == least)
+        if at not in picks:
+            picks.append(at)
+    return [(at, signed[at]) for at in picks]
+
+
+@pytest.mark.parametrize(("k", "window"), [(3, 4), (5, 12), (1, 1)])
+def test_winnowing(spark, texts, k, window):
+    rows = [*texts, (500, "漢字かな交じり文を長く書いてみる。" * 3), (501, "long " * 20_000), (502, "tie tie tie tie tie tie tie tie tie")]
+    docs = frame(spark, [*rows, (None, "last of all")])
     found = {r.doc_id: r for r in winnow.fingerprinted(docs, k=k, window=window).collect()}
-    grams = {r.doc_id: r.g for r in docs.select("doc_id", winnow._grams(F.coalesce("text", F.lit("")), k).alias("g")).collect()}
-    for i, g in grams.items():
-        picks = []
-        for s in range(max(len(g) - window, 0) + 1) if g else []:
-            part = g[s : s + window]
-            at = s + max(j for j, x in enumerate(part) if x == min(part))
-            if at not in picks:
-                picks.append(at)
-        assert [(m.pos, m.hash) for m in found[i].marks] == [(at, g[at]) for at in picks]
-    for i, (text, following) in nexts.items():
+    ordered = [(i, t or "") for i, t in sorted(rows, reverse=True)] + [(None, "last of all")]
+    likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for j, (i, text) in enumerate(ordered):
+        following = ordered[(j + 1) % len(ordered)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
+        marks, edited_marks = winnowed(text, k, window), winnowed(edited, k, window)
+        assert [tuple(m) for m in found[i].marks] == marks and [tuple(m) for m in found[i].edited_marks] == edited_marks
         assert found[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and found[i].n_chars == len(text)
-        assert 0 <= found[i].near_edited <= 1
-    assert found[0].marks == found[40].marks
+        hashes = lambda m: {h for _, h in m}
+        assert found[i].near_edited == pytest.approx(likeness(hashes(marks), hashes(edited_marks)))
+        assert found[i].near_next == pytest.approx(likeness(hashes(marks), hashes(winnowed(following, k, window))))
+    assert found[0].marks == found[40].marks and len(found) == len(ordered)
+
+
+def test_next_rows(spark, texts):
+    ordered = [(i, t or "") for i, t in sorted(texts, reverse=True)] + [(None, "last of all")]
+    docs = frame(spark, ordered).select("doc_id", "text")
+    for per_slice in (1000, 9, 1):
+        nexts = {r.doc_id: (r.text, r.next_text) for r in winnow.with_next(docs, ["text"], rows_per_slice=per_slice).collect()}
+        assert nexts == {i: (t, ordered[(j + 1) % len(ordered)][1]) for j, (i, t) in enumerate(ordered)}
+    twice = [r.next_text for r in winnow.with_next(frame(spark, [(1, "b"), (1, "a"), (2, "c")]), ["text"], rows_per_slice=1).orderBy(F.col("doc_id").desc(), "text").collect()]
+    assert twice == ["a", "b", "c"]
     assert winnow.fingerprinted(frame(spark, [])).count() == 0
 
 
