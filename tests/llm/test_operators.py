@@ -270,7 +270,74 @@ def test_urls_of_deep_sections_and_word_slugs(spark):
     rows += [(1000 + i, f"http://s.example.edu/blog/title-{name(i)}") for i in range(400)]
     found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "page_id long, label int")).collect()}
     assert all(found[i].verdict == ("allow" if i % 2 else "block") for i in range(80))
-    assert {found[i].template for i in range(80)} == {"*/*/*/*/good/*/*", "*/*/*/*/poor/*/*"} and len({found[1000 + i].template for i in range(400)}) == 1
+    assert {found[i].template for i in range(80)} == {"a/b/c/d/good/x/*", "a/b/c/d/poor/x/*"} and len({found[1000 + i].template for i in range(400)}) == 1
+
+
+def test_urls_without_labels_rows_or_sense(spark):
+    kind = "page_id long, url string, host string, label int, n long"
+    rows = [(1, "http://h.example.edu/a/1", "c", 0, 5), (1, "http://h.example.edu/a/1", "c", 0, 5), (None, "http://h.example.edu/a/2", "c", 0, 5), (2, "http://h.example.edu" + "/d" * 400, "c", 0, 5), (3, None, None, None, None), (4, "://", "c", 0, 5)]
+    nothing = spark.createDataFrame([], "page_id long, label int")
+    found = urls.judge(spark.createDataFrame(rows, kind), nothing).collect()
+    assert len(found) == len(rows) and {r.verdict for r in found} == {"allow"} and {r.purity for r in found} == {1.0}
+    assert urls.judge(spark.createDataFrame([], kind), nothing).count() == 0
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 7)], "page_id long, label int")
+    assert {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, kind), labels).collect()}[1] == "block"  # the least label counts
+
+
+def test_url_tree_by_definition(spark):
+    """Templates and purities against a tree that is grown and merged in plain Python, place by place."""
+    rng = random.Random(12)
+    rows, labels = [], {}
+    for i in range(600):
+        section, sub = rng.choice("abcd"), rng.choice(["x", "y", "z"])
+        tail = "".join(rng.choices("klmno", k=4)) if section == "a" else f"p{rng.randint(0, 99)}" if section == "b" else rng.choice(["one", "two"])
+        rows.append((i, f"http://h{i % 2}.example.edu/{section}/{sub}/{tail}" + ("/end" if rng.random() < 0.2 else "")))
+        if rng.random() < 0.5 and section != "d":
+            labels[i] = int(rng.random() < {"x": 0.1, "y": 0.15, "z": 0.9}[sub])
+    found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, label int")).collect()}
+    now = {}
+    for i, u in rows:
+        host, *path = u[7:].split("/")
+        now[i] = (host, *[re.sub(r"\d+", "*", s) for s in path])
+    for d in range(1, 5):
+        places = collections.defaultdict(set)
+        for t in now.values():
+            if len(t) > d:
+                places[len(t), t[:d]].add(t[d])
+        now = {i: (*t[:d], "*", *t[d + 1 :]) if len(t) > d and len(places[len(t), t[:d]]) > urls.BRANCHES else t for i, t in now.items()}
+    for d in (4, 3, 2, 1):
+        places = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0]))
+        for i, t in now.items():
+            if len(t) > d:
+                count = places[t[:d], t[d + 1 :]][t[d]]
+                count[0] += i in labels
+                count[1] += labels.get(i, 0)
+        moved = {}
+        for place, siblings in places.items():
+            groups = [({s}, *x) for s, x in siblings.items()]
+            while True:
+                apart = []
+                for a in range(len(groups)):
+                    for b in range(a):
+                        (_, l1, g1), (_, l2, g2) = groups[a], groups[b]
+                        if l1 and l2:
+                            p = (g1 + g2 + 1) / (l1 + l2 + 2)
+                            apart.append((abs(g1 / l1 - g2 / l2) / math.sqrt(p * (1 - p) * (1 / l1 + 1 / l2)), a, b))
+                if not apart or min(apart)[0] > urls.SIMILAR:
+                    break
+                _, a, b = min(apart)
+                one, two = groups.pop(a), groups.pop(b)
+                groups.append((one[0] | two[0], one[1] + two[1], one[2] + two[2]))
+            for names, _, _ in groups:
+                for s in names:
+                    moved[place, s] = s if len(names) == 1 else "*" if len(names) == len(siblings) else "|".join(sorted(names))
+        now = {i: (*t[:d], moved[(t[:d], t[d + 1 :]), t[d]], *t[d + 1 :]) if len(t) > d else t for i, t in now.items()}
+    share = sum(labels.values()) / len(labels)
+    for i, t in now.items():
+        mine = [labels[j] for j in labels if now[j] == t]
+        purity = (sum(mine) + urls.PRIOR * share) / (len(mine) + urls.PRIOR)
+        assert found[i].template == "/".join(t[1:]) and found[i].purity == pytest.approx(purity) and found[i].verdict == ("block" if purity < urls.PURE else "allow")
+    assert {r.verdict for r in found.values()} == {"allow", "block"}
 
 
 def winnowed(text, k, window):
