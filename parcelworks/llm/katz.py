@@ -103,6 +103,15 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a) + b * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different key, by key, and the number of the key at each place."""
+    order = np.argsort(keys)
+    new = np.append(True, np.diff(keys[order]) != 0) if len(keys) else np.empty(0, bool)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def _tokens(texts: list, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of the texts, each text's end token included, and the number of tokens of each text."""
     parts, sizes = [], []
@@ -132,67 +141,56 @@ def _unpacked(data: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, held = Hashes(), []
+CHUNKS = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as chunks: the hashes of a chunk's different words, how often each is in training texts, and for each token the
+    place of its word there."""
+    hashes, chunk = Hashes(), TaskContext.get().partitionId() << 20
+    held: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+        tokens, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        docs, train = ([x for h in held for x in h[i]] for i in (2, 3))
+        at, codes = _alike(tokens)
+        times = np.bincount(codes, np.repeat(train, sizes), len(at)).astype(np.int64)
+        rank = np.argsort(-np.bincount(codes))  # frequent words first: small codes
+        place = np.empty(len(at), np.uint32)
+        place[rank] = np.arange(len(at), dtype=np.uint32)
+        values = [[chunk], [docs], [train], [sizes.tolist()], [_packed(place[codes])]]
+        listed = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(x)) for x in (tokens[at][rank].view(np.int64), times[rank].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*(pa.array(v, f.type) for v, f in zip(values, CHUNKS)), *listed], schema=CHUNKS)
 
     for batch in batches:
-        held.append(_tokens(batch.column(0).to_pylist(), hashes)[0])
-        if sum(map(len, held)) > 2 * CHUNK:
+        tokens, sizes = _tokens(batch.column(1).to_pylist(), hashes)
+        held.append((tokens, sizes, batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+        if sum(len(h[0]) for h in held) > CHUNK:
             yield flush()
-            held = []
-    if held:
+            held, chunk = [], chunk + 1
+    if any(len(h[1]) for h in held):
         yield flush()
 
 
-CHUNKS = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("tails", pa.list_(pa.int64()))])
-
-
-def _encoded(s: Stats):
-    """Texts as chunks of token codes: the number of a head word, or the head's size plus the place in the chunk's own list
-    of other words' hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, chunk = Hashes(), TaskContext.get().partitionId() << 20
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            tokens, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            at, known = _find(s.hashes, tokens)
-            tails, place = np.unique(tokens[~known], return_inverse=True)
-            codes = s.numbers[at] if len(s.hashes) else np.zeros(len(tokens), np.uint32)
-            codes[~known] = (len(s.hashes) + place).astype(np.uint32)
-            docs, train = ([x for h in held for x in h[i]] for i in (2, 3))
-            values = [[chunk], [docs], [train], [sizes.tolist()], [_packed(codes)], [tails.view(np.int64).tolist()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, CHUNKS, strict=True)], schema=CHUNKS)
-
-        for batch in batches:
-            tokens, sizes = _tokens(batch.column(1).to_pylist(), hashes)
-            held.append((tokens, sizes, batch.column(0).to_pylist(), batch.column(2).to_pylist()))
-            if sum(len(h[0]) for h in held) > CHUNK:
-                yield flush()
-                held, chunk = [], chunk + 1
-        if any(len(h[1]) for h in held):
-            yield flush()
-
-    return run
-
-
 class Chunk:
     """A chunk's tokens: for each its key, its word's training count, its text's place in the chunk, whether that is trained
     on, and the keys of the two words before it."""
 
-    def __init__(self, s: Stats, row: dict):
-        self.docs, self.trained = row["docs"], np.array(row["train"], bool)
-        self.sizes = np.array(row["sizes"], np.int64)
-        codes = _unpacked(row["codes"], [np.uint32])[0].astype(np.int64)
-        head = len(s.hashes)
-        keys = np.concatenate([np.arange(head, dtype=np.uint64), np.array(row["tails"], np.int64).view(np.uint64) | TOP])
-        counts = np.concatenate([s.counts, np.array(row["tail_counts"] or [], np.int64)])
-        self.w, self.n = keys[codes], counts[codes]
+    def __init__(self, s: Stats, chunk: pa.RecordBatch):
+        cell = lambda name: chunk.column(chunk.schema.get_field_index(name))[0]
+        column = lambda name: cell(name).values.to_numpy(zero_copy_only=False) if cell(name).is_valid else np.empty(0, np.int64)
+        self.number, self.docs, self.trained, self.sizes = cell("chunk").as_py(), cell("docs").values, column("train").astype(bool), column("sizes").astype(np.int64)
+        self.hashes = column("words").view(np.uint64)
+        codes = _unpacked(cell("codes").as_py(), [np.uint32])[0]
+        at, near = _find(s.hashes, self.hashes)
+        keys, counts = self.hashes | TOP, np.zeros(len(self.hashes), np.int64)
+        keys[near] = s.numbers[at[near]]
+        counts[near] = s.counts[keys[near].astype(np.int64)]
+        self.far = np.flatnonzero(~near)  # words that the head lacks: their counts are told
+        told = chunk.schema.get_field_index("word_counts") >= 0
+        if told and len(self.far):
+            counts[self.far] = column("word_counts")
+        self.codes, self.w, self.n = codes, keys[codes], counts[codes]
         self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = self.trained[self.text]
         starts = np.cumsum(self.sizes) - self.sizes
@@ -200,22 +198,35 @@ class Chunk:
         self.v[starts] = START
         self.u = np.append(NONE, self.v[:-1])
         self.u[starts] = NONE
-        hot = _find(s.hot, self.v)[1]
-        self.hot = np.flatnonzero(hot)
-        self.hot_keys, at, self.hot_at = np.unique(_pair(self.v[hot], self.w[hot]), return_index=True, return_inverse=True)
-        self.hot_rows = self.hot[at]  # a token of each different pair behind a hot word, by the pair's key
+        self.is_hot = _hot(s, self.v)
+        hot = np.flatnonzero(self.is_hot)
+        pairs = _pair(self.v[hot], self.w[hot])
+        at, self.pair = _alike(pairs)  # the different pairs behind a hot word, by key, and that of each such token
+        self.pair_keys, self.pair_at = pairs[at], hot[at]
+        self.pair_times = np.bincount(self.pair, self.train[hot], len(at)).astype(np.int64)
+        self.pair_counts = column("pair_counts")[self.pair] if told and len(hot) else np.empty(0, np.int64)
+
 
+def _hot(s: Stats, v: np.ndarray) -> np.ndarray:
+    return _find(s.hot, v)[1] if len(s.hot) else np.zeros(len(v), bool)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
 
-def _hot_pairs(s: Stats):
-    """The different pairs behind hot words of each chunk, with how often they occur in its training texts."""
+
+def _asked(s: Stats):
+    """What a chunk must be told: counts of the words that the head lacks, and of the pairs behind hot words, which come with
+    how often they occur in the chunk's training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(s, row)
-                times = np.bincount(c.hot_at, c.train[c.hot], len(c.hot_keys)).astype(np.int64)
-                n = len(c.hot_keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["chunk"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(c.hot_keys.view(np.int64)), pa.array(c.v[c.hot_rows].view(np.int64)), pa.array(c.n[c.hot_rows]), pa.array(times)], names=["chunk", "at", "key", "v", "word_n", "n"])
+        for row in _chunks(batches):
+            c = Chunk(s, row)
+            n, m = len(c.far), len(c.pair_keys)
+            columns = (np.full(n + m, c.number), np.arange(n + m) >= n, np.append(np.arange(n), np.arange(m)).astype(np.int32), np.append(c.hashes[c.far], c.pair_keys).view(np.int64), np.append(np.zeros(n, np.uint64), c.v[c.pair_at]).view(np.int64), np.append(np.zeros(n, np.uint64), c.hashes[c.codes[c.pair_at]]).view(np.int64), np.append(np.zeros(n, np.int64), c.pair_times))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["chunk", "hot", "at", "key", "v", "word", "n"])
 
     return run
 
@@ -223,7 +234,7 @@ def _hot_pairs(s: Stats):
 def cell_of(s: Stats, v: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The cell of each token: by v, and for a hot v by u too."""
     h = mix(v + np.uint64(7))
-    return (np.where(_find(s.hot, v)[1], mix(h + u), h) % np.uint64(s.cells)).astype(np.uint32)
+    return ((np.where(_hot(s, v), mix(h + u), h) if len(s.hot) else h) % np.uint64(s.cells)).astype(np.uint32)
 
 
 #: What a cell gets from a chunk: the different v and how often each occurs, u, w, which of them are hashes, the training
@@ -236,31 +247,32 @@ def _dealt(s: Stats, scoring: bool):
     """Chunks as messages to cells, of training tokens only or (``scoring``) of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(s, row)
-                pairs = np.zeros(len(c.w), np.uint64)
-                if len(c.hot):
-                    pairs[c.hot] = np.array(row["pair_counts"], np.uint64)[c.hot_at]
-                cells = cell_of(s, c.v, c.u)
-                order = np.lexsort((c.v, cells))
-                if not scoring:
-                    order = order[c.train[order]]
-                cells = cells[order]
-                ends = np.flatnonzero(np.diff(cells, append=np.uint32(s.cells)))
-                start, out = 0, []
-                for end in ends.tolist():
-                    at = order[start : end + 1]
-                    v, u, w = c.v[at], c.u[at], c.w[at]
-                    new = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-                    runs = np.diff(np.append(new, len(v))).astype(np.uint32)
-                    far_u, far_w = u >= OTHER, w >= OTHER
-                    message = _packed(v[new], runs, np.where(far_u, OTHER, u).astype(np.uint32), u[far_u], np.where(far_w, OTHER, w).astype(np.uint32), w[far_w], c.n[at][far_w].astype(np.uint32), pairs[at][_find(s.hot, v)[1]], (2 * c.text[at] + c.train[at]).astype(np.uint32) if scoring else np.empty(0, np.uint32))
-                    out.append((int(cells[end]), row["chunk"], message))
-                    start = end + 1
-                    if len(out) == 512 or end == ends[-1]:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["cell", "chunk", "message"])
-                        out = []
+        for row in _chunks(batches):
+            c = Chunk(s, row)
+            pairs = np.zeros(len(c.w), np.uint64)
+            pairs[c.is_hot] = c.pair_counts.astype(np.uint64)
+            of = slice(None) if scoring else np.flatnonzero(c.train)
+            v, u, w, n, pairs, hot = c.v[of], c.u[of], c.w[of], c.n[of], pairs[of], c.is_hot[of]
+            cells = cell_of(s, v, u)
+            order = np.argsort(cells.astype(np.uint64) << np.uint64(32) | mix(v) >> np.uint64(32))  # tokens of one v in a run
+            cells, v, u, w, n, pairs, hot = (x[order] for x in (cells, v, u, w, n, pairs, hot))
+            code = (2 * c.text + c.train)[of][order].astype(np.uint32)
+            far_u, far_w = u >= OTHER, w >= OTHER
+            near_u, near_w = (np.where(far, OTHER, x).astype(np.uint32) for far, x in ((far_u, u), (far_w, w)))
+            new = np.append(True, v[1:] != v[:-1])
+            ends = np.flatnonzero(np.diff(cells, append=np.uint32(s.cells))) + 1
+            start, out = 0, []
+            for end in ends.tolist():
+                at = slice(start, end)
+                new[start] = True
+                heads = start + np.flatnonzero(new[at])
+                runs = np.diff(heads, append=end).astype(np.uint32)
+                message = _packed(v[heads], runs, near_u[at], u[at][far_u[at]], near_w[at], w[at][far_w[at]], n[at][far_w[at]].astype(np.uint32), pairs[at][hot[at]], code[at] if scoring else code[:0])
+                out.append((int(cells[start]), c.number, message))
+                start = end
+                if len(out) == 512 or end == ends[-1]:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["cell", "chunk", "message"])
+                    out = []
 
     return run
 
@@ -276,31 +288,32 @@ class Cell:
         self.s = s
         messages = [_unpacked(m, MESSAGE) for m in table.column("message").to_pylist()]
         join = lambda i: np.concatenate([m[i] for m in messages])
-        self.v = np.repeat(join(0), join(1))
-
-        def keys(near: int) -> tuple[np.ndarray, np.ndarray]:
-            short = join(near)
-            out, far = short.astype(np.uint64), np.flatnonzero(short == OTHER)
-            out[far] = join(near + 1)
-            return out, far
-
-        self.u, _ = keys(2)
-        self.w, far = keys(4)
-        self.n = np.zeros(len(self.w), np.int64)
-        self.n[far] = join(6)
-        near = np.setdiff1d(np.arange(len(self.w)), far, assume_unique=True)
-        self.n[near] = s.counts[self.w[near].astype(np.int64)]
+        heads, runs = join(0), join(1)
+        at, number = _alike(heads)
+        self.words = heads[at]  # the different v
+        self.word = np.repeat(number, runs)
+        v = np.repeat(heads, runs)
+        u, w = (short.astype(np.uint64) for short in (join(2), join(4)))
+        u[u == OTHER] = join(3)
+        far = w == OTHER
+        w[far] = join(5)
+        n = np.zeros(len(w), np.int64)
+        n[far] = join(6)
+        n[~far] = s.counts[w[~far].astype(np.int64)]
         code = join(8)
-        self.train = (code & 1).astype(float) if len(code) else np.ones(len(self.w))
-        chunks = table.column("chunk").to_numpy()
-        self.row = np.repeat(chunks, [len(m[2]) for m in messages]) * (1 << 21) + (code >> 1) if len(code) else None
-        pair_keys = _pair(self.v, self.w)
-        _, self.pair_at, self.pair = np.unique(pair_keys, return_index=True, return_inverse=True)
-        _, self.gram_at, self.gram = np.unique(_pair(pair_keys, self.u), return_index=True, return_inverse=True)
-        self.c2, self.c3 = np.bincount(self.pair, self.train), np.bincount(self.gram, self.train)
-        self.hot = _find(s.hot, self.v)[1]
-        self.c2[self.pair[self.hot]] = join(7)
-        self.longer = self.v[self.gram_at] != START  # the others are pairs at a text's start, and no trigrams
+        train = (code & 1).astype(float) if len(code) else np.ones(len(w))
+        self.sent, self.chunks, self.texts = [len(m[2]) for m in messages], table.column("chunk").to_numpy(), code >> 1
+        at, self.gram = _alike(_pair(_pair(v, w), u))
+        self.c3 = np.bincount(self.gram, train)
+        self.u, self.v, self.w, self.n, self.v_at = u[at], v[at], w[at], n[at], self.word[at]
+        self.longer = self.v != START  # the others are pairs at a text's start, and no trigrams
+        self.pair_at, self.pair = _alike(_pair(self.v, self.w))
+        self.c2 = np.bincount(self.pair, self.c3)
+        self.hot = _hot(s, self.v)
+        if self.hot.any():
+            told = np.zeros(len(v))
+            told[_hot(s, v)] = join(7)
+            self.c2[self.pair[self.hot]] = told[at][self.hot]
 
     def count_counts(self) -> pa.Table:
         """How many pairs (order 2) and trigrams (3) occur n times, n up to K + 1; pairs behind hot words left out."""
@@ -310,22 +323,29 @@ class Cell:
     def solve(self) -> None:
         """Probabilities of pairs and trigrams, of the modelled ones and of those that back off, order by order."""
         s, c2, c3 = self.s, self.c2, self.c3
-        words, self.word_at, at = np.unique(self.v, return_index=True, return_inverse=True)
-        of_pair, p1, d2 = at[self.pair_at], s.word(self.n[self.pair_at]), s.discounted(c2, 2)
-        scale, self.alpha2 = weights(np.bincount(at, self.train), np.bincount(of_pair, d2), np.bincount(of_pair, np.where(c2 > 0, p1, 0.0)))
-        place, hot = _find(s.hot, words)
+        of, size = self.v_at[self.pair_at], len(self.words)
+        p1, d2 = s.word(self.n[self.pair_at]), s.discounted(c2, 2)
+        scale, self.alpha2 = weights(np.bincount(self.v_at, c3, size), np.bincount(of, d2, size), np.bincount(of, np.where(c2 > 0, p1, 0.0), size))
+        place, hot = _find(s.hot, self.words)
         if hot.any():
             scale[hot], self.alpha2[hot] = s.hot_scale[place[hot]], s.hot_alpha[place[hot]]
-        self.p2 = np.where(c2 > 0, d2 * scale[of_pair], self.alpha2[of_pair] * p1)
-        contexts, self.context_at, at = np.unique(_pair(self.u, self.v), return_index=True, return_inverse=True)
-        of_gram, low, d3 = at[self.gram_at], self.p2[self.pair[self.gram_at]], s.discounted(c3, 3)
-        scale, self.alpha3 = weights(np.bincount(at, self.train), np.bincount(of_gram, d3), np.bincount(of_gram, np.where(c3 > 0, low, 0.0)))
-        self.p3 = np.where(self.longer, np.where(c3 > 0, d3 * scale[of_gram], self.alpha3[of_gram] * low), low)
+        self.p2 = np.where(c2 > 0, d2 * scale[of], self.alpha2[of] * p1)
+        self.context_at, of = _alike(_pair(self.u, self.v))
+        low, d3 = self.p2[self.pair], s.discounted(c3, 3)
+        scale, self.alpha3 = weights(np.bincount(of, c3), np.bincount(of, d3), np.bincount(of, np.where(c3 > 0, low, 0.0)))
+        self.p3 = np.where(self.longer, np.where(c3 > 0, d3 * scale[of], self.alpha3[of] * low), low)
 
     def scores(self) -> pa.Table:
+        """For each chunk that asked: the texts' places and the sums of their tokens' logs in this cell."""
         self.solve()
-        rows, at = np.unique(self.row, return_inverse=True)
-        return pa.table({"row": rows, "score": np.bincount(at, np.log10(self.p3)[self.gram])})
+        logs, start, out = np.log10(self.p3)[self.gram], 0, []
+        for size in self.sent:
+            text = self.texts[start : start + size]
+            total = np.bincount(text, logs[start : start + size])
+            there = np.flatnonzero(np.bincount(text))
+            out.append(_packed(there.astype(np.uint32), total[there]))
+            start += size
+        return pa.table({"chunk": self.chunks, "parts": pa.array(out, pa.binary())})
 
     def tables(self) -> pa.Table:
         """The cell's part of the model: its pairs and trigrams with their probabilities, its contexts with their weights."""
@@ -336,11 +356,13 @@ class Cell:
             keys = {k: pa.array(_named(self.s, getattr(self, k)[at])) if on else pa.nulls(len(at), pa.int64()) for k, on in names.items()}
             return pa.table({"ngram": pa.array(np.full(len(at), order, np.int32)), **keys, **{k: pa.array(figures[k]) if k in figures else pa.nulls(len(at), pa.float64()) for k in ("n", "log_p", "log_alpha")}})
 
-        pairs, grams, contexts = self.c2 > 0, (self.c3 > 0) & self.longer, (self.v[self.context_at] != START) & (self.alpha3 != 1)
+        pairs, grams, contexts = self.c2 > 0, np.flatnonzero((self.c3 > 0) & self.longer), (self.v[self.context_at] != START) & (self.alpha3 != 1)
+        first = np.empty(len(self.words), np.int64)
+        first[self.v_at] = np.arange(len(self.v_at))
         return pa.concat_tables([
             part(2, self.pair_at[pairs], False, True, n=self.c2[pairs], log_p=np.log10(self.p2[pairs])),
-            part(3, self.gram_at[grams], True, True, n=self.c3[grams], log_p=np.log10(self.p3[grams])),
-            part(1, self.word_at, False, False, log_alpha=np.log10(self.alpha2)),
+            part(3, grams, True, True, n=self.c3[grams], log_p=np.log10(self.p3[grams])),
+            part(1, first, False, False, log_alpha=np.log10(self.alpha2)),
             part(2, self.context_at[contexts], True, False, log_alpha=np.log10(self.alpha3[contexts])),
         ])
 
@@ -355,20 +377,35 @@ def _named(s: Stats, keys: np.ndarray) -> np.ndarray:
     return np.where(keys == START, keys, out & (TOP - np.uint64(1))).view(np.int64)
 
 
+FIGURES = "chunk long, docs array<long>, sizes array<long>, known array<long>, base array<double>"
+
+
 def _figures(s: Stats):
-    """Of each text of a chunk: its row, id, tokens, those of them known from training, and the add-one score."""
+    """Of the texts of a chunk: ids, tokens, those of them known from training, and the add-one scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(s, row)
-                total = lambda x, c=c: np.bincount(c.text, x, len(c.sizes))
-                base = np.log10((c.n + 1.0) / (s.tokens + s.vocabulary + 1.0))
-                yield pa.RecordBatch.from_arrays([pa.array(row["chunk"] * (1 << 21) + np.arange(len(c.sizes))), pa.array(c.docs, pa.int64()), pa.array(c.sizes), pa.array(total(c.n > 0).astype(np.int64)), pa.array(total(base))], names=["row", "doc_id", "n_tokens", "n_known", "base_score"])
+        for row in _chunks(batches):
+            c = Chunk(s, row)
+            total = lambda x, c=c: np.bincount(c.text, x, len(c.sizes))
+            base = np.log10((c.n + 1.0) / (s.tokens + s.vocabulary + 1.0))
+            values = (c.docs, pa.array(c.sizes), pa.array(total(c.n > 0).astype(np.int64)), pa.array(total(base)))
+            yield pa.RecordBatch.from_arrays([pa.array([c.number]), *(pa.ListArray.from_arrays(pa.array([0, len(c.sizes)], pa.int32()), x) for x in values)], names=["chunk", "docs", "sizes", "known", "base"])
 
     return run
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    """A chunk's texts with their figures, and the sum of what the cells say of each."""
+    own = table.filter(table.column("docs").is_valid())
+    docs, sizes, known, base = (own.column(c)[0].values for c in ("docs", "sizes", "known", "base"))
+    score = np.zeros(len(docs))
+    for parts in table.column("parts").to_pylist():
+        if parts is not None:
+            at, value = _unpacked(parts, [np.uint32, np.float64])
+            score[at] += value
+    return pa.table({"doc_id": docs, "n_tokens": sizes, "n_known": known, "base_score": base, "score": score})
+
+
 class Katz:
     """A model of the n-grams up to order 3 of the texts that are trained on, and the scores of all texts under it.
 
@@ -385,23 +422,18 @@ class Katz:
     def __init__(self, docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text"):
         tune(docs.sparkSession)
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-        words = source.where("train").select("text").mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        self.words = save(words, "word_counts")
+        encoded = save(source.mapInArrow(_encoded, "chunk long, docs array<long>, train array<boolean>, sizes array<int>, codes binary, words array<long>, times array<int>"), "encoded")
+        counts = encoded.select(F.explode(F.arrays_zip(F.col("words").alias("key"), F.col("times").alias("n"))).alias("e")).select("e.*").where("n > 0")
+        self.words = save(counts.groupBy("key").agg(F.sum("n").alias("n")), "word_counts")
         self.stats = s = self._unigrams()
-        ddl = "chunk long, docs array<long>, train array<boolean>, sizes array<int>, codes binary, tails array<long>"
-        encoded = save(source.mapInArrow(_encoded(s), ddl), "encoded")
-        asked = encoded.select("chunk", F.posexplode("tails").alias("at", "key")).join(self.words, "key", "left")
-        self.chunks = self._answered(encoded, asked.select("chunk", "at", F.coalesce("n", F.lit(0)).alias("n")), "tail_counts")
-        pairs = self._hot_pairs() if len(s.hot) else None
+        pairs = self._tell(encoded)
         dealt = self.chunks.mapInArrow(_dealt(s, False), "cell int, chunk long, message binary")
         times = dealt.groupBy("cell").applyInArrow(lambda t: Cell(s, t).count_counts(), "ngram int, n long, times long")
-        if pairs is not None:
-            times = times.union(pairs.where(F.col("n").between(1, K + 1)).groupBy("n").agg(F.count(F.lit(1)).alias("times")).select(F.lit(2), "n", "times"))
+        times = times.union(pairs.where(F.col("n").between(1, K + 1)).groupBy("n").agg(F.count(F.lit(1)).alias("times")).select(F.lit(2), "n", "times"))
         found = {(r.ngram, r.n): r.times for r in times.groupBy("ngram", "n").agg(F.sum("times").alias("times")).collect()}
         s.discount += [discounts({n: found.get((order, n), 0) for n in range(1, K + 2)}) for order in (2, 3)]
-        if pairs is not None:
-            self._hot_weights(pairs)
-            drop(pairs)
+        self._hot_weights(pairs)
+        drop(pairs)
 
     def _unigrams(self) -> Stats:
         tokens, vocabulary = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -425,25 +457,28 @@ class Katz:
         hot = np.append(hot[hot != numbers[end]] if end >= 0 else hot, START if texts > CELL else []).astype(np.uint64)
         return Stats(hashes[order], numbers[order], counts[rank], tokens, vocabulary, max(1, -(-2 * tokens // CELL)), left / unseen_types(n), scale / max(tokens, 1), [d], hot)
 
-    def _answered(self, chunks: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-        """``chunks`` with the array ``name`` of the counts in ``rows`` (chunk, at, n), by place; the old table goes."""
-        lists_ = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("e")).select("chunk", F.col("e.n").alias(name))
-        made = save(chunks.join(lists_, "chunk", "left"), name)
-        drop(chunks)
-        return made
-
-    def _hot_pairs(self) -> DataFrame:
-        """(v, key, word_n, n): the pairs behind hot words with their training counts, which the chunks are told."""
-        met = save(self.chunks.mapInArrow(_hot_pairs(self.stats), "chunk long, at int, key long, v long, word_n long, n long"), "hot_met")
-        pairs = save(met.groupBy("v", "key", "word_n").agg(F.sum("n").alias("n")), "hot_pairs")
-        self.chunks = self._answered(self.chunks, met.select("chunk", "at", "key").join(pairs.select("key", "n"), "key").select("chunk", "at", "n"), "pair_counts")
-        drop(met)
+    def _tell(self, encoded: DataFrame) -> DataFrame:
+        """Make ``chunks``: ``encoded`` with the counts that each chunk asks for. Returns the pairs behind hot words with
+        their training counts: (v, key, word, n)."""
+        asked = save(encoded.drop("times").mapInArrow(_asked(self.stats), "chunk long, hot boolean, at int, key long, v long, word long, n long"), "asked")
+        pairs = save(asked.where("hot").groupBy("v", "key", "word").agg(F.sum("n").alias("n")), "hot_pairs")
+        told = asked.where("not hot").select("chunk", "hot", "at", "key").join(self.words, "key", "left")
+        if len(self.stats.hot):
+            told = told.unionByName(asked.where("hot").select("chunk", "hot", "at", "key").join(pairs.select("key", "n"), "key"))
+        listed = lambda on: F.array_sort(F.collect_list(F.when(on, F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))))
+        told = told.groupBy("chunk").agg(listed(~F.col("hot")).alias("w"), listed(F.col("hot")).alias("p")).select("chunk", F.col("w.n").alias("word_counts"), F.col("p.n").alias("pair_counts"))
+        self.chunks = save(encoded.drop("times").join(told, "chunk", "left"), "chunks")
+        drop(encoded)
+        drop(asked)
         return pairs
 
     def _hot_weights(self, pairs: DataFrame) -> None:
         s = self.stats
+        if not len(s.hot):
+            return
         dealt = lambda n, order: F.when(n <= K, F.element_at(F.array(*[F.lit(x) for x in s.discount[order - 1]]), n.cast("int") + 1)).otherwise(1.0) * n
-        sums = pairs.where("n > 0").groupBy("v").agg(F.sum("n").alias("c"), F.sum(dealt(F.col("n"), 2)).alias("p"), F.sum(dealt(F.col("word_n"), 1) * s.unigram_scale).alias("q")).collect()  # a row for each hot word
+        behind = pairs.where("n > 0").join(self.words.select(F.col("key").alias("word"), F.col("n").alias("word_n")), "word")
+        sums = behind.groupBy("v").agg(F.sum("n").alias("c"), F.sum(dealt(F.col("n"), 2)).alias("p"), F.sum(dealt(F.col("word_n"), 1) * s.unigram_scale).alias("q")).collect()  # a row for each hot word
         by_word = {r.v: r for r in sums}
         rows = [by_word[int(x)] for x in s.hot]
         s.hot_scale, s.hot_alpha = weights(*(np.array([r[k] for r in rows], float) for k in ("c", "p", "q")))
@@ -455,11 +490,9 @@ class Katz:
         """
         s = self.stats
         dealt = self.chunks.mapInArrow(_dealt(s, True), "cell int, chunk long, message binary")
-        parts = dealt.groupBy("cell").applyInArrow(lambda t: Cell(s, t).scores(), "row long, score double")
-        figures = self.chunks.mapInArrow(_figures(s), "row long, doc_id long, n_tokens long, n_known long, base_score double")
-        columns = figures.columns[1:]
-        rows = figures.withColumn("score", F.lit(0.0)).unionByName(parts, allowMissingColumns=True)
-        return rows.groupBy("row").agg(*[F.max(c).alias(c) for c in columns], F.sum("score").alias("score")).drop("row")
+        parts = dealt.groupBy("cell").applyInArrow(lambda t: Cell(s, t).scores(), "chunk long, parts binary")
+        rows = self.chunks.mapInArrow(_figures(s), FIGURES).unionByName(parts, allowMissingColumns=True)
+        return rows.groupBy("chunk").applyInArrow(_summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
     def tables(self) -> DataFrame:
         """The model's tables, to be written with partitionBy("ngram"): (ngram, u, v, w, n, log_p, log_alpha).
