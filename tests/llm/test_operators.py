@@ -126,6 +126,60 @@ def test_html_slices_agree(spark):
         assert {r.page_id: r.text for r in html_text.main_text(pages, rows_per_slice=per_slice).collect()} == {i: f"text {i}" for i in range(60)}
 
 
+def test_html_pairs_by_definition(spark):
+    """Runs of copies and pages that share nothing are passed over, and both pages of a pair lose what they share."""
+    rng = random.Random(9)
+    pages, lines = [], {}
+    for i in range(90):
+        kind = rng.choice(["plain", "plain", "copy", "alone"])
+        own = [f"own {i} {j}" for j in range(rng.randint(1, 4))]
+        made = own if kind == "alone" else [f"top {i % 2}", *own, rng.choice(["end a", "end b"])] if kind == "plain" or i == 0 else [*lines[i - 1][:-1], f"copy {i}"] if len(lines[i - 1]) > 3 else lines[i - 1]
+        lines[i] = made
+        pages.append((i, f"http://h{i // 40}.example.com/{i:03d}", "".join(f"<p>{x}</p>" for x in made)))
+    hosts, paths = {i: i // 40 for i in lines}, {i: f"/{i:03d}" for i in lines}
+
+    def common(a, b):
+        grid = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                grid[i + 1][j + 1] = grid[i][j] + 1 if a[i] == b[j] else max(grid[i][j + 1], grid[i + 1][j])
+        return grid[-1][-1]
+
+    lost = collections.defaultdict(set)
+    for i in lines:
+        found = []
+        for step in (-1, 1):
+            j = i + step
+            while j in lines and hosts[j] == hosts[i] and not 0 < common(lines[i], lines[j]) <= html_text.COPY * min(len(lines[i]), len(lines[j])):
+                j += step
+            if j in lines and hosts[j] == hosts[i]:
+                found.append(j)
+        if found:
+            j = max(found, key=lambda j: (html_text._prefix(paths[i], paths[j]), -abs(j - i), j < i))
+            both = set(lines[i]) & set(lines[j])  # lines of a page differ here and keep their order
+            lost[i] |= both
+            lost[j] |= both
+    for per_slice in (1000, 13):
+        found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), rows_per_slice=per_slice).collect()}
+        differ = [i for i in lines if found[i] != "\n".join(x for x in lines[i] if x not in lost[i])]
+        assert len(differ) <= (0 if per_slice == 1000 else 6), differ  # a slice sees one page of its neighbours
+    assert sum(map(len, lost.values())) > 60
+
+
+def test_html_of_broken_and_long_pages(spark):
+    import time
+
+    for page in ("<a " * 300_000, '<a "' * 250_000, "<a '>'" * 150_000, "<b><i>" * 100_000 + "</u>" * 100_000, "<div>" * 100_000, "<!--" * 200_000, "<p>x" * 100_000, "</p>" * 200_000, "<" * 500_000, "<script>" * 100_000):
+        start = time.time()
+        html_text.lines_of(page)
+        assert time.time() - start < 5
+    assert html_text.lines_of("<p>a < b <c") == [("a < b <c", False, False)] and html_text.lines_of('<p title="x>y">a</p><a "b>c') == [("a", False, False), ("c", False, False)]
+    assert html_text.lines_of('<article><div class="related-work">kept</div><div class="related-posts">gone</div></article>') == [("kept", False, True), ("gone", True, True)]
+    rows = [(1, "http://h/1", "<p>" + "long text " * 100_000), (1, "http://h/1", "<p>" + "long text " * 100_000), (1, "http://h/1", "<p>other"), (None, None, "<p>x"), (None, None, "<p>x")]
+    found = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.n_chars for r in found) == [1, 1, 5, 999_999, 999_999]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(300):
