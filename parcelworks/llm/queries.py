@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -39,13 +39,13 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score().select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _classifier(spark: SparkSession, sf_dir: str) -> quality.Classifier:
+def classifier(spark: SparkSession, sf_dir: str) -> quality.Classifier:
     labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(fold(F.col("doc_id"), 5) != 0)
     return quality.train(_read(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score(_read(spark, sf_dir, "documents"), _classifier(spark, sf_dir))
+    scored = quality.score(_read(spark, sf_dir, "documents"), classifier(spark, sf_dir))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -65,11 +65,11 @@ def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.encode_decode(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +85,15 @@ QUERIES = {f.__name__: f for f in (op1_topk, op2_jaccard, op3_html, op4_katz, op
 ORACLE_SQL = {
     "op1_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+e AS (SELECT row, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  SELECT q.row AS q_row, q.vec_id AS query_id, c.row, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
   FROM e q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id
   WHERE q.vec_id % 50 = 0 GROUP BY ALL),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5""",
     "op2_jaccard": r"""
 WITH RECURSIVE w AS (

@@ -48,19 +48,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_top_k(spark, monkeypatch, block):
+    for name in ("QUERIES", "CANDIDATES"):
+        monkeypatch.setattr(topk, name, block)
+    monkeypatch.setattr(topk, "TOGETHER", 2)
     rng = random.Random(1)
     rows = [(i, [rng.choice([0.0, 0.0, rng.uniform(-1, 1)]) for _ in range(6)], 0) for i in range(90)]
-    rows += [(100, [1.0] * 6, 0), (101, [1.0] * 6, 0), (102, [1.0] * 6, 0), (103, None, 0), (104, [None, 1.0], 0), (105, [float("nan")], 0), (106, [float("inf")], 0), (107, [], 0), (108, [0.5], 0), (None, [1.0], 0)]
+    rows += [(100, [1.0] * 6, 0), (101, [1.0] * 6, 0), (102, [1.0] * 6, 0), (103, None, 0), (104, [None, 1.0], 0), (105, [float("nan")], 0), (106, [float("inf")], 0), (107, [], 0), (108, [0.5], 0), (None, [1.0], 0), (5, [-1.0] * 6, 0), (7, rows[7][1], 0), (110, [3.0] * 6, 0), (110, [3.0] * 6, 0)]
     table = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"))
-    kept = {r.vec_id: r.v for r in table.collect()}
-    assert set(kept) == {*range(90), 100, 101, 102, 107, 108}
+    kept = [(r.vec_id, tuple(r.v)) for r in table.collect()]
+    assert sorted({i for i, _ in kept}) == [*range(90), 100, 101, 102, 107, 108, 110] and len(kept) == 99
     found = collections.defaultdict(list)
-    for r in topk.top_k(table.where("vec_id % 5 = 0"), table, 4).orderBy("query_id", "rank").collect():
-        found[r.query_id].append((r.vec_id, r.score))
-    for q in (i for i in kept if i % 5 == 0):
-        dots = sorted(((-sum(map(lambda a, b: a * b, kept[q], kept[c])), c) for c in kept if c != q))[:4]
-        assert found[q] == [(c, -s) for s, c in dots]
+    for r in topk.top_k(table.where("vec_id % 5 = 0"), table, 4).collect():
+        found[r.query_id].append((r.rank, r.vec_id, r.score))
+    want = collections.defaultdict(list)
+    for q, v in kept:
+        if q % 5 == 0:
+            dots = sorted((-sum(map(lambda a, b: a * b, v, x)), c) for c, x in kept if c != q)[:4]
+            want[q] += [(n, c, -s) for n, (s, c) in enumerate(dots, 1)]
+    assert {q: sorted(x) for q, x in found.items()} == {q: sorted(x) for q, x in want.items()}
     assert topk.top_k(table, table.limit(0), 3).count() == 0 and topk.top_k(table.limit(0), table, 3).count() == 0
 
 
@@ -68,7 +75,7 @@ def test_top_k(spark):
 def test_jaccard(spark, texts, monkeypatch, k, num, cell):
     monkeypatch.setattr(jaccard, "CELL_SHINGLES", cell)
     monkeypatch.setattr(jaccard, "CELL_BYTES", 1 << 22 if cell > 60 else 600)
-    found = {r.doc_id: r for r in jaccard.join_groups(frame(spark, [*texts, (0, texts[0][1])]), k, num, 100, links=True).collect()}
+    found = {r.doc_id: r for r in jaccard.join_groups(frame(spark, [*texts, (0, texts[0][1]), (1, None), (2, "")]), k, num, 100, links=True).collect()}
     sets = {}
     for i, t in texts:
         w = words(t)
@@ -454,7 +461,7 @@ def test_next_rows(spark, texts):
 
 
 def test_packing(spark, texts):
-    path = queries._tokenizer("byte_bpe_50k.json")
+    path = queries.tokenizer("byte_bpe_50k.json")
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
@@ -499,7 +506,7 @@ def test_packing_limits():
 def test_sentencepiece(spark, texts):
     import sentencepiece
 
-    path = queries._tokenizer("piece_bpe_32k.model")
+    path = queries.tokenizer("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(2)
     alphabet = [*"abcdethioun  ,.\n\t▁é日\U0001f600'12%#ß\0\x85", "  ", "<s>", "<0x0A>", "the ", "ing", "▁▁", "http://", "    "]
