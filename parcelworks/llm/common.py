@@ -62,9 +62,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
-def few(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` (cheap to compute or saved) has at most ``rows`` rows, and so may be broadcast."""
-    return df.count() <= rows
+def light(saved: DataFrame, megabytes: int) -> bool:
+    """Whether the files of a table that save() has written are that small together, so that it may be broadcast."""
+    spark = saved.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved._saved_at)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength() <= megabytes << 20
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -111,10 +113,6 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def batch_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 def lists(values: np.ndarray, lengths: list[int], kind=None) -> pa.ListArray:
     """An Arrow list column from its flat values and the length of each row."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.int32()), pa.array(values, kind))
@@ -132,17 +130,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, root), root the least node.
 
     Alternates the large-star and the small-star step until the edges stand still; the number of rounds grows with
-    the logarithm of the longest chain. Each round is a saved table, and no node's neighbours are gathered in a task.
+    the logarithm of the longest chain. Each round is a saved table. The least neighbour of each node is found by an
+    aggregation that combines before it shuffles, and saved, so that the join which tells the neighbours has plain tables
+    on both sides: Spark deals the edges of a node with many neighbours to several tasks there.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = save(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        drop(least)
+        drop(now)
+        least = save(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = save(small.select("e.*").where("a <> b").distinct(), name)
+        drop(least)
+        drop(large)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == seen:
             break

@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelworks.llm.common import Hashes, components, few, flat, lists, mix, save, shingle_hashes, tune, words_of
+from parcelworks.llm.common import Hashes, components, drop, flat, light, lists, mix, save, shingle_hashes, tune, words_of
 
 #: Shingles that one cell of a tile holds at most, about; what bounds a task's memory, whatever a group's size.
 CELL_SHINGLES = 1 << 20
-#: Rows up to which the list of rows to compare is broadcast; beyond, Spark shuffles the join.
-BROADCAST_ROWS = 500_000
+#: Megabytes of files up to which the list of rows to compare is broadcast; beyond, Spark shuffles the join.
+BROADCAST_MB = 16
 #: Bytes of bitmaps that one cell holds at most, about, and what a row counts as at least.
-CELL_BYTES, ROW_BYTES = 1 << 22, 256
+CELL_BYTES, ROW_BYTES = 1 << 20, 256
 
 
 def _limits(num: int, den: int, most: int = 1 << 31) -> list[int]:
@@ -95,24 +95,6 @@ def _sets(k: int, num: int, den: int):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (signature, doc_id): an edge from each document to the first one with its signature."""
-    sig0 = doc0 = None
-    for batch in batches:
-        sig, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(sig):
-            continue
-        new = np.append(True, sig[1:] != sig[:-1])
-        first = doc[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        if sig0 is not None and sig[0] == sig0:
-            first[: len(sig) if new[1:].sum() == 0 else int(np.flatnonzero(new[1:])[0]) + 1] = doc0
-        sig0, doc0 = sig[-1], first[-1]
-        keep = first != doc
-        if keep.any():
-            pairs = np.unique(np.stack([doc[keep], first[keep]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
 def _bounded(num: int, den: int):
     """Within one tile: components of the sets whose bitmaps do not rule a link out, as (doc_id, root)."""
 
@@ -243,12 +225,13 @@ def join_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, link
     Words are runs without code points 9-13 and 32, A-Z lowered; fewer than ``k`` words make one shingle of the whole
     sequence. Returns doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included), copies
     (documents with the same non-empty set, itself included) and, with ``links``, n_links: the documents it is linked
-    with, copies included. Null and empty texts have an empty set and stay alone. Rows with a null id are left out;
-    rows that repeat an id must repeat its text too and count as one document. Other columns of ``docs`` are ignored.
+    with, copies included. Null and empty texts have an empty set and stay alone. Rows with a null id are left out; rows
+    that repeat an id count as one document with the greatest of their texts. Other columns of ``docs`` are ignored.
     Shingles are compared by 64-bit hashes, whole sets by 128 bits.
 
     Only one document of each set goes on. ``signatures`` makes sure that linked sets share a signature; sets that do
-    form blocks (components over a star of edges for each signature, so no pairs are made). A block's sets are dealt
+    form blocks (components over a star of edges for each signature: its least holder is found by an aggregation, and told
+    to the others by a join that Spark can split, so no pairs are made and no signature's holders are gathered). A block's sets are dealt
     into cells by size band and hash, and each tile is one cell or two cells of the same or neighbouring bands: every
     pair that can be linked meets in exactly one tile, and no task holds more than two cells. First only bitmaps meet, and
     bit counts leave smaller blocks; then the sets of those meet and are intersected.
@@ -256,14 +239,19 @@ def join_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, link
     spark = docs.sparkSession
     tune(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    if source.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        source = save(source.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
     sets = save(source.mapInArrow(_sets(k, num, den), "doc_id long, n_shingles long, h1 long, h2 long, bitmap binary, signatures array<long>"), "sets")
 
-    rows = sets.select(F.explode("signatures").alias("s"), "doc_id").repartition("s").sortWithinPartitions("s", "doc_id")
-    blocks = components(rows.mapInArrow(_stars, "a long, b long"), "blocks").withColumnRenamed("root", "block")
+    signed = sets.select(F.explode("signatures").alias("s"), "doc_id")
+    first = save(signed.groupBy("s").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("s", "first"), "first")
+    stars = signed.join(first, "s").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    blocks = components(stars, "blocks").withColumnRenamed("root", "block")
+    drop(first)
 
-    ids = sets.select("doc_id", "n_shingles", "h1", "h2").distinct()
+    ids = sets.select("doc_id", "n_shingles", "h1", "h2")
     known = sets.drop("signatures").join(blocks, sets.doc_id == blocks.node, "left").where("n_shingles > 0")
-    classes = save(known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("copies"), F.min("block").alias("block"), F.first("bitmap").alias("bitmap")), "classes")
+    classes = save(known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.min("block").alias("block"), F.first("bitmap").alias("bitmap")), "classes")
 
     met = _tiled(classes.where("block is not null").select("class_id", "block", "n_shingles", "bitmap"), F.greatest(F.length("bitmap"), F.lit(ROW_BYTES)), CELL_BYTES, num, den)
     rows = met.select("block", F.explode("tiles").alias("t"), F.col("class_id").alias("doc_id"), "n_shingles", "bitmap").select("block", "t.tile", "t.side", "doc_id", "n_shingles", "bitmap")
@@ -272,11 +260,9 @@ def join_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, link
     chosen = save(_tiled(narrowed, F.col("n_shingles"), CELL_SHINGLES, num, den).select("class_id", "block", "copies", "tiles"), "chosen")
 
     wanted = chosen
-    if few(chosen, BROADCAST_ROWS):
+    if light(chosen, BROADCAST_MB):
         wanted = F.broadcast(wanted)
     texts = source.join(wanted, source.doc_id == F.col("class_id")).select("doc_id", "text", "block", "copies", "tiles")
-    if not _unique(sets):
-        texts = texts.dropDuplicates(["doc_id"])
     hashed = texts.mapInArrow(_shingled(k), "doc_id long, block long, copies long, shingles array<long>, tiles array<struct<tile:string,side:int>>")
     dealt = hashed.select("block", "doc_id", "copies", "shingles", F.explode("tiles").alias("t")).select("block", F.col("t.tile").alias("tile"), F.col("t.side").alias("side"), "doc_id", "copies", "shingles")
     met = save(dealt.groupBy(_group(), "tile").applyInArrow(_verify(num, den, links), "doc_id long, root long, links long"), "met")
@@ -318,11 +304,6 @@ def _tiled(rows: DataFrame, weight, limit: int, num: int, den: int) -> DataFrame
     return rows.join(per_block, "block").withColumn("tiles", F.when(F.col("total") <= limit, whole).otherwise(tiles)).drop("band", "weight", "sets", "total", "split")
 
 
-def _unique(sets: DataFrame) -> bool:
-    """Whether no id repeats (so that texts need no shuffle to make it so)."""
-    return sets.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
-
-
 def _shingled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
