@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelworks.llm import jaccard, packing, quality, secrets_scan
-from parcelworks.llm.common import few, save
-from parcelworks.llm.queries import _classifier, _tokenizer
+from parcelworks.llm.common import light, save
+from parcelworks.llm.queries import classifier, tokenizer
 
 #: A document goes if its probability of being good is below this: one that is as likely good as bad stays.
 REJECT_BELOW = 0.3
@@ -15,17 +15,17 @@ REJECT_BELOW = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. Null and empty texts are scored like others."""
-    return quality.keep_good(docs, _classifier(spark, sf_dir), REJECT_BELOW)
+    return quality.keep_good(docs, classifier(spark, sf_dir), REJECT_BELOW)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones (five words, similarity of 0.8 or more): that with the least doc_id.
 
     Documents with an empty text are in no group and stay, as do rows with a null id; of rows that repeat an id all stay
-    or go together.
+    or go together, as the greatest of their texts says.
     """
     groups = save(jaccard.join_groups(docs, k=5, num=80, den=100).where("doc_id <> component_id").select("doc_id"), "duplicates")
-    gone = F.broadcast(groups) if few(groups, jaccard.BROADCAST_ROWS) else groups
+    gone = F.broadcast(groups) if light(groups, jaccard.BROADCAST_MB) else groups
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -37,7 +37,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1,024 tokens, with the ids themselves."""
-    return packing.pack(docs, _tokenizer("byte_bpe_50k.json"), with_ids=True)
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [("quality classifier", quality_stage), ("n-gram Jaccard join", near_duplicate_stage), ("secret scans", secrets_stage), ("packing", packing_stage)]
