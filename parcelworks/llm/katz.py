@@ -23,8 +23,8 @@ from parcelworks.llm.common import Hashes, drop, mix, save, tune, words_of
 #: Words of which at least one in 2**HEAD tokens is have numbers, known to every task: at most 2**HEAD, whatever the corpus.
 #: All others are named by their hashes, and their counts come by a join.
 HEAD = 22
-#: Tokens of a chunk of texts, about; training tokens of a cell; a word that occurs more often than that is hot.
-CHUNK, CELL = 1 << 20, 1 << 20
+#: Tokens of a chunk of texts, about; training tokens of a cell, on average; a word that occurs more often than that is hot.
+CHUNK, CELL = 1 << 19, 1 << 19
 #: Counts up to this are discounted by Good-Turing.
 K = 5
 
@@ -225,8 +225,9 @@ def _asked(s: Stats):
         for row in _chunks(batches):
             c = Chunk(s, row)
             n, m = len(c.far), len(c.pair_keys)
-            columns = (np.full(n + m, c.number), np.arange(n + m) >= n, np.append(np.arange(n), np.arange(m)).astype(np.int32), np.append(c.hashes[c.far], c.pair_keys).view(np.int64), np.append(np.zeros(n, np.uint64), c.v[c.pair_at]).view(np.int64), np.append(np.zeros(n, np.uint64), c.hashes[c.codes[c.pair_at]]).view(np.int64), np.append(np.zeros(n, np.int64), c.pair_times))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["chunk", "hot", "at", "key", "v", "word", "n"])
+            none = np.zeros(n, np.int64)
+            columns = (np.full(n + m, c.number), np.append(np.arange(n), np.arange(m)).astype(np.int32), np.append(none, c.v[c.pair_at].view(np.int64)), np.append(c.hashes[c.far], c.hashes[c.codes[c.pair_at]]).view(np.int64), np.append(none, c.pair_times), np.arange(n + m) >= n)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["chunk", "at", "v", "word", "n", "hot"])
 
     return run
 
@@ -455,21 +456,22 @@ class Katz:
         texts = int(counts[end]) if end >= 0 else 0
         hot = np.flatnonzero(counts[rank] > CELL).astype(np.uint64)  # an end is no context; a start is, as often
         hot = np.append(hot[hot != numbers[end]] if end >= 0 else hot, START if texts > CELL else []).astype(np.uint64)
-        return Stats(hashes[order], numbers[order], counts[rank], tokens, vocabulary, max(1, -(-2 * tokens // CELL)), left / unseen_types(n), scale / max(tokens, 1), [d], hot)
+        return Stats(hashes[order], numbers[order], counts[rank], tokens, vocabulary, max(1, -(-tokens // CELL)), left / unseen_types(n), scale / max(tokens, 1), [d], hot)
 
     def _tell(self, encoded: DataFrame) -> DataFrame:
         """Make ``chunks``: ``encoded`` with the counts that each chunk asks for. Returns the pairs behind hot words with
-        their training counts: (v, key, word, n)."""
-        asked = save(encoded.drop("times").mapInArrow(_asked(self.stats), "chunk long, hot boolean, at int, key long, v long, word long, n long"), "asked")
-        pairs = save(asked.where("hot").groupBy("v", "key", "word").agg(F.sum("n").alias("n")), "hot_pairs")
-        told = asked.where("not hot").select("chunk", "hot", "at", "key").join(self.words, "key", "left")
+        their training counts: (v, word, n)."""
+        asked = save(encoded.drop("times").mapInArrow(_asked(self.stats), "chunk long, at int, v long, word long, n long, hot boolean"), "asked")
+        pairs = save(asked.where("hot").groupBy("v", "word").agg(F.sum("n").alias("n")), "hot_pairs")
+        told = asked.where("not hot").select("chunk", "at", "hot", "word").join(self.words.withColumnRenamed("key", "word"), "word", "left").drop("word")
         if len(self.stats.hot):
-            told = told.unionByName(asked.where("hot").select("chunk", "hot", "at", "key").join(pairs.select("key", "n"), "key"))
+            told = told.unionByName(asked.where("hot").select("chunk", "at", "hot", "v", "word").join(pairs, ["v", "word"]).drop("v", "word"))
         listed = lambda on: F.array_sort(F.collect_list(F.when(on, F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))))
-        told = told.groupBy("chunk").agg(listed(~F.col("hot")).alias("w"), listed(F.col("hot")).alias("p")).select("chunk", F.col("w.n").alias("word_counts"), F.col("p.n").alias("pair_counts"))
+        told = save(told.groupBy("chunk").agg(listed(~F.col("hot")).alias("w"), listed(F.col("hot")).alias("p")).select("chunk", F.col("w.n").alias("word_counts"), F.col("p.n").alias("pair_counts")), "told")
+        drop(asked)
         self.chunks = save(encoded.drop("times").join(told, "chunk", "left"), "chunks")
         drop(encoded)
-        drop(asked)
+        drop(told)
         return pairs
 
     def _hot_weights(self, pairs: DataFrame) -> None:
