@@ -13,23 +13,24 @@ PARCEL, OWNER = ("khasra_number", "plot_area_sqm"), ("owner_name_vernacular", "s
 HEADER_FIELDS = ("khata_number", "total_area_sqm", "fasli_year")
 
 
-def merge_detail(existing: DataFrame, corrections: DataFrame, values: tuple[str, ...], key: str = "pos") -> DataFrame:
+def merge_detail(existing: DataFrame, corrections: DataFrame, values: tuple[str, ...], key: str = "pos", carried: tuple[str, ...] = ()) -> DataFrame:
     """Existing rows against the corrections of the same holdings.
 
     Corrections have khata_id, ``key`` (null for a new row), ``values`` and is_delete. Only holdings with a correction
     are merged. Returns action (insert, update, delete, keep), the new values and, as old_*, the old ones; a delete of an
-    unknown row is left out, an unknown key is an insert, an existing row that is not mentioned is deleted.
+    unknown row is left out, an unknown key is an insert, an existing row that is not mentioned is deleted. ``carried``
+    columns of the corrections come along without making a row an update; where they are null the old ones stay.
     """
     touched = corrections.select("khata_id").distinct()
-    old = existing.join(touched, "khata_id", "left_semi").select("khata_id", F.col(key).alias("old_key"), *[F.col(v).alias(f"old_{v}") for v in values])
-    new = corrections.select(F.col("khata_id").alias("new_khata"), F.col(key).alias("new_key"), *values, F.coalesce("is_delete", F.lit(False)).alias("is_delete"))
+    old = existing.join(touched, "khata_id", "left_semi").select("khata_id", F.col(key).alias("old_key"), *[F.col(v).alias(f"old_{v}") for v in values], *[(F.col(c) if c in existing.columns else F.lit(None).cast("string")).alias(f"old_{c}") for c in carried])
+    new = corrections.select(F.col("khata_id").alias("new_khata"), F.col(key).alias("new_key"), *values, *carried, F.coalesce("is_delete", F.lit(False)).alias("is_delete"))
     both = old.join(new, (old.khata_id == new.new_khata) & (F.col("old_key") == F.col("new_key")), "full_outer")
     known, said = F.col("old_key").isNotNull(), F.col("new_khata").isNotNull()
     changed = F.lit(False)
     for v in values:
         changed = changed | ~F.col(v).eqNullSafe(F.col(f"old_{v}"))
     action = F.when(known & (~said | F.col("is_delete")), "delete").when(known & changed, "update").when(known, "keep").when(~F.col("is_delete"), "insert")
-    return both.select(F.coalesce("khata_id", "new_khata").alias("khata_id"), F.coalesce("old_key", "new_key").alias(key), action.alias("action"), *values, *[f"old_{v}" for v in values]).where("action is not null")
+    return both.select(F.coalesce("khata_id", "new_khata").alias("khata_id"), F.coalesce("old_key", "new_key").alias(key), action.alias("action"), *values, *[f"old_{v}" for v in values], *[F.coalesce(c, f"old_{c}").alias(c) for c in carried]).where("action is not null")
 
 
 def merge_parcels(parcels: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def merge_parcels(parcels: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def merge_owners(owners: DataFrame, corrections: DataFrame, salt: str | None = None) -> DataFrame:
-    """As for parcels; with a salt an identity_number of the corrections is kept as its digest only. Where the corrections
+    """As for parcels; with a salt an identity_number of the corrections, also of new owners, is kept as its digest. Where the corrections
     have a relation_type and a relative_name these are merged too, relation words as their codes (C3)."""
     values = OWNER
     if "relation_type" in corrections.columns:
@@ -46,11 +47,9 @@ def merge_owners(owners: DataFrame, corrections: DataFrame, salt: str | None = N
         said = F.lower(F.col("relation_type"))
         corrections = corrections.withColumn("relation_type", F.coalesce(F.element_at(codes, said), F.when(F.col("relation_type").isin(*RELATIONS.values()), F.col("relation_type"))))
         owners = owners.withColumns({c: F.lit(None).cast("string") for c in values if c not in owners.columns})
-    merged = merge_detail(owners, corrections, values)
     if salt is None:
-        return merged
-    digests = corrections.where("pos is not null").groupBy("khata_id", "pos").agg(F.max(identity_digest(F.col("identity_number"), salt)).alias("identity_digest"))
-    return merged.join(digests, ["khata_id", "pos"], "left")
+        return merge_detail(owners, corrections, values)
+    return merge_detail(owners, corrections.withColumn("identity_digest", identity_digest(F.col("identity_number"), salt)), values, carried=("identity_digest",))
 
 
 def merged_rows(merged: DataFrame, values: tuple[str, ...]) -> DataFrame:

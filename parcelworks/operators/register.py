@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 APPROVED = ("AUTO_APPROVED", "MANUALLY_APPROVED")
@@ -35,13 +35,9 @@ def join_village(khata: DataFrame, villages: DataFrame, how: str = "left") -> Da
     return khata.join(small(villages), "village_code", how)
 
 
-def join_parcels(khata: DataFrame, parcels: DataFrame, how: str = "inner") -> DataFrame:
-    return khata.join(parcels, "khata_id", how)
-
-
 def owners_listed(owners: DataFrame) -> DataFrame:
     """khata_id, owners (array of struct in order), owner_names and owner_shares joined by " | " (A5, A6)."""
-    fields = [c for c in ("pos", "owner_name_vernacular", "share_percentage") if c in owners.columns]
+    fields = [c for c in ("pos", "owner_name_vernacular", "owner_name_en", "relation_type", "relative_name", "share_percentage") if c in owners.columns]
     listed = owners.groupBy("khata_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("owners"))
     names = F.array_join(F.transform("owners", lambda o: F.coalesce(o["owner_name_vernacular"], F.lit(""))), " | ")
     shares = F.array_join(F.transform("owners", lambda o: F.coalesce(o["share_percentage"].cast("decimal(7,2)").cast("string"), F.lit(""))), " | ")
@@ -131,14 +127,11 @@ def ingest_stats(khata: DataFrame, parcels: DataFrame, owners: DataFrame, findin
     return rows.fillna(0)
 
 
-def record_detail(khata: DataFrame, parcels: DataFrame, owners: DataFrame, audit: DataFrame, last: int = 100) -> DataFrame:
-    """Header with its parcels, owners and latest ledger rows as arrays."""
+def record_detail(khata: DataFrame, parcels: DataFrame, owners: DataFrame, audit: DataFrame, findings: DataFrame, last: int = 100) -> DataFrame:
+    """Header with its parcels, owners, findings in rule order and latest ledger rows as arrays."""
     from parcelworks.operators.ledger import tail
+    from parcelworks.operators.rules import with_findings
 
     p = parcels.groupBy("khata_id").agg(F.array_sort(F.collect_list(F.struct("pos", "khasra_number", "plot_area_sqm"))).alias("parcel_list"))
     a = tail(audit, last).groupBy("khata_id").agg(F.array_sort(F.collect_list(F.struct("nth", "field_name", "corrected_value"))).alias("audit_list"))
-    return khata.join(p, "khata_id", "left").join(owners_listed(owners), "khata_id", "left").join(a, "khata_id", "left")
-
-
-def numbered(rows: DataFrame, key: str, *order) -> DataFrame:
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return with_findings(khata, findings).join(p, "khata_id", "left").join(owners_listed(owners), "khata_id", "left").join(a, "khata_id", "left")

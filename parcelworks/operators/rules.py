@@ -54,7 +54,7 @@ def share_findings(balanced: DataFrame) -> DataFrame:
     """No owner at all, or shares that do not close to 100."""
     none = balanced.where("owners = 0").select("khata_id", *finding(2, "ORPHAN_OWNER", "CRITICAL", F.lit("No owner recorded against this Khata."), F.lit("owners"), observed=F.lit(0), expected=F.lit(1)))
     message = F.concat(F.lit("Ownership shares total "), F.col("share_sum").cast("string"), F.lit("%, which does not close to 100%."))
-    off = balanced.where("owners > 0 and not share_ok").select("khata_id", *finding(2, "INVALID_OWNER_SHARES", "CRITICAL", message, F.lit("owners[].share_percentage"), observed=F.col("share_sum"), expected=F.lit(100), delta=F.col("share_delta")))
+    off = balanced.where("owners > 0 and not share_ok").select("khata_id", *finding(2, "INVALID_OWNER_SHARES", "CRITICAL", message, F.lit("owners.share_percentage"), observed=F.col("share_sum"), expected=F.lit(100), delta=F.col("share_delta")))
     return none.unionByName(off)
 
 
@@ -98,7 +98,7 @@ def metadata_findings(khata: DataFrame) -> DataFrame:
 def confidence_findings(rows: DataFrame, label: str, floor: float = CONFIDENCE_FLOOR) -> DataFrame:
     """Every entry of ``field_confidence`` (map<string,double>) below ``floor``."""
     low = rows.select("khata_id", "pos", F.explode("field_confidence").alias("field", "conf")).where(F.col("conf") < floor)
-    message = F.concat(F.col("field"), F.lit(" read with "), F.format_string("%.0f", F.col("conf") * 100), F.lit("% confidence; reviewer must confirm."))
+    message = F.concat(F.col("field"), F.lit(" read with "), F.format_string("%.0f", F.col("conf") * 100), F.lit("% confidence; needs a human read."))
     path = F.concat(F.lit(label + "["), F.col("pos").cast("string"), F.lit("]."), F.col("field"))
     return low.select("khata_id", *finding(8 if label == "parcels" else 9, "LOW_FIELD_CONFIDENCE", "WARNING", message, path, observed=F.col("conf"), expected=F.lit(floor)))
 
@@ -148,7 +148,7 @@ def with_findings(reported: DataFrame, findings: DataFrame) -> DataFrame:
 def route(reported: DataFrame) -> DataFrame:
     """Approval, processing status, progress and the reason for review."""
     auto = F.col("committable")
-    reason = F.coalesce("first_critical", F.concat(F.lit("Confidence "), F.format_number("final_score", 4), F.lit(" is below the threshold "), F.lit(f"{THRESHOLD:.2f}")))
+    reason = F.coalesce("first_critical", F.concat(F.lit("Confidence "), F.format_string("%.2f", F.col("final_score") * 100), F.lit(f"% is below the {THRESHOLD:.0%} threshold")))
     return reported.withColumns({
         "approval_status": F.when(auto, "AUTO_APPROVED").otherwise("PENDING"), "processing_status": F.when(auto, "COMMITTED").otherwise("NEEDS_REVIEW"),
         "progress_pct": F.when(auto, 100).otherwise(95), "review_reason": F.when(~auto, reason),

@@ -275,16 +275,22 @@ def _items(spark, sf_dir):
     return plain(register.queue_items(listed, villages), "khata_id", "village_code", "village_name", "final_score", "critical_count", "parcels")
 
 
-@query("f07_record_detail", """
-SELECT k.khata_id, coalesce(p.n, 0) AS parcels, p.last_number, o.names AS owner_names FROM v_khata k
+@query("f07_record_detail", f"""WITH {ROUTED}
+SELECT k.khata_id, coalesce(p.n, 0) AS parcels, p.last_number, o.names AS owner_names, CAST(critical + warnings AS BIGINT) AS findings, CASE WHEN f_area = 1 THEN 'AREA_SUM_MISMATCH' WHEN f_orphan = 1 THEN 'ORPHAN_OWNER' WHEN f_share = 1 THEN 'INVALID_OWNER_SHARES'
+    WHEN blank + odd > 0 THEN 'INVALID_KHASRA_FORMAT' WHEN dup > 0 THEN 'DUPLICATE_KHASRA' WHEN nonpos > 0 THEN 'NON_POSITIVE_AREA' WHEN f_number = 1 THEN 'MISSING_KHATA_NUMBER' END AS first_code FROM rp k
 LEFT JOIN (SELECT khata_id, count(*) AS n, arg_max(khasra_number, pos) AS last_number FROM v_parcels GROUP BY 1) p ON p.khata_id = k.khata_id
 LEFT JOIN (SELECT khata_id, string_agg(owner_name_vernacular, ' | ' ORDER BY pos) AS names FROM v_owners GROUP BY 1) o ON o.khata_id = k.khata_id""", KPO)
 def _detail(spark, sf_dir):
     khata, parcels, owners, audit = load(spark, sf_dir, "v_khata", "v_parcels", "v_owners", "v_audit")
     audit = audit.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = register.record_detail(khata, parcels, owners, audit)
+    rows = register.record_detail(khata, parcels, owners, audit, rules.all_findings(khata, parcels, owners))
     n = F.coalesce(F.size("parcel_list"), F.lit(0))
-    return rows.select("khata_id", n.cast("long").alias("parcels"), F.when(n > 0, F.element_at("parcel_list", -1)["khasra_number"]).alias("last_number"), "owner_names")
+    return rows.select("khata_id", n.cast("long").alias("parcels"), F.when(n > 0, F.element_at("parcel_list", -1)["khasra_number"]).alias("last_number"), "owner_names", F.coalesce(F.size("finding_list"), F.lit(0)).cast("long").alias("findings"), F.get("finding_list", F.lit(0))["code"].alias("first_code"))
+
+
+@query("f04_lookup", "SELECT khata_id, village_code FROM v_khata WHERE village_code = 'V3'", ("v_khata", "v_parcels"))
+def _lookup(spark, sf_dir):
+    return register.lookup(load(spark, sf_dir, "v_khata")[0], "village_code", "V3").select("khata_id", "village_code")
 
 
 @query("a05_owners_concat", "SELECT khata_id, string_agg(owner_name_vernacular, ' | ' ORDER BY pos) AS owner_names, string_agg(CAST(share_percentage AS VARCHAR), ' | ' ORDER BY pos) AS owner_shares FROM v_owners GROUP BY 1", ("v_owners", "v_parcels"))
@@ -332,6 +338,19 @@ def _orphans(spark, sf_dir):
     return plain(register.orphan_keys(parcels, khata.where("khata_id % 50 <> 0"), "khata_id"), "khata_id", "pos")
 
 
+@query("j13_orphan_villages", "SELECT khata_id, village_code FROM v_khata WHERE village_code NOT IN (SELECT village_code FROM v_villages WHERE district <> 'Meerut')", ("v_khata", "v_parcels", "v_villages"))
+def _orphan_villages(spark, sf_dir):
+    khata, villages = load(spark, sf_dir, "v_khata", "v_villages")
+    return register.orphan_keys(khata, villages.where("district <> 'Meerut'"), "village_code").select("khata_id", "village_code")
+
+
+@query("j13_orphan_documents", "SELECT o_orderkey AS khata_id, o_custkey AS document_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 29 <> 0)")
+def _orphan_documents(spark, sf_dir):
+    khata = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("khata_id"), F.col("o_custkey").alias("document_id"))
+    docs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("document_id"))
+    return register.orphan_keys(khata, docs.where("document_id % 29 <> 0"), "document_id").select("khata_id", "document_id")
+
+
 @query("w10_r03_latest_status", "SELECT user_id AS document_id, arg_max(event_type, ts) AS status FROM events GROUP BY 1")
 def _status(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), "ts", "event_id")
@@ -364,7 +383,7 @@ def _storage(spark, sf_dir):
 @query("s06_csv_export", f"""WITH {REGISTER},
 ow AS (SELECT khata_id, string_agg(owner_name_vernacular, ' | ' ORDER BY pos) AS n, string_agg(CAST(share_percentage AS VARCHAR), ' | ' ORDER BY pos) AS s FROM v_owners GROUP BY 1)
 SELECT '' AS ulpin, rg.khata_number, p.khasra_number, coalesce(rg.village_code, '') AS village_code, coalesce(v.village_name, '') AS village_name, coalesce(v.tehsil, '') AS tehsil, coalesce(v.district, '') AS district, coalesce(v.state, '') AS state,
-  CAST(p.plot_area_sqm AS VARCHAR) AS plot_area_sqm, CAST(rg.total_area_sqm AS VARCHAR) AS khata_total_sqm, '' AS land_classification, coalesce(ow.n, '') AS owners, coalesce(ow.s, '') AS shares_pct, '' AS fasli_year, approval_status,
+  CAST(p.plot_area_sqm AS VARCHAR) AS plot_area_sqm, CAST(rg.total_area_sqm AS VARCHAR) AS khata_total_area_sqm, '' AS land_classification, coalesce(ow.n, '') AS owner_names, coalesce(ow.s, '') AS owner_shares, '' AS fasli_year, approval_status,
   CAST(CAST(final_score AS DECIMAL(12,4)) AS VARCHAR) AS confidence_score
 FROM v_parcels p JOIN rg ON rg.khata_id = p.khata_id LEFT JOIN ow ON ow.khata_id = rg.khata_id LEFT JOIN v_villages v ON v.village_code = rg.village_code WHERE approval_status IN ('AUTO_APPROVED', 'MANUALLY_APPROVED')""", (*KPO, "v_villages"))
 def _csv(spark, sf_dir):
@@ -373,13 +392,21 @@ def _csv(spark, sf_dir):
 
 
 @query("s07_geojson_export", f"""WITH {REGISTER}
-SELECT p.khata_id, CAST(p.pos AS BIGINT) AS pos, p.lon, p.lat, p.khasra_number, rg.approval_status FROM v_parcels p JOIN rg ON rg.khata_id = p.khata_id WHERE approval_status IN ('AUTO_APPROVED', 'MANUALLY_APPROVED')""", KPO)
+SELECT p.khata_id, CAST(p.pos AS BIGINT) AS pos, p.lon, p.lat, CAST(NULL AS VARCHAR) AS ulpin, rg.khata_number, p.khasra_number, CAST(NULL AS VARCHAR) AS fasli_year, CAST(p.plot_area_sqm AS DOUBLE) AS plot_area_sqm, CAST(rg.total_area_sqm AS DOUBLE) AS khata_total_area_sqm, CAST(NULL AS VARCHAR) AS land_classification,
+  rg.village_code, v.village_name, v.tehsil, v.district, v.state, o.n AS owners, o.name, CAST(NULL AS VARCHAR) AS relation, o.share AS share_pct, rg.final_score AS confidence_score, rg.approval_status
+FROM v_parcels p JOIN rg ON rg.khata_id = p.khata_id LEFT JOIN v_villages v ON v.village_code = rg.village_code
+LEFT JOIN (SELECT khata_id, count(*) AS n, arg_max(owner_name_vernacular, pos) AS name, CAST(arg_max(share_percentage, pos) AS DOUBLE) AS share FROM v_owners GROUP BY 1) o ON o.khata_id = p.khata_id
+WHERE approval_status IN ('AUTO_APPROVED', 'MANUALLY_APPROVED')""", (*KPO, "v_villages"))
 def _geojson(spark, sf_dir):
     """The features' own fields, read back from their JSON."""
     _, parcels, owners, _, reg = _register(spark, sf_dir)
     lines = export.geojson_lines(reg, parcels, owners, load(spark, sf_dir, "v_villages")[0])
     at = lambda path, kind="string": F.get_json_object("feature", path).cast(kind)
-    return plain(lines.select("khata_id", "pos", at("$.geometry.coordinates[0]", "double").alias("lon"), at("$.geometry.coordinates[1]", "double").alias("lat"), at("$.properties.khasra_number").alias("khasra_number"), at("$.properties.approval_status").alias("approval_status")))
+    kinds = {"plot_area_sqm": "double", "khata_total_area_sqm": "double", "confidence_score": "double"}
+    names = ("ulpin", "khata_number", "khasra_number", "fasli_year", "plot_area_sqm", "khata_total_area_sqm", "land_classification", "village_code", "village_name", "tehsil", "district", "state", "confidence_score", "approval_status")
+    owners = F.from_json(at("$.properties.owners"), "array<struct<name:string,relation:string,share_pct:double>>")
+    last = lambda c: F.element_at(owners, -1)[c].alias(c)
+    return plain(lines.select("khata_id", "pos", at("$.geometry.coordinates[0]", "double").alias("lon"), at("$.geometry.coordinates[1]", "double").alias("lat"), *[at(f"$.properties.{n}", kinds.get(n, "string")).alias(n) for n in names], F.size(owners).alias("owners"), last("name"), last("relation"), last("share_pct")))
 
 
 @query("s08_export_view", "SELECT k.khata_id, v.village_name, v.district, p.khasra_number, CAST(p.plot_area_sqm AS DOUBLE) AS plot_area_sqm FROM v_khata k JOIN v_villages v ON v.village_code = k.village_code LEFT JOIN v_parcels p ON p.khata_id = k.khata_id", PKV)
@@ -428,6 +455,23 @@ def _bands(spark, sf_dir):
     return plain(load(spark, sf_dir, "v_khata")[0].select("khata_id", units.hectares(F.col("total_area_sqm")).alias("hectares"), text.confidence_band("ocr_confidence").alias("band")))
 
 
+@query("x12_x16_text_fields", """
+SELECT khata_id, CAST(pos AS BIGINT) AS pos, CASE khata_id % 4 WHEN 0 THEN round(100.0 / (pos + 2), 2) WHEN 1 THEN 12.5 END AS percent, CASE khata_id % 4 WHEN 0 THEN concat('1/', CAST(pos + 2 AS VARCHAR)) WHEN 1 THEN '12.5%' END AS printed,
+  CASE khata_id % 3 WHEN 0 THEN 'Irrigated' WHEN 1 THEN 'Unirrigated' END AS land_class, CASE WHEN khata_id % 5 < 3 THEN 'राम' END AS owner, CASE khata_id % 5 WHEN 0 THEN 'S/o' WHEN 1 THEN 'D/o' WHEN 2 THEN 'W/o' END AS relation, CASE WHEN khata_id % 5 < 3 THEN 'श्याम' END AS relative,
+  khata_id % 7 = 0 AS is_total, CAST(khata_id AS VARCHAR) AS khata_number, concat(CAST(pos AS VARCHAR), '/2') AS khasra_number FROM v_parcels""", ("v_parcels",))
+def _text_fields(spark, sf_dir):
+    """Lines as they are printed, made of the parcels' numbers: shares, classes, relations, totals and labelled numbers."""
+    k, pos = F.col("khata_id"), F.col("pos").cast("string")
+    of = lambda n, *values: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (k % n).cast("int") + 1)
+    rows = load(spark, sf_dir, "v_parcels")[0]
+    percent, printed = text.share(of(4, F.concat(F.lit("हिस्सा १/"), F.translate((F.col("pos") + 2).cast("string"), "0123456789", text.DEVANAGARI_DIGITS)), "भाग 12.5 %", "1/0", "सारा"))
+    owner, relation, relative = text.relation(of(5, "राम पुत्र श्याम", "राम पुत्री श्याम", "राम पत्नी श्याम", "राम", ""))
+    return plain(rows.select(
+        "khata_id", "pos", percent.cast("double").alias("percent"), printed.alias("printed"), text.land_class(of(3, "भूमि सिंचित", "भूमि असिंचित", "भूमि")).alias("land_class"), owner.alias("owner"), relation.alias("relation"), relative.alias("relative"),
+        text.is_total_line(F.when(k % 7 == 0, "कुल योग").otherwise("भूमि")).alias("is_total"), text.khata_number(F.concat(F.lit("खाता संख्या: "), k.cast("string"))).alias("khata_number"), text.khasra_number(F.concat(F.lit("खसरा नं. "), pos, F.lit("/२")))[0].alias("khasra_number"),
+    ))
+
+
 # ------------------------------------------------------------------ ledger
 
 CANONICAL = """concat('{"corrected":', coalesce('"' || CORRECTED || '"', 'null'), ',"field":"', FIELD, '","khata_id":"', CAST(KHATA AS VARCHAR), '","prev":"', PREV, '","raw":', coalesce('"' || RAW || '"', 'null'), ',"role":"', ROLE, '","ts":"', TS, '","user":"', USR, '"}')"""
@@ -592,23 +636,55 @@ def _route_ledger(routed: DataFrame) -> DataFrame:
     return ledger.append(none, ledger.numbered(none, log, "field_name"))
 
 
-@query("v14_k01_route_ledger")
+FIRST_CRITICAL = """dm AS (SELECT khata_id, arg_min(m, f) AS m FROM (SELECT p.khata_id, concat('parcels[', CAST(p.pos AS VARCHAR), '].khasra_number') AS f, concat('Khasra ', p.khasra_number, ' appears twice (rows ', CAST(min(q.pos) + 1 AS VARCHAR), ' and ', CAST(p.pos + 1 AS VARCHAR), ').') AS m
+    FROM v_parcels p JOIN v_parcels q ON q.khata_id = p.khata_id AND q.khasra_number = p.khasra_number AND q.pos < p.pos WHERE p.khasra_number <> '' GROUP BY p.khata_id, p.pos, p.khasra_number) t GROUP BY 1),
+nm AS (SELECT khata_id, arg_min(concat('Plot area for Khasra ', CASE WHEN trim(khasra_number) = '' THEN '?' ELSE khasra_number END, ' is ', CAST(plot_area_sqm AS VARCHAR), ' sqm.'), concat('parcels[', CAST(pos AS VARCHAR), '].plot_area_sqm')) AS m FROM v_parcels WHERE plot_area_sqm <= 0 GROUP BY 1),
+fc AS (SELECT rt.*, CASE WHEN f_area = 1 THEN concat('Parcel areas total ', CAST(CAST(parcel_sum AS DECIMAL(22,4)) AS VARCHAR), ' sqm but the Khata declares ', CAST(total_area_sqm AS VARCHAR), ' sqm — a difference of ', CAST(CAST(abs(parcel_sum - total_area_sqm) AS DECIMAL(22,4)) AS VARCHAR), ' sqm (',
+      CAST(CAST(round_even(CAST(abs(parcel_sum - total_area_sqm) AS DECIMAL(18,4)) * CAST(0.0001 AS DECIMAL(5,4)), 4) AS DECIMAL(22,4)) AS VARCHAR), ' ha).')
+    WHEN f_orphan = 1 THEN 'No owner recorded against this Khata.' WHEN f_share = 1 THEN concat('Ownership shares total ', CAST(CAST(share_sum AS DECIMAL(15,2)) AS VARCHAR), '%, which does not close to 100%.')
+    WHEN blank > 0 THEN 'Khasra number is blank.' WHEN dup > 0 THEN dm.m WHEN nonpos > 0 THEN nm.m WHEN f_number = 1 THEN 'Khata number could not be read from the document.' END AS first_critical
+  FROM rt LEFT JOIN dm ON dm.khata_id = rt.khata_id LEFT JOIN nm ON nm.khata_id = rt.khata_id)"""
+
+
+@query("v14_k01_route_ledger", f"""WITH {ROUTED}, {FIRST_CRITICAL},
+lg AS (SELECT khata_id, 'system' AS modified_by_user_id, 'SYSTEM' AS role, created_at AS ts, CASE WHEN committable THEN 'approval_status' ELSE 'routing' END AS field_name, CASE WHEN committable THEN 'PENDING' ELSE 'AUTO' END AS raw_value, CASE WHEN committable THEN 'AUTO_APPROVED' ELSE 'NEEDS_REVIEW' END AS corrected_value,
+  CASE WHEN committable THEN concat('Auto-committed at ', format('{{:.2f}}', final_score * 100), '% confidence with no critical findings') ELSE coalesce(first_critical, concat('Confidence ', format('{{:.2f}}', final_score * 100), '% is below the 85% threshold')) END AS reason FROM fc),
+lt AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS ts_text FROM lg)
+SELECT khata_id, CAST(1 AS BIGINT) AS log_id, field_name, raw_value, corrected_value, reason, '{ledger.GENESIS}' AS prev_hash, sha256({_canonical("", f"'{ledger.GENESIS}'")}) AS entry_hash FROM lt""", KPO)
 def _route_log(spark, sf_dir):
     return plain(_route_ledger(_reported(spark, sf_dir)[4]), "khata_id", "log_id", "field_name", "raw_value", "corrected_value", "reason", "prev_hash", "entry_hash")
 
 
-@query("c03_merge_owners")
+OWNER_CORR = """oc AS (SELECT khata_id, CASE WHEN pos = 1 AND khata_id % 5 = 0 THEN NULL ELSE pos END AS pos, concat(owner_name_vernacular, CASE WHEN pos = 0 AND khata_id % 7 = 0 THEN 'क' ELSE '' END) AS name,
+    CAST(share_percentage + CASE WHEN pos = 0 AND khata_id % 17 = 0 THEN 10 WHEN pos = 0 AND khata_id % 19 = 0 THEN 0.01 ELSE 0 END AS DECIMAL(5,2)) AS share, pos = 2 AND khata_id % 5 = 1 AS is_delete
+  FROM v_owners WHERE khata_id % 3 = 0 AND NOT (pos = 2 AND khata_id % 4 = 0)),
+oo AS (SELECT * FROM v_owners WHERE khata_id IN (SELECT khata_id FROM oc)),
+om AS (SELECT coalesce(o.khata_id, c.khata_id) AS khata_id, coalesce(o.pos, c.pos) AS pos, CASE WHEN o.khata_id IS NOT NULL AND (c.khata_id IS NULL OR c.is_delete) THEN 'delete' WHEN o.khata_id IS NOT NULL THEN 'update' WHEN NOT c.is_delete THEN 'insert' END AS action,
+    c.name, c.share, CASE WHEN c.khata_id IS NOT NULL THEN 'S/o' END AS relation, o.owner_name_vernacular AS old_name, o.share_percentage AS old_share FROM oo o FULL OUTER JOIN oc c ON c.khata_id = o.khata_id AND c.pos = o.pos)"""
+
+
+@query("c03_merge_owners", f"""WITH {OWNER_CORR}
+SELECT khata_id, CAST(pos AS BIGINT) AS pos, action, name AS owner_name_vernacular, CAST(share AS DOUBLE) AS share_percentage, relation AS relation_type, old_name AS old_owner_name_vernacular, CAST(old_share AS DOUBLE) AS old_share_percentage,
+  CASE WHEN name IS NOT NULL AND khata_id % 6 = 0 THEN sha256(concat('salt:', lpad(CAST(khata_id % 977 AS VARCHAR), 12, '1'))) END AS identity_digest FROM om WHERE action IS NOT NULL""", ("v_owners", "v_parcels"))
 def _merge_owners(spark, sf_dir):
     owners = load(spark, sf_dir, "v_owners")[0]
-    return plain(merge.merge_owners(owners, _owner_corr(owners)), "khata_id", "pos", "action", "owner_name_vernacular", "share_percentage", "relation_type", "old_owner_name_vernacular", "old_share_percentage")
+    number = F.when(F.col("khata_id") % 6 == 0, F.lpad((F.col("khata_id") % 977).cast("string"), 12, "1"))
+    return plain(merge.merge_owners(owners, _owner_corr(owners).withColumn("identity_number", number), "salt"), "khata_id", "pos", "action", "owner_name_vernacular", "share_percentage", "relation_type", "old_owner_name_vernacular", "old_share_percentage", "identity_digest")
 
 
-@query("c05_c06_decide_corrected")
+@query("c05_c06_decide_corrected", f"""WITH {MERGED}, {OWNER_CORR},
+p2 AS (SELECT khata_id, khasra_number, plot_area_sqm FROM mg WHERE action IN ('keep', 'update', 'insert') UNION ALL SELECT khata_id, khasra_number, plot_area_sqm FROM v_parcels WHERE khata_id NOT IN (SELECT khata_id FROM v_parcel_corr)),
+o2 AS (SELECT khata_id, share AS share_percentage FROM om WHERE action IN ('update', 'insert') UNION ALL SELECT khata_id, share_percentage FROM v_owners WHERE khata_id NOT IN (SELECT khata_id FROM oc)),
+{ROUTED.replace("v_parcels", "p2").replace("v_owners", "o2")}
+SELECT khata_id, CAST(critical AS BIGINT) AS critical, CASE WHEN critical = 0 OR (khata_id % 5 < 2 AND khata_id % 3 = 0) THEN 'MANUALLY_APPROVED' ELSE 'PENDING' END AS decision, critical > 0 AND khata_id % 5 < 2 AND khata_id % 3 = 0 AS override FROM rt""", (*KPO, "v_parcel_corr"))
 def _decide_corrected(spark, sf_dir):
     return plain(_verified(spark, sf_dir)[0], "khata_id", "critical", "decision", "override")
 
 
-@query("c09_owner_diff")
+@query("c09_owner_diff", f"""WITH {OWNER_CORR}
+SELECT coalesce(o.khata_id, n.khata_id) AS khata_id, CAST(coalesce(o.pos, n.pos) AS BIGINT) AS pos, CASE WHEN n.khata_id IS NULL THEN 'removed' WHEN o.khata_id IS NULL THEN 'added' ELSE 'changed' END AS change
+FROM oo o FULL OUTER JOIN (SELECT * FROM oc WHERE pos IS NOT NULL AND NOT is_delete) n ON n.khata_id = o.khata_id AND n.pos = o.pos
+WHERE n.khata_id IS NULL OR o.khata_id IS NULL OR o.owner_name_vernacular <> n.name OR abs(o.share_percentage - n.share) > 0.001""", ("v_owners", "v_parcels"))
 def _owner_diff(spark, sf_dir):
     owners = load(spark, sf_dir, "v_owners")[0]
     new = _owner_corr(owners)
@@ -648,17 +724,29 @@ def _table_tokens(spark, sf_dir):
     return plain(boxes.table_tokens(*load(spark, sf_dir, "v_tokens", "v_zones")), "doc_id", "tok")
 
 
-@query("j10_x09_overlap_pairs", f"SELECT a.doc_id, CAST(a.tok AS BIGINT) AS tok_a, CAST(b.tok AS BIGINT) AS tok_b, round({IOU}, 6) AS iou FROM v_tokens a JOIN v_tokens b ON a.doc_id = b.doc_id AND a.page = b.page AND a.tok < b.tok WHERE {IOU} > 0.2", TOK)
+@query("j10_x09_overlap_pairs", f"""WITH t AS MATERIALIZED (SELECT doc_id, page, tok, ymin, xmin, ymax, xmax FROM v_tokens),
+m AS MATERIALIZED (SELECT a.doc_id, a.tok AS tok_a, b.tok AS tok_b, {IOU} AS iou, a.tok < b.tok AS ordered FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page = b.page)
+SELECT doc_id, CAST(tok_a AS BIGINT) AS tok_a, CAST(tok_b AS BIGINT) AS tok_b, round(iou, 6) AS iou FROM m WHERE ordered AND iou > 0.2""", TOK)
 def _overlaps(spark, sf_dir):
     return plain(boxes.overlap_pairs(load(spark, sf_dir, "v_tokens")[0], 0.2), "doc_id", "tok_a", "tok_b", "iou")
 
 
-@query("e01_suppress_overlaps")
+KEPT = """WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY confidence DESC, tok) AS n FROM v_tokens),
+k AS (SELECT doc_id, page, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(tok BIGINT, ymin BIGINT, xmin BIGINT, ymax BIGINT, xmax BIGINT)[]) AS kept FROM (SELECT DISTINCT doc_id, page FROM o) d
+  UNION ALL
+  SELECT b.doc_id, b.page, b.n, CASE WHEN len(list_filter(kept, lambda a: IOU > LIMIT)) = 0 AND len(kept) < MOST THEN list_append(kept, struct_pack(tok := CAST(b.tok AS BIGINT), ymin := CAST(b.ymin AS BIGINT), xmin := CAST(b.xmin AS BIGINT), ymax := CAST(b.ymax AS BIGINT), xmax := CAST(b.xmax AS BIGINT))) ELSE kept END
+  FROM k JOIN o b ON b.doc_id = k.doc_id AND b.page = k.page AND b.n = k.n + 1),
+f AS (SELECT doc_id, page, arg_max(kept, n) AS kept FROM k GROUP BY 1, 2),
+u AS (SELECT doc_id, page, unnest(list_transform(kept, lambda x: x.tok)) AS tok FROM f)
+SELECT u.doc_id, CAST(u.page AS BIGINT) AS page, u.tok, o.confidence FROM u JOIN o ON o.doc_id = u.doc_id AND o.page = u.page AND o.tok = u.tok""".replace("IOU", IOU)
+
+
+@query("e01_suppress_overlaps", KEPT.replace("LIMIT", "0.6").replace("MOST", "1000000"), TOK)
 def _suppress(spark, sf_dir):
     return plain(boxes.suppress_overlaps(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "page", "tok", "confidence")
 
 
-@query("e03_suppress_capped")
+@query("e03_suppress_capped", KEPT.replace("LIMIT", "0.2").replace("MOST", "4"), TOK)
 def _suppress_capped(spark, sf_dir):
     return plain(boxes.suppress_overlaps(load(spark, sf_dir, "v_tokens")[0], 0.2, 4), "doc_id", "page", "tok", "confidence")
 
@@ -693,12 +781,19 @@ def _ghosts(spark, sf_dir):
     return plain(boxes.drop_ghosts(_marked_tokens(spark, sf_dir)), "doc_id", "tok")
 
 
-@query("t04_reading_order", "SELECT doc_id, CAST(tok AS BIGINT) AS tok FROM v_tokens", TOK)
+@query("t04_reading_order", "SELECT doc_id, CAST(tok AS BIGINT) AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY page, ymin // 10, xmin, tok) - 1 AS nth FROM v_tokens", TOK)
 def _reading(spark, sf_dir):
-    return plain(boxes.reading_order(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "tok")
+    return plain(boxes.reading_order(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "tok", "nth")
 
 
-@query("w09_e04_assemble_rows")
+@query("w09_e04_assemble_rows", """WITH RECURSIVE o AS MATERIALIZED (SELECT *, (ymin + ymax) / 2.0 AS centre, row_number() OVER (PARTITION BY doc_id, page ORDER BY (ymin + ymax) / 2.0, xmin, tok) AS n,
+    greatest(8, floor(0.6 * median(ymax - ymin) OVER (PARTITION BY doc_id))) AS tolerance FROM v_tokens),
+l AS (SELECT doc_id, page, n, 0 AS line, CAST(centre AS DOUBLE) AS total, 1 AS members FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.doc_id, o.page, o.n, CASE WHEN near THEN line ELSE line + 1 END, CASE WHEN near THEN total + o.centre ELSE o.centre END, CASE WHEN near THEN members + 1 ELSE 1 END
+  FROM (SELECT l.line, l.total, l.members, o.*, abs(o.centre - l.total / l.members) <= o.tolerance AS near FROM l JOIN o ON o.doc_id = l.doc_id AND o.page = l.page AND o.n = l.n + 1) o)
+SELECT o.doc_id, CAST(o.page AS BIGINT) AS page, CAST(l.line AS BIGINT) AS line, string_agg(o.text, ' ' ORDER BY o.xmin, o.tok) AS text, CAST(min(ymin) AS BIGINT) AS ymin, CAST(min(xmin) AS BIGINT) AS xmin, CAST(max(ymax) AS BIGINT) AS ymax, CAST(max(xmax) AS BIGINT) AS xmax,
+  min(confidence) AS conf_min, avg(confidence) AS conf_mean FROM o JOIN l ON l.doc_id = o.doc_id AND l.page = o.page AND l.n = o.n GROUP BY 1, 2, 3""", TOK)
 def _rows(spark, sf_dir):
     return plain(extract.assemble_rows(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "page", "line", "text", "ymin", "xmin", "ymax", "xmax", "conf_min", "conf_mean")
 

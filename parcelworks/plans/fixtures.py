@@ -123,5 +123,7 @@ def with_views(sql: str, *names: str) -> str:
     views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _order(names))
     head, _, rest = sql.strip().partition(" ")
     if head.upper() == "WITH":
+        if rest.startswith("RECURSIVE "):
+            return f"WITH RECURSIVE {views},\n{rest.removeprefix('RECURSIVE ')}"
         return f"WITH {views},\n{rest}"
     return f"WITH {views}\n{sql.strip()}"

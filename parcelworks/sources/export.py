@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from parcelworks.operators.register import approved_only, by_village, join_owners, join_village
 
 # Fixed value: the columns of the CSV export, in order.
-CSV_COLUMNS = ("ulpin", "khata_number", "khasra_number", "village_code", "village_name", "tehsil", "district", "state", "plot_area_sqm", "khata_total_sqm", "land_classification", "owners", "shares_pct", "fasli_year", "approval_status", "confidence_score")
+CSV_COLUMNS = (
+    "state", "district", "tehsil", "village_code", "village_name", "khata_number", "fasli_year", "khasra_number", "ulpin", "plot_area_sqm", "land_classification", "khata_total_area_sqm",
+    "owner_names", "owner_shares", "confidence_score", "approval_status",
+)
 
 
 def _text(c, scale: int | None = None) -> Column:
@@ -26,7 +29,7 @@ def csv_rows(khata: DataFrame, parcels: DataFrame, owners: DataFrame, villages:
     rows = parcels.join(head, "khata_id")
     values = {
         "ulpin": _text(_optional(rows, "ulpin")), "khata_number": _text("khata_number"), "khasra_number": _text("khasra_number"), "village_code": _text("village_code"), "village_name": _text("village_name"), "tehsil": _text("tehsil"), "district": _text("district"), "state": _text("state"),
-        "plot_area_sqm": _text("plot_area_sqm", 4), "khata_total_sqm": _text("total_area_sqm", 4), "land_classification": _text(_optional(rows, "land_classification")), "owners": _text("owner_names"), "shares_pct": _text("owner_shares"),
+        "plot_area_sqm": _text("plot_area_sqm", 4), "khata_total_area_sqm": _text("total_area_sqm", 4), "land_classification": _text(_optional(rows, "land_classification")), "owner_names": _text("owner_names"), "owner_shares": _text("owner_shares"),
         "fasli_year": _text(_optional(rows, "fasli_year")), "approval_status": _text("approval_status"), "confidence_score": _text("final_score", 4),
     }
     return rows.select(*[values[c].alias(c) for c in CSV_COLUMNS])
@@ -47,8 +50,15 @@ def geojson_lines(khata: DataFrame, parcels: DataFrame, owners: DataFrame, villa
     head = join_village(join_owners(by_village(approved_only(khata, only_approved), village), owners), villages, "left")
     rows = parcels.join(head, "khata_id")
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    nested = F.transform(F.coalesce("owners", F.array().cast("array<struct<pos:int,owner_name_vernacular:string,share_percentage:decimal(5,2)>>")), lambda o: F.struct(o["owner_name_vernacular"].alias("name"), o["share_percentage"].cast("double").alias("share")))
-    properties = F.struct("khata_number", "khasra_number", "village_code", F.col("plot_area_sqm").cast("double").alias("plot_area_sqm"), "approval_status", nested.alias("owners"))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    own = dict(rows.select(F.explode("owners").alias("o")).select("o.*").dtypes)
+    field = lambda o, c: o[c] if c in own else F.lit(None).cast("string")
+    nested = F.transform("owners", lambda o: F.struct(o["owner_name_vernacular"].alias("name"), field(o, "owner_name_en").alias("name_en"), field(o, "relation_type").alias("relation"), field(o, "relative_name").alias("relative"), o["share_percentage"].cast("double").alias("share_pct")))
+    owned = F.coalesce(nested, F.array().cast("array<struct<name:string,name_en:string,relation:string,relative:string,share_pct:double>>"))
+    properties = F.struct(
+        _optional(rows, "ulpin").alias("ulpin"), "khata_number", "khasra_number", _optional(rows, "fasli_year").alias("fasli_year"), number("plot_area_sqm"), F.col("total_area_sqm").cast("double").alias("khata_total_area_sqm"), _optional(rows, "land_classification").alias("land_classification"),
+        "village_code", "village_name", "tehsil", "district", "state", owned.alias("owners"), F.col("final_score").cast("double").alias("confidence_score"), "approval_status",
+    )
     feature = F.struct(F.lit("Feature").alias("type"), F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), point).alias("geometry"), properties.alias("properties"))
     return rows.select("khata_id", "pos", F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Media types that are admitted, and the greatest size.
@@ -43,16 +43,17 @@ def admit(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dedup_by_hash(new: DataFrame, existing: DataFrame | None = None, order: str = "document_id") -> DataFrame:
-    """``new`` with duplicate_of: the earliest document with the same content, among the existing ones first."""
-    first = F.first(order).over(Window.partitionBy("content_hash").orderBy(order))
-    rows = new.withColumn("first_new", first)
+    """``new`` with duplicate_of: the earliest document with the same content, among the existing ones first (S4). A null
+    content_hash is like no other. Firsts are found by an aggregation and joined, so no content is gathered in a task."""
+    first = new.groupBy("content_hash").agg(F.min(order).alias("first_new"))
+    rows = new.join(first, "content_hash", "left")
     if existing is not None:
         known = existing.groupBy("content_hash").agg(F.min(order).alias("known"))
         rows = rows.join(known, "content_hash", "left")
     else:
         rows = rows.withColumn("known", F.lit(None).cast(dict(new.dtypes)[order]))
     original = F.coalesce("known", "first_new")
-    return rows.withColumn("duplicate_of", F.when(original != F.col(order), original)).drop("first_new", "known")
+    return rows.select(*new.columns, "known", "first_new").withColumn("duplicate_of", F.when(original != F.col(order), original)).drop("first_new", "known")
 
 
 def with_storage_key(rows: DataFrame, suffix: str = "pdf") -> DataFrame:

@@ -109,3 +109,13 @@ def test_rows_and_owners(spark):
     assert rows == {0: "a b", 1: "c d e"}
     owners = spark.createDataFrame([(1, i, None) for i in range(3)], "khata_id long, pos int, share_percentage decimal(5,2)")
     assert sum(r.share_percentage for r in merge.implied_shares(owners).collect()) == 100
+
+
+def test_normalised_text_is_composed(spark):
+    import unicodedata
+
+    cases = ["क\u093c १२", "\u0958\u0959\u095a\u095b\u095c\u095d\u095e\u095f", "न\u093c र\u093c ळ\u093c", "खसरा\u200b ४५\u200d", "plain 7", ""]
+    found = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "t string").select(text.normalise_digits("t")).collect()]
+    assert found == ["".join(str(text.DEVANAGARI_DIGITS.index(x)) if x in text.DEVANAGARI_DIGITS else x for x in unicodedata.normalize("NFC", c) if x not in text.ZERO_WIDTH) for c in cases]
+    decomposed = spark.createDataFrame([("e\u0301", ), (None,)], "t string").select(text.nfc("t")).collect()
+    assert [r[0] for r in decomposed] == ["\u00e9", None]

@@ -1,5 +1,6 @@
 """Every registered query of the register against its SQL in DuckDB, and streams against batches."""
 
+import json
 import math
 
 import duckdb
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelworks.operators import ledger, register
 from parcelworks.plans import catalogue
-from parcelworks.sources import ingest
+from parcelworks.sources import export, ingest
 from parcelworks.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
@@ -98,3 +99,35 @@ def test_route_and_status_streams(spark, tmp_path):
 def test_dead_letters(spark):
     ok, bad = jobs.dead_letters(spark.createDataFrame([(1, None), (2, "x" * 2000)], "id int, error string"))
     assert [r.id for r in ok.collect()] == [1] and len(bad.first().error) == 1000
+
+
+def test_register_is_read_from_folders_and_databases(spark, tmp_path):
+    villages, owners = catalogue.load(spark, DATA, "v_villages", "v_owners")
+    villages.write.parquet(str(tmp_path / "villages"))
+    owners.write.parquet(str(tmp_path / "ownership_details"))
+    found = ingest.load_register(spark, str(tmp_path), ("villages", "ownership_details"))
+    assert same(found["villages"].collect()) == same(villages.collect()) and found["ownership_details"].count() == owners.count()
+    url, driver = f"jdbc:derby:{tmp_path}/register", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    villages.write.jdbc(f"{url};create=true", "villages", properties=driver)
+    table = ingest.load_register_jdbc(spark, url, driver, ("villages",))["villages"]
+    assert same(table.select(*villages.columns).collect()) == same(villages.collect())
+    assert "PushedFilters" in table.where("village_code = 'V3'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exports_are_written(spark, tmp_path):
+    rows = catalogue.queries()["s06_csv_export"](spark, DATA)
+    assert rows.columns == list(export.CSV_COLUMNS)
+    export.export_csv(rows, str(tmp_path / "one"), single_file=True)
+    (path,) = (tmp_path / "one").glob("*.csv")
+    content = path.read_bytes()
+    assert content.startswith("\ufeffstate,district,tehsil,village_code,village_name,khata_number,fasli_year,".encode()) and content.count(b"\n") == rows.count() + 1
+    assert b'""' not in content  # nulls are empty
+    numbers = [line.split(",")[5] for line in content.decode().splitlines()[1:]]
+    assert numbers == sorted(numbers)
+    export.export_csv(rows, str(tmp_path / "many"))
+    assert spark.read.csv(str(tmp_path / "many"), header=True).count() == rows.count()
+    khata, parcels, owners, _, routed = catalogue._reported(spark, DATA)
+    features = export.geojson_lines(routed, parcels, owners, catalogue.load(spark, DATA, "v_villages")[0], only_approved=False)
+    export.export_geojson(features, str(tmp_path / "geo"))
+    first = json.loads(spark.read.text(str(tmp_path / "geo")).first()[0])
+    assert first["type"] == "Feature" and list(first["properties"]["owners"][0]) == ["name", "name_en", "relation", "relative", "share_pct"] and len(first["properties"]) == 15
