@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from parcelworks.llm.common import tune
 
+#: Characters of a stretch that is remembered at most: with the number of stretches this bounds a task's memory.
+LONGEST = 64
 #: Examples weighed against each other for a sequence; what is left of them goes on to the next batch.
 POOL = 512
 
@@ -61,7 +63,11 @@ class Tokenizer:
             for x in parts:
                 if x not in self.seen:
                     self.seen[x] = self._ids(x)
-            return b"".join(map(self.seen.__getitem__, parts))
+            out = b"".join(map(self.seen.__getitem__, parts))
+            for x in parts:
+                if len(x) > LONGEST:
+                    self.seen.pop(x, None)
+            return out
 
 
 def _ranked(file: dict, special: list[str]):
@@ -93,13 +99,13 @@ class Packer:
     def __init__(self, limits: tuple[int, int, int]):
         self.limits = np.array(limits, np.int64)
         self.keys: list = []
-        self.demand = np.empty((0, 2), np.int64)  # tokens, loss tokens still to place
+        self.demand = np.empty((0, 3), np.int64)  # tokens, segments (one), loss tokens still to place
         self.start = np.empty(0, np.int64)
         self.sequence, self.left, self.offset = 0, self.limits.copy(), 0
 
     def add(self, keys: list, tokens: np.ndarray, loss: np.ndarray) -> None:
         self.keys += keys
-        self.demand = np.concatenate([self.demand, np.stack([tokens, loss], 1)])
+        self.demand = np.concatenate([self.demand, np.stack([tokens, np.ones_like(tokens), loss], 1)])
         self.start = np.concatenate([self.start, np.zeros(len(keys), np.int64)])
 
     def _next(self) -> None:
@@ -107,17 +113,17 @@ class Packer:
 
     def run(self, keep: int) -> Iterator[tuple]:
         """Pieces (key, start, length, sequence, offset) until at most ``keep`` examples are left in the pool."""
-        share = 1.0 / self.limits[[0, 2]].astype(float) ** 2
+        share = 1.0 / self.limits.astype(float) ** 2
         live = np.ones(len(self.keys), bool)
         remaining = len(self.keys)
         while remaining > keep:
             if self.left[0] <= 0 or self.left[1] <= 0:
                 self._next()
-            whole = (self.demand[:, 0] <= self.left[0]) & (self.demand[:, 1] <= self.left[2]) & live
+            whole = (self.demand <= self.left).all(axis=1) & live
             among = whole if whole.any() else live
-            score = np.where(among, self.demand @ (share * self.left[[0, 2]]), -1.0)
+            score = np.where(among, self.demand @ (share * self.left), -1.0)
             i = int(score.argmax())
-            tokens, loss = self.demand[i]
+            tokens, _, loss = self.demand[i]
             if whole[i]:
                 length, used = tokens, loss
             else:  # cut: as many tokens as the room, and the loss tokens at the end only as far as their limit
@@ -129,7 +135,7 @@ class Packer:
             yield self.keys[i], int(self.start[i]), int(length), self.sequence, self.offset
             self.offset += int(length)
             self.left -= np.array([length, 1, used])
-            self.demand[i] -= (length, used)
+            self.demand[i] -= (length, 0, used)
             self.start[i] += length
             if self.demand[i, 0] == 0:
                 live[i] = False

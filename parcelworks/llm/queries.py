@@ -68,6 +68,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as instruction data: only the assistant's tokens bear loss, and a sequence holds at most 1,024
+    tokens, six turns and 640 loss-bearing tokens. An example's id is its conversation's, 20 bits up, and its turn."""
+    turns = _read(spark, sf_dir, "conversations")
+    free = F.when(F.col("role") == "assistant", 0).otherwise((1 << 31) - 1)
+    examples = turns.select(F.shiftleft("conv_id", 20).bitwiseOR(F.col("turn")).alias("doc_id"), "text", free.alias("free"))
+    packed = packing.pack(examples, tokenizer("byte_bpe_50k.json"), limit=1024, max_segments=6, max_loss=640, loss_from="free")
+    return packed.select(F.shiftright("doc_id", 20).alias("conv_id"), F.col("doc_id").bitwiseAND(F.lit((1 << 20) - 1)).alias("turn"), *[c for c in packed.columns if c != "doc_id"])
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -80,7 +90,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_jaccard, op3_html, op4_katz, op5_quality, op6_urls, op7_winnow, op8_packing, op9_sentencepiece, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_jaccard, op3_html, op4_katz, op5_quality, op6_urls, op7_winnow, op8_packing, op9_sentencepiece, op10_secrets, pack_conversations)}
 
 ORACLE_SQL = {
     "op1_topk": """

@@ -299,6 +299,48 @@ def test_quality(spark):
     assert scores[0] == 1000 and 0 <= scores[1] <= scores[2] <= 1
 
 
+def test_quality_is_a_support_vector_machine_over_scaled_indicators():
+    """Margins against the same problem solved by projected gradient, with ratios by definition."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd"] if i % 2 else ["cc", "dd", "ee", "ff"], k=rng.randint(1, 6))) for i in range(24)]
+    labels = np.array([i % 2 for i in range(24)])
+    bits = 10
+    features = [quality.indicators(t, bits) for t in texts]
+    for t, f in zip(texts, features, strict=True):
+        grams = {(n, t.encode()[i : i + n]) for n in quality.ORDERS for i in range(len(t.encode()) - n + 1)}
+        numbers = {((int.from_bytes(g, "big") + n) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits) for n, g in grams} - {0, 1, 2, 3}
+        words = t.split()
+        twice = sum(a == b for a, b in zip(words, words[1:]))
+        assert set(f.tolist()) == numbers | {i for i, least in enumerate((1, 3, 10, 30)) if twice >= least}
+    w, b = quality._fit(features, labels, bits, 1.0, 0.0, 1, rounds=5000)
+    counts = np.ones((2, 1 << bits))
+    for f, y in zip(features, labels, strict=True):
+        counts[y][f] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    x = np.zeros((24, (1 << bits) + 1))
+    for row, f in zip(x, features, strict=True):
+        row[f], row[-1] = ratio[f], 1
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    y = np.where(labels == 1, 1.0, -1.0)
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(24)
+    for _ in range(200_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, 1.0)
+    weights = (alpha * y) @ x
+    for f in features:
+        assert w[f].sum() + b == pytest.approx(float(weights[f] @ ratio[f] + weights[-1]), abs=2e-2)
+
+
+def test_quality_without_rows_and_with_long_texts(spark):
+    docs = frame(spark, [(1, "good " * 200_000), (1, "good " * 200_000), (2, None), (3, "bad"), (4, "bad"), (None, "x")])
+    labels = lambda *rows: spark.createDataFrame(rows, "doc_id long, label int")
+    for known in (spark.createDataFrame([], "doc_id long, label int"), labels((9, 1)), labels((None, 1), (1, 7)), labels((1, 1), (1, 0), (3, 0))):
+        model = quality.train(docs.select("doc_id", "text"), known)
+        assert all(0 <= r.score <= 1 for r in quality.score(docs, model).collect())
+    assert quality.score(frame(spark, []), model).count() == 0
+    assert quality.train(docs.select("doc_id", "text"), labels((1, 1), (3, 0), (4, 0)), sample=2).prior in (1 / 4, 2 / 4)
+
+
 def test_quality_of_odd_rows(spark):
     model = quality.Classifier([quality.indicators(t) for t in ("good text", "bad!! bad!!")] * 6, np.array([1, 0] * 6))
     docs = frame(spark, [(1, "good text"), (2, "bad!! bad!!"), (3, None), (4, ""), (None, "good text"), (1, "good text")])
@@ -503,6 +545,53 @@ def test_packing_limits():
     assert [sums[i] for i in range(200)] == list(tokens)
 
 
+def test_packing_takes_the_greatest_dot_product():
+    """Sequence by sequence against the choice by definition; each of the three limits ends some."""
+    rng = np.random.default_rng(6)
+    limits = (256, 4, 120)
+    tokens = np.append(rng.integers(1, 200, 150), rng.integers(1, 8, 60))
+    loss = np.where(rng.random(210) < 0.4, tokens, 0)
+    packer = packing.Packer(limits)
+    packer.add(list(range(210)), tokens, loss)
+    got = [(key, start, length, sequence) for key, start, length, sequence, _ in packer.run(0)]
+    waiting = {i: [int(tokens[i]), int(loss[i]), 0] for i in range(210)}
+    want, left, sequence, ended = [], list(limits), 0, collections.Counter()
+    while waiting:
+        if left[0] <= 0 or left[1] <= 0:
+            ended["tokens" if left[0] <= 0 else "segments"] += 1
+            left, sequence = list(limits), sequence + 1
+        fits = [i for i, (t, b, _) in waiting.items() if t <= left[0] and b <= left[2]]
+        score = lambda i: waiting[i][0] * left[0] / limits[0] ** 2 + left[1] / limits[1] ** 2 + waiting[i][1] * left[2] / limits[2] ** 2  # noqa: E731, B023
+        i = max(fits or waiting, key=lambda i: (score(i), -i))
+        t, b, start = waiting[i]
+        length = t if fits else min(t, left[0], t - b + left[2])
+        if length <= 0:
+            ended["loss"] += 1
+            left, sequence = list(limits), sequence + 1
+            continue
+        used = b if fits else max(0, length - (t - b))
+        want.append((i, start, length, sequence))
+        left = [left[0] - length, left[1] - 1, left[2] - used]
+        waiting[i] = [t - length, b - used, start + length]
+        if not waiting[i][0]:
+            del waiting[i]
+    assert got == want and min(ended[k] for k in ("tokens", "segments", "loss")) > 0
+
+
+def test_packing_of_conversations(spark):
+    found = queries.pack_conversations(spark, DATA).collect()
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
+    sequences, placed = collections.defaultdict(list), collections.Counter()
+    for r in found:
+        sequences[r.sequence_id].append(r)
+        placed[r.conv_id, r.turn] += r.length
+    assert set(placed) == set(turns) and all(placed[r.conv_id, r.turn] == r.doc_tokens for r in found)
+    loss = lambda s: sum(r.length for r in s if turns[r.conv_id, r.turn].role == "assistant")
+    full = [(sum(r.length for r in s), len(s), loss(s)) for s in sequences.values()]
+    assert all(t <= 1024 and n <= 6 and b <= 640 for t, n, b in full)
+    assert any(t == 1024 for t, _, _ in full) and any(n == 6 for _, n, _ in full) and any(b == 640 for _, _, b in full)
+
+
 def test_sentencepiece(spark, texts):
     import sentencepiece
 
@@ -542,3 +631,9 @@ def test_secrets(spark, texts):
         hidden = [c for i, c in enumerate(text) if not any(a <= i < b for a, _, b in want)]
         assert (r.text or "").replace("[x]", "") == "".join(hidden).replace("[x]", "")
     assert len(found) == len(rows) and secrets_scan.find_secrets(frame(spark, [])).count() == 0
+    import time
+
+    start = time.time()
+    hostile = ["eyJ" * 300_000, "password " * 100_000, "AKIA" * 200_000, "-----BEGIN " * 100_000, "ghp_" * 200_000, "token" + " " * 500_000 + "x"]
+    again = secrets_scan.find_secrets(frame(spark, [*enumerate(hostile), (0, hostile[0]), (0, hostile[0])])).collect()
+    assert len(again) == len(hostile) + 2 and time.time() - start < 30

@@ -13,6 +13,24 @@ def words(text):
     return (text or "").encode().lower().split()
 
 
+def test_stages_of_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows and ids, columns that operators use, and no rows."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, secrets string, block long, title string"
+    long = "some words that go on " * 20_000
+    rows = [(1, long), (2, long), (2, long), (3, None), (None, None), (None, "a text with password = abcdefghijkl0123"), (4, ""), (5, ""), (6, "token: abcdefghijkl0123 and more")]
+    rows = [(i, t, None, None, None, "r", None, "s", None, "t") for i, t in rows]
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, kept, DATA)
+            assert out.columns == kept.columns
+            kept = spark.createDataFrame(out.collect(), kind)
+            if name.startswith("n-gram") and docs.count():
+                assert [r.doc_id for r in kept.where("text like 'some%'").collect()] in ([1], [])
+        assert not kept.where("text like '%abcdefghijkl0123%'").count()
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, kept, DATA).collect()} == {r.doc_id for r in kept.collect()}
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kinds = docs.dtypes
