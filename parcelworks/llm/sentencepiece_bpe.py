@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from parcelworks.llm.common import tune
 
 SPACE = "▁"
+#: Characters of a unit that is remembered at most: with the number of units this bounds a task's memory.
+LONGEST = 64
+#: Encoded by the library as well: a model that normalises its input or has no dummy prefix shows in other ids.
+PROBE = " a  \ufb01\u2460A\u030a\u3000\t\nx "
 
 
 class Encoder:
@@ -63,6 +67,8 @@ class Encoder:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.most, self.seen = most, {}
+        if self.ids(PROBE) != array("I", model.encode(PROBE, add_bos=True, add_eos=True)).tobytes():
+            raise ValueError("the model does not take texts as they are")
 
     def _merge(self, text: str, split: dict | None = None) -> list[str]:
         """BPE by its definition: the best-ranked pair of neighbours first, of equal ones the leftmost."""
@@ -173,7 +179,11 @@ class Encoder:
                 seen.clear()
             new = [u for u in dict.fromkeys(units) if u not in seen]
             seen.update(zip(new, self.units(new), strict=True))
-            return head + b"".join(map(seen.__getitem__, units)) + tail
+            out = head + b"".join(map(seen.__getitem__, units)) + tail
+            for u in new:
+                if len(u) > LONGEST:
+                    del seen[u]
+            return out
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids, as the library's decode(ids): controls vanish, bytes join into characters."""
