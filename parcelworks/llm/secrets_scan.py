@@ -35,7 +35,7 @@ ADDED = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 
 
@@ -176,19 +176,19 @@ def _ascii(query):
     return _both(parts) if query[0] == "and" else _either(parts)
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, redact: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add ``secrets`` array<struct<kind, start, end>> to the rows: code points, end exclusive, by start, then by rule.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, redact: str | None = None, text_col: str = "text", out: str = "secrets") -> DataFrame:
+    """Add ``out`` array<struct<kind, start, end>> to the rows: code points, end exclusive, by start, then by rule.
 
     For each rule the matches of its pattern are taken leftmost and without overlap; those whose group is too short are
     dropped. A rule's trigram query picks the batch's texts to verify; a rule without mandatory trigrams scans them all.
     With ``redact`` the text is also rewritten: each span, overlapping ones as one, gives way to that string. Null and
-    empty texts have no secrets and stay as they are. All columns of ``docs`` are kept (``secrets`` is replaced).
+    empty texts have no secrets and stay as they are. All columns of ``docs`` are kept (one named ``out`` is replaced).
     """
     tune(docs.sparkSession)
-    columns = [c for c in docs.columns if c != "secrets"]
+    columns = [c for c in docs.columns if c != out]
     source = docs.select(*columns)
     span = T.StructType().add("kind", T.StringType()).add("start", T.LongType()).add("end", T.LongType())
-    kind = T.StructType([*source.schema.fields, T.StructField("secrets", T.ArrayType(span))])
+    kind = T.StructType([*source.schema.fields, T.StructField(out, T.ArrayType(span))])
     at = columns.index(text_col)
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -212,7 +212,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, redact
             arrays = list(batch.columns)
             if redact is not None:
                 arrays[at] = pa.array([_redacted(t, s, redact) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, made], names=[*columns, "secrets"])
+            yield pa.RecordBatch.from_arrays([*arrays, made], names=[*columns, out])
 
     return source.mapInArrow(run, kind)
 
