@@ -119,11 +119,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     """Fit on at most ``sample`` of the labelled rows, those of least hash of their id.
 
     ``docs`` is (doc_id, text), ``labels`` (doc_id, label 0 or 1); other labels and null ids are left out, and an id
-    with several labels counts with the least. Only the sample's feature numbers reach the driver.
+    with several labels counts with the least, one with several texts with the greatest. Only the sample's feature numbers reach the driver.
     """
     tune(docs.sparkSession)
     chosen = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")).select("doc_id", "text", F.col("label").cast("int").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
