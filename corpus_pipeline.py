@@ -31,7 +31,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark and n_chars counted anew."""
-    clean = secrets_scan.find_secrets(docs, redact="[secret]").drop("secrets")
+    name = "found"
+    while name in docs.columns:
+        name += "_"
+    clean = secrets_scan.find_secrets(docs, redact="[secret]", out=name).drop(name)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
