@@ -64,29 +64,25 @@ def resolve_unit(unit: Column, zone: Column) -> Column:
 
 def to_sqm(value: Column, factor: Column) -> Column:
     """Quantity (a number or a/b, commas dropped) times factor, 4 decimals half to even; null if it is no number."""
-    raw = F.regexp_replace(normalise_digits(value), r"[,\s]", "")
-    number = r"^[+-]?(\d+\.?\d*|\.\d+)$"
-    whole = F.when(raw.rlike(number), raw).try_cast("decimal(18,6)")
-    top, bottom = (F.when(raw.rlike(r"^[^/]+/[^/]+$"), F.split_part(raw, F.lit("/"), F.lit(i))).try_cast("decimal(18,6)") for i in (1, 2))
-    product = F.coalesce(whole * factor, F.try_divide(top * factor, bottom))
-    return F.bround(product, 4).cast(AREA_TYPE)
+
+    def product(raw: Column) -> Column:
+        whole = F.when(raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), raw).try_cast("decimal(18,6)")
+        top, bottom = (F.when(raw.rlike(r"^[^/]+/[^/]+$"), F.split_part(raw, F.lit("/"), F.lit(i))).try_cast("decimal(18,6)") for i in (1, 2))
+        return F.coalesce(whole * factor, F.try_divide(top * factor, bottom))
+
+    return F.bround(let(F.regexp_replace(normalise_digits(value), r"[,\s]", ""), product), 4).cast(AREA_TYPE)
 
 
 def parse_area(text: Column, zone: Column) -> Column:
     """Sum of all components of an expression such as "2 bigha 10 biswa" in square metres; unknown units are skipped, and
     null is returned if none is known."""
-    clean = normalise_digits(text)
-    parts = F.arrays_zip(F.regexp_extract_all(clean, F.lit(AREA), 1).alias("value"), F.regexp_extract_all(clean, F.lit(AREA), 3).alias("unit"))
+    both = lambda clean: F.arrays_zip(F.regexp_extract_all(clean, F.lit(AREA), 1).alias("value"), F.regexp_extract_all(clean, F.lit(AREA), 3).alias("unit"))
+    parts = let(normalise_digits(text), both)
     areas = F.filter(F.transform(parts, lambda p: to_sqm(p["value"], resolve_unit(p["unit"], zone)["sqm"])), lambda a: a.isNotNull())
     total = lambda found: F.when(F.size(found) > 0, F.aggregate(found, F.lit(0).cast(AREA_TYPE), lambda acc, a: (acc + a).cast(AREA_TYPE)))
     return let(areas, total)
 
 
-def suspect_number(text: Column) -> Column:
-    """Whether a quantity is written in a way that is read differently than meant: a decimal comma or a bare point."""
-    return normalise_digits(text).rlike(r"\d,\d|(^|[^\d])\.\d")
-
-
 def extract_area(text: Column, zone: Column) -> Column:
     """The area of a table cell that may have been read twice: a letter O before a digit is a zero; components are added
     until a unit comes again or more than 3 characters lie between; a unit of two words is retried by its first word."""

@@ -6,13 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 APPROVED = ("AUTO_APPROVED", "MANUALLY_APPROVED")
-#: Villages and reviewers of a register: joined by broadcast only up to so many rows.
-DIMENSION_ROWS = 200_000
-
-
-def small(dimension: DataFrame) -> DataFrame:
-    """The dimension with a broadcast hint, if it is as small as dimensions are meant to be."""
-    return F.broadcast(dimension) if dimension.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else dimension
 
 
 def by_review_state(khata: DataFrame, state: str) -> DataFrame:
@@ -32,7 +25,8 @@ def lookup(rows: DataFrame, key: str, value) -> DataFrame:
 
 
 def join_village(khata: DataFrame, villages: DataFrame, how: str = "left") -> DataFrame:
-    return khata.join(small(villages), "village_code", how)
+    """Without a hint, here and for reviewers: Spark broadcasts the dimension if its size in bytes allows that."""
+    return khata.join(villages, "village_code", how)
 
 
 def owners_listed(owners: DataFrame) -> DataFrame:
@@ -55,7 +49,7 @@ def join_documents(documents: DataFrame, khata: DataFrame) -> DataFrame:
 
 
 def join_reviewer(khata: DataFrame, users: DataFrame) -> DataFrame:
-    return khata.join(small(users.select(F.col("login_id").alias("reviewed_by"), "display_name")), "reviewed_by", "left")
+    return khata.join(users.select(F.col("login_id").alias("reviewed_by"), "display_name"), "reviewed_by", "left")
 
 
 def queue_order(sort: str, status: str) -> list[Column]:
