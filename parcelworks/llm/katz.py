@@ -23,8 +23,9 @@ from parcelworks.llm.common import Hashes, drop, mix, save, tune, words_of
 #: Words of which at least one in 2**HEAD tokens is have numbers, known to every task: at most 2**HEAD, whatever the corpus.
 #: All others are named by their hashes, and their counts come by a join.
 HEAD = 22
-#: Tokens of a chunk of texts, about; training tokens of a cell, on average; a word that occurs more often than that is hot.
-CHUNK, CELL = 1 << 19, 1 << 19
+#: Tokens of a chunk of texts, about; training tokens of a cell, on average. A word is hot if it would fill a cell alone,
+#: or is more than one in SHARE of all tokens, so that no word holds up one of many tasks.
+CHUNK, CELL, SHARE = 1 << 19, 1 << 19, 256
 #: Counts up to this are discounted by Good-Turing.
 K = 5
 
@@ -337,14 +338,15 @@ class Cell:
         self.p3 = np.where(self.longer, np.where(c3 > 0, d3 * scale[of], self.alpha3[of] * low), low)
 
     def scores(self) -> pa.Table:
-        """For each chunk that asked: the texts' places and the sums of their tokens' logs in this cell."""
+        """For each chunk that asked: the texts' places and the sums of their tokens' logs in this cell (few tokens each, so 32
+        bits are enough for a part)."""
         self.solve()
         logs, start, out = np.log10(self.p3)[self.gram], 0, []
         for size in self.sent:
             text = self.texts[start : start + size]
             total = np.bincount(text, logs[start : start + size])
             there = np.flatnonzero(np.bincount(text))
-            out.append(_packed(there.astype(np.uint32), total[there]))
+            out.append(_packed(there.astype(np.uint32), total[there].astype(np.float32)))
             start += size
         return pa.table({"chunk": self.chunks, "parts": pa.array(out, pa.binary())})
 
@@ -402,7 +404,7 @@ def _summed(table: pa.Table) -> pa.Table:
     score = np.zeros(len(docs))
     for parts in table.column("parts").to_pylist():
         if parts is not None:
-            at, value = _unpacked(parts, [np.uint32, np.float64])
+            at, value = _unpacked(parts, [np.uint32, np.float32])
             score[at] += value
     return pa.table({"doc_id": docs, "n_tokens": sizes, "n_known": known, "base_score": base, "score": score})
 
@@ -454,8 +456,9 @@ class Katz:
         ending = _find(hashes[order], np.array([END], np.uint64))
         end = int(order[ending[0][0]]) if ending[1][0] else -1
         texts = int(counts[end]) if end >= 0 else 0
-        hot = np.flatnonzero(counts[rank] > CELL).astype(np.uint64)  # an end is no context; a start is, as often
-        hot = np.append(hot[hot != numbers[end]] if end >= 0 else hot, START if texts > CELL else []).astype(np.uint64)
+        most = min(CELL, tokens / SHARE)
+        hot = np.flatnonzero(counts[rank] > most).astype(np.uint64)  # an end is no context; a start is, as often
+        hot = np.append(hot[hot != numbers[end]] if end >= 0 else hot, START if texts > most else []).astype(np.uint64)
         return Stats(hashes[order], numbers[order], counts[rank], tokens, vocabulary, max(1, -(-tokens // CELL)), left / unseen_types(n), scale / max(tokens, 1), [d], hot)
 
     def _tell(self, encoded: DataFrame) -> DataFrame:

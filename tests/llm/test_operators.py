@@ -241,10 +241,10 @@ def katz_by_definition(train):
     return chance, count, types, back
 
 
-@pytest.mark.parametrize(("head", "chunk", "cell"), [(22, 1 << 20, 1 << 20), (3, 300, 100), (6, 1000, 400)])
-def test_katz(spark, texts, monkeypatch, head, chunk, cell):
+@pytest.mark.parametrize(("head", "chunk", "cell", "share"), [(22, 1 << 20, 1 << 20, 1), (3, 300, 100, 256), (6, 1000, 400, 30)])
+def test_katz(spark, texts, monkeypatch, head, chunk, cell, share):
     """Every n-gram counts, rare words and such that occur once too; heads, chunks, cells and hot words of any size agree."""
-    for name, value in (("HEAD", head), ("CHUNK", chunk), ("CELL", cell)):
+    for name, value in (("HEAD", head), ("CHUNK", chunk), ("CELL", cell), ("SHARE", share)):
         monkeypatch.setattr(katz, name, value)
     rng = random.Random(8)
     more = [(100 + i, " ".join(rng.choices("abcdefg", k=12))) for i in range(30)] + [(140, "rare words once"), (141, "the " * 3000), (142, "rare words twice"), (143, "a b c d"), (144, "words rare once"), (145, "zz yy the xx")]
