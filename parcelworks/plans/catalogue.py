@@ -793,9 +793,10 @@ l AS (SELECT doc_id, page, n, 0 AS line, CAST(centre AS DOUBLE) AS total, 1 AS m
   SELECT o.doc_id, o.page, o.n, CASE WHEN near THEN line ELSE line + 1 END, CASE WHEN near THEN total + o.centre ELSE o.centre END, CASE WHEN near THEN members + 1 ELSE 1 END
   FROM (SELECT l.line, l.total, l.members, o.*, abs(o.centre - l.total / l.members) <= o.tolerance AS near FROM l JOIN o ON o.doc_id = l.doc_id AND o.page = l.page AND o.n = l.n + 1) o)
 SELECT o.doc_id, CAST(o.page AS BIGINT) AS page, CAST(l.line AS BIGINT) AS line, string_agg(o.text, ' ' ORDER BY o.xmin, o.tok) AS text, CAST(min(ymin) AS BIGINT) AS ymin, CAST(min(xmin) AS BIGINT) AS xmin, CAST(max(ymax) AS BIGINT) AS ymax, CAST(max(xmax) AS BIGINT) AS xmax,
-  min(confidence) AS conf_min, avg(confidence) AS conf_mean FROM o JOIN l ON l.doc_id = o.doc_id AND l.page = o.page AND l.n = o.n GROUP BY 1, 2, 3""", TOK)
+  min(confidence) AS conf_min, round(avg(confidence), 6) AS conf_mean FROM o JOIN l ON l.doc_id = o.doc_id AND l.page = o.page AND l.n = o.n GROUP BY 1, 2, 3""", TOK)
 def _rows(spark, sf_dir):
-    return plain(extract.assemble_rows(load(spark, sf_dir, "v_tokens")[0]), "doc_id", "page", "line", "text", "ymin", "xmin", "ymax", "xmax", "conf_min", "conf_mean")
+    rows = extract.assemble_rows(load(spark, sf_dir, "v_tokens")[0]).withColumn("conf_mean", F.round("conf_mean", 6))
+    return plain(rows, "doc_id", "page", "line", "text", "ymin", "xmin", "ymax", "xmax", "conf_min", "conf_mean")
 
 
 def _owner_tokens(spark, sf_dir) -> DataFrame:

@@ -111,6 +111,13 @@ def test_rows_and_owners(spark):
     assert sum(r.share_percentage for r in merge.implied_shares(owners).collect()) == 100
 
 
+def test_unit_table(spark):
+    rows = {r.key: r for r in units.unit_table(spark).collect()}
+    assert len(rows) == len(units.UNITS) and rows["hectare"].sqm == 10000 and "hectare" in rows["hectare"].aliases
+    aliases = spark.createDataFrame([(a,) for r in rows.values() for a in r.aliases], "a string").select("a", units.resolve_unit(F.col("a"), F.lit("")).alias("u")).collect()
+    assert all(r.u.error in (None, "region-dependent") for r in aliases)
+
+
 def test_normalised_text_is_composed(spark):
     import unicodedata
 
