@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelworks.llm import html_text, jaccard, katz, packing, quality, secrets_scan, sentencepiece_bpe, topk, urls, winnow
+from parcelworks.llm import audit, html_text, jaccard, katz, packing, quality, secrets_scan, sentencepiece_bpe, topk, urls, winnow
 from parcelworks.llm.common import fold, save
 
 
@@ -90,7 +90,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_jaccard, op3_html, op4_katz, op5_quality, op6_urls, op7_winnow, op8_packing, op9_sentencepiece, op10_secrets, pack_conversations)}
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_jaccard, op3_html, op4_katz, op5_quality, op6_urls, op7_winnow, op8_packing, op9_sentencepiece, op10_secrets, op13_audit, pack_conversations)}
 
 ORACLE_SQL = {
     "op1_topk": """
@@ -119,4 +123,35 @@ c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1),
 k AS (SELECT x AS doc_id, count(*) AS links, count(*) FILTER (WHERE same) AS same FROM e GROUP BY 1)
 SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, CAST(1 + coalesce(k.same, 0) AS BIGINT) AS copies, CAST(coalesce(k.links, 0) AS BIGINT) AS n_links
 FROM c LEFT JOIN n ON n.doc_id = c.doc_id LEFT JOIN k ON k.doc_id = c.doc_id""",
+    "op13_audit": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+k AS (SELECT text, min(doc_id) AS first FROM d GROUP BY 1),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+f AS (
+  SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+    CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 10 * length(w.text) AS INT)
+    + 8 * CAST(regexp_matches(w.text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(w.doc_id > k.first, false) AS INT) AS failed
+  FROM w JOIN k ON k.text = w.text LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+p AS (
+  SELECT CAST('' AS VARCHAR) AS filter_order, 0 AS used, 0 AS step
+  UNION ALL
+  SELECT filter_order || letter, used | bit, step + 1 FROM p, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit) WHERE used & bit = 0),
+o AS (SELECT filter_order FROM p WHERE step = 5),
+s AS (
+  SELECT o.filter_order, p.step, CAST(1 << (ascii(substr(o.filter_order, p.step, 1)) - 65) AS INT) AS own, p.used - CAST(1 << (ascii(substr(o.filter_order, p.step, 1)) - 65) AS INT) AS earlier
+  FROM o JOIN p ON p.step BETWEEN 1 AND 5 AND starts_with(o.filter_order, p.filter_order)),
+r AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step,
+    CAST(sum(n) FILTER (WHERE failed & (earlier | own) = 0) AS BIGINT) AS kept,
+    CAST(sum(n) FILTER (WHERE failed & earlier = 0 AND failed & own <> 0) AS BIGINT) AS removed,
+    CAST(sum(n) FILTER (WHERE failed & earlier <> 0 AND failed & own <> 0) AS BIGINT) AS redundant,
+    CAST(sum(n) FILTER (WHERE failed = own) AS BIGINT) AS unique_fails,
+    CAST(sum(good) FILTER (WHERE failed & earlier = 0 AND failed & own <> 0) AS BIGINT) AS good_lost,
+    CAST(sum(toxic) FILTER (WHERE failed & earlier = 0 AND failed & own <> 0) AS BIGINT) AS toxic_lost, any_value(own) AS own
+  FROM c, s GROUP BY ALL),
+z AS (SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, own FROM r)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM z""",
 }
