@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelworks.llm import audit, html_text, jaccard, katz, packing, quality, secrets_scan, sentencepiece_bpe, topk, urls, winnow
+from parcelworks.llm import audit, html_text, jaccard, katz, packing, quality, secrets_scan, sentencepiece_bpe, topk, toxicity, urls, whitening, winnow
 from parcelworks.llm.common import fold, save
 
 
@@ -90,11 +90,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_misspelt", "n_quoted")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.quantised(_read(spark, sf_dir, "embeddings")), 4)
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_jaccard, op3_html, op4_katz, op5_quality, op6_urls, op7_winnow, op8_packing, op9_sentencepiece, op10_secrets, op13_audit, pack_conversations)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_jaccard, op3_html, op4_katz, op5_quality, op6_urls, op7_winnow, op8_packing, op9_sentencepiece, op10_secrets, op11_toxicity, op12_whitening, op13_audit, pack_conversations)}
 
 ORACLE_SQL = {
     "op1_topk": """
