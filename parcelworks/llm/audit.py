@@ -9,40 +9,62 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelworks.llm.common import flat, save, tune
+from parcelworks.llm.common import save, tune
 
 #: Words of a shard of the matrix: what one row of the table of shards holds at most, but for a single longer document.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 2_000_000
+#: Groups of words that are numbered apart from each other.
+BUCKETS = 1 << 14
 #: Thresholds of the filters: least words, least distinct words in 100, most capitals in 100 code points, characters.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 100, 80, 10, "[#$%&*|]"
 LETTERS = "ABCDE"
 
 
+class _Ids(dict):
+    """Word -> its number, in the order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        made = self[word] = len(self)
+        return made
+
+
 class _Shard:
-    """Rows of word counts in compressed sparse form, over a dictionary of its own."""
+    """Rows of word counts in compressed sparse form, over a dictionary of its own. A row's numbers ascend, and are kept as
+    the steps from one to the next."""
 
     def __init__(self):
-        self.ids: dict[bytes, int] = {}
-        self.rows, self.starts, self.indices, self.counts, self.words = [], [0], [], [], 0
+        self.ids = _Ids()
+        self.rows, self.starts, self.steps, self.counts, self.words = [], [0], [], [], 0
 
     def add(self, row: pa.Array, words: list[bytes]) -> None:
-        ids = self.ids
-        found, counts = np.unique(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)), return_counts=True)
+        found, counts = np.unique(np.array(list(map(self.ids.__getitem__, words)), np.int32), return_counts=True)
         self.rows.append(row)
-        self.indices.append(found)
+        self.steps.append(np.diff(found, prepend=np.int32(0)))
         self.counts.append(counts.astype(np.int32))
         self.starts.append(self.starts[-1] + len(found))
         self.words += len(words)
 
     def batch(self, number: int) -> pa.RecordBatch:
         whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        joined = lambda parts: pa.array([np.concatenate(parts).astype("<i4").tobytes()], pa.binary())
-        columns = [pa.array([number], pa.int64()), whole(pa.array(list(self.ids), pa.binary())), whole(pa.concat_arrays(self.rows)), whole(pa.array(self.starts, pa.int32())), joined(self.indices), joined(self.counts)]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "words", "rows", "starts", "indices", "counts"])
+        packed = lambda parts: pa.array([_pack(np.concatenate(parts))], pa.binary())
+        columns = [pa.array([number], pa.int64()), whole(pa.array(list(self.ids), pa.binary())), whole(pa.concat_arrays(self.rows)), whole(pa.array(self.starts, pa.int32())), packed(self.steps), packed(self.counts)]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "words", "rows", "starts", "steps", "counts"])
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Ints as their four planes of bytes, of which the upper ones are nearly all zero, compressed; the number of ints before them."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True), np.uint8) if n else np.empty(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,38 +87,43 @@ def document_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     Words are maximal runs of `[^\\x20\\x09-\\x0D]`, case kept; a null text has none and is an empty row. Shards are
     (shard, rows, starts, indices, counts): document ``rows[i]``, a struct of the columns of ``docs`` but its text, has the
     words ``indices[starts[i] : starts[i + 1]]`` (little-endian longs, ascending) as often as ``counts`` says there
-    (little-endian ints). The dictionary is (word binary, word_id long), ids from 0 without gaps.
+    (little-endian ints). The dictionary is (word binary, word_id long): ids are unique, and the same in every
+    run: a bucket, told by the word's hash, 40 bits up, and the rank among the words there.
 
     Tasks count with dictionaries of their own, so that a word is shuffled once for each shard and not once for each
-    document: the distinct words of all shards get their global ids, and each shard gets its words' ids back. A word that
-    is in every text weighs no more than the number of shards; what a shard holds is bounded.
+    document: the words of all shards are sorted into buckets and numbered there, and each shard gets its words' ids back.
+    A word that is in every text weighs no more than the number of shards; what a shard holds is bounded.
     """
     tune(docs.sparkSession)
     others = docs.drop(text_col)
     rows = T.StructType([T.StructField(f.name, f.dataType, True) for f in others.schema])
-    matrix = lambda *more: T.StructType([T.StructField("shard", T.LongType()), *more, T.StructField("rows", T.ArrayType(rows)), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("indices", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    local = save(docs.select(F.col(text_col).cast("binary").alias("the text"), *others.columns).mapInArrow(_sharded, matrix(T.StructField("words", T.ArrayType(T.BinaryType())))), "shards")
-    words = local.select("shard", F.posexplode("words").alias("at", "word"))
-    found = save(words.select("word").distinct().withColumn("number", F.monotonically_increasing_id()), "words")
-    sizes = {r.part: r.n for r in found.groupBy(F.shiftright("number", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each task that wrote
-    parts = sorted(sizes)
-    firsts = list(zip(parts, itertools.accumulate([0, *(sizes[p] for p in parts)]), strict=False))
-    offsets = F.broadcast(docs.sparkSession.createDataFrame(firsts, "part long, first long"))
-    dictionary = found.join(offsets, F.shiftright("number", 33) == F.col("part")).select("word", (F.col("first") + F.col("number").bitwiseAND(F.lit((1 << 33) - 1))).alias("word_id"))
-    told = words.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "word_id")))["word_id"].alias("ids"))  # a shard's words at most
-    shards = local.join(told, "shard", "left").select("shard", "rows", "starts", "indices", "counts", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
-    return shards.mapInArrow(_translated, matrix()), dictionary
+    matrix = lambda indices, *more: T.StructType([T.StructField("shard", T.LongType()), *more, T.StructField("rows", T.ArrayType(rows)), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField(indices, T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    local = save(docs.select(F.col(text_col).cast("binary").alias("the text"), *others.columns).mapInArrow(_sharded, matrix("steps", T.StructField("words", T.ArrayType(T.BinaryType())))), "shards")
+    words = local.select("shard", F.posexplode("words").alias("at", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
+    numbered = words.select("shard", "at", "word", (F.shiftleft(F.col("bucket").cast("long"), 40) + rank).alias("word_id"))
+    told = numbered.groupBy("shard").agg(F.collect_list(F.struct("at", "word_id")).alias("ids"))  # a shard's words at most
+    shards = local.join(told, "shard", "left").select("shard", "rows", "starts", "steps", "counts", "ids")
+    return shards.mapInArrow(_translated, matrix("indices")), numbered.select("word", "word_id").distinct()
 
 
 def _translated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards whose local word numbers have become global ones, ascending within each row."""
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, rows, starts, indices, counts, ids = (batch.column(c).slice(i, 1) for c in range(6))
-            ends = np.array(starts[0].as_py())
-            found, times = flat(ids)[0][np.frombuffer(indices[0].as_py(), "<i4")], np.frombuffer(counts[0].as_py(), "<i4")
-            order = np.lexsort((found, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))
-            made = [shard, rows, starts, pa.array([found[order].astype("<i8").tobytes()], pa.binary()), pa.array([times[order].tobytes()], pa.binary())]
+            shard, rows, starts, steps, counts, told = (batch.column(c).slice(i, 1) for c in range(6))
+            lengths = np.diff(np.array(starts[0].as_py()))
+            local, times = np.cumsum(_unpack(steps[0].as_py()), dtype=np.int64), _unpack(counts[0].as_py())
+            firsts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+            before = np.concatenate([[0], local])[firsts]  # where the row before ended
+            local -= np.repeat(before, lengths)
+            pairs = told[0].values
+            ids = np.empty(len(pairs) if pairs is not None else 0, np.int64)
+            if len(ids):
+                ids[pairs.field("at").to_numpy()] = pairs.field("word_id").to_numpy()
+            found = ids[local]
+            order = np.lexsort((found, np.repeat(np.arange(len(lengths)), lengths)))
+            made = [shard, rows, starts, pa.array([found[order].astype("<i8").tobytes()], pa.binary()), pa.array([times[order].astype("<i4").tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=["shard", "rows", "starts", "indices", "counts"])
 
 
