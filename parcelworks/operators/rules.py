@@ -14,14 +14,19 @@ CONFIDENCE_FLOOR, THRESHOLD = 0.50, 0.85
 MATH_RULES = ("AREA_SUM_MISMATCH", "INVALID_OWNER_SHARES", "DUPLICATE_KHASRA", "NON_POSITIVE_AREA")
 WEIGHTS = (0.5, 0.3, 0.2)
 
-FINDING = "struct<rule_order:int,code:string,severity:string,message:string,field_path:string,observed:double,observed_text:string,expected:double,expected_text:string,delta:double>"
-COLUMNS = ("rule_order", "code", "severity", "message", "field_path", "observed", "observed_text", "expected", "expected_text", "delta")
+#: The order of a holding's findings: record, areas, shares, the parcels one after another, the confidences of parcels and owners.
+PLACE = ("section", "pos", "rule_order", "entry")
+COLUMNS = (*PLACE, "code", "severity", "message", "field_path", "observed", "observed_text", "expected", "expected_text", "delta")
+#: Section of each rule; the rules from 3 to 6 take turns parcel by parcel.
+SECTIONS = {7: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 3, 8: 4, 9: 5}
 
 
-def finding(order: int, code: str, severity: str, message: Column, path: Column, observed=None, observed_text=None, expected=None, expected_text=None, delta=None) -> list[Column]:
+def finding(order: int, code: str, severity: str, message: Column, path: Column, observed=None, observed_text=None, expected=None, expected_text=None, delta=None, pos=None, entry=None) -> list[Column]:
+    """The columns of a finding; ``pos`` is the row of the detail and ``entry`` the field in it, where it has them."""
     number = lambda c: F.lit(None).cast("double") if c is None else c.cast("double")
     text = lambda c: F.lit(None).cast("string") if c is None else c
-    return [F.lit(order).alias("rule_order"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), path.alias("field_path"), number(observed).alias("observed"), text(observed_text).alias("observed_text"), number(expected).alias("expected"), text(expected_text).alias("expected_text"), number(delta).alias("delta")]
+    at = lambda c: F.lit(0) if c is None else F.coalesce(c.cast("int"), F.lit(0))
+    return [F.lit(SECTIONS[order]).alias("section"), at(pos).alias("pos"), F.lit(order).alias("rule_order"), at(entry).alias("entry"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), path.alias("field_path"), number(observed).alias("observed"), text(observed_text).alias("observed_text"), number(expected).alias("expected"), text(expected_text).alias("expected_text"), number(delta).alias("delta")]
 
 
 def parcel_sum(parcels: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def area_mismatch(balanced: DataFrame) -> DataFrame:
 
 def share_findings(balanced: DataFrame) -> DataFrame:
     """No owner at all, or shares that do not close to 100."""
-    none = balanced.where("owners = 0").select("khata_id", *finding(2, "ORPHAN_OWNER", "CRITICAL", F.lit("No owner recorded against this Khata."), F.lit("owners"), observed=F.lit(0), expected=F.lit(1)))
+    none = balanced.where("owners = 0").select("khata_id", *finding(2, "ORPHAN_OWNER", "CRITICAL", F.lit("No owner recorded against this Khata."), F.lit("owners"), observed=F.lit(0), expected_text=F.lit("at least 1")))
     message = F.concat(F.lit("Ownership shares total "), F.col("share_sum").cast("string"), F.lit("%, which does not close to 100%."))
     off = balanced.where("owners > 0 and not share_ok").select("khata_id", *finding(2, "INVALID_OWNER_SHARES", "CRITICAL", message, F.lit("owners.share_percentage"), observed=F.col("share_sum"), expected=F.lit(100), delta=F.col("share_delta")))
     return none.unionByName(off)
@@ -74,19 +79,19 @@ def parcel_findings(parcels: DataFrame) -> DataFrame:
     area = F.coalesce("plot_area_sqm", F.lit(0).cast("decimal(12,4)"))
     ulpin = F.coalesce("ulpin", F.lit("")) if "ulpin" in parcels.columns else None
     rules = [
-        (number == "", finding(3, "INVALID_KHASRA_FORMAT", "CRITICAL", F.lit("Khasra number is blank."), path("khasra_number"))),
-        ((number != "") & (bad != ""), finding(3, "INVALID_KHASRA_FORMAT", "WARNING", F.concat(F.lit("Khasra number '"), number, F.lit("' contains unexpected characters ("), bad, F.lit(").")), path("khasra_number"), observed_text=number)),
-        (area <= 0, finding(5, "NON_POSITIVE_AREA", "CRITICAL", F.concat(F.lit("Plot area for Khasra "), F.when(number == "", "?").otherwise(number), F.lit(" is "), area.cast("string"), F.lit(" sqm.")), path("plot_area_sqm"), observed=area, expected_text=F.lit("> 0"))),
+        (number == "", finding(3, "INVALID_KHASRA_FORMAT", "CRITICAL", F.lit("Khasra number is blank."), path("khasra_number"), pos=F.col("pos"))),
+        ((number != "") & (bad != ""), finding(3, "INVALID_KHASRA_FORMAT", "WARNING", F.concat(F.lit("Khasra number '"), number, F.lit("' contains unexpected characters ("), bad, F.lit(").")), path("khasra_number"), observed_text=number, pos=F.col("pos"))),
+        (area <= 0, finding(5, "NON_POSITIVE_AREA", "CRITICAL", F.concat(F.lit("Plot area for Khasra "), F.when(number == "", "?").otherwise(number), F.lit(" is "), area.cast("string"), F.lit(" sqm.")), path("plot_area_sqm"), observed=area, expected_text=F.lit("> 0"), pos=F.col("pos"))),
     ]
     if ulpin is not None:
         rules += [
-            ((ulpin != "") & ~ids.is_valid(ulpin), finding(6, "ULPIN_INVALID", "WARNING", F.concat(F.lit("ULPIN "), ulpin, F.lit(" fails its check character.")), path("ulpin"), observed_text=ulpin)),
-            (ulpin == "", finding(6, "ULPIN_MISSING", "INFO", F.lit("No ULPIN assigned; parcel geometry is required to mint one."), path("ulpin"))),
+            ((ulpin != "") & ~ids.is_valid(ulpin), finding(6, "ULPIN_INVALID", "WARNING", F.concat(F.lit("ULPIN "), ulpin, F.lit(" fails its check character.")), path("ulpin"), observed_text=ulpin, pos=F.col("pos"))),
+            (ulpin == "", finding(6, "ULPIN_MISSING", "INFO", F.lit("No ULPIN assigned; parcel geometry is required to mint one."), path("ulpin"), pos=F.col("pos"))),
         ]
     found = F.array_compact(F.array(*[F.when(test, F.struct(*row)) for test, row in rules]))
     plain = parcels.select("khata_id", F.inline(found))
     twice = F.concat(F.lit("Khasra "), F.col("khasra"), F.lit(" appears twice (rows "), (F.col("first_pos") + 1).cast("string"), F.lit(" and "), (F.col("pos") + 1).cast("string"), F.lit(")."))
-    doubled = duplicate_rows(parcels).select("khata_id", *finding(4, "DUPLICATE_KHASRA", "CRITICAL", twice, path("khasra_number"), observed_text=F.col("khasra")))
+    doubled = duplicate_rows(parcels).select("khata_id", *finding(4, "DUPLICATE_KHASRA", "CRITICAL", twice, path("khasra_number"), observed_text=F.col("khasra"), pos=F.col("pos")))
     return plain.unionByName(doubled)
 
 
@@ -97,14 +102,14 @@ def metadata_findings(khata: DataFrame) -> DataFrame:
 
 def confidence_findings(rows: DataFrame, label: str, floor: float = CONFIDENCE_FLOOR) -> DataFrame:
     """Every entry of ``field_confidence`` (map<string,double>) below ``floor``."""
-    low = rows.select("khata_id", "pos", F.explode("field_confidence").alias("field", "conf")).where(F.col("conf") < floor)
+    low = rows.select("khata_id", "pos", F.posexplode("field_confidence").alias("entry", "field", "conf")).where(F.col("conf") < floor)
     message = F.concat(F.col("field"), F.lit(" read with "), F.format_string("%.0f", F.col("conf") * 100), F.lit("% confidence; needs a human read."))
     path = F.concat(F.lit(label + "["), F.col("pos").cast("string"), F.lit("]."), F.col("field"))
-    return low.select("khata_id", *finding(8 if label == "parcels" else 9, "LOW_FIELD_CONFIDENCE", "WARNING", message, path, observed=F.col("conf"), expected=F.lit(floor)))
+    return low.select("khata_id", *finding(8 if label == "parcels" else 9, "LOW_FIELD_CONFIDENCE", "WARNING", message, path, observed=F.col("conf"), expected=F.lit(floor), pos=F.col("pos"), entry=F.col("entry")))
 
 
 def all_findings(khata: DataFrame, parcels: DataFrame, owners: DataFrame) -> DataFrame:
-    """All findings as a table in fixed rule order: khata_id and the finding's columns (O1)."""
+    """All findings as a table: khata_id and the finding's columns, of which PLACE orders those of a holding (O1)."""
     balanced = balance(khata, parcels, owners)
     parts = [area_mismatch(balanced), share_findings(balanced), parcel_findings(parcels), metadata_findings(khata)]
     parts += [confidence_findings(d, name) for d, name in ((parcels, "parcels"), (owners, "owners")) if "field_confidence" in d.columns]
@@ -122,7 +127,7 @@ def score(ocr: Column, layout: Column, math: Column) -> Column:
 def counts(findings: DataFrame) -> DataFrame:
     """Findings of each holding: by severity, failed arithmetic rules, the first critical message."""
     severity = lambda s: F.count_if(F.col("severity") == s)
-    rank = F.struct("rule_order", "field_path", "message")
+    rank = F.struct(*PLACE, "message")
     return findings.groupBy("khata_id").agg(
         F.count(F.lit(1)).alias("findings"), severity("CRITICAL").alias("critical"), severity("WARNING").alias("warnings"), severity("INFO").alias("infos"),
         F.count_distinct(F.when(F.col("code").isin(*MATH_RULES), F.col("code"))).alias("math_failed"),
@@ -140,7 +145,7 @@ def report(khata: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def with_findings(reported: DataFrame, findings: DataFrame) -> DataFrame:
-    """Reports with their findings as an array in rule order."""
+    """Reports with their findings as an array, in order."""
     listed = findings.groupBy("khata_id").agg(F.array_sort(F.collect_list(F.struct(*COLUMNS))).alias("finding_list"))
     return reported.join(listed, "khata_id", "left")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelworks.functions import ids, text, units
@@ -92,14 +92,30 @@ rt AS (SELECT *, critical = 0 AND final_score >= 0.85 AS committable FROM sc)"""
 REGISTER = ROUTED + """,
 rg AS (SELECT *, CASE WHEN committable THEN 'AUTO_APPROVED' WHEN khata_id % 10 = 3 THEN 'MANUALLY_APPROVED' WHEN khata_id % 10 = 5 THEN 'REJECTED' ELSE 'PENDING' END AS approval_status FROM rt)"""
 
+#: All findings with their place: the record, the areas, the shares, then parcel by parcel.
+FOUND = """fs AS (
+  SELECT khata_id, 0 AS section, 0 AS pos, 0 AS rule, 'MISSING_KHATA_NUMBER' AS code, 'CRITICAL' AS severity, 'Khata number could not be read from the document.' AS message FROM fl WHERE f_number = 1
+  UNION ALL SELECT khata_id, 1, 0, 0, 'AREA_SUM_MISMATCH', 'CRITICAL', concat('Parcel areas total ', CAST(CAST(parcel_sum AS DECIMAL(22,4)) AS VARCHAR), ' sqm but the Khata declares ', CAST(total_area_sqm AS VARCHAR), ' sqm — a difference of ',
+    CAST(CAST(abs(parcel_sum - total_area_sqm) AS DECIMAL(22,4)) AS VARCHAR), ' sqm (', CAST(CAST(round_even(CAST(abs(parcel_sum - total_area_sqm) AS DECIMAL(18,4)) * CAST(0.0001 AS DECIMAL(5,4)), 4) AS DECIMAL(22,4)) AS VARCHAR), ' ha).') FROM fl WHERE f_area = 1
+  UNION ALL SELECT khata_id, 2, 0, 0, 'ORPHAN_OWNER', 'CRITICAL', 'No owner recorded against this Khata.' FROM fl WHERE f_orphan = 1
+  UNION ALL SELECT khata_id, 2, 0, 0, 'INVALID_OWNER_SHARES', 'CRITICAL', concat('Ownership shares total ', CAST(CAST(share_sum AS DECIMAL(15,2)) AS VARCHAR), '%, which does not close to 100%.') FROM fl WHERE f_share = 1
+  UNION ALL SELECT khata_id, 3, pos, 0, 'INVALID_KHASRA_FORMAT', 'CRITICAL', 'Khasra number is blank.' FROM v_parcels WHERE trim(khasra_number) = ''
+  UNION ALL SELECT khata_id, 3, pos, 0, 'INVALID_KHASRA_FORMAT', 'WARNING', concat('Khasra number ', chr(39), khasra_number, chr(39), ' contains unexpected characters (*).') FROM v_parcels WHERE khasra_number LIKE '%*%'
+  UNION ALL SELECT p.khata_id, 3, p.pos, 1, 'DUPLICATE_KHASRA', 'CRITICAL', concat('Khasra ', p.khasra_number, ' appears twice (rows ', CAST(min(q.pos) + 1 AS VARCHAR), ' and ', CAST(p.pos + 1 AS VARCHAR), ').')
+    FROM v_parcels p JOIN v_parcels q ON q.khata_id = p.khata_id AND q.khasra_number = p.khasra_number AND q.pos < p.pos WHERE p.khasra_number <> '' GROUP BY p.khata_id, p.pos, p.khasra_number
+  UNION ALL SELECT khata_id, 3, pos, 2, 'NON_POSITIVE_AREA', 'CRITICAL', concat('Plot area for Khasra ', CASE WHEN trim(khasra_number) = '' THEN '?' ELSE khasra_number END, ' is ', CAST(plot_area_sqm AS VARCHAR), ' sqm.') FROM v_parcels WHERE plot_area_sqm <= 0),
+fn AS (SELECT *, row_number() OVER (PARTITION BY khata_id ORDER BY section, pos, rule) AS nth FROM fs),
+fo AS (SELECT khata_id, arg_min(message, nth) FILTER (WHERE severity = 'CRITICAL') AS first_critical, arg_min(message, nth) AS first_message, arg_min(code, nth) AS first_code FROM fn GROUP BY 1),
+fc AS (SELECT rt.*, first_critical, first_message, first_code, CASE WHEN NOT committable THEN coalesce(first_critical, concat('Confidence ', format('{:.2f}', final_score * 100), '% is below the 85% threshold')) END AS review_reason FROM rt LEFT JOIN fo ON fo.khata_id = rt.khata_id)"""
+
 KPO = ("v_khata", "v_parcels", "v_owners")
 
 
-@query("v14_route", f"""WITH {ROUTED}
+@query("v14_route", f"""WITH {ROUTED}, {FOUND}
 SELECT khata_id, CAST(critical AS BIGINT) AS critical, final_score, CASE WHEN committable THEN 'AUTO_APPROVED' ELSE 'PENDING' END AS approval_status,
-  CASE WHEN committable THEN 'COMMITTED' ELSE 'NEEDS_REVIEW' END AS processing_status, CAST(CASE WHEN committable THEN 100 ELSE 95 END AS BIGINT) AS progress_pct FROM rt""", KPO)
+  CASE WHEN committable THEN 'COMMITTED' ELSE 'NEEDS_REVIEW' END AS processing_status, CAST(CASE WHEN committable THEN 100 ELSE 95 END AS BIGINT) AS progress_pct, review_reason FROM fc""", KPO)
 def _route(spark, sf_dir):
-    return plain(_reported(spark, sf_dir)[4], "khata_id", "critical", "final_score", "approval_status", "processing_status", "progress_pct")
+    return plain(_reported(spark, sf_dir)[4], "khata_id", "critical", "final_score", "approval_status", "processing_status", "progress_pct", "review_reason")
 
 
 @query("v13_report", f"""WITH {ROUTED}
@@ -210,12 +226,11 @@ def _confidence(spark, sf_dir):
     return rules.confidence_findings(_with_confidence(load(spark, sf_dir, "v_parcels")[0]), "parcels").select("khata_id", "field_path", "observed")
 
 
-@query("o01_all_findings", f"""WITH {ROUTED}
-SELECT khata_id, 'AREA_SUM_MISMATCH' AS code, 1 AS n FROM fl WHERE f_area = 1 UNION ALL SELECT khata_id, 'INVALID_OWNER_SHARES', 1 FROM fl WHERE f_share = 1 UNION ALL SELECT khata_id, 'ORPHAN_OWNER', 1 FROM fl WHERE f_orphan = 1
-UNION ALL SELECT khata_id, 'INVALID_KHASRA_FORMAT', CAST(blank + odd AS INT) FROM fl WHERE blank + odd > 0 UNION ALL SELECT khata_id, 'DUPLICATE_KHASRA', CAST(dup AS INT) FROM fl WHERE dup > 0
-UNION ALL SELECT khata_id, 'NON_POSITIVE_AREA', CAST(nonpos AS INT) FROM fl WHERE nonpos > 0 UNION ALL SELECT khata_id, 'MISSING_KHATA_NUMBER', 1 FROM fl WHERE f_number = 1""".replace("1 AS n", "CAST(1 AS BIGINT) AS n"), KPO)
+@query("o01_all_findings", f"""WITH {ROUTED}, {FOUND}
+SELECT khata_id, nth, code, severity, message FROM fn""", KPO)
 def _all(spark, sf_dir):
-    return _reported(spark, sf_dir)[3].groupBy("khata_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("khata_id").orderBy(*rules.PLACE)
+    return plain(_reported(spark, sf_dir)[3].withColumn("nth", F.row_number().over(order)), "khata_id", "nth", "code", "severity", "message")
 
 
 @query("a09_finding_counts", f"""WITH {ROUTED} SELECT khata_id, CAST(critical + warnings AS BIGINT) AS findings, CAST(critical AS BIGINT) AS critical, CAST(warnings AS BIGINT) AS warnings FROM rp WHERE critical + warnings > 0""", KPO)
@@ -266,18 +281,17 @@ def _depth(spark, sf_dir):
     return register.by_review_state(_register(spark, sf_dir)[4], "pending").agg(F.count(F.lit(1)).alias("depth"))
 
 
-@query("f06_queue_items", f"""WITH {REGISTER}
-SELECT rg.khata_id, rg.village_code, v.village_name, final_score, CAST(critical AS BIGINT) AS critical_count, CAST(parcels AS BIGINT) AS parcels FROM rg LEFT JOIN v_villages v ON v.village_code = rg.village_code WHERE approval_status = 'PENDING'""", (*KPO, "v_villages"))
+@query("f06_queue_items", f"""WITH {REGISTER}, {FOUND}
+SELECT rg.khata_id, rg.village_code, v.village_name, final_score, CAST(critical AS BIGINT) AS critical_count, coalesce(first_critical, first_message) AS headline, CAST(parcels AS BIGINT) AS parcels FROM rg LEFT JOIN fo ON fo.khata_id = rg.khata_id LEFT JOIN v_villages v ON v.village_code = rg.village_code WHERE approval_status = 'PENDING'""", (*KPO, "v_villages"))
 def _items(spark, sf_dir):
     _, parcels, _, found, reg = _register(spark, sf_dir)
     villages = load(spark, sf_dir, "v_villages")[0]
     listed = rules.with_findings(reg, found).join(rules.parcel_sum(parcels).select("khata_id", "parcels"), "khata_id", "left").fillna(0, ["parcels"])
-    return plain(register.queue_items(listed, villages), "khata_id", "village_code", "village_name", "final_score", "critical_count", "parcels")
+    return plain(register.queue_items(listed, villages), "khata_id", "village_code", "village_name", "final_score", "critical_count", "headline", "parcels")
 
 
-@query("f07_record_detail", f"""WITH {ROUTED}
-SELECT k.khata_id, coalesce(p.n, 0) AS parcels, p.last_number, o.names AS owner_names, CAST(critical + warnings AS BIGINT) AS findings, CASE WHEN f_area = 1 THEN 'AREA_SUM_MISMATCH' WHEN f_orphan = 1 THEN 'ORPHAN_OWNER' WHEN f_share = 1 THEN 'INVALID_OWNER_SHARES'
-    WHEN blank + odd > 0 THEN 'INVALID_KHASRA_FORMAT' WHEN dup > 0 THEN 'DUPLICATE_KHASRA' WHEN nonpos > 0 THEN 'NON_POSITIVE_AREA' WHEN f_number = 1 THEN 'MISSING_KHATA_NUMBER' END AS first_code FROM rp k
+@query("f07_record_detail", f"""WITH {ROUTED}, {FOUND}
+SELECT k.khata_id, coalesce(p.n, 0) AS parcels, p.last_number, o.names AS owner_names, CAST(critical + warnings AS BIGINT) AS findings, first_code FROM fc k
 LEFT JOIN (SELECT khata_id, count(*) AS n, arg_max(khasra_number, pos) AS last_number FROM v_parcels GROUP BY 1) p ON p.khata_id = k.khata_id
 LEFT JOIN (SELECT khata_id, string_agg(owner_name_vernacular, ' | ' ORDER BY pos) AS names FROM v_owners GROUP BY 1) o ON o.khata_id = k.khata_id""", KPO)
 def _detail(spark, sf_dir):
@@ -636,17 +650,7 @@ def _route_ledger(routed: DataFrame) -> DataFrame:
     return ledger.append(none, ledger.numbered(none, log, "field_name"))
 
 
-FIRST_CRITICAL = """dm AS (SELECT khata_id, arg_min(m, f) AS m FROM (SELECT p.khata_id, concat('parcels[', CAST(p.pos AS VARCHAR), '].khasra_number') AS f, concat('Khasra ', p.khasra_number, ' appears twice (rows ', CAST(min(q.pos) + 1 AS VARCHAR), ' and ', CAST(p.pos + 1 AS VARCHAR), ').') AS m
-    FROM v_parcels p JOIN v_parcels q ON q.khata_id = p.khata_id AND q.khasra_number = p.khasra_number AND q.pos < p.pos WHERE p.khasra_number <> '' GROUP BY p.khata_id, p.pos, p.khasra_number) t GROUP BY 1),
-nm AS (SELECT khata_id, arg_min(concat('Plot area for Khasra ', CASE WHEN trim(khasra_number) = '' THEN '?' ELSE khasra_number END, ' is ', CAST(plot_area_sqm AS VARCHAR), ' sqm.'), concat('parcels[', CAST(pos AS VARCHAR), '].plot_area_sqm')) AS m FROM v_parcels WHERE plot_area_sqm <= 0 GROUP BY 1),
-fc AS (SELECT rt.*, CASE WHEN f_area = 1 THEN concat('Parcel areas total ', CAST(CAST(parcel_sum AS DECIMAL(22,4)) AS VARCHAR), ' sqm but the Khata declares ', CAST(total_area_sqm AS VARCHAR), ' sqm — a difference of ', CAST(CAST(abs(parcel_sum - total_area_sqm) AS DECIMAL(22,4)) AS VARCHAR), ' sqm (',
-      CAST(CAST(round_even(CAST(abs(parcel_sum - total_area_sqm) AS DECIMAL(18,4)) * CAST(0.0001 AS DECIMAL(5,4)), 4) AS DECIMAL(22,4)) AS VARCHAR), ' ha).')
-    WHEN f_orphan = 1 THEN 'No owner recorded against this Khata.' WHEN f_share = 1 THEN concat('Ownership shares total ', CAST(CAST(share_sum AS DECIMAL(15,2)) AS VARCHAR), '%, which does not close to 100%.')
-    WHEN blank > 0 THEN 'Khasra number is blank.' WHEN dup > 0 THEN dm.m WHEN nonpos > 0 THEN nm.m WHEN f_number = 1 THEN 'Khata number could not be read from the document.' END AS first_critical
-  FROM rt LEFT JOIN dm ON dm.khata_id = rt.khata_id LEFT JOIN nm ON nm.khata_id = rt.khata_id)"""
-
-
-@query("v14_k01_route_ledger", f"""WITH {ROUTED}, {FIRST_CRITICAL},
+@query("v14_k01_route_ledger", f"""WITH {ROUTED}, {FOUND},
 lg AS (SELECT khata_id, 'system' AS modified_by_user_id, 'SYSTEM' AS role, created_at AS ts, CASE WHEN committable THEN 'approval_status' ELSE 'routing' END AS field_name, CASE WHEN committable THEN 'PENDING' ELSE 'AUTO' END AS raw_value, CASE WHEN committable THEN 'AUTO_APPROVED' ELSE 'NEEDS_REVIEW' END AS corrected_value,
   CASE WHEN committable THEN concat('Auto-committed at ', format('{{:.2f}}', final_score * 100), '% confidence with no critical findings') ELSE coalesce(first_critical, concat('Confidence ', format('{{:.2f}}', final_score * 100), '% is below the 85% threshold')) END AS reason FROM fc),
 lt AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS ts_text FROM lg)
