@@ -160,11 +160,11 @@ def route(reported: DataFrame) -> DataFrame:
     })
 
 
-def route_log(routed: DataFrame, ts: Column) -> DataFrame:
-    """The ledger row of each routed holding (V14), to be numbered and appended."""
+def route_log(routed: DataFrame, ts: Column, *kept: str) -> DataFrame:
+    """The ledger row of each routed holding (V14), to be numbered and appended; ``kept`` columns come along."""
     auto = F.col("committable")
     done = F.concat(F.lit("Auto-committed at "), F.format_string("%.2f", F.col("final_score") * 100), F.lit("% confidence with no critical findings"))
     return routed.select(
         "khata_id", F.when(auto, "approval_status").otherwise("routing").alias("field_name"), F.when(auto, "PENDING").otherwise("AUTO").alias("raw_value"), F.when(auto, "AUTO_APPROVED").otherwise("NEEDS_REVIEW").alias("corrected_value"),
-        F.lit("system").alias("modified_by_user_id"), F.lit("SYSTEM").alias("role"), F.when(auto, done).otherwise(F.col("review_reason")).alias("reason"), ts.cast("timestamp").alias("ts"),
+        F.lit("system").alias("modified_by_user_id"), F.lit("SYSTEM").alias("role"), F.when(auto, done).otherwise(F.col("review_reason")).alias("reason"), ts.cast("timestamp").alias("ts"), *kept,
     )

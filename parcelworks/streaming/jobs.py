@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parcelworks.operators import ledger, rules
+from parcelworks.operators import rules
 from parcelworks.sources.ingest import admit, manifest
+from parcelworks.streaming import chain
 
+#: What the ledger reads of a routed holding.
+ROUTED = "khata_id long, committable boolean, final_score double, review_reason string, routed_at timestamp, batch long"
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -30,22 +32,28 @@ def write_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], che
 
 
 def stream_route(headers: DataFrame, parcels: DataFrame, owners: DataFrame, target: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Validate and route each arriving batch of headers against the detail tables, and chain a ledger row for each holding
-    behind those of earlier batches in ``target``-ledger; writes one folder for each batch, so a batch that comes again
-    replaces itself (R2)."""
+    """Validate and route each arriving batch of headers against the detail tables; one folder for each batch (R2).
+
+    ``routed_at`` is the batch's own time, which the checkpoint keeps: a batch that comes again replaces itself with equal
+    rows. stream_route_ledger() chains the ledger rows.
+    """
 
     def work(batch: DataFrame, number: int) -> None:
         mine = lambda d: d.join(batch.select("khata_id"), "khata_id", "left_semi")
         found = rules.all_findings(batch, mine(parcels), mine(owners))
-        routed = rules.route(rules.report(batch, found))
-        routed.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        spark = batch.sparkSession
-        log = rules.route_log(spark.read.schema(routed.schema).parquet(f"{target}/batch={number}"), F.lit(datetime.now(timezone.utc)))
-        none = log.limit(0).select("khata_id", F.lit(0).cast("long").alias("log_id"), "ts", F.lit("").alias("entry_hash"))
-        before = spark.read.parquet(f"{target}-ledger").where(F.col("batch") < number).select(*none.columns) if number else none
-        ledger.append(before, ledger.numbered(before, log, "field_name")).write.mode("overwrite").parquet(f"{target}-ledger/batch={number}")
-
-    return write_batches(headers, work, checkpoint, available_now)
+        rules.route(rules.report(batch, found)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return write_batches(headers.withColumn("routed_at", F.current_timestamp()), work, checkpoint, available_now)
+
+
+def stream_route_ledger(spark: SparkSession, routed: str, target: str, checkpoint: str, before: DataFrame | None = None, available_now: bool = False) -> StreamingQuery:
+    """Chain a ledger row for each holding that stream_route() has routed to the folder ``routed``, into the table ``target``.
+
+    Heads are kept in keyed state (streaming.chain); ``before`` is a ledger to go on from. A batch that has been routed
+    again is told by its number and not chained twice.
+    """
+    rows = spark.readStream.schema(ROUTED).parquet(routed)
+    return chain.stream_ledger(rules.route_log(rows, F.col("routed_at"), "batch"), target, checkpoint, before, "batch", available_now)
 
 
 def stream_status(events: DataFrame, delay: str = "1 hour") -> DataFrame:
