@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from parcelworks.llm.common import save, tune
 
 #: Words of a shard of the matrix: what one row of the table of shards holds at most, but for a single longer document.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_500_000
 #: Groups of words that are numbered apart from each other.
 BUCKETS = 1 << 14
 #: Thresholds of the filters: least words, least distinct words in 100, most capitals in 100 code points, characters.
@@ -86,7 +86,7 @@ def document_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
 
     Words are maximal runs of `[^\\x20\\x09-\\x0D]`, case kept; a null text has none and is an empty row. Shards are
     (shard, rows, starts, indices, counts): document ``rows[i]``, a struct of the columns of ``docs`` but its text, has the
-    words ``indices[starts[i] : starts[i + 1]]`` (little-endian longs, ascending) as often as ``counts`` says there
+    words ``indices[starts[i] : starts[i + 1]]`` (little-endian longs, each once) as often as ``counts`` says there
     (little-endian ints). The dictionary is (word binary, word_id long): ids are unique, and the same in every
     run: a bucket, told by the word's hash, 40 bits up, and the rank among the words there.
 
@@ -108,7 +108,7 @@ def document_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
 
 
 def _translated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards whose local word numbers have become global ones, ascending within each row."""
+    """Shards whose local word numbers have become global ones."""
     for batch in batches:
         for i in range(batch.num_rows):
             shard, rows, starts, steps, counts, told = (batch.column(c).slice(i, 1) for c in range(6))
@@ -121,9 +121,7 @@ def _translated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.empty(len(pairs) if pairs is not None else 0, np.int64)
             if len(ids):
                 ids[pairs.field("at").to_numpy()] = pairs.field("word_id").to_numpy()
-            found = ids[local]
-            order = np.lexsort((found, np.repeat(np.arange(len(lengths)), lengths)))
-            made = [shard, rows, starts, pa.array([found[order].astype("<i8").tobytes()], pa.binary()), pa.array([times[order].astype("<i4").tobytes()], pa.binary())]
+            made = [shard, rows, starts, pa.array([ids[local].astype("<i8").tobytes()], pa.binary()), pa.array([times.astype("<i4").tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=["shard", "rows", "starts", "indices", "counts"])
 
 
