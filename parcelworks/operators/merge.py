@@ -10,6 +10,7 @@ from parcelworks.functions.text import RELATIONS
 from parcelworks.operators import ledger, rules
 
 PARCEL, OWNER = ("khasra_number", "plot_area_sqm"), ("owner_name_vernacular", "share_percentage")
+OVERRIDE_REASON = "Tehsildar override on open critical findings"
 HEADER_FIELDS = ("khata_number", "total_area_sqm", "fasli_year")
 
 
@@ -76,7 +77,7 @@ def verify(khata: DataFrame, parcels: DataFrame, owners: DataFrame, requests: Da
     changes and overrides, and the report with the ledger's head (C1-C6, C10).
 
     ``requests`` is (khata_id, user, role, force_approve, reason, ts), ``headers`` the corrected headers if there are any;
-    corrections count for holdings with a request only. ``ts`` is not before a holding's latest entry in ``audit``.
+    corrections count for holdings with a request only, and an override without a reason has OVERRIDE_REASON. ``ts`` is not before a holding's latest entry in ``audit``.
     """
     asked = lambda d: d.join(requests.select("khata_id"), "khata_id", "left_semi")
     khata = asked(khata)
@@ -89,7 +90,7 @@ def verify(khata: DataFrame, parcels: DataFrame, owners: DataFrame, requests: Da
     if headers is not None:
         changes = changes.union(row(header_changes(khata, new, tuple(f for f in HEADER_FIELDS if f in khata.columns)), 0))
     said = requests.select("khata_id", F.col("user").alias("modified_by_user_id"), "role", "reason", "ts")
-    log = ledger.append(audit, ledger.numbered(audit, changes.join(said, "khata_id"), "stage", F.col("pos").asc_nulls_last(), "field_name", "raw_value", "corrected_value").drop("stage", "pos"))
+    log = ledger.append(audit, ledger.numbered(audit, changes.join(said, "khata_id").withColumn("reason", F.when(F.col("field_name") == "approval.override", F.coalesce("reason", F.lit(OVERRIDE_REASON))).otherwise(F.col("reason"))), "stage", F.col("pos").asc_nulls_last(), "field_name", "raw_value", "corrected_value").drop("stage", "pos"))
     heads = ledger.heads(audit.select("khata_id", "log_id", "ts", "entry_hash").union(log.select("khata_id", "log_id", "ts", "entry_hash"))).select("khata_id", F.col("head").alias("ledger_head"))
     return decisions, log, decision_report(decisions, log).join(heads, "khata_id", "left")
 

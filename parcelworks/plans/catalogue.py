@@ -6,15 +6,19 @@ Decimals leave the queries as doubles and counts as longs, so that any engine's
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelworks.functions import ids, text, units
-from parcelworks.operators import boxes, extract, ledger, merge, register, rules
+from parcelworks.operators import boxes, extract, ledger, merge, register, review, rules
 from parcelworks.plans.fixtures import load, with_views
+from parcelworks.session import shared_dir
 from parcelworks.sources import export, ingest
+from parcelworks.sources.store import Register
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -685,6 +689,34 @@ def _decide_corrected(spark, sf_dir):
     return plain(_verified(spark, sf_dir)[0], "khata_id", "critical", "decision", "override")
 
 
+def _written_back(spark, sf_dir) -> Register:
+    """A register of the tables, and the same requests and corrections written back to it as its second version."""
+    khata, parcels, owners, _, routed = _reported(spark, sf_dir)
+    requests = khata.select("khata_id", F.concat(F.lit("u"), (F.col("khata_id") % 9).cast("string")).alias("user"), F.when(F.col("khata_id") % 3 == 0, "TEHSILDAR").otherwise("PATWARI").alias("role"), (F.col("khata_id") % 5 < 2).alias("force_approve"), F.lit(None).cast("string").alias("reason"), F.lit("2030-01-01 00:00:00").cast("timestamp").alias("ts"))
+    header = khata.select("*", F.lit("PENDING").alias("approval_status"), F.lit(None).cast("string").alias("reviewed_by"), F.lit(None).cast("timestamp").alias("reviewed_at"), F.col("khata_id").alias("document_id"))
+    documents = khata.select("khata_id", F.col("khata_id").alias("document_id"), F.lit("NEEDS_REVIEW").alias("status"), F.lit(95).alias("progress_pct"))
+    made = Register.create(spark, f"{shared_dir(spark)}/register-{uuid.uuid4().hex}", {"khata": header, "parcels": parcels, "owners": owners, "documents": documents, "ledger": _route_ledger(routed)}, buckets=16)
+    atexit.register(made.remove)
+    review.write_back(made, requests, load(spark, sf_dir, "v_parcel_corr")[0], _owner_corr(owners))
+    return made
+
+
+@query("c02_c08_write_back", f"""WITH {MERGED}, {OWNER_CORR},
+p2 AS (SELECT khata_id, khasra_number, plot_area_sqm FROM mg WHERE action IN ('keep', 'update', 'insert') UNION ALL SELECT khata_id, khasra_number, plot_area_sqm FROM v_parcels WHERE khata_id NOT IN (SELECT khata_id FROM v_parcel_corr)),
+o2 AS (SELECT khata_id, share AS share_percentage FROM om WHERE action IN ('update', 'insert') UNION ALL SELECT khata_id, share_percentage FROM v_owners WHERE khata_id NOT IN (SELECT khata_id FROM oc)),
+{ROUTED.replace("v_parcels", "p2").replace("v_owners", "o2")},
+st AS (SELECT khata_id, row_number() OVER (PARTITION BY khata_id ORDER BY action = 'insert', pos NULLS LAST, khasra_number, plot_area_sqm) - 1 AS pos, khasra_number, plot_area_sqm, CASE WHEN action <> 'insert' THEN pos END AS was FROM mg WHERE action IN ('keep', 'update', 'insert')
+  UNION ALL SELECT khata_id, pos, khasra_number, plot_area_sqm, pos FROM v_parcels WHERE khata_id NOT IN (SELECT khata_id FROM v_parcel_corr))
+SELECT st.khata_id, CAST(st.pos AS BIGINT) AS pos, st.khasra_number, CAST(st.plot_area_sqm AS DOUBLE) AS plot_area_sqm, v.conf_khasra,
+  CASE WHEN critical = 0 OR (st.khata_id % 5 < 2 AND st.khata_id % 3 = 0) THEN 'MANUALLY_APPROVED' ELSE 'PENDING' END AS approval_status, CASE WHEN critical = 0 OR (st.khata_id % 5 < 2 AND st.khata_id % 3 = 0) THEN 'COMMITTED' ELSE 'NEEDS_REVIEW' END AS document_status
+FROM st JOIN rt ON rt.khata_id = st.khata_id LEFT JOIN v_parcels v ON v.khata_id = st.khata_id AND v.pos = st.was""", (*KPO, "v_parcel_corr"))
+def _write_back(spark, sf_dir):
+    made = _written_back(spark, sf_dir)
+    status = made.read("documents").select("khata_id", F.col("status").alias("document_status"))
+    rows = made.read("parcels").join(made.read("khata").select("khata_id", "approval_status"), "khata_id").join(status, "khata_id")
+    return plain(rows, "khata_id", "pos", "khasra_number", "plot_area_sqm", "conf_khasra", "approval_status", "document_status")
+
+
 @query("c09_owner_diff", f"""WITH {OWNER_CORR}
 SELECT coalesce(o.khata_id, n.khata_id) AS khata_id, CAST(coalesce(o.pos, n.pos) AS BIGINT) AS pos, CASE WHEN n.khata_id IS NULL THEN 'removed' WHEN o.khata_id IS NULL THEN 'added' ELSE 'changed' END AS change
 FROM oo o FULL OUTER JOIN (SELECT * FROM oc WHERE pos IS NOT NULL AND NOT is_delete) n ON n.khata_id = o.khata_id AND n.pos = o.pos
