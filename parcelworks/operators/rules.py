@@ -49,18 +49,40 @@ def balance(khata: DataFrame, parcels: DataFrame, owners: DataFrame) -> DataFram
     return rows.withColumns({"area_ok": F.abs("area_delta") <= F.lit(AREA_TOLERANCE).cast("decimal(5,3)"), "share_ok": (F.col("owners") > 0) & (F.abs("share_delta") <= F.lit(SHARE_TOLERANCE).cast("decimal(4,2)"))})
 
 
-def area_mismatch(balanced: DataFrame) -> DataFrame:
+Rules = list[tuple[Column, list[Column]]]
+
+
+def listed(rows: DataFrame, rules: Rules) -> DataFrame:
+    """khata_id and the findings of the rules whose test holds, in one pass over the rows."""
+    return rows.select("khata_id", F.inline(F.array_compact(F.array(*[F.when(test, F.struct(*row)) for test, row in rules]))))
+
+
+def _area_rules() -> Rules:
     gap = F.abs("area_delta")
     message = F.concat(F.lit("Parcel areas total "), F.col("parcel_sum").cast("string"), F.lit(" sqm but the Khata declares "), F.coalesce(F.col("total_area_sqm"), F.lit(0).cast("decimal(12,4)")).cast("string"), F.lit(" sqm — a difference of "), gap.cast("string"), F.lit(" sqm ("), hectares(gap).cast("string"), F.lit(" ha)."))
-    return balanced.where(~F.col("area_ok")).select("khata_id", *finding(1, "AREA_SUM_MISMATCH", "CRITICAL", message, F.lit("khata.total_area_sqm"), observed=F.col("parcel_sum"), expected=F.col("total_area_sqm"), delta=gap))
+    return [(~F.col("area_ok"), finding(1, "AREA_SUM_MISMATCH", "CRITICAL", message, F.lit("khata.total_area_sqm"), observed=F.col("parcel_sum"), expected=F.col("total_area_sqm"), delta=gap))]
+
+
+def _share_rules() -> Rules:
+    message = F.concat(F.lit("Ownership shares total "), F.col("share_sum").cast("string"), F.lit("%, which does not close to 100%."))
+    return [
+        (F.col("owners") == 0, finding(2, "ORPHAN_OWNER", "CRITICAL", F.lit("No owner recorded against this Khata."), F.lit("owners"), observed=F.lit(0), expected_text=F.lit("at least 1"))),
+        ((F.col("owners") > 0) & ~F.col("share_ok"), finding(2, "INVALID_OWNER_SHARES", "CRITICAL", message, F.lit("owners.share_percentage"), observed=F.col("share_sum"), expected=F.lit(100), delta=F.col("share_delta"))),
+    ]
+
+
+def _metadata_rules() -> Rules:
+    message = F.lit("Khata number could not be read from the document.")
+    return [(is_unread("khata_number"), finding(7, "MISSING_KHATA_NUMBER", "CRITICAL", message, F.lit("khata.khata_number"), observed_text=F.col("khata_number")))]
+
+
+def area_mismatch(balanced: DataFrame) -> DataFrame:
+    return listed(balanced, _area_rules())
 
 
 def share_findings(balanced: DataFrame) -> DataFrame:
     """No owner at all, or shares that do not close to 100."""
-    none = balanced.where("owners = 0").select("khata_id", *finding(2, "ORPHAN_OWNER", "CRITICAL", F.lit("No owner recorded against this Khata."), F.lit("owners"), observed=F.lit(0), expected_text=F.lit("at least 1")))
-    message = F.concat(F.lit("Ownership shares total "), F.col("share_sum").cast("string"), F.lit("%, which does not close to 100%."))
-    off = balanced.where("owners > 0 and not share_ok").select("khata_id", *finding(2, "INVALID_OWNER_SHARES", "CRITICAL", message, F.lit("owners.share_percentage"), observed=F.col("share_sum"), expected=F.lit(100), delta=F.col("share_delta")))
-    return none.unionByName(off)
+    return listed(balanced, _share_rules())
 
 
 def duplicate_rows(parcels: DataFrame) -> DataFrame:
@@ -88,16 +110,14 @@ def parcel_findings(parcels: DataFrame) -> DataFrame:
             ((ulpin != "") & ~ids.is_valid(ulpin), finding(6, "ULPIN_INVALID", "WARNING", F.concat(F.lit("ULPIN "), ulpin, F.lit(" fails its check character.")), path("ulpin"), observed_text=ulpin, pos=F.col("pos"))),
             (ulpin == "", finding(6, "ULPIN_MISSING", "INFO", F.lit("No ULPIN assigned; parcel geometry is required to mint one."), path("ulpin"), pos=F.col("pos"))),
         ]
-    found = F.array_compact(F.array(*[F.when(test, F.struct(*row)) for test, row in rules]))
-    plain = parcels.select("khata_id", F.inline(found))
+    plain = listed(parcels, rules)
     twice = F.concat(F.lit("Khasra "), F.col("khasra"), F.lit(" appears twice (rows "), (F.col("first_pos") + 1).cast("string"), F.lit(" and "), (F.col("pos") + 1).cast("string"), F.lit(")."))
     doubled = duplicate_rows(parcels).select("khata_id", *finding(4, "DUPLICATE_KHASRA", "CRITICAL", twice, path("khasra_number"), observed_text=F.col("khasra"), pos=F.col("pos")))
     return plain.unionByName(doubled)
 
 
 def metadata_findings(khata: DataFrame) -> DataFrame:
-    message = F.lit("Khata number could not be read from the document.")
-    return khata.where(is_unread("khata_number")).select("khata_id", *finding(7, "MISSING_KHATA_NUMBER", "CRITICAL", message, F.lit("khata.khata_number"), observed_text=F.col("khata_number")))
+    return listed(khata, _metadata_rules())
 
 
 def confidence_findings(rows: DataFrame, label: str, floor: float = CONFIDENCE_FLOOR) -> DataFrame:
@@ -109,9 +129,10 @@ def confidence_findings(rows: DataFrame, label: str, floor: float = CONFIDENCE_F
 
 
 def all_findings(khata: DataFrame, parcels: DataFrame, owners: DataFrame) -> DataFrame:
-    """All findings as a table: khata_id and the finding's columns, of which PLACE orders those of a holding (O1)."""
-    balanced = balance(khata, parcels, owners)
-    parts = [area_mismatch(balanced), share_findings(balanced), parcel_findings(parcels), metadata_findings(khata)]
+    """All findings as a table: khata_id and the finding's columns, of which PLACE orders those of a holding (O1).
+
+    Every part has its rows by khata_id where the tables have: bucketed tables need no exchange here nor in counts()."""
+    parts = [listed(balance(khata, parcels, owners), _metadata_rules() + _area_rules() + _share_rules()), parcel_findings(parcels)]
     parts += [confidence_findings(d, name) for d, name in ((parcels, "parcels"), (owners, "owners")) if "field_confidence" in d.columns]
     out = parts[0]
     for part in parts[1:]:
@@ -130,7 +151,7 @@ def counts(findings: DataFrame) -> DataFrame:
     rank = F.struct(*PLACE, "message")
     return findings.groupBy("khata_id").agg(
         F.count(F.lit(1)).alias("findings"), severity("CRITICAL").alias("critical"), severity("WARNING").alias("warnings"), severity("INFO").alias("infos"),
-        F.count_distinct(F.when(F.col("code").isin(*MATH_RULES), F.col("code"))).alias("math_failed"),
+        F.bit_count(F.bit_or(F.element_at(F.create_map(*[F.lit(x) for n, c in enumerate(MATH_RULES) for x in (c, 1 << n)]), F.col("code")))).cast("long").alias("math_failed"),
         F.min(F.when(F.col("severity") == "CRITICAL", rank))["message"].alias("first_critical"),
     )
 

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelworks.sources import layout
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 VIEWS = {
@@ -98,14 +100,33 @@ def _order(names) -> list[str]:
     return out
 
 
+#: Views that all rules share, and the column that makes folders; they are laid out once for each state of their files.
+LAID_OUT = {"v_parcels": None, "v_khata": "village_code", "v_owners": None}
+SOURCES = ("lineitem", "orders", "customer")
+_MADE: dict[tuple, str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    """The named views over the tables in ``sf_dir``. The plans are Spark's own; nothing is computed here."""
+    """The named views over the tables in ``sf_dir``.
+
+    The parcels, holdings and owners are written once as tables bucketed by khata_id (sources.layout) and read from
+    there, for as long as the session lasts and the files of ``sf_dir`` stay as they are; other views are plans alone.
+    """
     parts = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
+    needed = _order(names)
+    state = None
+    if any(n in LAID_OUT for n in needed):
+        state = (spark.sparkContext.applicationId, spark.conf.get("spark.sql.shuffle.partitions"), sf_dir, layout.signature(spark, *[f"{sf_dir}/{t}.parquet" for t in SOURCES]))
     found: dict[str, DataFrame] = {}
-    for name in _order(names):
+    for name in needed:
+        if name in LAID_OUT and (name, state) in _MADE:
+            found[name] = layout.read(spark, _MADE[name, state])
+            continue
         inputs = {**parts, **found}
         used = {k: v for k, v in inputs.items() if _reads(VIEWS[name], k)}
         found[name] = spark.sql(_braced(VIEWS[name], used), **used)
+        if name in LAID_OUT:
+            found[name], _MADE[name, state] = layout.bucketed(found[name], name, partition=LAID_OUT[name])
     return [found[n] for n in names]
 
 
