@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parcelworks.llm.common import save, tune
 
@@ -20,7 +22,7 @@ SHARD_WORDS = 1_500_000
 #: Groups of words that are numbered apart from each other.
 BUCKETS = 1 << 14
 #: Thresholds of the filters: least words, least distinct words in 100, most capitals in 100 code points, characters.
-LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 100, 80, 10, "[#$%&*|]"
+LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 100, 80, 10, "#$%&*|"
 LETTERS = "ABCDE"
 
 
@@ -38,20 +40,26 @@ class _Shard:
 
     def __init__(self):
         self.ids = _Ids()
-        self.rows, self.starts, self.steps, self.counts, self.words = [], [0], [], [], 0
+        self.rows, self.made, self.found, self.words = [], [], [], 0
 
-    def add(self, row: pa.Array, words: list[bytes]) -> None:
-        found, counts = np.unique(np.array(list(map(self.ids.__getitem__, words)), np.int32), return_counts=True)
+    def add(self, row: pa.Array, made: tuple, words: list[bytes]) -> None:
         self.rows.append(row)
-        self.steps.append(np.diff(found, prepend=np.int32(0)))
-        self.counts.append(counts.astype(np.int32))
-        self.starts.append(self.starts[-1] + len(found))
+        self.made.append(made)
+        self.found.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
         self.words += len(words)
 
-    def batch(self, number: int) -> pa.RecordBatch:
+    def batch(self, number: int, names: list[str], more: list[pa.Field]) -> pa.RecordBatch:
         whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        packed = lambda parts: pa.array([_pack(np.concatenate(parts))], pa.binary())
-        columns = [pa.array([number], pa.int64()), whole(pa.array(list(self.ids), pa.binary())), whole(pa.concat_arrays(self.rows)), whole(pa.array(self.starts, pa.int32())), packed(self.steps), packed(self.counts)]
+        lengths = np.array([len(f) for f in self.found])
+        cells, counts = np.unique((np.repeat(np.arange(len(lengths)), lengths) << 32) | np.concatenate(self.found), return_counts=True)
+        starts = np.searchsorted(cells, np.arange(len(lengths) + 1) << 32)
+        local = (cells & 0xFFFFFFFF).astype(np.int32)
+        steps = np.diff(local, prepend=np.int32(0))
+        firsts = starts[:-1][np.diff(starts) > 0]
+        steps[firsts] = local[firsts]
+        rows = pa.concat_arrays(self.rows)
+        rows = pa.StructArray.from_arrays([*rows.flatten(), *[pa.array([m[i] for m in self.made], f.type) for i, f in enumerate(more)]], names=[*names, *[f.name for f in more]])
+        columns = [pa.array([number], pa.int64()), whole(pa.array(list(self.ids), pa.binary())), whole(rows), whole(pa.array(starts, pa.int32())), pa.array([_pack(steps)], pa.binary()), pa.array([_pack(counts)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["shard", "words", "rows", "starts", "steps", "counts"])
 
 
@@ -67,25 +75,30 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
 
-def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, shard = TaskContext.get().partitionId() << 32, _Shard()
-    for batch in batches:
-        rows = pa.StructArray.from_arrays(batch.columns[1:], fields=list(batch.schema)[1:])
-        for i, text in enumerate(batch.column(0).to_pylist()):
-            words = text.split() if text else []  # bytes: at 9-13 and 32 and nowhere else
-            if shard.rows and shard.words + len(words) > SHARD_WORDS:
-                yield shard.batch(number)
-                number, shard = number + 1, _Shard()
-            shard.add(rows.slice(i, 1), words)
-    if shard.rows:
-        yield shard.batch(number)
+def _sharded(note: Callable[[bytes], tuple], more: list[pa.Field]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard, names = TaskContext.get().partitionId() << 32, _Shard(), []
+        for batch in batches:
+            names = batch.schema.names[1:]
+            rows = pa.StructArray.from_arrays(batch.columns[1:], names=names)
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                words = text.split() if text else []  # bytes: at 9-13 and 32 and nowhere else
+                if shard.rows and shard.words + len(words) > SHARD_WORDS:
+                    yield shard.batch(number, names, more)
+                    number, shard = number + 1, _Shard()
+                shard.add(rows.slice(i, 1), note(text or b""), words)
+        if shard.rows:
+            yield shard.batch(number, names, more)
+
+    return run
 
 
-def document_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def document_terms(docs: DataFrame, text_col: str = "text", note: Callable[[bytes], tuple] = lambda text: (), notes: str = "") -> tuple[DataFrame, DataFrame]:
     """The document-term matrix of ``docs``: shards in compressed sparse row form, and the dictionary.
 
     Words are maximal runs of `[^\\x20\\x09-\\x0D]`, case kept; a null text has none and is an empty row. Shards are
-    (shard, rows, starts, indices, counts): document ``rows[i]``, a struct of the columns of ``docs`` but its text, has the
+    (shard, rows, starts, indices, counts): document ``rows[i]``, a struct of the columns of ``docs`` but its text and of
+    what ``note`` says of the text's bytes (``notes`` names its values and their types), has the
     words ``indices[starts[i] : starts[i + 1]]`` (little-endian longs, each once) as often as ``counts`` says there
     (little-endian ints). The dictionary is (word binary, word_id long): ids are unique, and the same in every
     run: a bucket, told by the word's hash, 40 bits up, and the rank among the words there.
@@ -96,33 +109,28 @@ def document_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     """
     tune(docs.sparkSession)
     others = docs.drop(text_col)
-    rows = T.StructType([T.StructField(f.name, f.dataType, True) for f in others.schema])
+    noted = T.StructType.fromDDL(notes) if notes else T.StructType([])
+    rows = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in others.schema], *noted])
     matrix = lambda indices, *more: T.StructType([T.StructField("shard", T.LongType()), *more, T.StructField("rows", T.ArrayType(rows)), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField(indices, T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    local = save(docs.select(F.col(text_col).cast("binary").alias("the text"), *others.columns).mapInArrow(_sharded, matrix("steps", T.StructField("words", T.ArrayType(T.BinaryType())))), "shards")
+    texts = docs.select(F.col(text_col).cast("binary").alias("the text"), *others.columns)
+    local = save(texts.mapInArrow(_sharded(note, list(to_arrow_schema(noted))), matrix("steps", T.StructField("words", T.ArrayType(T.BinaryType())))), "shards")
     words = local.select("shard", F.posexplode("words").alias("at", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
     numbered = words.select("shard", "at", "word", (F.shiftleft(F.col("bucket").cast("long"), 40) + rank).alias("word_id"))
-    told = numbered.groupBy("shard").agg(F.collect_list(F.struct("at", "word_id")).alias("ids"))  # a shard's words at most
-    shards = local.join(told, "shard", "left").select("shard", "rows", "starts", "steps", "counts", "ids")
-    return shards.mapInArrow(_translated, matrix("indices")), numbered.select("word", "word_id").distinct()
-
-
-def _translated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards whose local word numbers have become global ones."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            shard, rows, starts, steps, counts, told = (batch.column(c).slice(i, 1) for c in range(6))
-            lengths = np.diff(np.array(starts[0].as_py()))
-            local, times = np.cumsum(_unpack(steps[0].as_py()), dtype=np.int64), _unpack(counts[0].as_py())
-            firsts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-            before = np.concatenate([[0], local])[firsts]  # where the row before ended
-            local -= np.repeat(before, lengths)
-            pairs = told[0].values
-            ids = np.empty(len(pairs) if pairs is not None else 0, np.int64)
-            if len(ids):
-                ids[pairs.field("at").to_numpy()] = pairs.field("word_id").to_numpy()
-            made = [shard, rows, starts, pa.array([ids[local].astype("<i8").tobytes()], pa.binary()), pa.array([times.astype("<i4").tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=["shard", "rows", "starts", "indices", "counts"])
+    shards = local.drop("words").groupBy("shard").cogroup(numbered.select("shard", "at", "word_id").groupBy("shard")).applyInArrow(_translated, matrix("indices"))
+    return shards, numbered.select("word", "word_id").distinct()
+
+
+def _translated(shards: pa.Table, told: pa.Table) -> pa.Table:
+    """A shard whose local word numbers have become global ones; ``told`` has as many rows as the shard has words."""
+    starts = np.array(shards.column("starts")[0].as_py())
+    lengths = np.diff(starts)
+    local = np.cumsum(_unpack(shards.column("steps")[0].as_py()), dtype=np.int64)
+    local -= np.repeat(np.concatenate([[0], local])[starts[:-1]], lengths)  # where the row before ended
+    ids = np.empty(told.num_rows, "<i8")
+    ids[told.column("at").to_numpy()] = told.column("word_id").to_numpy()
+    made = [pa.array([ids[local].tobytes()], pa.binary()), pa.array([_unpack(shards.column("counts")[0].as_py()).tobytes()], pa.binary())]
+    return pa.table([*[shards.column(c) for c in ("shard", "rows", "starts")], *made], names=["shard", "rows", "starts", "indices", "counts"])
 
 
 def row_sums(shards: DataFrame) -> DataFrame:
@@ -140,6 +148,16 @@ def row_sums(shards: DataFrame) -> DataFrame:
     return shards.select("rows", "starts", "counts").mapInArrow(run, T.StructType([*rows.fields, T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType())]))
 
 
+#: Bytes that go on a code point, capitals, and the characters that fail D.
+_GO_ON, _CAPITALS, _SYMBOLS = bytes(range(0x80, 0xC0)), bytes(range(ord("A"), ord("Z") + 1)), SYMBOLS.encode()
+
+
+def _noted(text: bytes) -> tuple[bool, bool, bytes]:
+    """Whether the text fails C and D, and a digest that equal texts share."""
+    without = lambda gone: len(text.translate(None, gone))
+    return (len(text) - without(_CAPITALS)) * 100 > without(_GO_ON) * MOST_CAPITALS, without(_SYMBOLS) < len(text), hashlib.sha256(text).digest()
+
+
 def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """(doc_id, part, A, B, C, D, E): which of the five filters each row of ``docs`` fails, whatever the others say.
 
@@ -148,11 +166,8 @@ def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     one), a null part the empty string. A null id is neither smaller nor larger than any; rows that repeat an id and a
     text do not fail E because of each other. Rows are kept as they are, repeated ones too; an empty table gives none.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    capitals = F.regexp_count(text, F.lit("[A-Z]")) * 100 > F.length(text) * MOST_CAPITALS
-    copy = F.unhex(F.sha2(text.cast("binary"), 256))
-    rows = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), capitals.alias("C"), text.rlike(SYMBOLS).alias("D"), copy.alias("copy"))
-    shards, _ = document_terms(rows)
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
+    shards, _ = document_terms(rows, "text", _noted, "C boolean, D boolean, copy binary")
     summed = save(row_sums(shards).select("doc_id", "part", (F.col("n_words") < LEAST_WORDS).alias("A"), (F.col("n_distinct") * 100 < F.col("n_words") * LEAST_DISTINCT).alias("B"), "C", "D", "copy"), "flags")
     first = save(summed.groupBy("copy").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("copy", "first"), "first")
     return summed.join(first, "copy", "left").select("doc_id", "part", "A", "B", "C", "D", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"))
