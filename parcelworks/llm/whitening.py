@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelworks.llm.common import flat, save, tune
+from parcelworks.llm.common import drop, flat, save, tune
 
 #: Entries of a dense block of rows: what a task holds at a time, whatever the rows' length.
 BLOCK = 1 << 21
+#: Entries of a stored block; as many as ARROW_ROWS of them are read at a time.
+STORED = 1 << 15
 EPS = float(np.finfo(float).eps)
 
 
@@ -28,11 +30,11 @@ def quantised(vectors: DataFrame, scale: float = 256.0, id_col: str = "vec_id",
     return vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(c, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"))
 
 
-def _blocks(column: pa.Array, d: int) -> Iterator[tuple[int, np.ndarray]]:
+def _blocks(column: pa.Array, d: int, most: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
     """The rows of an Arrow list column as dense blocks of ``d`` entries (what a row lacks is 0), each with its first row."""
     values, offsets = flat(column)
     lengths = np.diff(offsets)
-    step = max(1, BLOCK // max(1, d))
+    step = max(1, most // max(1, d))
     for start in range(0, len(lengths), step):
         part = lengths[start : start + step]
         lo, hi = offsets[start], offsets[start + len(part)]
@@ -41,6 +43,38 @@ def _blocks(column: pa.Array, d: int) -> Iterator[tuple[int, np.ndarray]]:
         yield start, out
 
 
+def dense(fit: DataFrame, d: int) -> DataFrame:
+    """(rows int, width int, block binary): (v array<long>) rows as dense blocks of bounded size, saved. The many passes over
+    the fit list read numbers as they lie, in 2, 4 or 8 bytes, whichever holds the block's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def told() -> pa.RecordBatch:
+            x = np.concatenate(held)
+            held.clear()
+            width = next(w for w in (2, 4, 8) if w == 8 or _largest(x) < 1 << (8 * w - 1))
+            return pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int32()), pa.array([width], pa.int32()), pa.array([x.astype(f"<i{width}").tobytes()], pa.binary())], names=["rows", "width", "block"])
+
+        for batch in batches:
+            for _, x in _blocks(batch.column(0), d, STORED):
+                held.append(x)
+                count += x.size
+                if count >= STORED:
+                    yield told()
+                    count = 0
+        if held:
+            yield told()
+
+    return save(fit.select("v").mapInArrow(run, "rows int, width int, block binary"), "blocks")
+
+
+def _read(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield np.frombuffer(batch.column(2)[i].as_buffer(), f"<i{batch.column(1)[i].as_py()}").reshape(-1, d)
+
+
 def _exact(x: np.ndarray, bound: int) -> np.ndarray:
     """The integers as they are, or as Python's where what is made of them might pass 64 bits."""
     return x if bound < 1 << 62 else x.astype(object)
@@ -93,7 +127,7 @@ def moments(fit: DataFrame) -> Moments:
     return Moments(n, d, [whole.get(i, 0) for i in range(d)], whole.get(d, 0))
 
 
-def products(fit: DataFrame, mean: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def products(blocks: DataFrame, mean: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """A function of (earlier d x j, v): with u = Xv and U = X earlier over the centred rows X, it gives Xᵀu, and Uᵀu with uᵀu last.
 
     Each call is one job: a task makes the entries of u for its rows (Xv), adds up their part of Xᵀu, and sends d + j + 1
@@ -106,16 +140,15 @@ def products(fit: DataFrame, mean: np.ndarray) -> Callable[[np.ndarray, np.ndarr
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             back, dots = np.zeros(d), np.zeros(left.shape[1])
-            for batch in batches:
-                for _, x in _blocks(batch.column(0), d):
-                    centred = x - mean
-                    made = centred @ left
-                    back += centred.T @ made[:, -1]
-                    dots += made.T @ made[:, -1]
+            for x in _read(batches, d):
+                centred = x - mean
+                made = centred @ left
+                back += centred.T @ made[:, -1]
+                dots += made.T @ made[:, -1]
             sent = np.concatenate([back, dots])
             yield pa.RecordBatch.from_arrays([pa.array(range(len(sent)), pa.int32()), pa.array(sent)], names=["at", "part"])
 
-        rows = fit.select("v").mapInArrow(run, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).collect()  # d + j + 1 rows
+        rows = blocks.mapInArrow(run, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).collect()  # d + j + 1 rows
         out = np.zeros(d + left.shape[1])
         out[[r["at"] for r in rows]] = [r["part"] for r in rows]
         return out[:d], out[d:]
@@ -179,18 +212,17 @@ def _run(multiply, d: int, scale: float, wanted: int, locked: list[np.ndarray],
         betas.append(beta)
 
 
-def components(fit: DataFrame, k: int, seed: int = 1, found: Moments | None = None) -> tuple[Moments, np.ndarray, np.ndarray]:
-    """Moments, the ``k`` largest eigenvalues of the covariance (divisor n) of (v array<long>) rows, and their unit vectors
-    as columns. Directions without variance are left out, so there may be fewer; of no rows there are none.
+def components(blocks: DataFrame, m: Moments, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues of the covariance (divisor n) of the rows in the blocks, and their unit
+    vectors as columns. Directions without variance are left out, so there may be fewer; of no rows there are none.
 
     A run that ends before it has used up the space may have seen one of several equal eigenvalues only; runs in the
     complement of what was found go on until none there is larger.
     """
-    m = found or moments(fit)
     if not m.n or not m.d or m.scatter == 0:
-        return m, np.zeros(0), np.zeros((m.d, 0))
+        return np.zeros(0), np.zeros((m.d, 0))
     scale = float(np.sqrt(m.scatter / m.n))  # the Frobenius norm of X
-    multiply = products(fit, m.mean)
+    multiply = products(blocks, m.mean)
     k = min(k, m.d)
     sigma, right, whole, _ = _run(multiply, m.d, scale, k, [], seed, 4 * EPS)
     sigma, right = sigma[:k], right[:, :k]
@@ -206,7 +238,7 @@ def components(fit: DataFrame, k: int, seed: int = 1, found: Moments | None = No
         sigma, right = np.concatenate([sigma, more])[order], np.column_stack([right, vectors])[:, order]
         seed += 1
     solid = sigma > m.d * EPS * scale
-    return m, sigma[solid] ** 2 / m.n, right[:, solid]
+    return sigma[solid] ** 2 / m.n, right[:, solid]
 
 
 def whiten(vectors: DataFrame, k: int = 4) -> DataFrame:
@@ -219,11 +251,15 @@ def whiten(vectors: DataFrame, k: int = 4) -> DataFrame:
     """
     tune(vectors.sparkSession)
     fit = save(vectors.select("v").distinct(), "fit")
-    m, values, right = components(fit, k)
+    m = moments(fit)
+    blocks = dense(fit, m.d)
+    drop(fit)
+    values, right = components(blocks, m, k)
     mean, sums, n, d = m.mean if m.n else np.zeros(0), np.array(m.sums, dtype=object), m.n, m.d
     onto = right / np.sqrt(values)
     explained = values / (m.scatter / m.n**2) if len(values) else values
-    error = _identity_error(fit, mean, onto) if len(values) else 0.0
+    error = _identity_error(blocks, mean, onto) if len(values) else 0.0
+    drop(blocks)
     found = len(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,19 +280,18 @@ def whiten(vectors: DataFrame, k: int = 4) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
 
 
-def _identity_error(fit: DataFrame, mean: np.ndarray, onto: np.ndarray) -> float:
+def _identity_error(blocks: DataFrame, mean: np.ndarray, onto: np.ndarray) -> float:
     """The largest absolute entry of the whitened rows' covariance minus the identity, from the rows themselves."""
     d, k = onto.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 + k + k * k)
-        for batch in batches:
-            for _, x in _blocks(batch.column(0), d):
-                y = (x - mean) @ onto
-                total += np.concatenate([[len(y)], y.sum(0), (y.T @ y).ravel()])
+        for x in _read(batches, d):
+            y = (x - mean) @ onto
+            total += np.concatenate([[len(y)], y.sum(0), (y.T @ y).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["at", "part"])
 
-    rows = fit.select("v").mapInArrow(run, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).collect()
+    rows = blocks.mapInArrow(run, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).collect()
     total = np.array([r["part"] for r in sorted(rows, key=lambda r: r["at"])])
     first = total[1 : k + 1] / total[0]
     return float(np.abs(total[k + 1 :].reshape(k, k) / total[0] - np.outer(first, first) - np.eye(k)).max())
