@@ -93,7 +93,7 @@ def _sharded(note: Callable[[bytes], tuple], more: list[pa.Field]) -> Callable[[
     return run
 
 
-def document_terms(docs: DataFrame, text_col: str = "text", note: Callable[[bytes], tuple] = lambda text: (), notes: str = "") -> tuple[DataFrame, DataFrame]:
+def document_terms(docs: DataFrame, text_col: str = "text", note: Callable[[bytes], tuple] = lambda text: (), notes: str = "", each: Callable[[pa.Table], pa.Table] | None = None, made: Callable[[T.StructType], T.StructType] | None = None) -> tuple[DataFrame, DataFrame]:
     """The document-term matrix of ``docs``: shards in compressed sparse row form, and the dictionary.
 
     Words are maximal runs of `[^\\x20\\x09-\\x0D]`, case kept; a null text has none and is an empty row. Shards are
@@ -106,6 +106,9 @@ def document_terms(docs: DataFrame, text_col: str = "text", note: Callable[[byte
     Tasks count with dictionaries of their own, so that a word is shuffled once for each shard and not once for each
     document: the words of all shards are sorted into buckets and numbered there, and each shard gets its words' ids back.
     A word that is in every text weighs no more than the number of shards; what a shard holds is bounded.
+
+    With ``each``, a function of a shard, what that returns stands in the shards' place, without the shard being moved
+    again; ``made`` tells its schema from that of the structs in ``rows``.
     """
     tune(docs.sparkSession)
     others = docs.drop(text_col)
@@ -117,35 +120,35 @@ def document_terms(docs: DataFrame, text_col: str = "text", note: Callable[[byte
     words = local.select("shard", F.posexplode("words").alias("at", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
     numbered = words.select("shard", "at", "word", (F.shiftleft(F.col("bucket").cast("long"), 40) + rank).alias("word_id"))
-    shards = local.drop("words").groupBy("shard").cogroup(numbered.select("shard", "at", "word_id").groupBy("shard")).applyInArrow(_translated, matrix("indices"))
+    shards = local.drop("words").groupBy("shard").cogroup(numbered.select("shard", "at", "word_id").groupBy("shard")).applyInArrow(_translated(each), made(rows) if made else matrix("indices"))
     return shards, numbered.select("word", "word_id").distinct()
 
 
-def _translated(shards: pa.Table, told: pa.Table) -> pa.Table:
-    """A shard whose local word numbers have become global ones; ``told`` has as many rows as the shard has words."""
-    starts = np.array(shards.column("starts")[0].as_py())
-    lengths = np.diff(starts)
-    local = np.cumsum(_unpack(shards.column("steps")[0].as_py()), dtype=np.int64)
-    local -= np.repeat(np.concatenate([[0], local])[starts[:-1]], lengths)  # where the row before ended
-    ids = np.empty(told.num_rows, "<i8")
-    ids[told.column("at").to_numpy()] = told.column("word_id").to_numpy()
-    made = [pa.array([ids[local].tobytes()], pa.binary()), pa.array([_unpack(shards.column("counts")[0].as_py()).tobytes()], pa.binary())]
-    return pa.table([*[shards.column(c) for c in ("shard", "rows", "starts")], *made], names=["shard", "rows", "starts", "indices", "counts"])
+def _translated(each: Callable[[pa.Table], pa.Table] | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(shards: pa.Table, told: pa.Table) -> pa.Table:
+        """The shard with global word numbers; ``told`` has as many rows as the shard has words."""
+        starts = np.array(shards.column("starts")[0].as_py())
+        local = np.cumsum(_unpack(shards.column("steps")[0].as_py()), dtype=np.int64)
+        local -= np.repeat(np.concatenate([[0], local])[starts[:-1]], np.diff(starts))  # where the row before ended
+        ids = np.empty(told.num_rows, "<i8")
+        ids[told.column("at").to_numpy()] = told.column("word_id").to_numpy()
+        cells = [pa.array([ids[local].tobytes()], pa.binary()), pa.array([_unpack(shards.column("counts")[0].as_py()).tobytes()], pa.binary())]
+        made = pa.table([*[shards.column(c) for c in ("shard", "rows", "starts")], *cells], names=["shard", "rows", "starts", "indices", "counts"])
+        return each(made) if each else made
 
+    return run
 
-def row_sums(shards: DataFrame) -> DataFrame:
-    """Each document's columns, and n_words and n_distinct: the sum and the number of the entries of its row."""
-    rows = shards.schema["rows"].dataType.elementType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                at, counts = np.array(batch.column(1)[i].as_py()), np.frombuffer(batch.column(2)[i].as_py(), "<i4")
-                sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                columns = batch.column(0)[i].values.flatten()
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(sums[at])), pa.array(np.diff(at).astype(np.int64))], names=[*rows.names, "n_words", "n_distinct"])
+def row_sums(shard: pa.Table) -> pa.Table:
+    """Each document's columns, and n_words and n_distinct: the sum and the number of the nonzero entries of its row."""
+    rows, starts = shard.column("rows")[0].values, np.array(shard.column("starts")[0].as_py())
+    sums = np.concatenate([[0], np.cumsum(np.frombuffer(shard.column("counts")[0].as_buffer(), "<i4"), dtype=np.int64)])
+    return pa.table([*rows.flatten(), pa.array(np.diff(sums[starts])), pa.array(np.diff(starts).astype(np.int64))], names=[*[f.name for f in rows.type], "n_words", "n_distinct"])
+
 
-    return shards.select("rows", "starts", "counts").mapInArrow(run, T.StructType([*rows.fields, T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType())]))
+def summed(rows: T.StructType) -> T.StructType:
+    """The schema of what row_sums() makes."""
+    return T.StructType([*rows.fields, T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType())])
 
 
 #: Bytes that go on a code point, capitals, and the characters that fail D.
@@ -167,10 +170,10 @@ def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     text do not fail E because of each other. Rows are kept as they are, repeated ones too; an empty table gives none.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
-    shards, _ = document_terms(rows, "text", _noted, "C boolean, D boolean, copy binary")
-    summed = save(row_sums(shards).select("doc_id", "part", (F.col("n_words") < LEAST_WORDS).alias("A"), (F.col("n_distinct") * 100 < F.col("n_words") * LEAST_DISTINCT).alias("B"), "C", "D", "copy"), "flags")
-    first = save(summed.groupBy("copy").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("copy", "first"), "first")
-    return summed.join(first, "copy", "left").select("doc_id", "part", "A", "B", "C", "D", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"))
+    sums, _ = document_terms(rows, "text", _noted, "C boolean, D boolean, copy binary", row_sums, summed)
+    flags = save(sums.select("doc_id", "part", (F.col("n_words") < LEAST_WORDS).alias("A"), (F.col("n_distinct") * 100 < F.col("n_words") * LEAST_DISTINCT).alias("B"), "C", "D", "copy"), "flags")
+    first = save(flags.groupBy("copy").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("copy", "first"), "first")
+    return flags.join(first, "copy", "left").select("doc_id", "part", "A", "B", "C", "D", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"))
 
 
 def interactions(rows: DataFrame, flags: str = LETTERS) -> DataFrame:
