@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Media types that are admitted, and the greatest size.
@@ -23,22 +23,53 @@ def load_register_jdbc(spark: SparkSession, url: str, properties: dict, names: t
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, modified, mime, content_hash of every file below ``path`` (S2). Spark's file sources list no
-    empty files; rejects for emptiness come from manifests made elsewhere."""
+    """path, length, modified, mime, content_hash of every file below ``path``, empty ones too.
+
+    Files are judged by name and length first: those that admit() rejects have no content_hash, and not a byte of them is
+    read, however large they are. Spark's file sources pass over empty files, so these come from a listing of their own.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return manifest(files)
+    seen = files.select("path", "length", F.col("modificationTime").alias("modified"), _mime("path").alias("mime"))  # no content: nothing is read
+    rejected = seen.where(_reason().isNotNull()).withColumn("content_hash", F.lit(None).cast("string"))
+    return manifest(admissible(files)).unionByName(rejected).unionByName(empty_files(spark, path))
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest rows of the files without content below ``path``; hidden ones are left out, as Spark does."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while listed.hasNext():
+        file = listed.next()
+        if file.getLen() == 0 and not file.getPath().getName().startswith(("_", ".")):
+            found.append((file.getPath().toString(), 0, file.getModificationTime()))
+    rows = spark.createDataFrame(found, "path string, length long, ms long")
+    return rows.select("path", "length", F.timestamp_millis("ms").alias("modified"), _mime("path").alias("mime"), F.lit(None).cast("string").alias("content_hash"))
+
+
+def _mime(path: str) -> Column:
     kinds = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
-    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.element_at(kinds, suffix).alias("mime"), F.sha2("content", 256).alias("content_hash"))
+    return F.element_at(kinds, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
+
+
+def admissible(files: DataFrame) -> DataFrame:
+    """The rows of a binaryFile source that admit() would let in: by length, which the source checks before it opens a
+    file, and by name."""
+    return files.where((F.col("length") > 0) & (F.col("length") <= MOST_BYTES)).where(_mime("path").isNotNull())
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """Manifest rows with the digest of the contents, which are read for it."""
+    return files.select("path", "length", F.col("modificationTime").alias("modified"), _mime("path").alias("mime"), F.sha2("content", 256).alias("content_hash"))
+
+
+def _reason() -> Column:
+    return F.when(F.col("mime").isNull() | ~F.col("mime").isin(*set(MIME.values())), "unsupported type").when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large")
 
 
 def admit(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Admitted rows, and rejected ones with their reason (S3)."""
-    reason = F.when(F.col("mime").isNull() | ~F.col("mime").isin(*set(MIME.values())), "unsupported type").when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large")
-    rows = found.withColumn("reject_reason", reason)
+    rows = found.withColumn("reject_reason", _reason())
     return rows.where("reject_reason is null").drop("reject_reason"), rows.where("reject_reason is not null")
 
 
