@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from parcelworks.llm.common import tune
 
@@ -147,14 +148,15 @@ class Packer:
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, max_segments: int = 64, max_loss: int | None = None, id_col: str = "doc_id", text_col: str = "text", loss_from: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, max_segments: int = 64, max_loss: int | None = None, id_col: str = "doc_id", text_col: str = "text", loss_from: str | None = None, with_ids: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """Tokenise ``docs`` and pack them into sequences of at most ``limit`` tokens.
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone, so each row has at least one piece,
     repeated rows included. ``loss_from`` names a column with the number of leading tokens that bear no loss (null:
     none); by default all bear it. A sequence holds at most ``limit`` tokens, ``max_segments`` pieces and ``max_loss``
     loss-bearing tokens (default: ``limit``). Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset, and with ``with_ids`` the piece's ids as little-endian unsigned 32-bit integers.
+    sequence_id, offset, and with ``with_ids`` the piece's ids as little-endian unsigned 32-bit integers. ``carried`` columns
+    of the row stand behind these in each of its pieces.
 
     Packing needs no shuffle: every task packs its own rows from a bounded pool, and numbers its sequences from the
     partition's number on, so a task that is run again gives the same ones. Only a task's last sequence can be short.
@@ -162,7 +164,8 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, ma
     tune(docs.sparkSession)
     limits = (limit, max_segments, max_loss or limit)
     free = F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(0)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), free.cast("long").alias("free"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), free.cast("long").alias("free"), *[F.col(c).alias(f"carried{i}") for i, c in enumerate(carried)])
+    schema = pa.schema([*PIECES, *to_arrow_schema(source.select(*[f"carried{i}" for i in range(len(carried))]).schema)]) if carried else PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Tokenizer(tokenizer)
@@ -171,23 +174,24 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, ma
 
         def out(keep: int) -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
-            for (doc, ids), start, length, sequence, offset in packer.run(keep):
+            for (doc, ids, *more), start, length, sequence, offset in packer.run(keep):
                 piece = ids[4 * start : 4 * (start + length)]
-                rows.append((doc, start, length, zlib.crc32(piece), len(ids) // 4, base + sequence, offset, piece if with_ids else None))
+                rows.append((doc, start, length, zlib.crc32(piece), len(ids) // 4, base + sequence, offset, piece if with_ids else None, *more))
                 if len(rows) == 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, POOL):
                 part = batch.slice(at, POOL)
-                keys = [(d, made.ids(t or "") + end) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                tokens = np.array([len(ids) // 4 for _, ids in keys], np.int64)
+                keys = [(d, made.ids(t or "") + end, *more) for d, t, *more in zip(*(part.column(c).to_pylist() for c in (0, 1, *range(3, part.num_columns))), strict=True)]
+                tokens = np.array([len(k[1]) // 4 for k in keys], np.int64)
                 packer.add(keys, tokens, np.maximum(tokens - np.maximum(part.column(2).to_numpy(), 0), 0))
                 yield from out(32)
         yield from out(0)
 
-    found = source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    found = source.mapInArrow(run, from_arrow_schema(schema))
+    found = found.withColumnsRenamed({f"carried{i}": c for i, c in enumerate(carried)})
     return found if with_ids else found.drop("ids")

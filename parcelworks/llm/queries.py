@@ -70,12 +70,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as instruction data: only the assistant's tokens bear loss, and a sequence holds at most 1,024
-    tokens, six turns and 640 loss-bearing tokens. An example's id is its conversation's, 20 bits up, and its turn."""
+    tokens, six turns and 640 loss-bearing tokens. A null text is empty; a null or unknown role bears no loss; rows keep
+    their conv_id and turn as they are, null or repeated ones too."""
     turns = _read(spark, sf_dir, "conversations")
     free = F.when(F.col("role") == "assistant", 0).otherwise((1 << 31) - 1)
-    examples = turns.select(F.shiftleft("conv_id", 20).bitwiseOR(F.col("turn")).alias("doc_id"), "text", free.alias("free"))
-    packed = packing.pack(examples, tokenizer("byte_bpe_50k.json"), limit=1024, max_segments=6, max_loss=640, loss_from="free")
-    return packed.select(F.shiftright("doc_id", 20).alias("conv_id"), F.col("doc_id").bitwiseAND(F.lit((1 << 20) - 1)).alias("turn"), *[c for c in packed.columns if c != "doc_id"])
+    packed = packing.pack(turns.select("conv_id", "turn", "text", free.alias("free")), tokenizer("byte_bpe_50k.json"), limit=1024, max_segments=6, max_loss=640, id_col="conv_id", loss_from="free", carried=("turn",))
+    return packed.select(F.col("doc_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[c for c in packed.columns if c not in ("doc_id", "turn")])
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

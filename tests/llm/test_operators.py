@@ -637,3 +637,14 @@ def test_secrets(spark, texts):
     hostile = ["eyJ" * 300_000, "password " * 100_000, "AKIA" * 200_000, "-----BEGIN " * 100_000, "ghp_" * 200_000, "token" + " " * 500_000 + "x"]
     again = secrets_scan.find_secrets(frame(spark, [*enumerate(hostile), (0, hostile[0]), (0, hostile[0])])).collect()
     assert len(again) == len(hostile) + 2 and time.time() - start < 30
+
+
+def test_packed_conversations_keep_their_keys(spark, tmp_path):
+    rows = [(1 << 44, 1 << 20, "assistant", "one two"), (2, 1 << 20, "user", "three"), (3, 0, "user", "four"), (None, 1, "assistant", "five"), (4, None, None, "six"), (5, 1, "robot", None), (5, 1, "robot", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.pack_conversations(spark, str(tmp_path))
+    assert found.columns[:2] == ["conv_id", "turn"]
+    whole = [(r.conv_id, r.turn) for r in found.collect() if r.length == r.doc_tokens]
+    assert sorted(whole, key=str) == sorted([(c, t) for c, t, _, _ in rows], key=str)
+    spark.createDataFrame([], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert queries.pack_conversations(spark, f"{tmp_path}/none").count() == 0
