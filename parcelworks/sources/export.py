@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelworks.operators.register import approved_only, by_village, join_owners, join_village
+from parcelworks.sources import documents
 
 # Fixed value: the columns of the CSV export, in order.
 CSV_COLUMNS = (
@@ -36,17 +39,18 @@ def csv_rows(khata: DataFrame, parcels: DataFrame, owners: DataFrame, villages:
 
 
 def export_csv(rows: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write CSV with a header, sorted within each file by khata number. A byte order mark only makes sense in one file: it
-    is put before the first column's name there."""
-    if single_file:
-        rows = rows.orderBy("khata_number", "khasra_number").coalesce(1).withColumnRenamed(rows.columns[0], "﻿" + rows.columns[0])
-    else:
-        rows = rows.sortWithinPartitions("khata_number", "khasra_number")
-    rows.write.mode("errorifexists").option("emptyValue", "").csv(path, header=True, encoding="UTF-8")
+    """Write CSV with a header, sorted by khata number. A folder of files, each with a header and sorted in itself; or with
+    ``single_file`` export.csv there, in order over all, which begins with a byte order mark."""
+    if not single_file:
+        return rows.sortWithinPartitions("khata_number", "khasra_number").write.mode("errorifexists").option("emptyValue", "").csv(path, header=True, encoding="UTF-8")
+    quoted = lambda c: F.when(F.col(c).rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
+    line = F.concat_ws(",", *[F.coalesce(quoted(c), F.lit("")) for c in rows.columns])
+    documents.write(rows.select("khata_number", "khasra_number", line.alias("line")), f"{path}/export.csv", "line", ["khata_number", "khasra_number"], "\ufeff" + ",".join(rows.columns) + "\n", "", separator="")
 
 
 def geojson_lines(khata: DataFrame, parcels: DataFrame, owners: DataFrame, villages: DataFrame, village: str | None = None, only_approved: bool = True) -> DataFrame:
-    """khata_id, pos, feature: a GeoJSON Feature in CRS 4326 for each parcel, owners nested (S7). Needs lat and lon."""
+    """khata_id, pos, feature: a GeoJSON Feature in CRS 4326 for each parcel, owners nested (S7). The geometry is the
+    MultiPolygon in the column ``rings`` (functions.geometry) where there is one, else the point of lat and lon, else null."""
     head = join_village(join_owners(by_village(approved_only(khata, only_approved), village), owners), villages, "left")
     rows = parcels.join(head, "khata_id")
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
@@ -59,13 +63,24 @@ def geojson_lines(khata: DataFrame, parcels: DataFrame, owners: DataFrame, villa
         _optional(rows, "ulpin").alias("ulpin"), "khata_number", "khasra_number", _optional(rows, "fasli_year").alias("fasli_year"), number("plot_area_sqm"), F.col("total_area_sqm").cast("double").alias("khata_total_area_sqm"), _optional(rows, "land_classification").alias("land_classification"),
         "village_code", "village_name", "tehsil", "district", "state", owned.alias("owners"), F.col("final_score").cast("double").alias("confidence_score"), "approval_status",
     )
-    feature = F.struct(F.lit("Feature").alias("type"), F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), point).alias("geometry"), properties.alias("properties"))
-    return rows.select("khata_id", "pos", F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+    geometry = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.to_json(point)) if {"lat", "lon"} <= set(rows.columns) else F.lit(None).cast("string")
+    if "rings" in rows.columns:
+        geometry = F.coalesce(F.when(F.col("rings").isNotNull(), F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("rings").alias("coordinates")))), geometry)
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), F.to_json(properties, {"ignoreNullFields": "false"}), F.lit("}"))
+    return rows.select("khata_id", "pos", feature.alias("feature"))
+
+
+# Name and reference system of the exported collection.
+COLLECTION, CRS = "DILRMP_RoR_Export", "urn:ogc:def:crs:EPSG::4326"
 
 
-def export_geojson(rows: DataFrame, path: str) -> None:
-    """Write the features as lines, each file a sequence of features that readers of GeoJSON lines take."""
-    rows.select("feature").write.mode("errorifexists").text(path)
+def export_geojson(rows: DataFrame, path: str, collection: bool = False) -> None:
+    """Write the features as lines, each file a sequence of features that readers of GeoJSON lines take; or with
+    ``collection`` one FeatureCollection in the file export.geojson there, by khata_id and pos."""
+    if not collection:
+        return rows.select("feature").write.mode("errorifexists").text(path)
+    head = json.dumps({"type": "FeatureCollection", "name": COLLECTION, "crs": {"type": "name", "properties": {"name": CRS}}, "features": []}, separators=(",", ":"))[:-2]
+    documents.write(rows, f"{path}/export.geojson", "feature", ["khata_id", "pos"], head + "\n", "]}\n", separator=",")
 
 
 def export_view(khata: DataFrame, parcels: DataFrame, villages: DataFrame) -> DataFrame:
