@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,27 @@ def load_register(spark: SparkSession, folder: str, names: tuple[str, ...] = REG
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
-def load_register_jdbc(spark: SparkSession, url: str, properties: dict, names: tuple[str, ...] = REGISTER) -> dict[str, DataFrame]:
-    """The register's tables in a relational database; filters and columns are pushed down to it."""
-    return {n: spark.read.jdbc(url, n, properties=properties) for n in names}
+def load_register_jdbc(spark: SparkSession, url: str, properties: dict, names: tuple[str, ...] = REGISTER, split_by: dict[str, str] | None = None, partitions: int | None = None) -> dict[str, DataFrame]:
+    """The register's tables in a relational database; filters and columns are pushed down to it.
+
+    ``split_by`` names a number, date or timestamp column of a table, by which it is read in ``partitions`` ranges at a
+    time (as many as shuffle partitions if not given). The database itself tells the column's ends; rows that come
+    outside them meanwhile, and nulls, are in the outer ranges, so none is lost. Other tables are read in one piece.
+    """
+    return {n: _jdbc(spark, url, properties, n, (split_by or {}).get(n), partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))) for n in names}
+
+
+def _jdbc(spark: SparkSession, url: str, properties: dict, table: str, column: str | None, partitions: int) -> DataFrame:
+    if column is None or partitions < 2:
+        return spark.read.jdbc(url, table, properties=properties)
+    named = next((c for c in spark.read.jdbc(url, table, properties=properties).columns if c.lower() == column.lower()), column)
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(named)
+    low, high = spark.read.jdbc(url, f"(SELECT MIN({quoted}) AS low_end, MAX({quoted}) AS high_end FROM {table}) ends", properties=properties).first()
+    if low is None or low == high:
+        return spark.read.jdbc(url, table, properties=properties)
+    whole = lambda end, up: str(math.ceil(end) if up else math.floor(end)) if isinstance(end, (int, float, Decimal)) else str(end)
+    options = {"partitionColumn": column, "lowerBound": whole(low, False), "upperBound": whole(high, True), "numPartitions": str(partitions)}
+    return spark.read.format("jdbc").options(**properties, **options).option("url", url).option("dbtable", table).load()
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
