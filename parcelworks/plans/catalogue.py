@@ -540,6 +540,27 @@ def _append_only(spark, sf_dir):
     return ledger.append_only_breaches(before, after)
 
 
+@query("k02_k04_verify_since", """WITH n AS (SELECT user_id AS khata_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+k AS (SELECT khata_id, any_value(total) AS total, any_value(total) - CASE WHEN khata_id % 5 = 0 THEN any_value(total) WHEN khata_id % 3 = 0 THEN 1 ELSE 0 END AS was, min(event_id) FILTER (WHERE nth = 1) AS first_id, min(event_id) FILTER (WHERE nth = 2) AS second_id FROM n GROUP BY 1),
+s AS (SELECT *, khata_id % 7 = 0 AS edited, khata_id % 13 = 0 AND NOT khata_id % 7 = 0 AS cut, khata_id % 31 = 0 AND NOT khata_id % 7 = 0 AND NOT khata_id % 13 = 0 AS gone FROM k)
+SELECT khata_id, CASE WHEN was = 0 THEN 'new' WHEN gone THEN 'lost' WHEN edited OR cut THEN CASE WHEN cut AND total = 1 THEN 'lost' ELSE 'altered' END WHEN was < total THEN 'grown' ELSE 'same' END AS state,
+  CAST(CASE WHEN gone THEN 0 WHEN cut THEN total - 1 ELSE total END AS BIGINT) AS entries,
+  CASE WHEN gone OR (cut AND total = 1) THEN NULL WHEN edited THEN false WHEN cut THEN false WHEN was = total THEN NULL ELSE true END AS intact,
+  CASE WHEN gone OR (cut AND total = 1) THEN NULL WHEN edited THEN first_id WHEN cut THEN second_id END AS broken_at
+FROM s WHERE NOT (was = 0 AND (gone OR (cut AND total = 1)))""")
+def _verify_since(spark, sf_dir):
+    """The proof was taken before every third holding's latest entry and every fifth holding's first; since then entries were
+    changed in one holding of seven, first ones removed in one of thirteen, and whole chains in one of 31."""
+    chain, k = _chain(spark, sf_dir), F.col("khata_id")
+    nth = F.row_number().over(Window.partitionBy("khata_id").orderBy("ts", "log_id"))
+    last = F.count(F.lit(1)).over(Window.partitionBy("khata_id")) - nth
+    before = chain.withColumn("last", last).where(~((k % 3 == 0) & (F.col("last") == 0)) & (k % 5 != 0)).drop("last")
+    edited, cut = k % 7 == 0, (k % 13 == 0) & (k % 7 != 0)
+    after = chain.withColumn("nth", nth).where(~(cut & (F.col("nth") == 1)) & ~((k % 31 == 0) & ~edited & ~cut))
+    after = after.withColumn("corrected_value", F.when(edited & (F.col("nth") == 1), F.lit("forged")).otherwise(F.col("corrected_value"))).drop("nth")
+    return ledger.verify_since(after, ledger.proof(before)).select("khata_id", "state", "entries", "intact", "broken_at")
+
+
 # ------------------------------------------------------------------ corrections
 
 CORR = ("v_parcels", "v_parcel_corr")

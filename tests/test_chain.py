@@ -124,3 +124,20 @@ def test_settings_are_put_back(spark):
         assert spark.conf.get("spark.parcelworks.test") == "1"
         raise ValueError
     assert spark.conf.get(name, None) == before and spark.conf.get("spark.parcelworks.test", None) is None
+
+
+def test_proof_finds_edits_losses_and_orders(spark):
+    none = spark.createDataFrame([], SCHEMA).withColumns({"log_id": F.lit(0).cast("long"), "prev_hash": F.lit(""), "entry_hash": F.lit("")})
+    rows = [(k, f, "1") for k in range(8) for f in "abc"]
+    chain_ = ledger.append(none, ledger.numbered(none, entries(spark, 1, rows), "field_name"))
+    proof = ledger.proof(chain_)
+    assert proof.schema.simpleString() == spark.createDataFrame([], ledger.PROOF).schema.simpleString()
+    two = F.col("log_id") == 2
+    moved = chain_.withColumn("log_id", F.when((F.col("khata_id") == 3) & (F.col("log_id") < 3), 3 - F.col("log_id")).otherwise(F.col("log_id")))  # two entries change places
+    after = moved.where(~((F.col("khata_id") == 2) & two)).withColumn("raw_value", F.when((F.col("khata_id") == 1) & two, "x").otherwise(F.col("raw_value")))
+    after = after.where("khata_id <> 4").union(after.where("khata_id = 5 and log_id = 3"))  # a lost chain, a repeated row
+    more = ledger.append(chain_, ledger.numbered(chain_, entries(spark, 2, [(6, "d", "2"), (9, "a", "2")]), "field_name"))
+    found = {r.khata_id: (r.state, r.entries, r.intact) for r in ledger.verify_since(after.unionByName(more), proof).collect()}
+    assert found == {0: ("same", 3, None), 1: ("altered", 3, False), 2: ("altered", 2, False), 3: ("altered", 3, False), 4: ("lost", 0, None), 5: ("grown", 4, False), 6: ("grown", 4, True), 7: ("same", 3, None), 9: ("new", 1, True)}
+    assert {r.state for r in ledger.verify_since(chain_, proof).collect()} == {"same"}
+    assert ledger.verify_since(chain_.limit(0), proof.limit(0)).count() == 0
