@@ -8,15 +8,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parcelworks.functions.unicode import canonical
+
 # Devanagari digits and the zero-width characters that are dropped.
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 ZERO_WIDTH = "​‌‍"
 UNREAD = "UNREAD"
-# What Unicode's composed form (NFC) has in the place of letters with a dot below.
-NUKTA = {
-    "\u0928\u093c": "\u0929", "\u0930\u093c": "\u0931", "\u0933\u093c": "\u0934", "\u0958": "\u0915\u093c", "\u0959": "\u0916\u093c", "\u095a": "\u0917\u093c",
-    "\u095b": "\u091c\u093c", "\u095c": "\u0921\u093c", "\u095d": "\u0922\u093c", "\u095e": "\u092b\u093c", "\u095f": "\u092f\u093c",
-}
 
 # Relation words and what they are recorded as, longest first so that a daughter is not read as a son.
 RELATIONS = {"पुत्री": "D/o", "पत्नी": "W/o", "पुत्र": "S/o", "आत्मज": "S/o", "वल्द": "S/o", "s/o": "S/o", "d/o": "D/o", "w/o": "W/o", "c/o": "C/o"}
@@ -53,13 +50,8 @@ def let(value: Column, f) -> Column:
 
 
 def normalise_digits(c) -> Column:
-    """Composed text (of Devanagari; for other scripts see nfc), its digits as ASCII, zero-width characters dropped."""
-    text = _col(c)
-    composed = text
-    for one, other in NUKTA.items():
-        composed = F.replace(composed, F.lit(one), F.lit(other))
-    text = F.when(F.rlike(text, F.lit("[\u093c\u0958-\u095f]")), composed).otherwise(text)
-    return F.translate(text, DEVANAGARI_DIGITS + ZERO_WIDTH, "0123456789")
+    """Composed text (of the Indic scripts; for others see nfc), its digits as ASCII, zero-width characters dropped."""
+    return F.translate(canonical(_col(c)), DEVANAGARI_DIGITS + ZERO_WIDTH, "0123456789")
 
 
 def nfc(c) -> Column:
