@@ -44,16 +44,19 @@ def write_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], che
 
 
 def stream_route(headers: DataFrame, parcels: DataFrame, owners: DataFrame, target: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Validate and route each arriving batch of headers against the detail tables; one folder for each batch (R2).
+    """Validate and route each arriving batch of headers against the detail tables, one folder for each batch, and chain a
+    ledger row for each holding behind those of earlier batches in ``target``-ledger (R2).
 
     ``routed_at`` is the batch's own time, which the checkpoint keeps: a batch that comes again replaces itself with equal
-    rows. stream_route_ledger() chains the ledger rows.
+    rows. The ledger is stream_route_ledger(), run over what the batch has added: it reads the new rows and the state of
+    their holdings, not the ledger.
     """
 
     def work(batch: DataFrame, number: int) -> None:
         mine = lambda d: d.join(batch.select("khata_id"), "khata_id", "left_semi")
         found = rules.all_findings(batch, mine(parcels), mine(owners))
         rules.route(rules.report(batch, found)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        stream_route_ledger(batch.sparkSession, target, f"{target}-ledger", f"{checkpoint}-ledger", available_now=True).awaitTermination()
 
     return write_batches(headers.withColumn("routed_at", F.current_timestamp()), work, checkpoint, available_now)
 
