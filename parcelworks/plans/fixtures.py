@@ -114,9 +114,11 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """
     parts = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
     needed = _order(names)
-    state = None
+    state = buckets = None
     if any(n in LAID_OUT for n in needed):
-        state = (spark.sparkContext.applicationId, spark.conf.get("spark.sql.shuffle.partitions"), sf_dir, layout.signature(spark, *[f"{sf_dir}/{t}.parquet" for t in SOURCES]))
+        files = layout.signature(spark, *[f"{sf_dir}/{t}.parquet" for t in SOURCES])
+        buckets = layout.buckets_for(spark, sum(size for _, size, _ in files))
+        state = (spark.sparkContext.applicationId, buckets, sf_dir, files)
     found: dict[str, DataFrame] = {}
     for name in needed:
         if name in LAID_OUT and (name, state) in _MADE:
@@ -126,7 +128,7 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
         used = {k: v for k, v in inputs.items() if _reads(VIEWS[name], k)}
         found[name] = spark.sql(_braced(VIEWS[name], used), **used)
         if name in LAID_OUT:
-            found[name], _MADE[name, state] = layout.bucketed(found[name], name, partition=LAID_OUT[name])
+            found[name], _MADE[name, state] = layout.bucketed(found[name], name, buckets=buckets, partition=LAID_OUT[name])
     return [found[n] for n in names]
 
 

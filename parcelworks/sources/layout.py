@@ -28,6 +28,13 @@ def bucketed(rows: DataFrame, name: str, key: str = "khata_id", buckets: int | N
     return read(spark, table, key), table
 
 
+def buckets_for(spark: SparkSession, size: int, each: int = 8 << 20) -> int:
+    """Buckets for ``size`` bytes of source files: one for each ``each`` bytes, as many as tasks can run at once at least and
+    as shuffle partitions at most, so that small tables do not become thousands of files."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, size // each))
+
+
 def read(spark: SparkSession, table: str, key: str = "khata_id") -> DataFrame:
     """A table that bucketed() has made. The key is renamed to itself with a mark, so that a union of such tables is known
     to have its rows by the key still (attributes of different tables do not compare otherwise)."""
