@@ -52,25 +52,35 @@ def zone_for(state: Column, district: Column) -> Column:
 
 def resolve_unit(unit: Column, zone: Column) -> Column:
     """struct(key, sqm, error): one candidate is taken whatever the region, of several the first whose scope has the zone."""
+    return _resolved(normalise_digits(F.coalesce(unit, F.lit(""))), zone)
+
+
+def _resolved(unit: Column, zone: Column) -> Column:
+    """As resolve_unit, of a unit whose digits are normalised."""
 
     def chosen(c: Column) -> Column:
         fit = F.when(F.size(c["found"]) == 1, c["found"][0]).when(F.size(c["found"]) > 1, F.get(F.filter(c["found"], lambda u: F.array_contains(u["zones"], zone)), F.lit(0)))
         error = F.when(c["token"] == "", "empty").when(c["found"].isNull(), "unknown")
         return let(fit, lambda u: F.struct(u["key"].alias("key"), u["sqm"].alias("sqm"), F.coalesce(error, F.when(u.isNull(), "region-dependent")).alias("error")))
 
-    token = F.regexp_replace(F.lower(strip(normalise_digits(F.coalesce(unit, F.lit(""))))), r"\.+$", "")
+    token = F.regexp_replace(F.lower(strip(F.coalesce(unit, F.lit("")))), r"\.+$", "")
     return let(let(token, lambda t: F.struct(t.alias("token"), F.element_at(_catalogue(), t).alias("found"))), chosen)
 
 
 def to_sqm(value: Column, factor: Column) -> Column:
     """Quantity (a number or a/b, commas dropped) times factor, 4 decimals half to even; null if it is no number."""
+    return _product(normalise_digits(value), factor)
+
+
+def _product(value: Column, factor: Column) -> Column:
+    """As to_sqm, of a value whose digits are normalised."""
 
     def product(raw: Column) -> Column:
         whole = F.when(raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), raw).try_cast("decimal(18,6)")
         top, bottom = (F.when(raw.rlike(r"^[^/]+/[^/]+$"), F.split_part(raw, F.lit("/"), F.lit(i))).try_cast("decimal(18,6)") for i in (1, 2))
         return F.coalesce(whole * factor, F.try_divide(top * factor, bottom))
 
-    return F.bround(let(F.regexp_replace(normalise_digits(value), r"[,\s]", ""), product), 4).cast(AREA_TYPE)
+    return F.bround(let(F.regexp_replace(value, r"[,\s]", ""), product), 4).cast(AREA_TYPE)
 
 
 def parse_area(text: Column, zone: Column) -> Column:
@@ -78,7 +88,7 @@ def parse_area(text: Column, zone: Column) -> Column:
     null is returned if none is known."""
     both = lambda clean: F.arrays_zip(F.regexp_extract_all(clean, F.lit(AREA), 1).alias("value"), F.regexp_extract_all(clean, F.lit(AREA), 3).alias("unit"))
     parts = let(normalise_digits(text), both)
-    areas = F.filter(F.transform(parts, lambda p: to_sqm(p["value"], resolve_unit(p["unit"], zone)["sqm"])), lambda a: a.isNotNull())
+    areas = F.filter(F.transform(parts, lambda p: _product(p["value"], _resolved(p["unit"], zone)["sqm"])), lambda a: a.isNotNull())
     total = lambda found: F.when(F.size(found) > 0, F.aggregate(found, F.lit(0).cast(AREA_TYPE), lambda acc, a: (acc + a).cast(AREA_TYPE)))
     return let(areas, total)
 
@@ -96,10 +106,10 @@ def extract_area(text: Column, zone: Column) -> Column:
         return F.struct(cut(m, "\x02", 1).alias("value"), F.length(cut(rest, "\x03", 1)).alias("space"), cut(tail, "\x04", 1).alias("unit"), F.length(cut(tail, "\x04", 2)).alias("after"))
 
     def resolved(p: Column) -> Column:
-        both, one = resolve_unit(p["unit"], zone), resolve_unit(F.regexp_extract(p["unit"], r"^(?U)(\S+)", 1), zone)
+        both, one = _resolved(p["unit"], zone), _resolved(F.regexp_extract(p["unit"], r"^(?U)(\S+)", 1), zone)
         unit = let(both, lambda u: F.when(u["key"].isNotNull(), u).otherwise(one))
         length = F.length(p["value"]) + p["space"] + F.length(p["unit"])
-        return let(unit, lambda u: F.struct(u["key"].alias("key"), to_sqm(p["value"], u["sqm"]).alias("sqm"), length.alias("length"), p["after"].alias("after")))
+        return let(unit, lambda u: F.struct(u["key"].alias("key"), _product(p["value"], u["sqm"]).alias("sqm"), length.alias("length"), p["after"].alias("after")))
 
     pieces = F.transform(F.transform(marked, piece), resolved)
     state = F.struct(F.lit(0).cast(AREA_TYPE).alias("total"), F.array().cast("array<string>").alias("units"), F.lit(0).alias("gap"), F.lit(False).alias("done"))
