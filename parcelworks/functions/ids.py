@@ -16,6 +16,8 @@ STATE_CODES = {
     "UTTAR PRADESH": "UP", "UTTARAKHAND": "UK", "WEST BENGAL": "WB", "DELHI": "DL", "JAMMU AND KASHMIR": "JK", "LADAKH": "LA", "PUDUCHERRY": "PY",
 }
 LENGTH, PRECISION = 14, 11
+#: The alphabet by bits 1, 3 and 5 of a character's five, then 2 and 4.
+WOVEN = "".join(ALPHABET[(a >> 2 & 1) << 4 | (b >> 1 & 1) << 3 | (a >> 1 & 1) << 2 | (b & 1) << 1 | a & 1] for a in range(8) for b in range(4))
 
 
 def _cell(x: Column, low: float, width: float, bits: int) -> Column:
@@ -28,13 +30,17 @@ def geohash(lat: Column, lon: Column, n: int = PRECISION) -> Column:
     lon_bits, lat_bits = (5 * n + 1) // 2, 5 * n // 2
 
     def chars(cell: Column) -> Column:
-        def bit(b: int) -> Column:
-            of, at = (cell["x"], lon_bits - 1 - b // 2) if b % 2 == 0 else (cell["y"], lat_bits - 1 - b // 2)
-            return F.shiftright(of, at).bitwiseAND(F.lit(1))
-
         def char(i: int) -> Column:
-            value = sum((bit(5 * i + t) * (1 << (4 - t)) for t in range(1, 5)), bit(5 * i) * 16)
-            return F.substr(F.lit(ALPHABET), (value + 1).cast("int"), F.lit(1))
+            """Five bits in turn from both cells, the first from ``x`` where i is even: three of one and two of the other tell the
+            character, by an alphabet in their order."""
+            a, b = (cell["x"], cell["y"]) if i % 2 == 0 else (cell["y"], cell["x"])
+            bits_a, bits_b = (lon_bits, lat_bits) if i % 2 == 0 else (lat_bits, lon_bits)
+            first_a, first_b = (5 * i + 1) // 2, (5 * i + 1) // 2
+            if i % 2:
+                first_a, first_b = 5 * i // 2, 5 * i // 2 + 1
+            part = lambda of, bits, first, k: F.shiftright(of, bits - first - k).bitwiseAND(F.lit((1 << k) - 1))
+            place = part(a, bits_a, first_a, 3) * 4 + part(b, bits_b, first_b, 2)
+            return F.substr(F.lit(WOVEN), (place + 1).cast("int"), F.lit(1))
 
         return F.concat(*[char(i) for i in range(n)])
 
