@@ -115,6 +115,8 @@ def _order(names) -> list[str]:
 
 #: Views that all rules share, and the column that makes folders; they are laid out once for each state of their files.
 LAID_OUT = {"v_parcels": None, "v_khata": "village_code", "v_owners": None}
+#: What a laid out view is made of, dealt into the buckets by this column at once, so that its windows and its files share one shuffle.
+DEALT = {("v_parcels", "lineitem"): "l_orderkey"}
 SOURCES = ("lineitem", "orders", "customer")
 _MADE: dict[tuple, str] = {}
 
@@ -139,7 +141,7 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
             continue
         inputs = {**parts, **found}
         view = ONE_PASS.get(name, VIEWS[name])
-        used = {k: v for k, v in inputs.items() if _reads(view, k)}
+        used = {k: v.repartition(buckets, DEALT[name, k]) if (name, k) in DEALT else v for k, v in inputs.items() if _reads(view, k)}
         found[name] = spark.sql(_braced(view, used), **used)
         if name in LAID_OUT:
             found[name], _MADE[name, state] = layout.bucketed(found[name], name, buckets=buckets, partition=LAID_OUT[name])

@@ -29,10 +29,9 @@ def bucketed(rows: DataFrame, name: str, key: str = "khata_id", buckets: int | N
 
 
 def buckets_for(spark: SparkSession, size: int, each: int = 8 << 20) -> int:
-    """Buckets for ``size`` bytes of source files: one for each ``each`` bytes, as many as tasks can run at once at least and
-    as shuffle partitions at most, so that small tables do not become thousands of files."""
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(most, max(spark.sparkContext.defaultParallelism, size // each))
+    """Buckets for ``size`` bytes of source files: one for each ``each`` bytes, as many as tasks can run at once at least. A
+    task's rows do not grow with the input, whatever the number of shuffle partitions is, so its sorts stay in memory."""
+    return max(spark.sparkContext.defaultParallelism, size // each)
 
 
 def read(spark: SparkSession, table: str, key: str = "khata_id") -> DataFrame:
