@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelworks.llm.common import drop, save, tune
@@ -210,52 +210,110 @@ def _align(a: list[int], b: list[int]) -> list[int]:
 COPY = 0.7
 
 
-def _nearest(i: int, step: int, lines: list[list[int]], where: dict, ends: list[int], run: list[int]) -> tuple[int, list[int]] | None:
-    """The nearest page before (``step`` -1) or after (1) page ``i`` of its host that shares lines and is no copy, and the
-    places of the shared lines in ``i``. ``where`` has the pages of each line; ``run`` the last one of a run of copies."""
-    bound = i
-    while True:
-        found = None
-        for line in lines[i]:
-            pages = where[ends[i], line]
-            at = bisect_left(pages, bound) - 1 if step < 0 else bisect_right(pages, bound)
-            if 0 <= at < len(pages) and (found is None or (pages[at] - found) * step < 0):
-                found = pages[at]
-        if found is None:
+def _partners(a: tuple[int, ...], b: tuple[int, ...], fewest: int) -> bool:
+    """Whether two pages share lines and are no copies; ``fewest`` is the number of lines of the smaller one."""
+    return not set(a).isdisjoint(b) and len(shared(a, b)) <= COPY * fewest
+
+
+class _Kinds:
+    """Pages of a slice by kind: host, number of lines and those lines that another page may share, in order. Whether two
+    pages are partners is told by their kinds alone, so it is found out once for each two of them."""
+
+    def __init__(self, hosts: list[str], lines: list, lengths: list[int], common: Callable[[str, int], bool]):
+        self.number: dict[tuple, int] = {}
+        self.of = [self.number.setdefault((h, n, tuple(x for x in own if common(h, x))), len(self.number)) for h, own, n in zip(hosts, lines, lengths, strict=True)]
+        self.kinds = list(self.number)
+        self.known: dict[tuple, bytearray] = {}  # of a kind with each of the slice: 0 not known, 1 partners, 2 not
+
+    def nearest(self, kind: tuple, places: Iterable[int]) -> int | None:
+        """The first of ``places`` whose page is a partner of a page of that kind and host."""
+        if not kind[2]:
             return None
-        same = shared(lines[i], lines[found])
-        if len(same) <= COPY * min(len(lines[i]), len(lines[found])):
-            return found, same
-        bound = run[found]
-        if abs(found - i) == 1:
-            run[i] = bound
-
-
-def _differ(group: pd.DataFrame) -> pd.DataFrame:
-    """The lines that pages of one slice lose: sorted by URL, each is paired with the nearest page of its host. Told for pages
-    whose markup leaves lines open only, since the others lose none."""
-    group = group.sort_values(["host", "path", "page_id", "row"], na_position="first", ignore_index=True)
-    hosts, paths, lines = group.host.tolist(), group.path.tolist(), [list(x) for x in group.lines]
-    ends = [0] * len(group)  # number of a page's host
-    for i in range(1, len(group)):
-        ends[i] = ends[i - 1] + (hosts[i] != hosts[i - 1])
-    where: dict[tuple[int, int], list[int]] = {}
-    for i, own in enumerate(lines):
-        for line in set(own):
-            where.setdefault((ends[i], line), []).append(i)
-    sides: list[list] = [[] for _ in lines]
-    for step in (-1, 1):
-        run = list(range(len(lines)))
-        for i in range(len(lines))[:: -step]:
-            if found := _nearest(i, step, lines, where, ends, run):
-                sides[i].append(found)
+        known = self.known.setdefault(kind, bytearray(len(self.kinds)))
+        for j in places:
+            other = self.of[j]
+            if not known[other]:
+                _, n, own = self.kinds[other]
+                known[other] = 1 if _partners(kind[2], own, min(kind[1], n)) else 2
+            if known[other] == 1:
+                return j
+        return None
+
+
+def _runs(hosts: list[str]) -> list[tuple[int, int]]:
+    """First place of each page's host in a sorted slice, and the place behind its last."""
+    first, behind = list(range(len(hosts))), list(range(1, len(hosts) + 1))
+    for i in range(1, len(hosts)):
+        if hosts[i] == hosts[i - 1]:
+            first[i] = first[i - 1]
+    for i in range(len(hosts) - 2, -1, -1):
+        if hosts[i] == hosts[i + 1]:
+            behind[i] = behind[i + 1]
+    return list(zip(first, behind, strict=True))
+
+
+def _lost(path: str, place: int, lines: list[int], found: list[tuple[int, str, list[int]]]) -> tuple[int, list[int], list[int]]:
+    """Which of the partners ``found`` (place, path, lines) a page is paired with, and what the page and that partner lose."""
+    best = max(range(len(found)), key=lambda k: (_prefix(path, found[k][1]), -abs(found[k][0] - place), found[k][0] < place))
+    same = shared(lines, found[best][2])
+    return best, same, _places([lines[x] for x in same], found[best][2])
+
+
+def _within(group: pd.DataFrame, last: int) -> pd.DataFrame:
+    """Pairs of the pages of one slice: the lines that pages lose, told for pages whose markup leaves lines open only, since the
+    others lose none. A page that has met no partner up to an end of the slice, where its host may go on, is told with that
+    side (0: both) and the partner on the other one. ``last`` is the number of the last slice."""
+    group = group.sort_values("id", ignore_index=True)
+    hosts, paths, lines, ids = group.host.tolist(), group.path.tolist(), [x.tolist() for x in group.lines], group.id.tolist()
+    pages = Counter((h, x) for h, own in zip(hosts, lines, strict=True) for x in set(own))
+    kinds = _Kinds(hosts, lines, list(map(len, lines)), lambda h, x: pages[h, x] > 1)
+    out: list[tuple] = []
+    start, end = ids[0] >> 33 > 0, ids[-1] >> 33 < last  # whether slices lie before and behind
+    for i, (first, behind) in enumerate(_runs(hosts)):
+        kind = kinds.kinds[kinds.of[i]]
+        before, after = kinds.nearest(kind, range(i - 1, first - 1, -1)), kinds.nearest(kind, range(i + 1, behind))
+        found = [j for j in (before, after) if j is not None]
+        sides = [-1] * (start and before is None and not first) + [1] * (end and after is None and behind == len(ids))
+        if sides:
+            out.append((None, None, ids[i], ids[found[0]] if found else None, sum(sides), hosts[i], lines[i]))
+        elif found:
+            best, own, others = _lost(paths[i], i, lines[i], [(j, paths[j], lines[j]) for j in found])
+            out += [(group.row[k], at, None, None, None, None, None) for k, at in ((i, own), (found[best], others)) if group.open[k]]
+    return pd.DataFrame(out, columns=["row", "deleted", "id", "near", "side", "host", "lines"], dtype=object)
+
+
+def _beyond(asked: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+    """The nearest partner in a slice for pages (or several alike) of other slices, seen from their side."""
+    group = group.sort_values("id", ignore_index=True)
+    hosts, ids = group.host.tolist(), group.id.tolist()
+    wanted = set().union(*asked.lines)
+    kinds = _Kinds(hosts, group.lines.tolist(), list(map(len, group.lines)), lambda _, x: x in wanted)
+    run = dict(zip(hosts, _runs(hosts), strict=True))
     out = []
-    for i, found in enumerate(sides):
-        if found and not group.guest[i]:
-            j, same = max(found, key=lambda x: (_prefix(paths[i], paths[x[0]]), -abs(x[0] - i)))
-            lost = ((i, same), (j, _places([lines[i][x] for x in same], lines[j])))
-            out += [(group.row[k], at) for k, at in lost if group.open[k]]
-    return pd.DataFrame(out, columns=["row", "deleted"])
+    for asker, step, host, n, lines in zip(asked.asker, asked.step, asked.host, asked.n, asked.lines, strict=True):
+        first, behind = run.get(host, (0, 0))
+        found = kinds.nearest((host, n, tuple(lines)), range(first, behind)[::step])
+        if found is not None:
+            out.append((asker, step, ids[found]))
+    return pd.DataFrame(out, columns=["asker", "step", "near"])
+
+
+def _across(starts: dict[int, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The lines that pairs lose which were looked for beyond a slice; ``starts`` has the pages before each slice."""
+
+    def place(page: int) -> int:
+        return starts[page >> 33] + (page & (1 << 33) - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for page in batch.itertuples():
+                found = list(page.found)
+                best, own, others = _lost(page.path, place(page.id), page.lines.tolist(), [(place(x["near"]), x["path"], list(x["lines"])) for x in found])
+                out += [(row, at) for row, at, told in ((page.row, own, page.open), (found[best]["row"], others, found[best]["open"])) if told]
+            yield pd.DataFrame(out, columns=["row", "deleted"])
+
+    return run
 
 
 def _places(part: list[int], lines: list[int]) -> list[int]:
@@ -297,14 +355,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     comments never count, and where a page names its article (article or main) just that is kept, shared lines included.
 
     Null html has an empty text; rows are kept as they are, also repeated ones and such with a null id or url. Pages are
-    parsed once and sorted in slices of bounded size with one row of each neighbouring slice, so no host is gathered in
-    one task.
+    parsed once and sorted in slices of bounded size, so no host is gathered in one task; a page that finds no partner in
+    its slice goes on to the slices that have its lines, so the slices' size does not change what is found. Hosts where
+    the markup decides all pages lose no lines and are not paired.
     """
     tune(pages.sparkSession)
     host, path = host_and_path(F.col(url_col))
     base = pages.select(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))).alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     parsed = save(base.mapInArrow(_parsed, "row long, page_id long, url string, host string, path string, lines array<long>, texts array<string>, undecided array<int>"), "parsed")
-    deleted = _deleted(parsed.where(F.size("lines") > 0).select("row", "page_id", "host", "path", "lines", (F.size("undecided") > 0).alias("open")).dropDuplicates(["row"]), rows_per_slice)
+    hosts = parsed.where(F.size("undecided") > 0).select("host").distinct()
+    lines = parsed.where(F.size("lines") > 0).join(hosts, "host", "left_semi").select("row", "page_id", "host", "path", "lines", (F.size("undecided") > 0).alias("open"))
+    deleted = _deleted(lines.dropDuplicates(["row"]), rows_per_slice)
     rows = parsed.select("row", "page_id", "url", "texts", "undecided").join(deleted, "row", "left")
     left = F.filter("texts", lambda t, i: ~F.array_contains("deleted", F.get("undecided", i)))
     text = F.array_join(F.when(F.col("deleted").isNull() | (F.size("undecided") == 0), F.col("texts")).otherwise(left), "\n")
@@ -316,11 +377,52 @@ def _deleted(lines: DataFrame, rows_per_slice: int) -> DataFrame:
     lines = save(lines, "lines")
     slices = max(1, -(-lines.count() // rows_per_slice))
     key = F.struct("host", "path", F.coalesce("page_id", F.lit(-(2**63)).cast("long")).alias("page_id"), "row")
-    ranged = save(lines.withColumn("key", key).repartitionByRange(slices, "key").withColumn("slice", F.spark_partition_id()), "slices")
+    ranged = lines.withColumn("key", key).repartitionByRange(slices, "key").sortWithinPartitions("key").drop("key", "page_id")
+    ranged = save(ranged.withColumn("id", F.monotonically_increasing_id()).withColumn("slice", F.shiftright("id", 33).cast("int")), "slices")
     drop(lines)
-    ends = ranged.groupBy("slice").agg(F.max("key").alias("last"), F.min("key").alias("first"))
-    near = ends.select(F.explode(F.array(F.struct((F.col("slice") + 1).alias("slice"), F.col("last.row").alias("row")), F.struct((F.col("slice") - 1).alias("slice"), F.col("first.row").alias("row")))).alias("e")).select("e.*")
-    own = ranged.drop("key").withColumn("guest", F.lit(False))
-    guests = own.drop("slice").join(save(near, "near"), "row").withColumn("guest", F.lit(True))
-    found = own.unionByName(guests).groupBy("slice").applyInPandas(_differ, "row long, deleted array<int>")
-    return save(found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("deleted"))).alias("deleted")), "deleted")
+    starts, before = {}, 0
+    for r in sorted(ranged.groupBy("slice").count().collect()):
+        starts[r[0]], before = before, before + r[1]
+    last = max(starts, default=0)
+    met = save(ranged.groupBy("slice").applyInPandas(lambda group: _within(group, last), "row long, deleted array<int>, id long, near long, side int, host string, lines array<long>"), "met")
+    found = met.where("deleted is not null").select("row", "deleted")
+    if last:
+        pairs = met.where("near is not null").select("id", "near").unionByName(_further(met.where("id is not null"), ranged, last))
+        other = ranged.select(F.col("id").alias("near"), F.struct(F.col("id").alias("near"), "row", "path", "lines", "open").alias("found"))
+        pairs = pairs.join(other, "near").groupBy("id").agg(F.collect_list("found").alias("found"))  # two at most
+        pairs = pairs.join(ranged.select("id", "row", "path", "lines", "open"), "id")
+        found = found.unionByName(pairs.mapInPandas(_across(starts), "row long, deleted array<int>"))
+    return save(found.select("row", F.explode("deleted").alias("at")).groupBy("row").agg(F.collect_set("at").alias("deleted")), "deleted")
+
+
+def _further(ends: DataFrame, ranged: DataFrame, last: int) -> DataFrame:
+    """(id, near): the nearest partner of each page of ``ends`` in other slices, on the side where its own slice has none.
+
+    A line of such a page counts where another slice of the host on that side has it. Pages of a slice with the same such
+    lines, in order, and as many lines in all ask as one. They ask the slices that have one of their lines: the next slice
+    first, then as many slices as lie behind them again and again, until a partner is found or no slice with such a line is left.
+    """
+    spread = F.broadcast(ranged.groupBy("host").agg(F.min("slice").alias("a"), F.max("slice").alias("b")).where("a < b").select("host"))
+    held = ranged.join(spread, "host").select("host", "slice", F.explode("lines").alias("line")).select(F.xxhash64("host", "line").alias("key"), "slice").distinct()
+    of_key = Window.partitionBy("key")
+    held = save(held.select("key", "slice", F.min("slice").over(of_key).alias("low"), F.max("slice").over(of_key).alias("high")).where("low < high"), "held")
+    sides = ends.withColumn("slice", F.shiftright("id", 33).cast("int")).withColumn("step", F.explode(F.when(F.col("side") == 0, F.array(F.lit(-1), F.lit(1))).otherwise(F.array("side"))))
+    sides = sides.select("id", "slice", "step", "host", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line")).withColumn("key", F.xxhash64("host", "line"))
+    sides = sides.join(held, ["key", "slice"]).withColumn("far", F.when(F.col("step") < 0, F.col("slice") - F.col("low")).otherwise(F.col("high") - F.col("slice"))).where("far > 0")
+    sides = sides.groupBy("id", "slice", "step", "host", "n").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).getField("line").alias("lines"), F.max("far").alias("far"))
+    asking = save(sides.groupBy("slice", "step", "host", "n", "lines", "far").agg(F.min("id").alias("asker"), F.collect_list("id").alias("ids")), "asking")
+    left, answers, near = asking.drop("ids"), [], 1
+    while near <= last and not left.isEmpty():
+        away = (F.col("at") - F.col("slice")) * F.col("step")
+        keys = left.select("asker", "step", "slice", F.explode("lines").alias("line"), "host").select("asker", "step", "slice", F.xxhash64("host", "line").alias("key"))
+        asked = keys.join(held.select("key", F.col("slice").alias("at")), "key").where((away >= near) & (away < 2 * near)).select("asker", "step", "at").distinct()
+        asked = save(asked.join(left, ["asker", "step"]).select("asker", "step", "at", "host", "n", "lines"), "asked")
+        open_slices = ranged.join(asked.select(F.col("at").alias("slice")).distinct(), "slice", "left_semi")
+        answer = asked.groupBy("at").cogroup(open_slices.select("id", "host", "lines", "slice").groupBy("slice")).applyInPandas(_beyond, "asker long, step int, near long")
+        answer = save(answer.groupBy("asker", "step").agg((F.min(F.col("near") * F.col("step"))).alias("near")).withColumn("near", F.col("near") * F.col("step")), "answer")
+        answers.append(answer)
+        near *= 2
+        left = save(left.where(F.col("far") >= near).join(answer, ["asker", "step"], "left_anti"), "left")
+    asking = asking.select("asker", "step", F.explode("ids").alias("id"))
+    pairs = [asking.join(a, ["asker", "step"]).select("id", "near") for a in answers]
+    return reduce(DataFrame.unionByName, pairs) if pairs else asking.select("id", F.col("asker").alias("near")).limit(0)

@@ -173,6 +173,38 @@ def test_html_pairs_by_definition(spark):
     assert sum(map(len, lost.values())) > 60
 
 
+def test_html_pairs_reach_beyond_slices(spark):
+    """Runs of copies longer than a slice, copies that drift apart and partners far off: the same pairs at any slice size."""
+    rng = random.Random(4)
+    made = [["top", *[f"own {j}" for j in range(9)], f"copy {i}"] for i in range(25)]  # copies of each other
+    made += [["top", f"other {i}", "end"] for i in range(3)]
+    made += [[f"drift {j}" for j in range(i, i + 12)] for i in range(20)]  # each a copy of the next three
+    made += [[f"alone {i}", *(["pair"] if i in (2, 27) else [])] for i in range(30)]
+    made += [rng.sample([f"menu {j}" for j in range(9)], 7) + [f"own {i}"] for i in range(12)]
+    made += [[f"top {rng.randint(0, 2)}", *rng.choices("abcdefgh", k=6), "last"] for i in range(20)]
+    places = [(f"h{i // 80}.example.com", f"/{rng.choice('pq')}{i // 3:03d}/{i:03d}") for i in range(len(made))]
+    order = sorted(range(len(made)), key=lambda i: places[i])
+    pages = [(i, f"http://{h}{p}", "".join(f"<p>{x}</p>" for x in made[i])) for i, (h, p) in enumerate(places)]
+
+    lost = collections.defaultdict(set)
+    for at, i in enumerate(order):
+        found = []
+        for side in (order[:at][::-1], order[at + 1 :]):
+            for j in side:
+                if places[i][0] == places[j][0] and 0 < len(html_text.shared(made[i], made[j])) <= html_text.COPY * min(len(made[i]), len(made[j])):
+                    found.append(j)
+                    break
+        if found:
+            j = max(found, key=lambda j: (html_text._prefix(places[i][1], places[j][1]), -abs(order.index(j) - at), order.index(j) < at))
+            same = html_text.shared(made[i], made[j])
+            lost[i] |= set(same)
+            lost[j] |= set(html_text._places([made[i][x] for x in same], made[j]))
+    assert len(lost) > 60
+    for per_slice in (1000, 4):
+        found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), rows_per_slice=per_slice).collect()}
+        assert not [i for i in found if found[i] != "\n".join(x for k, x in enumerate(made[i]) if k not in lost[i])]
+
+
 def test_html_of_broken_and_long_pages(spark):
     import time
 
