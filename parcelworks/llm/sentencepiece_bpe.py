@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import os
+import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 from parcelworks.llm.common import tune
 
 SPACE = "▁"
-#: Characters of a unit that is remembered at most: with the number of units this bounds a task's memory.
-LONGEST = 64
+#: Characters of a unit that is remembered at most, and of all on average: with the number of units this bounds a worker's memory.
+LONGEST, MEAN = 64, 12
 #: Encoded by the library as well: a model that normalises its input or has no dummy prefix shows in other ids.
 PROBE = " a  \ufb01\u2460A\u030a\u3000\t\nx "
 
@@ -24,13 +27,14 @@ PROBE = " a  \ufb01\u2460A\u030a\u3000\t\nx "
 class Encoder:
     """Encodes as the sentencepiece library does for a BPE model with byte fallback and no normalisation but the space mark.
 
-    No piece goes on from another character into a space mark, so a text falls apart into units: a run of space marks and
-    what follows it. Of a unit, each prefix has one last token: the match of the automaton that ends there, is the
+    A text falls apart into units where two characters meet that stand side by side in no piece, since no merge reaches
+    across: before a space mark, and before the signs that no piece has behind a letter. Of a unit, each prefix has one last token: the match of the automaton that ends there, is the
     encoding of its own text, and is compatible with the last token of what stands before it (merging the two texts as
-    one gives just these two). Ids are then recovered from the end backwards. Units are remembered up to a bound.
+    one gives just these two). Ids are then recovered from the end backwards. Units are remembered up to a bound: the
+    latest, and those used since ``most`` others came.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,6 +56,7 @@ class Encoder:
                 self.rank[piece], self.id[piece], self.text[i] = -model.get_score(i), i, piece
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has a space mark after another character: units would not be independent")
+        self.parts = re.compile(_cuts({pair for piece in self.id for pair in zip(piece, piece[1:], strict=False)}))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.split: dict[str, tuple[str, str]] = {}  # the last merge of each piece that merging can reach
@@ -66,7 +71,7 @@ class Encoder:
                 continue
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.most, self.seen = most, {}
+        self.most, self.seen, self.old, self.held = most, {}, {}, 0
         if self.ids(PROBE) != array("I", model.encode(PROBE, add_bos=True, add_eos=True)).tobytes():
             raise ValueError("the model does not take texts as they are")
 
@@ -167,23 +172,20 @@ class Encoder:
         head, tail = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes()
         if not text:
             return head + tail
-        marked = SPACE + text.replace(" ", SPACE)
-        units = marked.replace("\n", "\0\n\0").replace(SPACE, "\0" + SPACE).split("\0") if "\0" not in text else [marked]
-        if "" in units or "\0" in text or SPACE + SPACE in marked or SPACE in units:
-            units = _units(marked)
-        seen = self.seen
-        try:
-            return head + b"".join(map(seen.__getitem__, units)) + tail
-        except KeyError:
-            if len(seen) > self.most:
-                seen.clear()
-            new = [u for u in dict.fromkeys(units) if u not in seen]
-            seen.update(zip(new, self.units(new), strict=True))
-            out = head + b"".join(map(seen.__getitem__, units)) + tail
-            for u in new:
-                if len(u) > LONGEST:
-                    del seen[u]
-            return out
+        units = self.parts.findall(SPACE + text.replace(" ", SPACE))  # the last is empty
+        found = list(map(self.seen.get, units[:-1]))
+        if None in found:
+            if len(self.seen) > self.most or self.held > MEAN * self.most:
+                self.old, self.seen, self.held = self.seen, {}, 0
+            old = self.old
+            made = {u: old.get(u) for u, x in zip(units, found, strict=False) if x is None}
+            new = [u for u, x in made.items() if x is None]
+            made.update(zip(new, self.units(new), strict=True) if new else ())
+            found = [made[u] if x is None else x for u, x in zip(units, found, strict=False)]
+            kept = [x for x in made.items() if len(x[0]) <= LONGEST]
+            self.seen.update(kept)
+            self.held += sum(len(u) for u, _ in kept)
+        return head + b"".join(found) + tail
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids, as the library's decode(ids): controls vanish, bytes join into characters."""
@@ -194,15 +196,26 @@ class Encoder:
         return out if out.isascii() else out.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
-def _units(marked: str) -> list[str]:
-    """Runs of space marks with what follows them."""
-    out, start = [], 0
-    for i in range(1, len(marked)):
-        if marked[i] == SPACE and marked[i - 1] != SPACE:
-            out.append(marked[start:i])
-            start = i
-    out.append(marked[start:])
-    return out
+def _cuts(neighbours: set[tuple[str, str]]) -> str:
+    """A pattern that finds the units of a text, given the characters that stand side by side in pieces.
+
+    Of the characters that are no letters, those without neighbours are units of their own, and a unit ends before those
+    that follow just each other and space marks. Characters beyond the first 128 that no piece has beside others are taken
+    as letters are.
+    """
+    signs = {c for c in {c for pair in neighbours for c in pair} | set(map(chr, range(128))) if not c.isalpha() and c != SPACE}
+    while late := {b for a, b in neighbours if b in signs and a != SPACE and a not in signs}:
+        signs -= late
+    alone = signs - {c for pair in neighbours for c in pair}
+    signs, alone = ("".join(map(re.escape, sorted(x))) for x in (signs - alone, alone))
+    start = f"{SPACE}*[{signs}]*" if signs else f"{SPACE}*"
+    return f"[{alone}]|{start}[^{signs}{alone}{SPACE}]*"
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, changed: int) -> Encoder:
+    """The encoder of a model, which the tasks of a Python worker share, with the units it remembers."""
+    return Encoder(path)
 
 
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = False) -> DataFrame:
@@ -216,7 +229,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if outputs else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = _encoder(model, os.stat(model).st_mtime_ns)
         for batch in batches:
             ids = [encoder.ids(t) for t in batch.column(1).to_pylist()]
             decoded = [encoder.decode(x) for x in ids]
